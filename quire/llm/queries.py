@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import shared_folder, table
 from quire.llm.line_dedup import line_dedup
+from quire.llm.media import features, payloads, store, tiff_pages
+from quire.llm.packing import best_fit_packing
 from quire.llm.quality import quality_rules
 from quire.llm.token_counts import token_counts
 
@@ -32,8 +34,16 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), cache)
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, end_id=1)
+
+
+def op9_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features(tiff_pages(store(payloads(table(spark, sf_dir, "documents")))))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op4_quality_rules, op5_token_counts)}
+    return {f.__name__: f for f in (op1_line_dedup, op4_quality_rules, op5_token_counts, op6_best_fit_packing, op9_media_tiff)}
 
 
 def oracle_sql() -> dict[str, str]:
