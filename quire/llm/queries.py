@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import shared_folder, table
 from quire.llm.line_dedup import line_dedup
+from quire.llm.lm_scoring import lm_scores
 from quire.llm.media import features, payloads, store, tiff_pages
 from quire.llm.packing import best_fit_packing
 from quire.llm.quality import quality_rules
@@ -38,12 +39,21 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, end_id=1)
 
 
+def in_fold(modulus: int, fold: int) -> Column:
+    """Whether crc32(doc_id as text) mod modulus is fold; a null id is in fold 0, as the empty text is."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == fold
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), in_fold(5, 1))
+
+
 def op9_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(tiff_pages(store(payloads(table(spark, sf_dir, "documents")))))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op4_quality_rules, op5_token_counts, op6_best_fit_packing, op9_media_tiff)}
+    return {f.__name__: f for f in (op1_line_dedup, op4_quality_rules, op5_token_counts, op6_best_fit_packing, op8_lm_scoring, op9_media_tiff)}
 
 
 def oracle_sql() -> dict[str, str]:
