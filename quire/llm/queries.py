@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import shared_folder, table
+from quire.llm.language_id import language_id
 from quire.llm.line_dedup import line_dedup
 from quire.llm.lm_scoring import lm_scores
 from quire.llm.media import features, payloads, store, tiff_pages
@@ -44,6 +45,10 @@ def in_fold(modulus: int, fold: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == fold
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"), in_fold(4, 2))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), in_fold(5, 1))
 
@@ -53,7 +58,7 @@ def op9_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op4_quality_rules, op5_token_counts, op6_best_fit_packing, op8_lm_scoring, op9_media_tiff)}
+    return {f.__name__: f for f in (op1_line_dedup, op4_quality_rules, op5_token_counts, op6_best_fit_packing, op7_language_id, op8_lm_scoring, op9_media_tiff)}
 
 
 def oracle_sql() -> dict[str, str]:
