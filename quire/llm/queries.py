@@ -14,6 +14,7 @@ from quire.llm.line_dedup import line_dedup
 from quire.llm.lm_scoring import lm_scores
 from quire.llm.media import features, payloads, store, tiff_pages
 from quire.llm.packing import best_fit_packing
+from quire.llm.pii import replace_pii
 from quire.llm.quality import quality_rules
 from quire.llm.token_counts import token_counts
 
@@ -57,8 +58,12 @@ def op9_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(tiff_pages(store(payloads(table(spark, sf_dir, "documents")))))
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(table(spark, sf_dir, "documents"), key="a key that the caller keeps")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op4_quality_rules, op5_token_counts, op6_best_fit_packing, op7_language_id, op8_lm_scoring, op9_media_tiff)}
+    return {f.__name__: f for f in (op1_line_dedup, op4_quality_rules, op5_token_counts, op6_best_fit_packing, op7_language_id, op8_lm_scoring, op9_media_tiff, op10_pii_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
