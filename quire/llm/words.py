@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 
@@ -12,17 +13,22 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 REMEMBERED = 400_000
 
 
+def crc(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+
+
 class WordIds(dict):
-    """Word -> running number; `hashes` holds each number's 32-bit hash. Numbers hold until the next call of fresh()."""
+    """Word -> running number; `hashes` holds each number's hash. Numbers hold until the next call of fresh()."""
 
-    def __init__(self):
-        self.hashes = np.zeros(1024, np.uint32)
+    def __init__(self, hash_of: Callable[[str], int] = crc):
+        self.hash_of = hash_of
+        self.hashes = np.zeros(1024, np.uint64)
 
     def __missing__(self, word: str) -> int:
         n = len(self)
         if n == len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros(n, np.uint32)])
-        self.hashes[n] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+            self.hashes = np.concatenate([self.hashes, np.zeros(n, np.uint64)])
+        self.hashes[n] = self.hash_of(word)
         self[word] = n
         return n
 
