@@ -1,8 +1,66 @@
-"""Pipeline of corpus stages."""
+"""Pipeline over `documents`: quality rules, line dedup, near duplicates, mixing to target weights, packing."""
 
-STAGES = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm.common import staged, table
+from quire.llm.line_dedup import line_dedup
+from quire.llm.mixing import genre, mix_to_targets
+from quire.llm.near_duplicates import near_duplicates
+from quire.llm.packing import best_fit_packing
+from quire.llm.quality import quality_rules
+from quire.llm.queries import MIX, trusted_ids
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Share of the tokens that mixing keeps.
+MIXED = 0.9
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id, null included, is among ids (doc_id)."""
+    ids = ids.select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep. Rows that share a doc_id stay if one of them is kept."""
+    return only(docs, quality_rules(docs, trusted_ids(spark, sf_dir)).where("kept"))
+
+
+def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, less the lines that occur in ten or more. Copies of a whole text count once here: they are the next
+    stage's to remove, and a text with ten copies would otherwise lose all its lines in each."""
+    out = line_dedup(docs, min_docs=10, copies_once=True, carry=("lang", "source"))
+    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each class of near duplicates; a row without a doc_id stays as it is."""
+    first = near_duplicates(docs, threshold=0.8, ngram=5).where("doc_id = class_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled by probabilities that are calibrated to the target shares of sources, languages and topics."""
+    return only(docs, mix_to_targets(docs, MIX, fraction=MIXED, topic=genre(F.col("text"))).where("kept"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes, in sequences of at most 4096 tokens."""
+    return best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"), 4096, end_id=1)
+
+
+STAGES = [("quality rules", quality), ("line dedup", without_common_lines), ("n-gram jaccard join", one_of_each), ("mixing sources", mixed), ("best-fit packing", packed)]
+#: Minimum hashes, tokenizers and raking can't be said in SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir))
+    return docs

@@ -149,7 +149,7 @@ def components(links: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """id, key (digest of the set; null without words), sketch of each row."""
+    """id, key (digest of the set), sketch of each row."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(n)
@@ -159,7 +159,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                 keys, rows = [], np.zeros((part.num_rows, SKETCH), np.uint32)
                 for i, x in enumerate(part.column("text")):
                     own = s.shingles(x.as_py())
-                    keys.append(digest(own) if len(own) else None)
+                    keys.append(digest(own))
                     rows[i] = s.sketch(own)
                 sketch = pa.FixedSizeListArray.from_arrays(pa.array(rows.view(np.int32).ravel()), SKETCH).cast(pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(keys, pa.binary()), sketch], names=["id", "key", "sketch"])
@@ -284,14 +284,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, rec
     Words are what ASCII white space separates, after A-Z to a-z; a text of fewer than `ngram` words has one shingle, all its
     words. Links are exact for the pairs found; a pair at the threshold is missed with a probability below 1 - recall.
 
-    A row without words (null, empty or blank text) is alone: class_id and copy_id are its own id. Repeated rows are copies.
+    Rows without words (null, empty or blank text) are copies of each other and link to nothing. Repeated rows are copies.
     Null ids are never the smallest; a class without any id has null. An empty table gives no rows. Other columns are
     ignored. Copies meet as sums; groups of at most 2 * LIMIT sets meet in a task, whatever a bucket holds."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
     rows = staged(sketches(base, ngram))
-    copies = staged(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("copy_id"), F.count("*").alias("n"), F.first("sketch").alias("sketch")))
-    sets = copies.select("key", "sketch")
+    copies = staged(rows.groupBy("key").agg(F.min("id").alias("copy_id"), F.count("*").alias("n"), F.first("sketch").alias("sketch")))
+    sets = copies.where(F.col("key") != F.lit(digest(np.zeros(0, np.uint64)))).select("key", "sketch")
 
     members = staged(blocks_of(leaves_of(sets, runs)))
     close = staged(candidates(dealt(members.join(sets, "key")), threshold))
@@ -314,9 +314,5 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, rec
     classes = staged(classes)
     least = classes.where("label != key or links is not null").groupBy("label").agg(F.min("copy_id").alias("class_id"))
     classes = classes.join(least, "label", "left").withColumn("class_id", F.coalesce("class_id", "copy_id"))
-    out = rows.select("id", "key").join(classes.drop("label"), "key", "left")
-    alone = F.col("key").isNull()
-    return out.select(
-        F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("id")).otherwise(F.col("copy_id")).alias("copy_id"),
-        F.coalesce(F.col("n") - 1, F.lit(0)).alias("n_copies"), F.coalesce("links", F.lit(0)).alias("n_links"),
-    )
+    out = rows.select("id", "key").join(classes.drop("label"), "key")
+    return out.select(F.col("id").alias(id_col), "class_id", "copy_id", (F.col("n") - 1).alias("n_copies"), F.coalesce("links", F.lit(0)).alias("n_links"))

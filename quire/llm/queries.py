@@ -13,6 +13,7 @@ from quire.llm.language_id import language_id
 from quire.llm.line_dedup import line_dedup
 from quire.llm.lm_scoring import lm_scores
 from quire.llm.media import features, payloads, store, tiff_pages
+from quire.llm.mixing import genre, mix_to_targets
 from quire.llm.near_duplicates import near_duplicates
 from quire.llm.packing import best_fit_packing
 from quire.llm.pii import replace_pii
@@ -29,6 +30,14 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, ngram=5)
 
 
+#: Marginals to rake to: the shares of sources, languages and topics, evened out by these powers.
+MIX = {"source": 0.5, "lang": 0.7, "topic": 0.8}
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_to_targets(table(spark, sf_dir, "documents"), MIX, fraction=0.5, topic=genre(F.col("text")))
+
+
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
 
@@ -68,7 +77,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard_join, op4_quality_rules, op5_token_counts, op6_best_fit_packing, op7_language_id, op8_lm_scoring, op9_media_tiff, op10_pii_surrogates)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard_join, op3_mix_sources, op4_quality_rules, op5_token_counts, op6_best_fit_packing, op7_language_id, op8_lm_scoring, op9_media_tiff, op10_pii_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
