@@ -19,10 +19,13 @@ def scan_raw_files(spark: SparkSession, glob: str) -> DataFrame:
     return files.select("path", "length", "modificationTime", "content", F.sha2("content", 256).alias("file_hash"), F.element_at(F.split("path", "/"), -1).alias("file_name"))
 
 
-def validate_pdf(files: DataFrame) -> DataFrame:
-    """reject_reason: the first check that fails, or null."""
+def validate_pdf(files: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """reject_reason: the first check that fails, or null. Spark's readers skip empty files; those of expected(file_name) that
+    were not read are rejected here as empty or missing."""
+    if expected is not None:
+        files = files.join(expected.select("file_name"), "file_name", "full")
     reason = F.coalesce(
-        F.when(F.col("content").isNull(), "not a file"), F.when(F.col("length") == 0, "empty"), F.when(F.col("length") > MOST_BYTES, "too large"),
+        F.when(F.col("content").isNull(), "empty or missing"), F.when(F.col("length") == 0, "empty"), F.when(F.col("length") > MOST_BYTES, "too large"),
         F.when(F.substring("content", 1, 4) != F.lit(b"%PDF"), "not a PDF"))
     return files.withColumn("reject_reason", reason)
 

@@ -118,8 +118,8 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1")
     (tmp_path / "b.pdf").write_bytes(b"")
     (tmp_path / "c.pdf").write_bytes(b"text")
-    got = {r["file_name"]: r["reject_reason"] for r in S.validate_pdf(S.scan_raw_files(spark, f"{tmp_path}/*.pdf")).collect()}
-    assert got == {"a.pdf": None, "b.pdf": "empty", "c.pdf": "not a PDF"}
+    got = {r["file_name"]: r["reject_reason"] for r in S.validate_pdf(S.scan_raw_files(spark, f"{tmp_path}/*.pdf"), spark.createDataFrame([("a.pdf",), ("b.pdf",)], "file_name string")).collect()}
+    assert got == {"a.pdf": None, "b.pdf": "empty or missing", "c.pdf": "not a PDF"}
     (tmp_path / "r.json").write_text(json.dumps({"d1": {"file_name": "f", "status": "pending", "created_at": "2024-01-02T03:04:05Z", "file_hash": "h"}}))
     r = S.scan_registry_json(spark, f"{tmp_path}/r.json").first()
     assert (r["document_id"], r["status"], r["created_at"].year) == ("d1", "pending", 2024)
