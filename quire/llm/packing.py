@@ -6,7 +6,9 @@ on the number of documents. Pieces then find their place by their length and the
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import staged
-from quire.llm.words import REMEMBERED, WORDS
+from quire.llm.words import REMEMBERED
 
 #: Lengths above capacity / LARGE count as large; they are rounded up within so many groups of equal cardinality. More groups
 #: are tried until the number of sequences meets its lower bound; the plan with the fewest sequences stands.
@@ -192,35 +194,60 @@ def plan_of(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, np.nd
 # ---- the Spark job -------------------------------------------------------------------------------------------------------
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """id, piece, start, length, ids_crc32 of each piece: a text's ids, then end_id, cut only if longer than the capacity.
+class Encoder:
+    """Ids of whole texts, as 32-bit numbers in the machine's (little-endian) order, by a tokenizers file that lower-cases, drops white space and ends
+    every word: what lies between the words can't join them. Texts of Latin letters are cut into words here and each
+    worker remembers the ids of recent words; any other text, and one with a special string, goes whole to the library."""
 
-    The tokenizer splits at white space before anything else and no entry of its vocabulary holds any, so a text's ids are
-    those of its words in turn; each worker remembers the ids of recent words."""
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    #: Latin letters and digits after lower-casing, and what the tokenizer takes for white space among such texts.
+    ALPHA, DIGIT, SPACE = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾", r" \t\n\x0b\x0c\r\x85\xa0"
+    OTHER = re.compile(r"[^\x00-\u024f]").search
+    WORDS = re.compile(rf"[{ALPHA}]+|'s|'t|'re|'ve|'m|'ll|'d|[{DIGIT}]|[^{SPACE}{ALPHA}{DIGIT}]+").findall
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(tokenizer_path)
-        model.no_truncation()
-        model.no_padding()
-        known: dict[str, bytes] = {}
+        self.model = Tokenizer.from_file(path)
+        self.model.no_truncation()
+        self.model.no_padding()
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
+        # Byte-level vocabularies write each byte as a printable sign: its own, or one from 256 on for the others.
+        own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b and b != 173]
+        self.signs = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
+
+    def learn(self, words: list[str]) -> None:
+        for w in words:
+            signs = w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.signs)
+            self.known[w] = array("I", [t.id for t in self.model.model.tokenize(signs)]).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        small = [x.lower() for x in texts]
+        plain = [not self.OTHER(s) and not any(t in x for t in self.special) for x, s in zip(texts, small, strict=True)]
+        words = [self.WORDS(s) if p else [] for s, p in zip(small, plain, strict=True)]
+        self.learn(list(set().union(*words) - self.known.keys()))
+        rest = iter(self.model.encode_batch_fast([x for x, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+        return [b"".join(map(self.known.__getitem__, w)) if p else array("I", next(rest).ids).tobytes() for w, p in zip(words, plain, strict=True)]
+
+
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """id, piece, start, length, ids_crc32 of each piece: a text's ids, then end_id, cut only if longer than the capacity."""
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(tokenizer_path)
         end, most = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                if len(known) > REMEMBERED:
-                    known.clear()
-                texts = [WORDS(x) for x in part.column("text").to_pylist()]
-                new = list(set().union(*texts) - known.keys())
-                known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, model.encode_batch(new, add_special_tokens=False), strict=True))
+            for k in range(0, b.num_rows, 128):
+                part = b.slice(k, 128)
                 rows, at = [], []
-                for i, words in enumerate(texts):
-                    ids = b"".join(map(known.__getitem__, words)) + end
+                for i, ids in enumerate(encoder.encode(part.column("text").to_pylist())):
+                    ids += end
                     for j, start in enumerate(range(0, len(ids), most)):
                         own = ids[start : start + most]
                         at.append(i)
