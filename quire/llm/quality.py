@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,14 +15,18 @@ from quire.llm.words import WORDS, WordIds
 
 #: Buckets of the two multinomials; what the driver gets is at most this many rows.
 BUCKETS = 1 << 16
+#: Occurrences that a bucket must have before its ratio counts: both counts are raised by so many.
+SHRINK = 5.0
 #: Trusted ids (8 bytes each) that may be broadcast; above it the join shuffles.
 BROADCAST_IDS = 2_000_000
 SYMBOLS = "#*$%&|<>"
+#: Signs of the n-grams: runs of letters and digits, and runs of other marks.
+SIGNS = re.compile(r"\w+|[^\w\s]+").findall
 SPACES = " \t\n\x0b\x0c\r"
 
 
 def buckets_of(hashes: np.ndarray) -> np.ndarray:
-    """Buckets of all unigrams and bigrams of a text, from its words' hashes."""
+    """Buckets of all unigrams and bigrams of a text, from its signs' hashes."""
     h = hashes.astype(np.uint64)
     one = h * np.uint64(0x9E3779B97F4A7C15)
     two = (h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:]) * np.uint64(0x165667B19E3779F9)
@@ -68,9 +73,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for text, trusted in zip(b.column("text"), b.column("trusted").to_pylist(), strict=True):
             ids.fresh()
-            words = WORDS(text.as_py())
-            if words:
-                found = buckets_of(ids.hashes_of(ids.of(words)))
+            signs = SIGNS(text.as_py())
+            if signs:
+                found = buckets_of(ids.hashes_of(ids.of(signs)))
                 for k in range(1 + trusted):
                     waiting[k].append(found)
             if len(waiting[0]) >= 256:
@@ -81,23 +86,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def llr_table(docs: DataFrame) -> np.ndarray:
-    """log(P_trusted / P_raw) of each bucket, from docs (text, trusted); add-one smoothing. Counts are summed in each task,
-    then by bucket; the driver gets at most BUCKETS rows. All zeros if no row is trusted."""
+    """log(P_trusted / P_raw) of each bucket, from docs (text, trusted): the trusted count over the one to be expected from the
+    raw corpus, both raised by SHRINK, so that rare buckets say little and small tables don't judge by chance. Counts are
+    summed in each task, then by bucket; the driver gets at most BUCKETS rows. All zeros if no row is trusted."""
     sums = docs.mapInArrow(_count, "bucket long, n_raw long, n_trusted long").groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_trusted").alias("n_trusted"))
     got = sums.toPandas()
     raw, trusted = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[got["bucket"]], trusted[got["bucket"]] = got["n_raw"], got["n_trusted"]
     if not trusted.sum():
         return np.zeros(BUCKETS)
-    return np.log((trusted + 1) / (trusted.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
+    return np.log((trusted + SHRINK) / (raw * (trusted.sum() / raw.sum()) + SHRINK))
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame | None = None, threshold: float = -0.12, min_words: int = 50, max_repeat_percent: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame | None = None, threshold: float = -0.3, min_words: int = 50, max_repeat_percent: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Surface counts and the verdict of each row.
 
     Returns id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept (boolean), llr
     (double). `trusted` has the ids (column id_col) of documents whose n-grams make the target multinomial; the raw one is
-    made of all rows. llr is the sum of log(P_target / P_raw) over a text's unigrams and bigrams, hashed into BUCKETS
+    made of all rows. llr is the sum of log(P_target / P_raw) over a text's unigrams and bigrams of SIGNS, hashed into BUCKETS
     buckets, divided by their number. kept: not base_failed and llr >= threshold, the same for every row.
 
     Null or empty text: no words, base_failed, llr 0. Repeated rows are counted and judged each. Null ids are never
@@ -118,10 +124,9 @@ def quality_rules(docs: DataFrame, trusted: DataFrame | None = None, threshold:
             rows = []
             for x in b.column("text"):
                 ids.fresh()
-                words = WORDS(text := x.as_py())
-                own = ids.of(words)
-                score = float(llr[buckets_of(ids.hashes_of(own))].mean(dtype=np.float64)) if words else 0.0
-                rows.append((len(words), *surface(text, words, own), score))
+                words, signs = WORDS(text := x.as_py()), SIGNS(text)
+                score = float(llr[buckets_of(ids.hashes_of(ids.of(signs)))].mean(dtype=np.float64)) if signs else 0.0
+                rows.append((len(words), *surface(text, words, ids.of(words)), score))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.float64())], names=["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr"])
 
