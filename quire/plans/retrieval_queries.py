@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,11 +11,13 @@ from quire.functions import geo as G
 from quire.functions import text as T
 from quire.functions import vector as V
 from quire.operators import audit as A
+from quire.operators import chunking as K
 from quire.operators import report as P
 from quire.operators import retrieval as R
 from quire.operators import tables as D
 from quire.plans.fixtures import query
 from quire.sources import files as S
+from quire.streaming import jobs as J
 
 #: Keywords of each sensor type, here in the invented languages of the test documents.
 KEYWORDS = {"SMOKE": ["the ", "fire"], "TEMPERATURE": ["hitze", "chzu "], "MOTION": ["zzz"], "CAMERA": ["eaux"], "FLOOD": [], "GAS": ["ción"], "ACCESS_CONTROL": ["xyzzy", "qqq"], "OTHER": ["ing "]}
@@ -390,26 +393,85 @@ def delete_rows(v):
     return D.delete_rows(v.tags, v.tags.where("workspace_id = 'src2'"), "tag_id").select("tag_id")
 
 
-# ---- streams ----------------------------------------------------------------------------------------------------------
+# ---- files and streams ------------------------------------------------------------------------------------------------
 
 
-@query("SELECT document_id, status FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ts DESC, event_id DESC) AS n FROM events_status) WHERE n = 1")
-def status_stream(v):
-    """The events as a stream of files, folded to the latest status, into a table that each batch replaces."""
-    import uuid
+def place(v, name: str) -> str:
+    """A new folder below the one that all machines share."""
+    base = v.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
-    from quire.streaming.jobs import status_stream as latest
 
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    place = f"{base}/status-{uuid.uuid4().hex}"
-    stream = v.spark.readStream.schema(v.table("events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{v.sf_dir}/events.parquet*")
+@query("SELECT doc_id AS document_id, lang, source, n_chars FROM documents")
+def write_partitioned_json(v):
+    """Documents written as JSON by language and read back."""
+    out = place(v, "json")
+    rows = v.table("documents").select(F.col("doc_id").alias("document_id"), "lang", "source", "n_chars")
+    S.write_json(rows, out, "lang")
+    return v.spark.read.schema(rows.schema).json(out)
+
+
+@query("SELECT c_custkey, c_name, '[' || CAST(c_nationkey AS VARCHAR) || ',1]' AS pages FROM customer")
+def write_eval_csv(v):
+    out = place(v, "csv")
+    S.write_eval_csv(v.table("customer").select("c_custkey", "c_name", F.array("c_nationkey", F.lit(1)).alias("pages")), out)
+    return v.spark.read.option("header", True).schema("c_custkey long, c_name string, pages string").csv(out)
+
+
+@query()
+def scan_raw_files(v):
+    """Documents written as text files and scanned as bytes: none is a PDF."""
+    out = place(v, "raw")
+    v.table("documents").select("text").write.text(out)
+    return S.validate_pdf(S.scan_raw_files(v.spark, f"{out}/part-*")).select("file_name", "length", "file_hash", "reject_reason")
+
+
+@query("SELECT DISTINCT doc AS document_id, text FROM (SELECT CAST(doc_id AS VARCHAR) AS doc, text FROM documents)")
+def scan_chunks_json(v):
+    """Documents written as chunks, one a line, and scanned again."""
+    out = place(v, "chunks")
+    d = v.table("documents").select(F.col("doc_id").cast("string").alias("d"), "text")
+    meta = F.struct(F.col("d").alias("document_id"), F.lit(1).alias("page_num"))
+    chunk = F.struct(F.concat("d", F.lit("_1_0_0")).alias("chunk_id"), F.col("d").alias("document_id"), F.lit(1).alias("page"), "text", meta.alias("metadata"))
+    d.select(F.to_json(chunk).alias("value")).write.text(out)
+    return S.scan_chunks_json(v.spark, out, lines=True).select("document_id", "text")
+
+
+def stream_of(v, name: str):
+    return v.spark.readStream.schema(v.table(name).schema).parquet(f"{v.sf_dir}/{name}.parquet*")
+
+
+def states_of(events):
     kinds = {"signup": "pending", "view": "ocr_completed", "click": "chunked", "purchase": "indexed"}
     status = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in kinds.items() for x in p]), F.col("event_type")), F.lit("error"))
-    rows = stream.select("event_id", F.col("user_id").alias("document_id"), "ts", status.alias("status"))
+    return events.select("event_id", F.col("user_id").alias("document_id"), "ts", status.alias("status"))
 
-    def save(batch, number):
-        batch.write.mode("overwrite").parquet(f"{place}/{number}")
 
-    run = latest(rows).writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
+@query("SELECT document_id, status FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ts DESC, event_id DESC) AS n FROM events_status) WHERE n = 1")
+def status_stream(v):
+    """The events as a stream, folded to the latest status, into a table that each batch replaces."""
+    out = place(v, "status")
+    latest = J.status_stream(states_of(stream_of(v, "events")))
+    save = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/{number}")
+    run = latest.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return v.spark.read.parquet(f"{place}/{run.lastProgress['batchId']}")
+    return v.spark.read.parquet(f"{out}/{run.lastProgress['batchId']}")
+
+
+@query("""SELECT document_id, event_id, status, status = 'error' OR (CASE status WHEN 'pending' THEN 0 WHEN 'ocr_completed' THEN 1 WHEN 'chunked' THEN 2 WHEN 'indexed' THEN 3 END) =
+  1 + (CASE lag(status) OVER (PARTITION BY document_id ORDER BY ts, event_id) WHEN 'pending' THEN 0 WHEN 'ocr_completed' THEN 1 WHEN 'chunked' THEN 2 WHEN 'indexed' THEN 3 ELSE -1 END) AS legal FROM events_status""")
+def flag_transitions(v):
+    out = place(v, "steps")
+    steps = J.flag_transitions(states_of(stream_of(v, "events")).withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp"))))
+    steps.writeStream.format("parquet").outputMode("append").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.schema("document_id long, event_id long, status string, legal boolean").parquet(f"{out}/data")
+
+
+@query("SELECT DISTINCT sha256(text) AS file_hash, 'indexed' AS status FROM documents")
+def ingest_stream(v):
+    """Documents as a stream, distinct by content, cut into paragraphs and stored; the states of all."""
+    out = place(v, "ingest")
+    docs = stream_of(v, "documents").select(F.col("doc_id").alias("document_id"), F.current_timestamp().alias("arrived"), "text")
+    work = lambda batch: batch.select("document_id", F.posexplode(K.chunk_paragraphs(F.col("text"))).alias("idx", "chunk"))
+    J.ingest_stream(docs, out, f"{out}/checkpoint", work).awaitTermination()
+    return v.spark.read.schema("file_hash string, status string").parquet(f"{out}/states").select("file_hash", "status")

@@ -37,8 +37,9 @@ def scan_ocr_json(spark: SparkSession, glob: str) -> DataFrame:
     return docs.select("doc", F.col("p.page_num").alias("page"), "p.stats", F.posexplode("p.blocks").alias("block", "b")).select("doc", "page", "block", "b.*", "stats")
 
 
-def scan_chunks_json(spark: SparkSession, glob: str) -> DataFrame:
-    return spark.read.schema(CHUNKS).option("multiLine", True).option("mode", "FAILFAST").json(glob)
+def scan_chunks_json(spark: SparkSession, glob: str, lines: bool = False) -> DataFrame:
+    """Chunks of files that hold one array each, or with `lines` one chunk a line; a file that doesn't fit fails the job."""
+    return spark.read.schema(CHUNKS).option("multiLine", not lines).option("mode", "FAILFAST").json(glob)
 
 
 def scan_registry_json(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,30 +14,33 @@ from pyspark.sql.streaming import StreamingQuery
 ORDER = ["pending", "ocr_completed", "chunked", "indexed"]
 
 
-def ingest_stream(spark: SparkSession, path: str, target: str, checkpoint: str, work: Callable[[DataFrame], DataFrame], delay: str = "1 hour") -> StreamingQuery:
-    """Files that arrive at `path` (text, one document each) are made distinct by content, within the watermark in state and
-    beyond it against the target, worked on batch by batch and appended to `target`/data as Parquet, with a state per
-    file in `target`/states. A batch whose work fails is tried document by document by its caller; here it gets state error
-    and later batches go on. availableNow: ends when all present files are done."""
+def arriving_files(spark: SparkSession, path: str) -> DataFrame:
+    """Text files that arrive at `path`, one document each: document_id (the file's name), arrived, text."""
     files = spark.readStream.format("text").option("wholetext", True).schema("value string").load(path)
-    docs = files.select(F.col("_metadata.file_name").alias("document_id"), F.col("_metadata.file_modification_time").alias("arrived"), F.col("value").alias("text"), F.sha2("value", 256).alias("file_hash"))
-    docs = docs.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["file_hash"])
+    return files.select(F.col("_metadata.file_name").alias("document_id"), F.col("_metadata.file_modification_time").alias("arrived"), F.col("value").alias("text"))
+
+
+def ingest_stream(docs: DataFrame, target: str, checkpoint: str, work: Callable[[DataFrame], DataFrame], delay: str = "1 hour") -> StreamingQuery:
+    """Documents of a stream (document_id, arrived, text) are made distinct by content, within the watermark in state and beyond
+    it against the target, worked on batch by batch and written to `target`/data as Parquet, with a state per document
+    in `target`/states. A batch whose work fails gets state error, and later batches go on; its documents may arrive again.
+    Batches write to folders of their number, so one that is repeated replaces itself. Ends when all present input is done."""
+    docs = docs.withColumn("file_hash", F.sha2("text", 256)).withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["file_hash"])
 
     def save(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        states = f"{target}/states"
         try:
-            known = session.read.parquet(states).where("status = 'indexed'").where(F.col("batch") != number).select("file_hash")
+            states = batch.sparkSession.read.schema("file_hash string, status string, batch long").parquet(f"{target}/states")
+            known = states.where((F.col("status") == "indexed") & (F.col("batch") != number)).select("file_hash")
             batch = batch.join(known, "file_hash", "left_anti")
-        except Exception as e:  # no state yet
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
         status = "indexed"
         try:
             work(batch).write.mode("overwrite").parquet(f"{target}/data/batch={number}")
-        except Exception:
+        except Exception:  # whatever the caller's work raises: the stream goes on
             status = "error"
-        batch.select("document_id", "file_hash", F.lit(status).alias("status"), F.lit(number).alias("batch")).write.mode("append").parquet(states)
+        batch.select("document_id", "file_hash", F.lit(status).alias("status")).write.mode("overwrite").parquet(f"{target}/states/batch={number}")
 
     return docs.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -148,7 +148,7 @@ def test_ingest_stream(spark, tmp_path):
     (place / "b.txt").write_text("one")
 
     def run(work):
-        jobs.ingest_stream(spark, str(place), str(out), str(tmp_path / "check"), work).awaitTermination()
+        jobs.ingest_stream(jobs.arriving_files(spark, str(place)), str(out), str(tmp_path / "check"), work).awaitTermination()
 
     run(lambda df: df.select("document_id", "text"))
     assert spark.read.parquet(f"{out}/data").count() == 1
