@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quire.functions.vector import cosine
 from quire.operators.catalog import chunks_with_files, rank_hits
@@ -55,20 +56,26 @@ def _matrix(b: pa.RecordBatch, column: str) -> np.ndarray:
 
 def _best(frame: DataFrame, ids: list, q: np.ndarray, k: int, score: Callable, vector_id: str, vector: str, cells: np.ndarray | None = None) -> DataFrame:
     kind = dict(frame.dtypes)[vector_id]
+    arrow = to_arrow_type(frame.schema[vector_id].dataType)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None  # query numbers, names and scores: at most k for each query, over all batches of the task
         for b in batches:
             if not b.num_rows:
                 continue
             s = score(q, _matrix(b, vector))
             if cells is not None:  # a vector counts for the queries that probe its cell
                 s = np.where(cells[:, b.column("cell").to_numpy()], s, -np.inf)
-            names = b.column(vector_id)
-            order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(np.array(names.to_pylist()), kind="stable")), s.shape), -s), axis=1)[:, :k]
-            rows, cols = np.repeat(np.arange(len(q)), order.shape[1]), order.ravel()
-            good = np.isfinite(s[rows, cols])
-            rows, cols = rows[good], cols[good]
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows]), names.take(pa.array(cols)), pa.array(s[rows, cols])], names=["query_id", vector_id, "similarity"])
+            at = max(0, s.shape[1] - k)
+            rows, cols = np.nonzero((s >= np.partition(s, at, axis=1)[:, [at]]) & np.isfinite(s))
+            now = (rows, np.array(b.column(vector_id).to_pylist())[cols], s[rows, cols])
+            now = now if best is None else tuple(map(np.concatenate, zip(best, now, strict=True)))
+            order = np.lexsort((now[1], -now[2], now[0]))
+            rows = now[0][order]
+            order = order[np.arange(len(rows)) - np.searchsorted(rows, rows) < k]
+            best = tuple(x[order] for x in now)
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in best[0]], pa.int64()), pa.array(best[1].tolist(), arrow), pa.array(best[2], pa.float64())], names=["query_id", vector_id, "similarity"])
 
     return frame.mapInArrow(search, f"query_id long, {vector_id} {kind}, similarity double")
 
@@ -97,7 +104,7 @@ def query_blocks(queries: DataFrame, query_id: str, vector: str) -> Iterator[tup
 
 def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", query_id: str = "query_id", vector_id: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
     """query_id, vector_id, similarity (for l2: minus the squared distance), rank. Queries are matrices in the workers, each
-    batch of vectors keeps its k best, and only those are ranked. `where` filters vectors before."""
+    task keeps its k best vectors of each, and only those are ranked. `where` filters vectors before."""
     rows = (vectors if where is None else vectors.where(where)).select(vector_id, vector)
     found = [_best(rows, ids, q, k, METRICS[metric], vector_id, vector) for ids, q in query_blocks(queries, query_id, vector)]
     if not found:
