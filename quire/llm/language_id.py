@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from quire.llm.words import REMEMBERED
 
-LETTERS = re.compile(r"[^\W\d_]+").findall
+#: Runs of letters; numbers that \w takes in (superscripts, fractions, numerals) are left out.
+LETTERS = re.compile(r"[^\W\d_²³¹¼-¾\u2150-\u2182\u2185-\u218b\u2460-\u249b]+").findall
 #: The sample to fit on: per language so many documents, those with the smallest hashes, none longer than so many code points.
-SAMPLE_DOCS, SAMPLE_CHARS = 150, 100_000
+SAMPLE_DOCS, SAMPLE_CHARS = 150, 20_000
 #: Languages that are learned, those with the most labelled documents first.
 MOST_LANGUAGES = 64
 #: Buckets of hashed n-grams, words in the lexicon, words in a sequence.
