@@ -4,7 +4,7 @@ Every text becomes the set of its shingles, and rows with the same set are one c
 SKETCH minimum hashes ("tokens"); two sets share a token with the probability of their Jaccard similarity. A run samples a
 token for the root and splits all sets by it; a bucket that is large and not dense is split again by tokens sampled for that
 bucket, and so on; small buckets, and dense ones in blocks, are compared by brute force. Runs are repeated until a pair at
-the threshold is missed with less than 1 - recall. Candidates are verified on their whole sets; each pair counts in the
+the threshold is missed with less than 1 - recall, even if its buckets are split once. Candidates are verified on their whole sets; each pair counts in the
 first bucket that both sets reach, so that no list of pairs is ever written."""
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ from quire.llm.lm_scoring import lowered, words_of
 from quire.llm.words import WordIds
 
 #: Minimum hashes of a set, and tokens sampled for a bucket that is split again.
-SKETCH, TOKENS = 128, 6
+SKETCH, TOKENS = 128, 2
 #: Buckets of at most so many sets are compared whole; dense ones in blocks of this size.
-LIMIT = 500
+LIMIT = 1000
 #: A larger bucket is dense, and not split, if its mean similarity is at least this; splitting ends at this depth anyway.
 DENSE, DEPTH = 0.4, 12
 #: Candidates: estimated similarity at least the threshold less this (4.5 standard deviations at 0.8).
@@ -288,7 +288,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, rec
     Null ids are never the smallest; a class without any id has null. An empty table gives no rows. Other columns are
     ignored. Copies meet as sums; groups of at most 2 * LIMIT sets meet in a task, whatever a bucket holds."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
+    shared = threshold * (1 - (1 - threshold) ** TOKENS)  # a pair at the threshold meets in a run whose bucket is split once
+    runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - shared)))
     rows = staged(sketches(base, ngram))
     copies = staged(rows.groupBy("key").agg(F.min("id").alias("copy_id"), F.count("*").alias("n"), F.first("sketch").alias("sketch")))
     sets = copies.where(F.col("key") != F.lit(digest(np.zeros(0, np.uint64)))).select("key", "sketch")
