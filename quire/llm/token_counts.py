@@ -11,6 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import staged
+
 CACHE_SCHEMA = "content string, tokenizer string, n_bytes long, n_tokens long"
 
 
@@ -77,6 +79,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
 
     missing.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
-    counts = counts.groupBy("content").agg(F.first("n_bytes").alias("n_bytes"), F.first("n_tokens").alias("n_tokens"))
+    # Written once more, so that adaptive execution can split a content that very many rows have.
+    counts = staged(counts.groupBy("content").agg(F.first("n_bytes").alias("n_bytes"), F.first("n_tokens").alias("n_tokens")))
     out = base.select("id", "content").join(counts, "content")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
