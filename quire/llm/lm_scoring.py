@@ -4,7 +4,8 @@ The PPM model is pretrained: byte contexts of up to three bytes with their follo
 estimate of a context is (distinct followers) / (count + distinct followers), and followers that a longer context already
 ruled out are excluded from shorter ones. As counts of all contexts are full sums, the followers of a context are among
 those of its suffix, so each context's whole distribution over the 256 bytes can be worked out once; scoring then is one
-table look-up a byte."""
+table look-up a byte. The frequent contexts' distributions go to every worker; a byte after any other context gets its
+probability by a join with the counts of all contexts."""
 
 from __future__ import annotations
 
@@ -14,14 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import staged
 from quire.llm.words import WORDS
 
-#: Contexts of each order (0 to 3 bytes) that the trie keeps, the most frequent first; a text whose context was dropped is
-#: scored from the next shorter one. Bounds what reaches the driver (256 followers a context) and what workers hold.
+#: Contexts of each order (0 to 3 bytes) whose rows every worker holds, the most frequent first; of orders 0 and 1 that is
+#: all there are. Bounds what reaches the driver (256 followers a context) and what workers hold. Bytes after all other
+#: contexts are scored by a join, so that no context is dropped.
 NODES = (1, 256, 8_192, 16_384)
 ORDER = len(NODES) - 1
 #: Words that training holds most often, at most so many: their counts (8 bytes and a word each) go to every worker; all
@@ -46,7 +49,11 @@ def words_of(data: bytes) -> list[str]:
 
 def grams(data: bytes) -> np.ndarray:
     """Each byte with the ORDER bytes before it, as one 32-bit number; START stands before the text."""
-    b = np.frombuffer(START + data, np.uint8).astype(np.uint32)
+    return _grams(np.frombuffer(START + data, np.uint8))
+
+
+def _grams(b: np.ndarray) -> np.ndarray:
+    b = b.astype(np.uint32)
     out = b[ORDER:].copy()
     for k in range(1, ORDER + 1):
         out |= b[ORDER - k : len(b) - k] << np.uint32(8 * k)
@@ -84,11 +91,14 @@ def count_grams(texts: DataFrame) -> DataFrame:
 class Ppm:
     """The trie's contexts as rows of a table: log10 P(byte | context) with escapes and exclusions worked out.
 
-    suffixes[k]: sorted contexts of k bytes (as numbers) and their rows. Order 0 is always there."""
+    keys[k], first[k]: sorted contexts of k bytes (as numbers) and the first one's row. Order 0 is always there. low[k]: for
+    k < 2, each context's counts and the distribution over the bytes that do not follow it. cut: whether training saw
+    contexts that have no row."""
 
-    def __init__(self, levels: list[dict[int, np.ndarray]]):
+    def __init__(self, levels: list[dict[int, np.ndarray]], cut: bool = False):
         """levels[k]: context of k bytes -> 256 counts of followers. above: for each context one byte shorter, its counts
         and the distribution over the bytes that do not follow it, from the contexts below."""
+        self.cut, self.low = cut, []
         uniform = np.full(256, 1 / 256)
         rows, self.keys, self.first = [], [], []
         above: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -101,12 +111,36 @@ class Ppm:
                 c = level[key].astype(np.float64)
                 seen = c > 0
                 below = self._excluding(above.get(key & ((1 << 8 * (k - 1)) - 1)) if k else None, seen, uniform)
-                total = c.sum() + seen.sum()
-                rows.append(c / total + np.where(seen, 0, seen.sum() / total * below) if total else below)
+                rows.append(self._row(c, below))
                 here[key] = (c, below)
             above = here
+            if k < 2:
+                self.low.append(here)
         self.table = np.log10(np.maximum(np.array(rows), 1e-300)).astype(np.float32)
 
+    @staticmethod
+    def _row(c: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """A context's distribution from its counts and the one over the bytes that do not follow it."""
+        seen = c > 0
+        total = c.sum() + seen.sum()
+        return c / total + np.where(seen, 0, seen.sum() / total * below) if total else below
+
+    def rare(self, suffix: int, counted: np.ndarray, n: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """log10 P of each asked gram. All grams end in the two bytes `suffix` and a byte; counted, n: all of training's."""
+        uniform = np.full(256, 1 / 256)
+        short = self.low[1].get(suffix & 255)
+        if not len(counted):
+            row = self._row(*(short or self.low[0][0]))
+            return np.log10(np.maximum(row[asked & 255], 1e-300))
+        c2 = np.bincount(counted & 255, n, 256)
+        below = self._excluding(short, c2 > 0, uniform)
+        out, context = np.tile(self._row(c2, below), (len(asked), 1)), asked >> 8
+        for key in np.intersect1d(context, counted >> 8):
+            here = counted >> 8 == key
+            c = np.bincount(counted[here] & 255, n[here], 256)
+            out[context == key] = self._row(c, self._excluding((c2, below), c > 0, uniform))
+        return np.log10(np.maximum(out[np.arange(len(asked)), asked & 255], 1e-300))
+
     @staticmethod
     def _excluding(parent: tuple[np.ndarray, np.ndarray] | None, seen: np.ndarray, uniform: np.ndarray) -> np.ndarray:
         """Distribution over the bytes that `seen` does not rule out, by the parent context and those below it."""
@@ -134,13 +168,15 @@ class Ppm:
 
 
 def ppm_of(counts: DataFrame) -> Ppm:
-    """The trie from gram counts: of each order the NODES most frequent contexts; their followers' sums come to the driver."""
+    """The rows of each order's NODES most frequent contexts, from gram counts; their followers' sums come to the driver."""
     levels: list[dict[int, np.ndarray]] = []
     for k, most in enumerate(NODES):
         context = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * k) - 1)) if k else F.lit(0).cast("long")
         sums = counts.groupBy(context.alias("context"), F.col("gram").bitwiseAND(F.lit(255)).alias("byte")).agg(F.sum("n").alias("n"))
-        top = sums.groupBy("context").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "context").limit(most).select("context")
-        got = sums.join(F.broadcast(top), "context").toPandas()
+        if k > 1:
+            top = sums.groupBy("context").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "context").limit(most).select("context")
+            sums = sums.join(F.broadcast(top), "context")
+        got = sums.toPandas()
         level: dict[int, np.ndarray] = {} if k else {0: np.zeros(256)}
         order = np.argsort(got["context"].to_numpy(), kind="stable")
         keys, byte, n = (got[c].to_numpy()[order] for c in ("context", "byte", "n"))
@@ -149,7 +185,24 @@ def ppm_of(counts: DataFrame) -> Ppm:
         levels.append(level)
     for k in range(1, ORDER + 1):  # a context stays only if its suffix does
         levels[k] = {c: v for c, v in levels[k].items() if c & ((1 << 8 * (k - 1)) - 1) in levels[k - 1]}
-    return Ppm(levels)
+    contexts = counts.select(F.shiftright("gram", 8)).distinct().count()
+    return Ppm(levels, len(levels[ORDER]) < contexts)
+
+
+def rare_logs(counts: DataFrame, asked: DataFrame, shared: Broadcast) -> DataFrame:
+    """gram, log: log10 P of the last byte of each of asked (gram, distinct), from the counts of all contexts. Grams that share
+    their contexts' last two bytes, 2**16 at most on either side, meet in one group: it holds all that their trie nodes need.
+    shared.value[1] is the Ppm."""
+    suffix = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).alias("suffix")
+    asked = asked.select("gram", suffix)
+    counts = counts.select("gram", "n", suffix).join(asked.select("suffix").distinct(), "suffix", "left_semi").select("gram", "n", "suffix")
+
+    def logs(key: tuple, counted: pa.Table, asked: pa.Table) -> pa.Table:
+        gram = asked.column("gram").to_numpy()
+        log = shared.value[1].rare(key[0].as_py(), counted.column("gram").to_numpy(), counted.column("n").to_numpy(), gram)
+        return pa.table({"gram": gram, "log": log})
+
+    return counts.groupBy("suffix").cogroup(asked.groupBy("suffix")).applyInArrow(logs, "gram long, log double")
 
 
 class PpmScorer:
@@ -172,17 +225,23 @@ class PpmScorer:
         contexts = sum(values[grid // self.a**k % self.a] << (8 * k) for k in range(ORDER))
         self.rows = ppm.rows_of(contexts)
 
-    def score(self, data: bytes) -> float:
-        """log10 of the probability of data's bytes."""
-        total = 0.0
+    def score(self, data: bytes) -> tuple[float, np.ndarray, np.ndarray]:
+        """log10 of the probability of data's bytes, less those whose context may be one without a row; these bytes' grams and
+        how often each occurs."""
+        total, rare = 0.0, [np.zeros(0, np.uint32)]
         for k in range(0, len(data), 1 << 20):
             b = np.frombuffer((data[k - ORDER : k] if k else START) + data[k : k + (1 << 20)], np.uint8)
             r = (self.rank[b] if self.rows is not None else b).astype(np.int64)
             base = self.a if self.rows is not None else 256
             at = sum(r[ORDER - 1 - j : len(r) - 1 - j] * base**j for j in range(ORDER))
             row = self.rows[at] if self.rows is not None else self.ppm.rows_of(at)
-            total += float(self.ppm.table[row, b[ORDER:]].sum(dtype=np.float64))
-        return total
+            byte = b[ORDER:]
+            if self.ppm.cut:
+                held = row >= self.ppm.first[ORDER]
+                rare.append(_grams(b)[~held])
+                row, byte = row[held], byte[held]
+            total += float(self.ppm.table[row, byte].sum(dtype=np.float64))
+        return total, *np.unique(np.concatenate(rare), return_counts=True)
 
 
 # ---- words ---------------------------------------------------------------------------------------------------------------
@@ -218,7 +277,8 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     log10 of the PPM model's probability of the text's bytes.
 
     Each word is counted over all training rows. Counts of at most POPULAR frequent words go to the workers; every other
-    word of a row joins with its count; such words are rare, so no key is hot. Null or empty text: one token (the end),
+    word of a row joins with its count; such words are rare, so no key is hot. The same holds for the PPM model's contexts
+    beyond NODES: bytes after them join with their probability. Null or empty text: one token (the end),
     score 0. Repeated rows are learnt from and scored each; a null id is scored like any other. An empty table gives no rows. Other columns are ignored."""
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     train = base.where("not held_out")
@@ -229,7 +289,9 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     below = math.log10(n_all + 0.5 * (n_types + 1))
     top = counts.orderBy(F.desc("n"), "word").limit(POPULAR).toArrow()
     known = dict(zip(top.column("word").to_pylist(), [math.log10(n + 0.5) for n in top.column("n").to_pylist()], strict=True))
-    shared = base.sparkSession.sparkContext.broadcast((known, ppm_of(staged(count_grams(train.select("text"))))))
+    gram_counts = staged(count_grams(train.select("text")))
+    ppm = ppm_of(gram_counts)
+    shared = base.sparkSession.sparkContext.broadcast((known, ppm))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -238,25 +300,33 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
         scorer, n = PpmScorer(ppm), TaskContext.get().partitionId() << 33
         for b in batches:
             for k in range(0, b.num_rows, 512):
-                part, rows = b.slice(k, 512), []
+                part, rows, rare = b.slice(k, 512), [], []
                 for x in part.column("text"):
                     data = lowered(x.as_py())
                     words = words_of(data)
                     logs = [v for v in map(known.get, words) if v is not None]
                     rest = Counter(w for w in words if w not in known) if len(logs) < len(words) else {}
-                    rows.append((n, len(words) + 1, len(logs), math.fsum(logs), scorer.score(data), list(rest.items())))
+                    log, *grams = scorer.score(data)
+                    rows.append((n, len(words) + 1, len(logs), math.fsum(logs), log, list(rest.items())))
+                    rare.append(grams)
                     n += 1
                 cols = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())]))]
                 cols[5] = [[{"word": w, "tf": t} for w, t in c] for c in cols[5]]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["id", "held_out", "row", "n_tokens", "n_frequent", "frequent", "score", "rest"])
+                each = pa.StructArray.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*rare, strict=True)], names=["gram", "times"])
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(g) for g, _ in rare)]), pa.int32()), each)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), lists], names=["id", "held_out", "row", "n_tokens", "n_frequent", "frequent", "score", "rest", "rare"])
 
     kind = dict(base.dtypes)["id"]
-    scored = staged(base.mapInArrow(score, f"id {kind}, held_out boolean, row long, n_tokens long, n_frequent long, frequent double, score double, rest array<struct<word:string,tf:long>>"))
+    scored = staged(base.mapInArrow(score, f"id {kind}, held_out boolean, row long, n_tokens long, n_frequent long, frequent double, score double, rest array<struct<word:string,tf:long>>, rare array<struct<gram:long,times:long>>"))
     rest = scored.select("row", F.inline("rest")).join(counts, "word", "left")
     log = F.log10(F.coalesce("n", F.lit(0)) + 0.5) * F.col("tf")
     rest = rest.groupBy("row").agg(F.sum(log).alias("log"), F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("n_rest"))
-    out = scored.drop("rest").join(rest, "row", "left")
+    out = scored.drop("rest", "rare").join(rest, "row", "left")
+    if ppm.cut:
+        rare = scored.select("row", F.inline("rare"))
+        rare = rare.join(staged(rare_logs(gram_counts, rare.select("gram").distinct(), shared)), "gram").groupBy("row").agg(F.sum(F.col("log") * F.col("times")).alias("rare_log"))
+        out = out.join(rare, "row", "left").withColumn("score", F.col("score") + F.coalesce("rare_log", F.lit(0.0)))
     base_score = F.col("frequent") + F.coalesce("log", F.lit(0.0)) + F.lit(math.log10(ends + 0.5)) - F.col("n_tokens") * F.lit(below)
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_frequent") + F.coalesce("n_rest", F.lit(0)) + int(ends > 0)).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),

@@ -439,6 +439,17 @@ def test_lm_scores(odd, none, monkeypatch):
     assert lm_scoring.lm_scores(none, F.lit(False)).count() == 0
 
 
+@pytest.mark.parametrize("nodes", [(1, 256, 4, 6), (1, 256, 400, 30)])
+def test_lm_scores_keep_every_context(odd, monkeypatch, nodes):
+    """Workers hold few contexts; bytes after all others are scored from the same trie, unseen contexts too."""
+    monkeypatch.setattr(lm_scoring, "NODES", nodes)
+    rows = [(r[0], r[1]) for r in odd_rows()]
+    check_scores(rows, lm_scoring.lm_scores(odd, F.col("doc_id") % 3 == 1).collect(), lambda i: i is not None and i % 3 == 1)
+    unseen = odd.withColumn("text", F.when(F.col("doc_id") == 1, "q日é本 Zz~\u0416 the of").otherwise(F.col("text")))
+    rows = [(r["doc_id"], r["text"]) for r in unseen.select("doc_id", "text").collect()]
+    check_scores(rows, lm_scoring.lm_scores(unseen, F.col("doc_id") % 3 == 1).collect(), lambda i: i is not None and i % 3 == 1)
+
+
 def test_lm_scores_of_table(spark, documents):
     rows = list(zip(documents.doc_id, documents.text, strict=True))
     check_scores(rows, queries.op8_lm_scoring(spark, SF).collect(), lambda i: zlib.crc32(str(i).encode()) % 5 == 1)
