@@ -23,6 +23,8 @@ CANDIDATES, DEFAULT_K, MOST_K, PAGE_OFFSET = 20, 5, 50, 31
 QUERY_BLOCK = 10_000
 #: Rows that the approximate index is fitted on.
 INDEX_SAMPLE = 10_000
+#: Queries whose exact neighbours say how many cells the approximate search probes.
+MEASURED = 256
 
 
 def hashing_embed(texts: list[str], dim: int = 64) -> np.ndarray:
@@ -112,27 +114,46 @@ def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cos
     return rank_hits(reduce(DataFrame.unionByName, found), "query_id", "similarity", k, vector_id)
 
 
-def knn_approx(queries: DataFrame, vectors: DataFrame, k: int, nlist: int = 32, nprobe: int = 8, metric: str = "cosine", query_id: str = "query_id", vector_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """As knn_exact over the nprobe nearest of nlist cells. Cells are fitted on INDEX_SAMPLE vectors; every vector has a cell."""
-    sample = np.array([r[0] for r in vectors.orderBy(F.xxhash64(vector_id)).limit(INDEX_SAMPLE).select(vector).collect()], float)
-    if not len(sample):
+def knn_approx(queries: DataFrame, vectors: DataFrame, k: int, nlist: int = 32, nprobe: int | None = None, metric: str = "cosine", query_id: str = "query_id", vector_id: str = "vec_id", vector: str = "embedding", recall: float = 0.95) -> DataFrame:
+    """As knn_exact over the nprobe nearest of nlist cells. Cells are fitted on INDEX_SAMPLE vectors; every vector has a cell.
+    For cosine, cells are those of unit vectors. Without nprobe, as few cells are probed as give MEASURED of the queries (all,
+    if they are no more) the stated recall against knn_exact."""
+
+    def placeable(v: np.ndarray) -> np.ndarray:
+        size = np.linalg.norm(v, axis=1, keepdims=True)
+        return np.divide(v, size, out=np.zeros_like(v), where=size > 0) if metric == "cosine" else v
+
+    sample = placeable(np.array([r[0] for r in vectors.orderBy(F.xxhash64(vector_id)).limit(INDEX_SAMPLE).select(vector).collect()], float))
+    if not len(sample) or queries.isEmpty():
         return knn_exact(queries, vectors, k, metric, query_id, vector_id, vector)
     centres = sample[: min(nlist, len(sample))]
     for _ in range(15):
         near = _distances(sample, centres).argmax(1)
         centres = np.array([sample[near == c].mean(0) if (near == c).any() else centres[c] for c in range(len(centres))])
 
+    def places(v: np.ndarray) -> np.ndarray:
+        return _distances(placeable(v), centres).argmax(1)
+
+    if nprobe is None:
+        some = queries.orderBy(F.xxhash64(query_id), query_id).limit(MEASURED)
+        exact = knn_exact(some, vectors, k, metric, query_id, vector_id, vector)
+        asked = some.select(F.col(query_id).alias("query_id"), F.col(vector).alias("asked"))
+        pairs = exact.select("query_id", vector_id).join(vectors.select(vector_id, vector), vector_id).join(asked, "query_id").select("asked", vector).collect()
+        order = np.argsort(-_distances(placeable(np.array([r[0] for r in pairs], float)), centres), 1, kind="stable")
+        needed = np.sort((order == places(np.array([r[1] for r in pairs], float))[:, None]).argmax(1) + 1)
+        nprobe = int(needed[int(np.ceil(recall * len(needed))) - 1])
+
     def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield b.append_column("cell", pa.array(_distances(_matrix(b, vector), centres).argmax(1).astype(np.int64)))
+                yield b.append_column("cell", pa.array(places(_matrix(b, vector)).astype(np.int64)))
 
     rows = vectors.select(vector_id, vector)
     placed = rows.mapInArrow(cell, T.StructType([*rows.schema.fields, T.StructField("cell", T.LongType())]))
     found = []
     for ids, q in query_blocks(queries, query_id, vector):
         probe = np.zeros((len(q), len(centres)), bool)
-        np.put_along_axis(probe, np.argsort(-_distances(q, centres), 1)[:, :nprobe], True, 1)
+        np.put_along_axis(probe, np.argsort(-_distances(placeable(q), centres), 1, kind="stable")[:, :nprobe], True, 1)
         found.append(_best(placed, ids, q, k, METRICS[metric], vector_id, vector, probe))
     return rank_hits(reduce(DataFrame.unionByName, found), "query_id", "similarity", k, vector_id)
 

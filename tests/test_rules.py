@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from quire.functions import text as T
 from quire.operators import catalog, chunking, layout, retrieval, tables
 from quire.sources import files as S
@@ -100,6 +101,15 @@ def test_search(spark):
     assert retrieval.knn_exact(asked.limit(0), rows, 5).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_approximate_search_recall(spark, sf):
+    """The registered query, with its own parameters, against the exact one."""
+    exact, near = ({(r["query_id"], r["chunk_id"]) for r in entry.queries()[name](spark, f"/root/testdata/sf{sf}").collect()} for name in ("knn_exact", "knn_approx"))
+    assert len(near & exact) >= 0.9 * len(exact)
+    rows = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert retrieval.knn_approx(rows.limit(0).withColumnRenamed("vec_id", "query_id"), rows, 5).count() == 0
+
+
 def test_rerank_keeps_order_without_scorer(spark):
     rows = spark.createDataFrame([(1, "a", 0.9, 1), (1, "b", 0.8, 2)], "query_id long, chunk_id string, score double, rank int")
     assert [(r["chunk_id"], r["score"]) for r in retrieval.rerank(rows, 2).orderBy("rank").collect()] == [("a", 0.9), ("b", 0.8)]
