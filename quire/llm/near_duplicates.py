@@ -4,8 +4,9 @@ Every text becomes the set of its shingles, and rows with the same set are one c
 SKETCH minimum hashes ("tokens"); two sets share a token with the probability of their Jaccard similarity. A run samples a
 token for the root and splits all sets by it; a bucket that is large and not dense is split again by tokens sampled for that
 bucket, and so on; small buckets, and dense ones in blocks, are compared by brute force. Runs are repeated until a pair at
-the threshold is missed with less than 1 - recall, even if its buckets are split once. Candidates are verified on their whole sets; each pair counts in the
-first bucket that both sets reach, so that no list of pairs is ever written."""
+the threshold is missed with less than 1 - recall, by the filter on sketches or because it shares no bucket, even if all its
+buckets are split as often as the most split one. Candidates are verified on their whole sets; each pair counts in the first
+bucket that both sets reach, so that no list of pairs is ever written."""
 
 from __future__ import annotations
 
@@ -30,12 +31,44 @@ SKETCH, TOKENS = 128, 2
 LIMIT = 1000
 #: A larger bucket is dense, and not split, if its mean similarity is at least this; splitting ends at this depth anyway.
 DENSE, DEPTH = 0.4, 12
-#: Candidates: estimated similarity at least the threshold less this (4.5 standard deviations at 0.8).
-MARGIN = 0.16
+#: The part of 1 - recall that the filter on sketches may take.
+FILTERED = 0.1
 #: Ids that may be broadcast to pick out the texts of candidates.
 BROADCAST_IDS = 1_000_000
 
 
+# ---- what is missed --------------------------------------------------------------------------------------------------
+
+
+def least_equal(threshold: float, recall: float) -> int:
+    """Hashes that sketches of candidates share at least: a pair at the threshold has fewer with FILTERED * (1 - recall)."""
+    below = 0.0
+    for m in range(SKETCH + 1):
+        below += math.comb(SKETCH, m) * threshold**m * (1 - threshold) ** (SKETCH - m)
+        if below > FILTERED * (1 - recall):
+            return m
+    return SKETCH
+
+
+def missed(threshold: float, recall: float, runs: int, splits: int) -> float:
+    """Probability that a pair at the threshold is not found in `runs` runs whose buckets are split `splits` times: its sketches
+    share too few hashes, or no run has both a shared root and a shared token at each split. All runs use the same sketch."""
+    out, need = 0.0, least_equal(threshold, recall)
+    for m in range(SKETCH + 1):
+        lost = 1.0
+        if m >= need:
+            apart = math.comb(SKETCH - m, TOKENS) / math.comb(SKETCH, TOKENS)
+            fails = 1 - (1 - apart) ** splits
+            ways = [math.comb(m, r) * math.comb(SKETCH - m, runs - r) for r in range(runs + 1)]
+            lost = sum(w * fails**r for r, w in enumerate(ways)) / math.comb(SKETCH, runs)
+        out += math.comb(SKETCH, m) * threshold**m * (1 - threshold) ** (SKETCH - m) * lost
+    return out
+
+
+def runs_for(threshold: float, recall: float, splits: int) -> int:
+    return next((n for n in range(1, SKETCH) if missed(threshold, recall, n, splits) <= 1 - recall), SKETCH - 1)
+
+
 # ---- sets and sketches, in workers -----------------------------------------------------------------------------------
 
 
@@ -167,8 +200,9 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(make, f"id {dict(docs.dtypes)['id']}, key binary, sketch array<int>")
 
 
-def leaves_of(sets: DataFrame, runs: int) -> DataFrame:
-    """leaf (long, the run in its highest bits), key, blocks: the buckets that are compared by brute force."""
+def leaves_of(sets: DataFrame, runs: range) -> tuple[DataFrame, int]:
+    """leaf (long, the run in its highest bits), key, blocks: the buckets that are compared by brute force; and how often the
+    most split bucket was split."""
 
     def bucket(run, *of):
         return F.shiftleft(run.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*of), 8))
@@ -178,14 +212,16 @@ def leaves_of(sets: DataFrame, runs: int) -> DataFrame:
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         return rows.join(sizes, "bucket")
 
-    roots = F.array(*[bucket(F.lit(r), F.lit(r), F.get("sketch", F.lit(r))) for r in range(runs)])
+    roots = F.array(*[bucket(F.lit(r), F.lit(r), F.get("sketch", F.lit(r))) for r in runs])
     rows = staged(kept(sets.select("key", F.explode(roots).alias("bucket"))))
     found = [rows.where(F.col("n") <= LIMIT).select(F.col("bucket").alias("leaf"), "key", F.lit(1).cast("long").alias("blocks"))]
-    rows = rows.where(F.col("n") > LIMIT)
+    rows, splits = rows.where(F.col("n") > LIMIT), 0
+    # as SKETCH is a power of two and the step is odd, a bucket's tokens are distinct
+    first, step = (F.pmod(F.xxhash64("bucket", F.lit(x)), F.lit(SKETCH)).cast("int") for x in (0, 1))
     for depth in range(DEPTH):
         if rows.isEmpty():
             break
-        tokens = F.array(*[F.struct(F.lit(t).alias("t"), F.get("sketch", F.pmod(F.xxhash64("bucket", F.lit(t)), F.lit(SKETCH)).cast("int")).alias("v")) for t in range(TOKENS)])
+        tokens = F.array(*[F.struct(F.lit(t).alias("t"), F.get("sketch", (first + t * step.bitwiseOR(F.lit(1))) % SKETCH).alias("v")) for t in range(TOKENS)])
         split = rows.join(sets, "key").select("key", F.col("bucket").alias("parent"), F.col("n").alias("n_parent"), F.inline(tokens))
         run = F.shiftrightunsigned("parent", 56)
         split = staged(split.select("key", "parent", "n_parent", bucket(run, F.col("parent"), F.col("t"), F.col("v")).alias("bucket")))
@@ -193,12 +229,26 @@ def leaves_of(sets: DataFrame, runs: int) -> DataFrame:
         mean = child.groupBy("parent", "n_parent").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("s"))
         dense = F.lit(depth == DEPTH - 1) | (F.col("s") >= DENSE * TOKENS * F.col("n_parent").cast("double") * F.col("n_parent"))
         parents = staged(mean.select("parent", dense.alias("dense")))
+        if parents.where("not dense").isEmpty():
+            found.append(rows.select(F.col("bucket").alias("leaf"), "key", F.ceil(F.col("n") / LIMIT).alias("blocks")))
+            break
+        splits = depth + 1
         whole = rows.join(parents.where("dense").withColumnRenamed("parent", "bucket"), "bucket")
         found.append(whole.select(F.col("bucket").alias("leaf"), "key", F.ceil(F.col("n") / LIMIT).alias("blocks")))
         below = staged(kept(split.join(parents.where("not dense"), "parent").select("key", "bucket").distinct()))
         found.append(below.where(F.col("n") <= LIMIT).select(F.col("bucket").alias("leaf"), "key", F.lit(1).cast("long").alias("blocks")))
         rows = below.where(F.col("n") > LIMIT)
-    return staged(reduce(DataFrame.unionByName, found))
+    return staged(reduce(DataFrame.unionByName, found)), splits
+
+
+def all_leaves_of(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """The leaves of as many runs as the splits that were really made ask for."""
+    found, runs, splits = [], 0, 1
+    while (wanted := runs_for(threshold, recall, splits)) > runs:
+        leaves, most = leaves_of(sets, range(runs, wanted))
+        found.append(leaves)
+        runs, splits = wanted, max(splits, most)
+    return reduce(DataFrame.unionByName, found)
 
 
 def blocks_of(leaves: DataFrame) -> DataFrame:
@@ -214,8 +264,8 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("leaf", "p", "q").sortWithinPartitions("leaf", "p", "q")
 
 
-def candidates(members: DataFrame, threshold: float) -> DataFrame:
-    """The members of each group that have a candidate of their own in it, by their sketches."""
+def candidates(members: DataFrame, need: int) -> DataFrame:
+    """The members of each group that have a candidate of their own in it: sketches that share at least `need` hashes."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in in_groups(batches, ["leaf", "p", "q"]):
@@ -226,7 +276,7 @@ def candidates(members: DataFrame, threshold: float) -> DataFrame:
             equal = np.zeros((n, n), np.uint8)
             for k in range(SKETCH):
                 equal += sketch[:, k, None] == sketch[None, :, k]
-            near = equal >= (threshold - MARGIN) * SKETCH
+            near = equal >= need
             if n > 2 or near[0, 1]:
                 leaf, p, q = (g.column(c)[0].as_py() for c in ("leaf", "p", "q"))
                 near &= pair_mask(g.column("part").to_numpy(), p, q, leaf, [np.array(x) for x in g.column("leaves").to_pylist()])
@@ -282,20 +332,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, rec
     same shingle set), n_copies (other rows with that set), n_links (other sets at Jaccard similarity >= threshold).
 
     Words are what ASCII white space separates, after A-Z to a-z; a text of fewer than `ngram` words has one shingle, all its
-    words. Links are exact for the pairs found; a pair at the threshold is missed with a probability below 1 - recall.
+    words. Links are exact for the pairs found; a pair at the threshold is missed with a probability below 1 - recall, sketch
+    filter and splits together.
 
     Rows without words (null, empty or blank text) are copies of each other and link to nothing. Repeated rows are copies.
     Null ids are never the smallest; a class without any id has null. An empty table gives no rows. Other columns are
     ignored. Copies meet as sums; groups of at most 2 * LIMIT sets meet in a task, whatever a bucket holds."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    shared = threshold * (1 - (1 - threshold) ** TOKENS)  # a pair at the threshold meets in a run whose bucket is split once
-    runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - shared)))
     rows = staged(sketches(base, ngram))
     copies = staged(rows.groupBy("key").agg(F.min("id").alias("copy_id"), F.count("*").alias("n"), F.first("sketch").alias("sketch")))
     sets = copies.where(F.col("key") != F.lit(digest(np.zeros(0, np.uint64)))).select("key", "sketch")
 
-    members = staged(blocks_of(leaves_of(sets, runs)))
-    close = staged(candidates(dealt(members.join(sets, "key")), threshold))
+    members = staged(blocks_of(all_leaves_of(sets, threshold, recall)))
+    close = staged(candidates(dealt(members.join(sets, "key")), least_equal(threshold, recall)))
     wanted = staged(copies.join(close.select("key").distinct(), "key", "left_semi").select("key", "copy_id"))
     ids = wanted.select(F.col("copy_id").alias("wanted_id")).distinct()
     texts = base.join(broadcast_if_small(ids, wanted.count(), BROADCAST_IDS), F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")

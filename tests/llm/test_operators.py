@@ -160,6 +160,28 @@ def test_near_duplicates_large_groups(spark, monkeypatch):
     assert pairs(near_duplicates.near_duplicates(df)) == brute_duplicates(rows)
 
 
+def test_near_duplicates_miss_little_at_any_depth(spark, monkeypatch):
+    """Filter and splits together keep a pair at the threshold with the stated recall; runs grow with the splits made."""
+    for splits in range(near_duplicates.DEPTH):
+        assert near_duplicates.missed(0.8, 0.999999, near_duplicates.runs_for(0.8, 0.999999, splits), splits) < 1e-6
+    need, rng = near_duplicates.least_equal(0.8, 0.999999), np.random.default_rng(4)
+    assert sum(math.comb(128, m) * 0.8**m * 0.2 ** (128 - m) for m in range(need)) < 1e-7
+    monkeypatch.setattr(near_duplicates, "SKETCH", 16)  # by drawing: shared hashes, then tokens of every run and split
+    same = rng.random((40_000, 16)) < 0.8
+    rest = rng.random((40_000, 3, 2, 16)).argsort(axis=3)[..., :2]
+    split = np.take_along_axis(same[:, None, None, :], rest, axis=3).any(axis=3).all(axis=2)
+    lost = ~(same[:, :3] & split).any(axis=1) | (same.sum(axis=1) < near_duplicates.least_equal(0.8, 0.999999))
+    assert abs(lost.mean() - near_duplicates.missed(0.8, 0.999999, 3, 2)) < 0.004
+    monkeypatch.undo()
+    monkeypatch.setattr(near_duplicates, "LIMIT", 10)
+    asked, real = [], near_duplicates.leaves_of
+    monkeypatch.setattr(near_duplicates, "leaves_of", lambda sets, runs: asked.append((runs, real(sets, runs))) or asked[-1][1])
+    words = [[f"w{i}x{k}" for k in range(30)] + [f"common{k}" for k in range(14)] for i in range(60)]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
+    near_duplicates.near_duplicates(rows, 0.8, 1).count()
+    assert asked[-1][0].stop >= near_duplicates.runs_for(0.8, 0.999999, max(1, *(most for _, (_, most) in asked)))
+
+
 def test_near_duplicates_of_table(spark, documents):
     got = pairs(queries.op2_ngram_jaccard_join(spark, SF))
     assert got == brute_duplicates(list(zip(documents.doc_id, documents.text, strict=True)))
