@@ -25,18 +25,24 @@ LETTERS = {"[0-9]": "0123456789", "[a-z]": "abcdefghijklmnopqrstuvwxyz", "[A-Z]"
 
 _octet = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _titles = "|".join(sorted(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES, key=len, reverse=True))
+#: A word of a name: a capital and letters, more of them after hyphens and apostrophes, capitals inside; or an initial. Words
+#: like "von" may stand before it.
+_apostrophe = "['\u2019]"
+_letters = r"[\p{L}\p{M}]"
+_small = "von|van|der|den|zu|de|del|della|di|da|dos|du|la|le|bin|ibn|al|el"
+_name_word = rf"(?:(?:{_small}) )*(?:[dl]{_apostrophe})?\p{{Lu}}(?:\.(?= \p{{Lu}})|{_letters}*+(?:(?:-|{_apostrophe}(?!s(?!{_letters}))){_letters}++)*+)"
 _label = r"(?i:password|passwd|pwd|secret|api[_-]?key|access[_-]?key|token)\s{0,2}[=:]\s{0,2}[\"']?"
 #: The kinds and their patterns, in order of precedence. No pattern can start inside a run of its own characters, so that a
 #: long run is read once.
 PATTERNS = {
-    "secret": rf"(?<![A-Za-z0-9_]){_label}[^\s\"']{{6,200}}|(?<![A-Za-z0-9])AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])",
+    "secret": rf"(?<![A-Za-z0-9_]){_label}[^\s\"']{{6,}}+|(?<![A-Za-z0-9])AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
     "ip": rf"(?<![\d.]){_octet}(?:\.{_octet}){{3}}(?!\.?\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
-    "person": rf"(?<![\p{{L}}\p{{N}}])(?:{_titles})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})",
+    "person": rf"(?<![\p{{L}}\p{{N}}])(?:{_titles})\.? {_name_word}(?: {_name_word})*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity holds; texts without it are not searched.

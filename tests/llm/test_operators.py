@@ -551,6 +551,20 @@ def test_pii(spark, odd, none):
     assert pairs(pii.replace_pii(odd, "k").select("doc_id", "text")) == collections.Counter((r[0], r[1]) for r in odd_rows())
 
 
+def test_pii_entities_are_whole(spark):
+    """Long secrets and names of any form are replaced to their end; what follows stays."""
+    long = "".join(random.Random(8).choices("abcdefghijkmnopqrstuvwxyzABCDEFGHIJKLMNPQRSTUVWXYZ23456789-_.", k=1000))
+    names = ["Anna Maria Schmidt", "Jean-Pierre Dupont", "McDonald", "O'Brien", "Conan O\u2019Brien-MacLeod", "J. R. Tolkien", "Ludwig van der Rohe", "d'Arcy", "Анна-Мария Петровна Иванова"]
+    rows = [(0, f"token={long} end"), *((i + 1, f"met Dr {x}'s aunt, Dr. {x} and Dr {x}.") for i, x in enumerate(names))]
+    out = {r["doc_id"]: r["text"] for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    new = re.fullmatch(r"token=(\S{1000}) end", out[0])[1]
+    assert not any(long[k : k + 12] in new for k in range(988))
+    for i, x in enumerate(names):
+        got = re.fullmatch(r"met Dr (.+)'s aunt, Dr\. (.+) and Dr (.+)\.", out[i + 1])
+        assert got and len(set(got.groups())) == 1, out[i + 1]
+        assert not {w.lower() for w in re.findall(r"\w{3,}", x)} & {w.lower() for w in re.findall(r"\w+", out[i + 1])}
+
+
 def test_pii_collisions(spark, monkeypatch):
     """With one octet left to choose, surrogates collide at first and yet end up distinct and unlike any original."""
     real = pii.surrogates
