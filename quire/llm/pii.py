@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +51,9 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = rf"[0-9@]|{_label}|(?:{_titles})\.? "
 #: Exceptions (entities whose first surrogate collides) that may be broadcast.
 BROADCAST_ROWS = 200_000
-MOST_TRIES = 20
+#: Tries that keep an entity's format. After them, surrogates of numbers get more digits at their end with each try, addresses
+#: are ones of 2001:db8::/32, secrets are hexadecimal. Names and mail domains grow with every try.
+MOST_TRIES = 4
 
 
 def chars(c: Column) -> Column:
@@ -103,13 +107,14 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.reverse(chars(digits)), value), F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
-def _name(canon: Column, digest: Column, gender: Column) -> Column:
+def _name(canon: Column, digest: Column, gender: Column, tries: Column) -> Column:
     cyrillic = canon.rlike("[а-я]")
     words = F.split(canon, " ")
 
     def family(script: str) -> Column:
         parts = [_pick(SYLLABLES[script], F.xxhash64(digest, F.lit(k))) for k in range(4)]
-        return F.initcap(F.concat(*parts, F.when((gender == "f") & F.lit(script == "cyrillic"), "ва").otherwise("")))
+        more = F.transform(F.sequence(F.lit(1), F.greatest(tries, F.lit(1))), lambda k: _pick(SYLLABLES[script], F.xxhash64(digest, F.lit("more"), k)))
+        return F.initcap(F.concat(*parts, F.when(tries > 0, F.array_join(more, "")).otherwise(""), F.when((gender == "f") & F.lit(script == "cyrillic"), "ва").otherwise("")))
 
     def given(script: str) -> Column:
         seed = F.xxhash64(digest, F.lit("given"))
@@ -127,7 +132,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     the entity and the number of tries."""
     keyed = F.sha2(F.concat_ws("\u0001", F.lit(key), "kind", "canon", F.col("tries").cast("string"), F.lit(key)), 256)
     e = entities.withColumn("digest", keyed)
-    canon, digest = F.col("canon"), F.col("digest")
+    canon, digest, tries = F.col("canon"), F.col("digest"), F.col("tries").cast("int")
+    beyond = F.greatest(tries - MOST_TRIES, F.lit(0))
     keep = F.when(F.col("kind") == "iban", 2).when(canon.startswith("AKIA"), 4).when((F.col("kind") == "phone") & canon.startswith("+"), 2).otherwise(0)
     same = _same_format(canon, digest, keep, canon.rlike("^[0-9a-f]+$"))
     local = _same_format(F.substring_index("canon", "@", 1), digest, F.lit(0), F.lit(False))
@@ -135,41 +141,45 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     e = e.withColumn("same", F.when(~F.col("kind").isin("email", "ip", "person"), same))
     last = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.concat(F.expr("left(same, length(same) - 1)"), k.cast("string"))), _luhn)
     out = (
-        F.when(F.col("kind") == "email", F.concat(local, F.lit("@m"), F.substring(digest, 1, 8), F.lit(".example")))
+        F.when(F.col("kind") == "email", F.concat(local, F.lit("@m"), F.substring(digest, F.lit(1), 8 + 4 * tries), F.lit(".example")))
         .when(F.col("kind") == "ip", F.concat_ws(".", *[o.cast("string") for o in octets]))
-        .when(F.col("kind") == "person", _name(canon, digest, F.col("gender")))
+        .when(F.col("kind") == "person", _name(canon, digest, F.col("gender"), tries))
         .when(F.col("kind") == "ssn", F.concat(F.lit("9"), F.expr("substring(same, 2)")))
         .when((F.col("kind") == "card") & _luhn(canon), F.get(last, F.lit(0)))
         .otherwise(F.col("same"))
     )
-    return e.withColumn("surrogate", out).drop("digest", "same")
+    groups = F.concat_ws(":", F.lit("2001:db8"), *[F.substring(digest, 4 * k + 1, 4) for k in range(6)])
+    grown = F.when(F.col("kind").isin("phone", "ssn", "card", "iban"), F.concat(out, F.translate(F.substring(digest, F.lit(1), 2 * beyond), "abcdef", "012345")))
+    grown = grown.when(F.col("kind") == "ip", groups).when(F.col("kind") == "secret", F.substring(digest, F.lit(1), 8 + 4 * beyond)).otherwise(out)
+    return e.withColumn("surrogate", F.when(beyond > 0, grown).otherwise(out)).drop("digest", "same")
 
 
 def rendered(kind: Column, body: Column, surrogate: Column) -> Column:
-    """The surrogate in the format of the mention's body: its digits and letters take the places of the body's."""
+    """The surrogate in the format of the mention's body: its digits and letters take the places of the body's; what is left
+    of a longer one follows."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
 
     def step(a: Column, x: Column) -> Column:
         here = x.rlike("[A-Z0-9]") & (kind == "iban") | x.rlike("[0-9+]")
         return F.struct(F.concat(a["out"], F.when(here, F.substring(surrogate, a["k"], F.lit(1))).otherwise(x)).alias("out"), F.when(here, a["k"] + 1).otherwise(a["k"]).alias("k"))
 
-    return F.when(kind.isin("phone", "card", "ssn", "iban"), F.aggregate(chars(body), start, step, lambda a: a["out"])).otherwise(surrogate)
+    return F.when(kind.isin("phone", "card", "ssn", "iban"), F.aggregate(chars(body), start, step, lambda a: F.concat(a["out"], F.substring(surrogate, a["k"], F.length(surrogate))))).otherwise(surrogate)
 
 
 def collision_tries(entities: DataFrame, key: str) -> DataFrame:
     """kind, canon, tries of the entities that need more than one try. An entity tries again while its surrogate is that of
-    another entity (which has fewer tries, or sorts first) or is itself an entity of the data."""
+    another entity (which has fewer tries, or sorts first) or is itself an entity of the data. As surrogates grow, this ends."""
     settled, found = entities.withColumn("tries", F.lit(0)), None
-    for _ in range(MOST_TRIES):
+    for _ in itertools.count():
         named = surrogates(settled, key)
         first = named.groupBy("kind", "surrogate").agg(F.min(F.struct("tries", "canon")).alias("first"), F.count("*").alias("n")).where("n > 1")
         taken = named.join(first, ["kind", "surrogate"]).where("struct(tries, canon) != first").select("kind", "canon")
+        named = named.withColumn("surrogate", F.when(F.col("kind") == "person", F.lower("surrogate")).otherwise(F.col("surrogate")))
         real = named.join(entities.select("kind", F.col("canon").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "canon")
         bad = staged(taken.unionByName(real).distinct())
         if bad.isEmpty():
             return settled.where("tries > 0").select("kind", "canon", "tries")
         settled = staged(settled.join(bad.withColumn("again", F.lit(1)), ["kind", "canon"], "left").select("kind", "canon", "gender", (F.col("tries") + F.coalesce("again", F.lit(0))).alias("tries")))
-    raise ValueError(f"some entities still collide after {MOST_TRIES} tries; their kind has too few surrogates")
 
 
 def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,7 +188,7 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     Kinds: secret, email, phone, ssn, card, ip, iban, person (after a title). Mentions of an entity share its canonical form
     and so its surrogate, in all documents; the surrogate takes the format of each mention. Surrogates of different entities
     of a kind differ, and none is an entity of the data. Card numbers keep their validity; addresses become ones of the
-    reserved block 240.0.0.0/4 and of the top-level domain .example; titles give a name's gender, its letters the script.
+    reserved block 240.0.0.0/4 (where that is full, of 2001:db8::/32) and of the top-level domain .example; titles give a name's gender, its letters the script.
 
     Texts without an entity pass unchanged and unshuffled. Only mentions are grouped; the distinct entities are summed in
     each task first. Null text stays null. Repeated rows and rows with a null id are treated each. An empty table gives no

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -577,6 +578,19 @@ def test_pii_collisions(spark, monkeypatch):
     assert len(set(found)) == 24 and not set(found) & {x for _, t in rows for x in re.findall(r"[\d.]+\d", t)}
 
 
+def test_pii_surrogates_grow(spark, monkeypatch):
+    """More entities than surrogates of their format: the query ends, and no two share one, nor is one an entity."""
+    monkeypatch.setattr(pii, "SYLLABLES", {"latin": ["ba", "do"], "cyrillic": ["ба", "до"]})
+    monkeypatch.setattr(pii, "LETTERS", {**pii.LETTERS, "[0-9]": "01"})
+    made = [("".join(x)).capitalize() for x in itertools.product(["ba", "do"], repeat=4)]
+    names = made + ["Miller" + chr(97 + i) for i in range(24)]
+    rows = [(i, f"Dr {x} has +12 {i + 10} {i + 20} and password=!!!!!{i + 10}") for i, x in enumerate(names)]
+    out = {r["doc_id"]: re.fullmatch(r"Dr (\w+) has (\+[\d ]+) and password=(\S+)", r["text"]).groups() for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert [len({x[k] for x in out.values()}) for k in range(3)] == [40, 40, 40]
+    assert not {x[0] for x in out.values()} & set(names)
+    assert not {x[2] for x in out.values()} & {f"!!!!!{i + 10}" for i in range(40)}
+
+
 def test_pii_of_table(spark, documents):
     out = queries.op10_pii_surrogates(spark, SF).toPandas().merge(documents, on="doc_id", suffixes=("", "_old"))
     planted = re.compile(r"[\w.]+@mail\d\.example\.com|AKIA[0-9A-Z]{16}|(?<=password=)\w+|(?<=token = \")\w+|\+1 \(\d{3}\) 555-\d{4}|\b\d{16}\b")
