@@ -379,6 +379,17 @@ def test_language_accuracy(spark):
     assert (held.lang == held.lang_pred).mean() > 0.97 and out.score.between(0, 1).all()
 
 
+def test_language_sample_is_whole(spark):
+    """Copies take one place each, long texts give a passage, and every label is learned."""
+    texts = [f"text number {chr(97 + k)} of many" for k in range(26)]
+    rows = [("aa", t) for t in texts * 200] + [("bb", f"word{k} " * 9_000) for k in range(3)] + [(f"l{k}", "a few words") for k in range(80)]
+    got = language_id.sample(spark.createDataFrame(rows, "lang string, text string"))
+    assert sorted(t for x, t in got if x == "aa") == texts
+    assert len({x for x, _ in got}) == 82
+    long = [t for x, t in got if x == "bb"]
+    assert len(long) == 3 and all(19_900 < len(t) <= 20_000 and len(set(t.split())) == 1 for t in long)
+
+
 def test_language_odd_rows(odd, none):
     out = language_id.language_id(odd, F.lit(False)).collect()
     assert len(out) == len(odd_rows())
