@@ -51,7 +51,7 @@ class Crf:
     """Weights: n-gram buckets and lexicon words by language, and transitions between languages."""
 
     def __init__(self, languages: list[str], lexicon: list[str]):
-        self.languages, self.lexicon = languages, {w: BUCKETS + k for k, w in enumerate(lexicon)}
+        self.languages, self.words, self.lexicon = languages, lexicon, {w: BUCKETS + k for k, w in enumerate(lexicon)}
         self.weights = np.zeros((BUCKETS + len(lexicon), len(languages)), np.float32)
         self.transitions = np.zeros((len(languages), len(languages)))
 
@@ -190,10 +190,14 @@ def language_id(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     means: the language that sorts first. Repeated rows and null ids are predicted like others. An empty table gives no
     rows. Other columns are ignored."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    shared = base.sparkSession.sparkContext.broadcast(fit(sample(base.where("not held_out").select("lang", "text"))))
+    fitted = fit(sample(base.where("not held_out").select("lang", "text")))
+    # Plain lists and arrays: broadcasts, unlike functions, are not pickled by value.
+    shared = base.sparkSession.sparkContext.broadcast((fitted.languages, fitted.words, fitted.weights, fitted.transitions))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crf = shared.value
+        languages, lexicon, weights, transitions = shared.value
+        crf = Crf(languages, lexicon)
+        crf.weights, crf.transitions = weights, transitions
         labels = len(crf.languages)
         known: dict[str, int] = {}
         table = np.zeros((0, labels))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import broadcast_if_small, staged
+from quire.llm.common import broadcast_if_small, scratch, staged
 from quire.llm.lm_scoring import lowered, words_of
 from quire.llm.words import WordIds
 
@@ -182,7 +182,7 @@ def components(links: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """id, key (digest of the set), sketch of each row."""
+    """id, carried, key (digest of the set), sketch of each row."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(n)
@@ -195,9 +195,10 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                     keys.append(digest(own))
                     rows[i] = s.sketch(own)
                 sketch = pa.FixedSizeListArray.from_arrays(pa.array(rows.view(np.int32).ravel()), SKETCH).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(keys, pa.binary()), sketch], names=["id", "key", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("carried"), pa.array(keys, pa.binary()), sketch], names=["id", "carried", "key", "sketch"])
 
-    return docs.mapInArrow(make, f"id {dict(docs.dtypes)['id']}, key binary, sketch array<int>")
+    kinds = dict(docs.dtypes)
+    return docs.mapInArrow(make, f"id {kinds['id']}, carried {kinds['carried']}, key binary, sketch array<int>")
 
 
 def leaves_of(sets: DataFrame, runs: range) -> tuple[DataFrame, int]:
@@ -327,42 +328,49 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recall: float = 0.999999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recall: float = 0.999999, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col, class_id (smallest id of its component of near duplicates), copy_id (smallest id among rows with the
-    same shingle set), n_copies (other rows with that set), n_links (other sets at Jaccard similarity >= threshold).
+    same shingle set), n_copies (other rows with that set), n_links (other sets at Jaccard similarity >= threshold), stays
+    (boolean; true for one row of each class, one with the smallest id), then the columns of `carry`.
 
     Words are what ASCII white space separates, after A-Z to a-z; a text of fewer than `ngram` words has one shingle, all its
     words. Links are exact for the pairs found; a pair at the threshold is missed with a probability below 1 - recall, sketch
     filter and splits together.
 
-    Rows without words (null, empty or blank text) are copies of each other and link to nothing. Repeated rows are copies.
-    Null ids are never the smallest; a class without any id has null. An empty table gives no rows. Other columns are
-    ignored. Copies meet as sums; groups of at most 2 * LIMIT sets meet in a task, whatever a bucket holds."""
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = staged(sketches(base, ngram))
-    copies = staged(rows.groupBy("key").agg(F.min("id").alias("copy_id"), F.count("*").alias("n"), F.first("sketch").alias("sketch")))
-    sets = copies.where(F.col("key") != F.lit(digest(np.zeros(0, np.uint64)))).select("key", "sketch")
-
-    members = staged(blocks_of(all_leaves_of(sets, threshold, recall)))
-    close = staged(candidates(dealt(members.join(sets, "key")), least_equal(threshold, recall)))
-    wanted = staged(copies.join(close.select("key").distinct(), "key", "left_semi").select("key", "copy_id"))
-    ids = wanted.select(F.col("copy_id").alias("wanted_id")).distinct()
-    texts = base.join(broadcast_if_small(ids, wanted.count(), BROADCAST_IDS), F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Shingler(ngram)
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                sets = [x for x in map(s.shingles, b.slice(k, 256).column("text").to_pylist()) if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array(map(digest, sets), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["key", "shingles"])
-
-    full = staged(texts.select("text").mapInArrow(whole, "key binary, shingles binary").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]))
-    links = staged(verified(dealt(close.join(full, "key")), threshold))
-    degree = links.groupBy("key").agg(F.sum("links").alias("links"))
-    labels = connected(links.select("key", "root"))
-    classes = copies.select("key", "copy_id", "n").join(degree, "key", "left").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    classes = staged(classes)
-    least = classes.where("label != key or links is not null").groupBy("label").agg(F.min("copy_id").alias("class_id"))
-    classes = classes.join(least, "label", "left").withColumn("class_id", F.coalesce("class_id", "copy_id"))
-    out = rows.select("id", "key").join(classes.drop("label"), "key")
-    return out.select(F.col("id").alias(id_col), "class_id", "copy_id", (F.col("n") - 1).alias("n_copies"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    Rows without words (null, empty or blank text) are copies of each other and link to nothing. Repeated rows are copies;
+    rows of different texts stay apart though they share an id. Null ids are never the smallest; a class without any id has
+    null. An empty table gives no rows. Other columns are ignored. Copies meet as sums; groups of at most 2 * LIMIT sets meet
+    in a task, whatever a bucket holds."""
+    carried = F.struct(F.lit(0).alias("none"), *[F.col(c) for c in carry])
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), carried.alias("carried"))
+    with scratch(docs.sparkSession):
+        rows = staged(sketches(base, ngram).withColumn("row", F.monotonically_increasing_id()), keep=True)
+        first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+        copies = staged(rows.groupBy("key").agg(first, F.count("*").alias("n"), F.first("sketch").alias("sketch")))
+        sets = copies.where(F.col("key") != F.lit(digest(np.zeros(0, np.uint64)))).select("key", "sketch")
+
+        members = staged(blocks_of(all_leaves_of(sets, threshold, recall)))
+        close = staged(candidates(dealt(members.join(sets, "key")), least_equal(threshold, recall)))
+        wanted = staged(copies.join(close.select("key").distinct(), "key", "left_semi").select("key", F.col("first.id").alias("copy_id")))
+        ids = wanted.select(F.col("copy_id").alias("wanted_id")).distinct()
+        texts = base.join(broadcast_if_small(ids, wanted.count(), BROADCAST_IDS), F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            s = Shingler(ngram)
+            for b in batches:
+                for k in range(0, b.num_rows, 256):
+                    sets = [x for x in map(s.shingles, b.slice(k, 256).column("text").to_pylist()) if len(x)]
+                    yield pa.RecordBatch.from_arrays([pa.array(map(digest, sets), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["key", "shingles"])
+
+        full = staged(texts.select("text").mapInArrow(whole, "key binary, shingles binary").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]))
+        links = staged(verified(dealt(close.join(full, "key")), threshold))
+        degree = links.groupBy("key").agg(F.sum("links").alias("links"))
+        labels = connected(links.select("key", "root"))
+        classes = copies.select("key", "first", "n").join(degree, "key", "left").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+        classes = staged(classes)
+        least = classes.where("label != key or links is not null").groupBy("label").agg(F.min("first").alias("class_first"))
+        classes = staged(classes.join(least, "label", "left").withColumn("class_first", F.coalesce("class_first", "first")).drop("label"), keep=True)
+    out = rows.select("id", "row", "carried", "key").join(classes, "key")
+    return out.select(
+        F.col("id").alias(id_col), F.col("class_first.id").alias("class_id"), F.col("first.id").alias("copy_id"), (F.col("n") - 1).alias("n_copies"), F.coalesce("links", F.lit(0)).alias("n_links"),
+        (F.col("row") == F.col("class_first.row")).alias("stays"), *[F.col("carried")[c].alias(c) for c in carry])

@@ -6,6 +6,7 @@ on the number of documents. Pieces then find their place by their length and the
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -194,10 +195,19 @@ def plan_of(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, np.nd
 # ---- the Spark job -------------------------------------------------------------------------------------------------------
 
 
+# The normalizer and the cutting of texts for which words can be encoded one by one.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+CUTTING = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
 class Encoder:
-    """Ids of whole texts, as 32-bit numbers in the machine's (little-endian) order, by a tokenizers file that lower-cases, drops white space and ends
-    every word: what lies between the words can't join them. Texts of Latin letters are cut into words here and each
-    worker remembers the ids of recent words; any other text, and one with a special string, goes whole to the library."""
+    """Ids of whole texts by a tokenizers file, as 32-bit numbers in the machine's (little-endian) order. If the file says that
+    texts are lower-cased, white space is dropped and words are encoded each for itself (NORMALIZER, CUTTING), texts of Latin
+    letters are cut into words here and each worker remembers the ids of recent words; any other text, and one with a special
+    string, goes whole to the library, as do all texts for any other tokenizer."""
 
     #: Latin letters and digits after lower-casing, and what the tokenizer takes for white space among such texts.
     ALPHA, DIGIT, SPACE = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾", r" \t\n\x0b\x0c\r\x85\xa0"
@@ -215,6 +225,10 @@ class Encoder:
         self.model.no_padding()
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        parts = (file.get("normalizer") or {}).get("normalizers"), (file.get("pre_tokenizer") or {}).get("pretokenizers")
+        self.by_words = parts == (NORMALIZER, CUTTING) and not file.get("post_processor") and not file["model"].get("dropout")
         # Byte-level vocabularies write each byte as a printable sign: its own, or one from 256 on for the others.
         own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b and b != 173]
         self.signs = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
@@ -228,7 +242,7 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         small = [x.lower() for x in texts]
-        plain = [not self.OTHER(s) and not any(t in x for t in self.special) for x, s in zip(texts, small, strict=True)]
+        plain = [self.by_words and not self.OTHER(s) and not any(t in x for t in self.special) for x, s in zip(texts, small, strict=True)]
         words = [self.WORDS(s) if p else [] for s, p in zip(small, plain, strict=True)]
         self.learn(list(set().union(*words) - self.known.keys()))
         rest = iter(self.model.encode_batch_fast([x for x, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
@@ -236,11 +250,13 @@ class Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """id, piece, start, length, ids_crc32 of each piece: a text's ids, then end_id, cut only if longer than the capacity."""
+    """id, piece, start, length, ids_crc32, salt of each piece: a text's ids, then end_id, cut only if longer than the capacity."""
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        from pyspark import TaskContext
+
+        encoder, salt = Encoder(tokenizer_path), TaskContext.get().partitionId() << 33
         end, most = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
             for k in range(0, b.num_rows, 128):
@@ -253,17 +269,18 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
                         at.append(i)
                         rows.append((j, start // 4, len(own) // 4, zlib.crc32(own)))
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(at)), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(at)), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:]), pa.array(range(salt, salt + len(at)), pa.int64())], names=["id", "piece", "start", "length", "ids_crc32", "salt"])
+                salt += len(at)
 
-    return base.mapInArrow(cut, f"id {dict(base.dtypes)['id']}, piece int, start long, length long, ids_crc32 long")
+    return base.mapInArrow(cut, f"id {dict(base.dtypes)['id']}, piece int, start long, length long, ids_crc32 long, salt long")
 
 
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all texts into few sequences of at most `capacity` tokens; one row per piece: id_col, piece (int), start, length,
     ids_crc32, sequence_id, offset (long).
 
-    Pieces of a length get their rank in parts (by a hash, so that a length with a third of all rows is ranked by many
-    tasks) and the parts' sums; the rank's run in the plan says the sequence and the offset. Token ids are made once, and
+    Pieces of a length get their rank in parts (by a salt that each stored piece has, so that a length with a third of all
+    rows, or a row that is repeated, is ranked by many tasks) and the parts' sums; the rank's run in the plan says the sequence and the offset. Token ids are made once, and
     only their checksums stay.
 
     Null or empty text: one piece with end_id alone. Repeated rows are packed each. Null ids stay null. An empty table gives
@@ -273,7 +290,7 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
     keys, runs = plan_of(histogram, capacity)
     parts = max(PARTS, -(-sum(histogram.values()) // RANKED))
 
-    cut = cut.withColumn("part", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(parts)))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("salt"), F.lit(parts)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = cut.groupBy("length", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     within = F.row_number().over(Window.partitionBy("length", "part").orderBy("id", "piece", "ids_crc32"))

@@ -98,7 +98,7 @@ def llr_table(docs: DataFrame) -> np.ndarray:
     return np.log((trusted + SHRINK) / (raw * (trusted.sum() / raw.sum()) + SHRINK))
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame | None = None, threshold: float = -0.3, min_words: int = 50, max_repeat_percent: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame | None = None, threshold: float = -0.3, min_words: int = 50, max_repeat_percent: int = 50, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Surface counts and the verdict of each row.
 
     Returns id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept (boolean), llr
@@ -107,9 +107,11 @@ def quality_rules(docs: DataFrame, trusted: DataFrame | None = None, threshold:
     buckets, divided by their number. kept: not base_failed and llr >= threshold, the same for every row.
 
     Null or empty text: no words, base_failed, llr 0. Repeated rows are counted and judged each. Null ids are never
-    trusted. Without trusted rows every llr is 0. An empty table gives no rows. Other columns are ignored.
+    trusted. Without trusted rows every llr is 0. An empty table gives no rows. The columns of `carry` follow unchanged, so that
+    each row keeps its own verdict whatever its id; others are ignored, so their names can't clash.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    carried = F.struct(F.lit(0).alias("none"), *[F.col(c) for c in carry])
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carried.alias("carried"))
     if trusted is None:
         llr = np.zeros(BUCKETS)
     else:
@@ -128,9 +130,9 @@ def quality_rules(docs: DataFrame, trusted: DataFrame | None = None, threshold:
                 score = float(llr[buckets_of(ids.hashes_of(ids.of(signs)))].mean(dtype=np.float64)) if signs else 0.0
                 rows.append((len(words), *surface(text, words, ids.of(words)), score))
             cols = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.float64())], names=["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("carried"), *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.float64())], names=["id", "carried", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr"])
 
-    kind = dict(base.dtypes)["id"]
-    out = base.mapInArrow(judge, f"id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double")
+    kinds = dict(base.dtypes)
+    out = base.mapInArrow(judge, f"id {kinds['id']}, carried {kinds['carried']}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("llr") >= threshold)).alias("kept"), "llr")
+    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("llr") >= threshold)).alias("kept"), "llr", *[F.col("carried")[c].alias(c) for c in carry])

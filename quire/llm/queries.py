@@ -13,12 +13,12 @@ from quire.llm.language_id import language_id
 from quire.llm.line_dedup import line_dedup
 from quire.llm.lm_scoring import lm_scores
 from quire.llm.media import features, payloads, store, tiff_pages
-from quire.llm.mixing import genre, mix_to_targets
+from quire.llm.mixing import mix_to_targets
 from quire.llm.near_duplicates import near_duplicates
 from quire.llm.packing import best_fit_packing
 from quire.llm.pii import replace_pii
 from quire.llm.quality import quality_rules
-from quire.llm.token_counts import token_counts
+from quire.llm.token_counts import fill_cache, token_counts
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,15 +27,16 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, ngram=5)
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, ngram=5).drop("stays")
 
 
-#: Marginals to rake to: the shares of sources, languages and topics, evened out by these powers.
-MIX = {"source": 0.5, "lang": 0.7, "topic": 0.8}
+#: Marginals to rake to: the shares of sources and learned topics, evened out by these powers; English by a share, the other
+#: languages in proportion.
+MIX = {"source": 0.5, "lang": {"en": 0.5, "*": 0.5}, "topic": 0.8}
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_to_targets(table(spark, sf_dir, "documents"), MIX, fraction=0.5, topic=genre(F.col("text")))
+    return mix_to_targets(table(spark, sf_dir, "documents"), MIX, fraction=0.5)
 
 
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +48,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = f"{shared_folder(spark)}/token-cache-{uuid.uuid4().hex}"
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), cache)
+    """Two calls on one cache: the contents whose digests begin with 0 or 1 fill it, then all documents take their counts from
+    it, which encodes the other contents alone."""
+    docs, cache, tokenizer = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/token-cache-{uuid.uuid4().hex}", public_tokenizers.path("piece_bpe_32k.model")
+    fill_cache(docs.where(F.sha2(F.coalesce("text", F.lit("")), 256) < "2"), tokenizer, cache)
+    return token_counts(docs, tokenizer, cache)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import staged
@@ -40,31 +40,33 @@ def _counter(path: str):
     return lambda texts: [len(x) for x in model.encode_batch(texts, add_special_tokens=False)]
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) of each row's whole text, by way of the cache at cache_path.
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text, content: SHA-256 of the normalised text (null becomes "")."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.sha2(text, 256).alias("content"))
 
-    A row's key is the SHA-256 of its normalised content (null becomes "") and the digest of the tokenizer's file. Contents
-    that the cache lacks for this tokenizer are made distinct (first inside each task, then by digest, so that copies of
-    a text meet as at most one row a task), encoded once and appended to the cache as Parquet; then all rows
-    get their counts by a join with the cache. A second call encodes only new contents. The tokenizer's file must exist at
-    tokenizer_path on every executor, as installed files do, or have been added by SparkContext.addFile. One writer at a
-    time may append; a content that two writers add counts once.
 
-    Null and empty text: 0 bytes, 0 tokens. Repeated rows and null ids stay as they are. An empty table gives no rows and
-    an empty cache. Other columns are ignored.
-    """
-    spark = docs.sparkSession
-    version = digest_of_file(tokenizer_path)
-    name = tokenizer_path.rsplit("/", 1)[-1]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.sha2(text, 256).alias("content"))
-    missing = base.select("content", "text").dropDuplicates(["content"])
+def cached(spark: SparkSession, cache_path: str, version: str) -> DataFrame | None:
+    """What the cache holds for a tokenizer; None if there is no cache yet."""
     try:
-        known = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
-        missing = missing.join(known.select("content"), "content", "left_anti")
+        return spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
+        return None
+
+
+def fill_cache(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Encode the contents of docs that the cache lacks and append their counts; the tokenizer's digest.
+
+    Contents are made distinct first inside each task, then by digest, so that copies of a text meet as at most one row a
+    task. The tokenizer's file must exist at tokenizer_path on every executor, as installed files do, or have been added by
+    SparkContext.addFile. One writer at a time may append; a content that two writers add counts once."""
+    version, name = digest_of_file(tokenizer_path), tokenizer_path.rsplit("/", 1)[-1]
+    missing = keyed(docs, id_col, text_col).select("content", "text").dropDuplicates(["content"])
+    known = cached(docs.sparkSession, cache_path, version)
+    if known is not None:
+        missing = missing.join(known.select("content"), "content", "left_anti")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -78,8 +80,20 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
                 yield pa.RecordBatch.from_arrays([part.column("content"), pa.array([version] * len(texts)), pa.array(sizes, pa.int64()), pa.array(count(texts), pa.int64())], names=["content", "tokenizer", "n_bytes", "n_tokens"])
 
     missing.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
+    return version
+
+
+def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) of each row's whole text, by way of the cache at cache_path:
+    contents that it lacks for this tokenizer are encoded once and appended (fill_cache), then all rows get their counts by a
+    join with the cache, on the digest of their content. A second call encodes only new contents.
+
+    Null and empty text: 0 bytes, 0 tokens. Repeated rows and null ids stay as they are. An empty table gives no rows and
+    an empty cache. Other columns are ignored.
+    """
+    version = fill_cache(docs, tokenizer_path, cache_path, id_col, text_col)
+    counts = cached(docs.sparkSession, cache_path, version)
     # Written once more, so that adaptive execution can split a content that very many rows have.
     counts = staged(counts.groupBy("content").agg(F.first("n_bytes").alias("n_bytes"), F.first("n_tokens").alias("n_tokens")))
-    out = base.select("id", "content").join(counts, "content")
+    out = keyed(docs, id_col, text_col).select("id", "content").join(counts, "content")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
