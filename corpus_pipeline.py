@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import staged, table
+from quire.llm.common import scratch, staged, table
 from quire.llm.line_dedup import line_dedup
-from quire.llm.mixing import genre, mix_to_targets
+from quire.llm.mixing import mix_to_targets
 from quire.llm.near_duplicates import near_duplicates
 from quire.llm.packing import best_fit_packing
 from quire.llm.quality import quality_rules
@@ -19,15 +19,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIXED = 0.9
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id, null included, is among ids (doc_id)."""
-    ids = ids.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Rows that share a doc_id stay if one of them is kept."""
-    return only(docs, quality_rules(docs, trusted_ids(spark, sf_dir)).where("kept"))
+    """Documents that the quality rules keep; every row by its own verdict, whatever its doc_id."""
+    return quality_rules(docs, trusted_ids(spark, sf_dir), carry=tuple(COLUMNS[1:])).where("kept").select(*COLUMNS)
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,15 +32,15 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class of near duplicates; a row without a doc_id stays as it is."""
-    first = near_duplicates(docs, threshold=0.8, ngram=5).where("doc_id = class_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    """One row of each class of near duplicates, one with the smallest doc_id. Rows that share a doc_id, or have none, are
+    documents of their own."""
+    return near_duplicates(docs, threshold=0.8, ngram=5, carry=tuple(COLUMNS[1:])).where("stays").select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled by probabilities that are calibrated to the target shares of sources, languages and topics."""
-    return only(docs, mix_to_targets(docs, MIX, fraction=MIXED, topic=genre(F.col("text"))).where("kept"))
+    out = mix_to_targets(docs.withColumn("row", F.struct(*COLUMNS)), MIX, fraction=MIXED, carry=("row",))
+    return out.where("kept").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,6 +55,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir))
+    with scratch(spark):  # each stage's output is deleted when the last one has been written
+        for _, stage in STAGES:
+            with scratch(spark):  # what a stage staged for itself goes with it
+                docs = staged(stage(spark, docs, sf_dir), keep=True)
+        docs = staged(docs, keep=True)
     return docs
