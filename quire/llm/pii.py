@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import broadcast_if_small, staged
+from quire.llm.common import broadcast_if_small, scratch, staged
 
 # Titles by gender, given names by gender and script, and syllables for family names by script.
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа"]
@@ -76,7 +74,17 @@ def head_of(kind: Column, m: Column) -> Column:
 def canonical(kind: Column, body: Column) -> Column:
     """Equal for mentions of the same entity, however they are written."""
     digits = F.regexp_replace(body, "[^0-9+]", "")
-    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind.isin("email", "person"), F.lower(body)).when(kind == "iban", F.replace(body, F.lit(" "), F.lit(""))).otherwise(body)
+    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind.isin("email", "given", "family"), F.lower(body)).when(kind == "iban", F.replace(body, F.lit(" "), F.lit(""))).otherwise(body)
+
+
+def parts_of(kind: Column, body: Column) -> Column:
+    """Array of (part, kind, body): a person's given names (part 0, if any) and family name, each an entity of its own, so that
+    "Anna Smith" and "Smith" share a name; any other mention is one part."""
+    last = rf"(?:(?:{_small}) )*[^ ]+$"
+    family, given = F.regexp_extract(body, last, 0), F.rtrim(F.regexp_replace(body, last, ""))
+    one = lambda part, kind, body: F.struct(F.lit(part).alias("part"), kind.alias("kind"), body.alias("body"))
+    person = F.filter(F.array(one(0, F.lit("given"), given), one(1, F.lit("family"), family)), lambda x: x["body"] != "")
+    return F.when(kind == "person", person).otherwise(F.array(one(1, kind, body)))
 
 
 def _pick(values: list[str], seed: Column) -> Column:
@@ -107,51 +115,63 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.reverse(chars(digits)), value), F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
-def _name(canon: Column, digest: Column, gender: Column, tries: Column) -> Column:
-    cyrillic = canon.rlike("[а-я]")
-    words = F.split(canon, " ")
+def _mod97(c: Column) -> Column:
+    """The remainder that checks account numbers: 1 where one is valid. Letters count as 10 to 35."""
+    moved = F.concat(F.substring(c, F.lit(5), F.length(c)), F.substring(c, F.lit(1), F.lit(4)))
+
+    def step(a: Column, x: Column) -> Column:
+        return F.when(x.rlike("[0-9]"), a * 10 + F.ascii(x) - 48).otherwise(a * 100 + F.ascii(x) - 55) % 97
+
+    return F.aggregate(chars(moved), F.lit(0), step)
+
+
+def _names(kind: Column, canon: Column, digest: Column, gender: Column, tries: Column) -> Column:
+    """A family name of syllables, in Cyrillic of the original's ending; or a given name of the gender. They grow with the tries."""
+
+    def syllables(script: str, seed: str, n: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda k: _pick(SYLLABLES[script], F.xxhash64(digest, F.lit(seed), k))), "")
 
     def family(script: str) -> Column:
-        parts = [_pick(SYLLABLES[script], F.xxhash64(digest, F.lit(k))) for k in range(4)]
-        more = F.transform(F.sequence(F.lit(1), F.greatest(tries, F.lit(1))), lambda k: _pick(SYLLABLES[script], F.xxhash64(digest, F.lit("more"), k)))
-        return F.initcap(F.concat(*parts, F.when(tries > 0, F.array_join(more, "")).otherwise(""), F.when((gender == "f") & F.lit(script == "cyrillic"), "ва").otherwise("")))
+        ending = F.when(canon.rlike("[ая]$"), "ва").otherwise("") if script == "cyrillic" else F.lit("")
+        return F.initcap(F.concat(syllables(script, "family", tries + 4), ending))
 
     def given(script: str) -> Column:
         seed = F.xxhash64(digest, F.lit("given"))
         either = _pick([*GIVEN[script, "f"], *GIVEN[script, "m"]], seed)
-        return F.when(gender == "f", _pick(GIVEN[script, "f"], seed)).when(gender == "m", _pick(GIVEN[script, "m"], seed)).otherwise(either)
-
-    def whole(script: str) -> Column:
-        return F.when(F.size(words) > 1, F.concat_ws(" ", given(script), family(script))).otherwise(family(script))
+        first = F.when(gender == "f", _pick(GIVEN[script, "f"], seed)).when(gender == "m", _pick(GIVEN[script, "m"], seed)).otherwise(either)
+        return F.when(tries == 0, first).otherwise(F.concat(first, F.lit("-"), F.initcap(syllables(script, "more", tries + 1))))
 
-    return F.when(cyrillic, whole("cyrillic")).otherwise(whole("latin"))
+    both = lambda f: F.when(canon.rlike("[а-яё]"), f("cyrillic")).otherwise(f("latin"))
+    return F.when(kind == "given", both(given)).otherwise(both(family))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """entities (kind, canon, gender, tries) with `surrogate`, the canonical form of the replacement: a function of the key,
     the entity and the number of tries."""
-    keyed = F.sha2(F.concat_ws("\u0001", F.lit(key), "kind", "canon", F.col("tries").cast("string"), F.lit(key)), 256)
+    keyed = F.sha2(F.concat_ws("\u0001", F.lit(key), "kind", "canon", "gender", F.col("tries").cast("string"), F.lit(key)), 256)
     e = entities.withColumn("digest", keyed)
-    canon, digest, tries = F.col("canon"), F.col("digest"), F.col("tries").cast("int")
+    kind, canon, digest, tries = F.col("kind"), F.col("canon"), F.col("digest"), F.col("tries").cast("int")
     beyond = F.greatest(tries - MOST_TRIES, F.lit(0))
-    keep = F.when(F.col("kind") == "iban", 2).when(canon.startswith("AKIA"), 4).when((F.col("kind") == "phone") & canon.startswith("+"), 2).otherwise(0)
-    same = _same_format(canon, digest, keep, canon.rlike("^[0-9a-f]+$"))
+    keep = F.when(kind == "iban", 2).when(canon.startswith("AKIA"), 4).when((kind == "phone") & canon.startswith("+"), 2).otherwise(0)
     local = _same_format(F.substring_index("canon", "@", 1), digest, F.lit(0), F.lit(False))
     octets = [F.pmod(F.xxhash64(digest, F.lit(k)), F.lit(16 if k == 0 else 256)) + (240 if k == 0 else 0) for k in range(4)]
-    e = e.withColumn("same", F.when(~F.col("kind").isin("email", "ip", "person"), same))
+    more = F.translate(F.substring(digest, F.lit(1), 2 * beyond), "abcdef", "012345")
+    e = e.withColumn("same", F.when(~kind.isin("email", "ip", "given", "family"), _same_format(canon, digest, keep, canon.rlike("^[0-9a-f]+$"))))
+    e = e.withColumn("same", F.when(kind.isin("phone", "ssn", "card", "iban"), F.concat("same", more)).otherwise(F.col("same")))
     last = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.concat(F.expr("left(same, length(same) - 1)"), k.cast("string"))), _luhn)
+    check = F.lpad((98 - _mod97(F.concat(F.substring("same", 1, 2), F.lit("00"), F.expr("substring(same, 5)")))).cast("string"), 2, "0")
+    groups = F.concat_ws(":", F.lit("2001:db8"), *[F.substring(digest, 4 * k + 1, 4) for k in range(6)])
     out = (
-        F.when(F.col("kind") == "email", F.concat(local, F.lit("@m"), F.substring(digest, F.lit(1), 8 + 4 * tries), F.lit(".example")))
-        .when(F.col("kind") == "ip", F.concat_ws(".", *[o.cast("string") for o in octets]))
-        .when(F.col("kind") == "person", _name(canon, digest, F.col("gender"), tries))
-        .when(F.col("kind") == "ssn", F.concat(F.lit("9"), F.expr("substring(same, 2)")))
-        .when((F.col("kind") == "card") & _luhn(canon), F.get(last, F.lit(0)))
+        F.when(kind == "email", F.concat(local, F.lit("@m"), F.substring(digest, F.lit(1), 8 + 4 * tries), F.lit(".example")))
+        .when(kind == "ip", F.when(beyond > 0, groups).otherwise(F.concat_ws(".", *[o.cast("string") for o in octets])))
+        .when(kind.isin("given", "family"), _names(kind, canon, digest, F.col("gender"), tries))
+        .when(kind == "ssn", F.concat(F.lit("9"), F.expr("substring(same, 2)")))
+        .when((kind == "card") & _luhn(canon), F.get(last, F.lit(0)))
+        .when((kind == "iban") & (_mod97(canon) == 1), F.concat(F.substring("same", 1, 2), check, F.expr("substring(same, 5)")))
+        .when((kind == "secret") & (beyond > 0), F.substring(digest, F.lit(1), 8 + 4 * beyond))
         .otherwise(F.col("same"))
     )
-    groups = F.concat_ws(":", F.lit("2001:db8"), *[F.substring(digest, 4 * k + 1, 4) for k in range(6)])
-    grown = F.when(F.col("kind").isin("phone", "ssn", "card", "iban"), F.concat(out, F.translate(F.substring(digest, F.lit(1), 2 * beyond), "abcdef", "012345")))
-    grown = grown.when(F.col("kind") == "ip", groups).when(F.col("kind") == "secret", F.substring(digest, F.lit(1), 8 + 4 * beyond)).otherwise(out)
-    return e.withColumn("surrogate", F.when(beyond > 0, grown).otherwise(out)).drop("digest", "same")
+    return e.withColumn("surrogate", out).drop("digest", "same")
 
 
 def rendered(kind: Column, body: Column, surrogate: Column) -> Column:
@@ -167,53 +187,62 @@ def rendered(kind: Column, body: Column, surrogate: Column) -> Column:
 
 
 def collision_tries(entities: DataFrame, key: str) -> DataFrame:
-    """kind, canon, tries of the entities that need more than one try. An entity tries again while its surrogate is that of
+    """kind, canon, gender, tries of the entities that need more than one try. An entity tries again while its surrogate is that of
     another entity (which has fewer tries, or sorts first) or is itself an entity of the data. As surrogates grow, this ends."""
-    settled, found = entities.withColumn("tries", F.lit(0)), None
-    for _ in itertools.count():
+    whole = ["kind", "canon", "gender"]
+    settled = entities.withColumn("tries", F.lit(0))
+    while True:
         named = surrogates(settled, key)
-        first = named.groupBy("kind", "surrogate").agg(F.min(F.struct("tries", "canon")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        taken = named.join(first, ["kind", "surrogate"]).where("struct(tries, canon) != first").select("kind", "canon")
-        named = named.withColumn("surrogate", F.when(F.col("kind") == "person", F.lower("surrogate")).otherwise(F.col("surrogate")))
-        real = named.join(entities.select("kind", F.col("canon").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "canon")
+        first = named.groupBy("kind", "surrogate").agg(F.min(F.struct("tries", "canon", "gender")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        taken = named.join(first, ["kind", "surrogate"]).where("struct(tries, canon, gender) != first").select(*whole)
+        named = named.withColumn("surrogate", F.when(F.col("kind").isin("given", "family"), F.lower("surrogate")).otherwise(F.col("surrogate")))
+        real = named.join(entities.select("kind", F.col("canon").alias("surrogate")), ["kind", "surrogate"], "left_semi").select(*whole)
         bad = staged(taken.unionByName(real).distinct())
         if bad.isEmpty():
-            return settled.where("tries > 0").select("kind", "canon", "tries")
-        settled = staged(settled.join(bad.withColumn("again", F.lit(1)), ["kind", "canon"], "left").select("kind", "canon", "gender", (F.col("tries") + F.coalesce("again", F.lit(0))).alias("tries")))
+            return settled.where("tries > 0")
+        settled = staged(settled.join(bad.withColumn("again", F.lit(1)), whole, "left").select(*whole, (F.col("tries") + F.coalesce("again", F.lit(0))).alias("tries")))
 
 
 def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Replace every detected entity of every whole text: id_col, text, n_entities (long), kinds (sorted array of strings).
 
     Kinds: secret, email, phone, ssn, card, ip, iban, person (after a title). Mentions of an entity share its canonical form
-    and so its surrogate, in all documents; the surrogate takes the format of each mention. Surrogates of different entities
-    of a kind differ, and none is an entity of the data. Card numbers keep their validity; addresses become ones of the
-    reserved block 240.0.0.0/4 (where that is full, of 2001:db8::/32) and of the top-level domain .example; titles give a name's gender, its letters the script.
-
-    Texts without an entity pass unchanged and unshuffled. Only mentions are grouped; the distinct entities are summed in
-    each task first. Null text stays null. Repeated rows and rows with a null id are treated each. An empty table gives no
+    and so its surrogate, in all documents; the surrogate takes the format of each mention. Given and family names are
+    entities of their own: who is named by both keeps the family name where it stands alone. Surrogates of different entities
+    of a kind differ, and none is an entity of the data. Card and account numbers keep their validity; addresses become ones
+    of the reserved block 240.0.0.0/4 (where that is full, of 2001:db8::/32) and of the top-level domain .example. A mention's
+    title gives the gender of its given name, a neutral title the gender that the name has elsewhere; letters give the script.
+
+    The patterns run once over all texts; what they find is stored, and only texts with entities are taken apart again. Texts
+    without one pass unchanged and unshuffled. Only mentions are grouped; the distinct entities are summed in each task
+    first. Null text stays null. Repeated rows and rows with a null id are treated each. An empty table gives no
     rows. Other columns are ignored. No entity's original is in the result."""
+    text = F.col("text")
+    found = F.when(text.rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    has = F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(ANY), F.lit(False))
-    plain = base.where(~has).select("id", "text", F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
-    touched = base.where(has).withColumn("th", F.xxhash64("text"))
-
-    mentions = touched.select("id", "th", F.posexplode(found).alias("pos", "m")).distinct().withColumn("kind", kind_of(F.col("m")))
-    mentions = mentions.withColumn("head", head_of(F.col("kind"), F.col("m"))).withColumn("body", F.expr("substring(m, length(head) + 1)"))
-    title = F.regexp_replace("head", r"[. ]", "")
-    gender = F.when(title.isin(FEMALE_TITLES), "f").when(title.isin(MALE_TITLES), "m").otherwise("")
-    mentions = staged(mentions.select("id", "th", "pos", "kind", "head", "body", canonical(F.col("kind"), F.col("body")).alias("canon"), gender.alias("gender")))
-    entities = staged(mentions.groupBy("kind", "canon").agg(F.max("gender").alias("gender")))
-    tries = staged(collision_tries(entities, key))
-    known = entities.where(F.col("kind") == "person").select("kind", "canon", F.col("gender").alias("all_gender"))
-
-    m = mentions.join(broadcast_if_small(tries, tries.count(), BROADCAST_ROWS), ["kind", "canon"], "left").withColumn("tries", F.coalesce("tries", F.lit(0)))
-    m = m.where("kind != 'person'").unionByName(m.where("kind = 'person'").drop("gender").join(known.withColumnRenamed("all_gender", "gender"), ["kind", "canon"]))
-    m = surrogates(m, key).select(F.col("id").alias("hit_id"), F.col("th").alias("hit_th"), "pos", "kind", F.concat("head", rendered(F.col("kind"), F.col("body"), F.col("surrogate"))).alias("new"))
-    new = m.groupBy("hit_id", "hit_th").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("new"), F.array_sort(F.collect_set("kind")).alias("kinds"))
-    out = touched.join(new, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")))
+    base = staged(base.select(F.monotonically_increasing_id().alias("row"), "id", "text", F.coalesce(found, F.array().cast("array<string>")).alias("found")))
+    plain = base.where(F.size("found") == 0).select("id", "text", F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
+    touched = base.where(F.size("found") > 0)
+
+    with scratch(docs.sparkSession):
+        mentions = touched.select("row", F.posexplode("found").alias("pos", "m")).withColumn("whole", kind_of(F.col("m")))
+        mentions = mentions.withColumn("head", head_of(F.col("whole"), F.col("m"))).withColumn("body", F.expr("substring(m, length(head) + 1)"))
+        title = F.regexp_replace("head", r"[. ]", "")
+        gender = F.when(title.isin(FEMALE_TITLES), "f").when(title.isin(MALE_TITLES), "m").otherwise("")
+        parts = mentions.select("row", "pos", "whole", "head", gender.alias("gender"), F.inline(parts_of(F.col("whole"), F.col("body"))))
+        parts = staged(parts.withColumn("canon", canonical(F.col("kind"), F.col("body"))).withColumn("gender", F.when(F.col("kind") == "given", F.col("gender")).otherwise("")), keep=True)
+        usual = parts.where("kind = 'given'").groupBy("kind", "canon").agg(F.count_if(F.col("gender") == "f").alias("f"), F.count_if(F.col("gender") == "m").alias("m"))
+        usual = staged(usual.where("f != m").select("kind", "canon", F.when(F.col("f") > F.col("m"), "f").otherwise("m").alias("usual")), keep=True)
+        parts = parts.join(broadcast_if_small(usual, usual.count(), BROADCAST_ROWS), ["kind", "canon"], "left")
+        parts = parts.withColumn("gender", F.when((F.col("kind") == "given") & (F.col("gender") == ""), F.coalesce("usual", F.lit(""))).otherwise(F.col("gender")))
+        entities = staged(parts.select("kind", "canon", "gender").distinct())
+        tries = staged(collision_tries(entities, key), keep=True)
+
+    m = parts.join(broadcast_if_small(tries, tries.count(), BROADCAST_ROWS), ["kind", "canon", "gender"], "left").withColumn("tries", F.coalesce("tries", F.lit(0)))
+    m = surrogates(m, key).select("row", "pos", "part", "whole", "head", rendered(F.col("kind"), F.col("body"), F.col("surrogate")).alias("new"))
+    m = m.groupBy("row", "pos", "whole", "head").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "new"))), lambda x: x["new"]), " ").alias("new"))
+    new = m.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat("head", "new").alias("new")))).alias("new"), F.array_sort(F.collect_set("whole")).alias("kinds"))
     gaps = F.split("text", ANY, -1)
-    text = F.array_join(F.zip_with(gaps, F.concat(F.col("new.new"), F.array(F.lit(""))), lambda gap, x: F.concat(gap, x)), "")
-    out = out.select("id", text.alias("text"), F.size("new").cast("long").alias("n_entities"), "kinds")
+    rebuilt = F.array_join(F.zip_with(gaps, F.concat(F.col("new.new"), F.array(F.lit(""))), lambda gap, x: F.concat(gap, x)), "")
+    out = touched.join(new, "row").select("id", rebuilt.alias("text"), F.size("new").cast("long").alias("n_entities"), "kinds")
     return plain.unionByName(out).withColumnRenamed("id", id_col)
