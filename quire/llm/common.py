@@ -2,76 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import threading
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.staging import new_path, scratch, shared_folder, staged  # noqa: F401
+
 #: ASCII white space, the only characters that separate words or are stripped from lines here.
 WS_CHARS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own_folder: dict[str, str] = {}
-_scopes = threading.local()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir. Where that is unset, a local session gets a
-    new folder of its own; a cluster has to name one, as executors can't read what others wrote to their own disks."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
-    if not re.match(r"local(\[|$)", master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if app not in _own_folder:
-        _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return _own_folder[app]
-
-
-def file_system(spark: SparkSession, path: str):
-    """Hadoop's file system of a path, and the path for it."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables staged inside are deleted at its end, but for those staged with keep, which belong to the scratch around it."""
-    around = getattr(_scopes, "paths", None)
-    _scopes.paths, _scopes.around = [], (around, getattr(_scopes, "around", None))
-    try:
-        yield
-    finally:
-        done = _scopes.paths
-        _scopes.paths, _scopes.around = _scopes.around
-        for path in done:
-            fs, place = file_system(spark, path)
-            fs.delete(place, True)
-
-
-def staged(df: DataFrame, keep: bool = False) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back. Cuts the lineage: a lost executor costs no recomputation
-    of what came before, and a column that is used twice is computed once. The table is deleted at the end of the scratch
-    it belongs to; without one, when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quire-{uuid.uuid4().hex}"
-    owner = (_scopes.around[0] if keep else _scopes.paths) if getattr(_scopes, "around", None) else None
-    if owner is None:
-        fs, place = file_system(spark, path)
-        fs.deleteOnExit(place)
-    else:
-        owner.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,15 +1,21 @@
-"""Language-model scores: word unigrams with add-half smoothing, and prediction by partial matching over bytes (PPM-C).
+"""Language-model scores: word unigrams with add-half smoothing, and prediction by partial matching (PPM-C) over bytes.
 
-The PPM model is pretrained: byte contexts of up to three bytes with their followers' counts form a trie; the escape
-estimate of a context is (distinct followers) / (count + distinct followers), and followers that a longer context already
-ruled out are excluded from shorter ones. As counts of all contexts are full sums, the followers of a context are among
-those of its suffix, so each context's whole distribution over the 256 bytes can be worked out once; scoring then is one
-table look-up a byte. The frequent contexts' distributions go to every worker; a byte after any other context gets its
-probability by a join with the counts of all contexts."""
+The PPM model is pretrained: a trie of contexts with their followers' counts, from all training texts, whose last symbol is an
+end. The escape estimate of a context is (distinct followers) / (count + distinct followers). Short contexts, of up to three
+bytes, are followed by bytes; followers that a longer context already ruled out are excluded from shorter ones. As counts of
+all contexts are full sums, the followers of a context are among those of its suffix, so each context's whole distribution
+over the 256 bytes can be worked out once. The frequent contexts' distributions go to every worker; a byte after any other
+context gets its probability by a join with the counts of all contexts.
+
+Long contexts are held path-compressed: an edge of the trie is a few words, cut where a hash of the last two words says so,
+and an edge's context are the two edges before it. A text goes along an edge that followed its context in training, or escapes
+and spells the edge's bytes from the short contexts. There are as many long contexts as the corpus has places, so none goes
+to a worker: the workers score blocks of texts, deal their distinct edges by context, and get back what is known of them."""
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import staged
+from quire.llm.common import scratch, staged
 from quire.llm.words import WORDS
 
 #: Contexts of each order (0 to 3 bytes) whose rows every worker holds, the most frequent first; of orders 0 and 1 that is
@@ -33,6 +39,12 @@ POPULAR = 200_000
 #: Word counts that a worker gathers before it hands them on.
 GATHERED = 1_000_000
 START = b"\n" * ORDER
+#: Stands for the end of a text; no byte of UTF-8 is 255.
+END = b"\xff"
+#: One in so many words ends an edge, and the first one does (the first edge has no context, and is spelt); texts are taken in stretches of so many bytes, at whose ends an edge ends too.
+EDGE, STRETCH = 2, 1 << 20
+#: Bytes of text whose edges are dealt together, and bytes of text in all for which edges meet in one group.
+BLOCK, SHARD = 1 << 24, 1 << 24
 _DOWN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -75,7 +87,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
 
         for b in batches:
             for x in b.column("text"):
-                waiting.append(grams(lowered(x.as_py())))
+                waiting.append(grams(lowered(x.as_py()) + END))
                 size += len(waiting[-1])
                 if size > 1 << 22:
                     keys, sums = add(keys, sums)
@@ -118,6 +130,16 @@ class Ppm:
                 self.low.append(here)
         self.table = np.log10(np.maximum(np.array(rows), 1e-300)).astype(np.float32)
 
+    def data(self) -> dict:
+        """Plain arrays: broadcasts, unlike functions, are not pickled by value."""
+        return dict(vars(self))
+
+    @classmethod
+    def of(cls, data: dict) -> "Ppm":
+        ppm = cls.__new__(cls)
+        vars(ppm).update(data)
+        return ppm
+
     @staticmethod
     def _row(c: np.ndarray, below: np.ndarray) -> np.ndarray:
         """A context's distribution from its counts and the one over the bytes that do not follow it."""
@@ -167,6 +189,19 @@ class Ppm:
         return out
 
 
+def most_frequent(rows: DataFrame, n: str, most: int) -> int:
+    """The least count such that at most `most` rows (unless many are tied) have it or more, to an eighth of a power of two: from
+    sums by size, so that no task meets more than some hundred rows."""
+    size = F.floor(8 * F.log2(n)).alias("size")
+    left, least = most, None
+    for r in sorted(rows.groupBy(size).agg(F.count("*").alias("k"), F.min(n).alias("least")).collect(), key=lambda r: -r["size"]):
+        left -= r["k"]
+        if left < 0:
+            break
+        least = r["least"]
+    return least if least is not None else 1 << 62
+
+
 def ppm_of(counts: DataFrame) -> Ppm:
     """The rows of each order's NODES most frequent contexts, from gram counts; their followers' sums come to the driver."""
     levels: list[dict[int, np.ndarray]] = []
@@ -174,8 +209,9 @@ def ppm_of(counts: DataFrame) -> Ppm:
         context = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * k) - 1)) if k else F.lit(0).cast("long")
         sums = counts.groupBy(context.alias("context"), F.col("gram").bitwiseAND(F.lit(255)).alias("byte")).agg(F.sum("n").alias("n"))
         if k > 1:
-            top = sums.groupBy("context").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "context").limit(most).select("context")
-            sums = sums.join(F.broadcast(top), "context")
+            totals = staged(sums.groupBy("context").agg(F.sum("n").alias("total")))
+            top = totals.where(F.col("total") >= most_frequent(totals, "total", most)).select("context")
+            sums = sums.join(F.broadcast(top), "context")  # at most NODES rows
         got = sums.toPandas()
         level: dict[int, np.ndarray] = {} if k else {0: np.zeros(256)}
         order = np.argsort(got["context"].to_numpy(), kind="stable")
@@ -192,14 +228,14 @@ def ppm_of(counts: DataFrame) -> Ppm:
 def rare_logs(counts: DataFrame, asked: DataFrame, shared: Broadcast) -> DataFrame:
     """gram, log: log10 P of the last byte of each of asked (gram, distinct), from the counts of all contexts. Grams that share
     their contexts' last two bytes, 2**16 at most on either side, meet in one group: it holds all that their trie nodes need.
-    shared.value[1] is the Ppm."""
+    shared.value[1] has the Ppm."""
     suffix = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).alias("suffix")
     asked = asked.select("gram", suffix)
     counts = counts.select("gram", "n", suffix).join(asked.select("suffix").distinct(), "suffix", "left_semi").select("gram", "n", "suffix")
 
     def logs(key: tuple, counted: pa.Table, asked: pa.Table) -> pa.Table:
         gram = asked.column("gram").to_numpy()
-        log = shared.value[1].rare(key[0].as_py(), counted.column("gram").to_numpy(), counted.column("n").to_numpy(), gram)
+        log = Ppm.of(shared.value[1]).rare(key[0].as_py(), counted.column("gram").to_numpy(), counted.column("n").to_numpy(), gram)
         return pa.table({"gram": gram, "log": log})
 
     return counts.groupBy("suffix").cogroup(asked.groupBy("suffix")).applyInArrow(logs, "gram long, log double")
@@ -225,23 +261,172 @@ class PpmScorer:
         contexts = sum(values[grid // self.a**k % self.a] << (8 * k) for k in range(ORDER))
         self.rows = ppm.rows_of(contexts)
 
-    def score(self, data: bytes) -> tuple[float, np.ndarray, np.ndarray]:
-        """log10 of the probability of data's bytes, less those whose context may be one without a row; these bytes' grams and
-        how often each occurs."""
-        total, rare = 0.0, [np.zeros(0, np.uint32)]
+    def score(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 of each byte's probability, 0 for bytes whose context may be one without a row; these bytes' places and grams."""
+        logs, places, grams = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         for k in range(0, len(data), 1 << 20):
             b = np.frombuffer((data[k - ORDER : k] if k else START) + data[k : k + (1 << 20)], np.uint8)
             r = (self.rank[b] if self.rows is not None else b).astype(np.int64)
             base = self.a if self.rows is not None else 256
             at = sum(r[ORDER - 1 - j : len(r) - 1 - j] * base**j for j in range(ORDER))
             row = self.rows[at] if self.rows is not None else self.ppm.rows_of(at)
-            byte = b[ORDER:]
+            log = self.ppm.table[row, b[ORDER:]]
             if self.ppm.cut:
-                held = row >= self.ppm.first[ORDER]
-                rare.append(_grams(b)[~held])
-                row, byte = row[held], byte[held]
-            total += float(self.ppm.table[row, byte].sum(dtype=np.float64))
-        return total, *np.unique(np.concatenate(rare), return_counts=True)
+                rare = np.flatnonzero(row < self.ppm.first[ORDER])
+                log[rare] = 0
+                places.append(rare + k)
+                grams.append(_grams(b)[rare])
+            logs.append(log)
+        return np.concatenate(logs), np.concatenate(places), np.concatenate(grams)
+
+
+# ---- edges: long contexts ------------------------------------------------------------------------------------------------
+
+
+class Edges:
+    """Cuts texts into edges and hashes them and their contexts, by prefix sums over the bytes."""
+
+    def __init__(self):
+        rng = np.random.default_rng(11)
+        self.signs = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        odd = 0x9E3779B97F4A7C15
+        self.up, self.down = (np.cumprod(np.full(STRETCH + 1, x, np.uint64)) for x in (odd, pow(odd, -1, 1 << 64)))
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32, END[0]]] = True
+
+    def _hash(self, sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of the bytes from begin up to, not with, end."""
+        h = (sums[end] - sums[begin]) * self.down[begin]
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xC2B2AE3D27D4EB4F)
+        return h ^ (h >> np.uint64(29))
+
+    def stretch(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the edges of a stretch begin, their hashes, and their contexts' (0: the first one, which has none)."""
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.signs[b] * self.up[: len(b)])])
+        space = self.space[b]
+        ends = np.flatnonzero(space[1:] & ~space[:-1]) + 2  # past the sign that ends a word
+        begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))[: len(ends)]
+        pair = self._hash(sums, np.concatenate([begins[:1], begins[:-1]]), ends)
+        cut = ends[((pair % np.uint64(EDGE) == 0) | (np.arange(len(ends)) == 0)) & (ends < len(b))]
+        begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(b)]])
+        context = self._hash(sums, np.concatenate([begin[:1], begin[:1], begin])[: len(begin)], begin)
+        context[1:2] ^= np.uint64(0x5851F42D4C957F2D)  # an edge alone is not two edges
+        context |= np.uint64(1)
+        context[0] = 0
+        return begin, self._hash(sums, begin, end), context
+
+    def of(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = [self.stretch(np.frombuffer(data[k : k + STRETCH], np.uint8)) for k in range(0, len(data), STRETCH)]
+        begins, hashes, contexts = zip(*parts, strict=True)
+        return np.concatenate([x + k * STRETCH for k, x in enumerate(begins)]), np.concatenate(hashes), np.concatenate(contexts)
+
+
+class Block:
+    """Edges of the texts that one worker scores in turn: what the shards need of them, and what the block keeps."""
+
+    def __init__(self):
+        self.size, self.texts, self.n = 0, [], 0
+
+    def add(self, edges: tuple[np.ndarray, np.ndarray, np.ndarray], scored: tuple[np.ndarray, np.ndarray, np.ndarray], train: bool) -> tuple[int, int]:
+        begin, own, context = edges
+        logs, places, grams = scored
+        spelt = np.add.reduceat(logs, begin, dtype=np.float64).astype(np.float32)
+        self.texts.append((own, context, spelt, np.searchsorted(begin, places, side="right") - 1 + self.n, grams, np.full(len(own), train)))
+        self.size += len(logs)
+        self.n += len(own)
+        return self.n - len(own), len(own)
+
+    def close(self, shards: int) -> Iterator[tuple[int, bytes]]:
+        """(shard, contents). The block's distinct pairs of context and edge are numbered by shard, context and edge. To a shard go
+        its first number, contexts, edges, and how often training has each (a byte, and those of 255 or more again). The block
+        keeps, as shard -1, the number of each of its edges (-1 without context), which numbers are from training, and of
+        edges that aren't so the log when spelt and the rare bytes in them."""
+        own, context, spelt, at, grams, train = map(np.concatenate, zip(*self.texts, strict=True))
+        inside = np.flatnonzero(context)
+        shard = ((context[inside] >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
+        order = np.lexsort((own[inside], context[inside], shard))
+        c, e, shard = context[inside[order]], own[inside[order]], shard[order]
+        new = np.concatenate([[True], (c[1:] != c[:-1]) | (e[1:] != e[:-1])])[: len(order)]
+        number = np.full(len(own), -1, np.int32)
+        number[inside[order]] = np.cumsum(new) - 1
+        c, e, shard = c[new], (e[new] >> np.uint64(32)).astype(np.uint32), shard[new]
+        seen = np.bincount(number[inside], train[inside], len(c)).astype(np.int64)
+        unsure = np.full(len(own), True)
+        unsure[inside] = seen[number[inside]] == 0
+        yield -1, pickle.dumps((number, np.packbits(seen > 0), np.where(unsure, spelt, np.float32(0)), at[unsure[at]].astype(np.int32), grams[unsure[at]]))
+        edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        for a, z in zip(edges, edges[1:]):
+            if z > a:
+                many = np.flatnonzero(seen[a:z] >= 255)
+                yield int(shard[a]), pickle.dumps((a, c[a:z], e[a:z], np.minimum(seen[a:z], 255).astype(np.uint8), many, seen[a:z][many]))
+
+
+def known_edges(rows: DataFrame) -> DataFrame:
+    """block, answers: what training says of the blocks' edges, from (shard, block, blob). Each shard has all edges of its contexts,
+    each of them at most once a block. An answer is (edge's number, log10, whether it escapes); left out are edges for which
+    what the block assumes holds: in a context seen once, by the block's own training text, or in one never seen."""
+
+    def answer(key: tuple, t: pa.Table) -> pa.Table:
+        parts = [pickle.loads(x) for x in t.column("blob").to_pylist()]
+        seen = [p[3].astype(np.int64) for p in parts]
+        for s, (*_, at, counts) in zip(seen, parts, strict=True):
+            s[at] = counts
+        context, edge, seen = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]), np.concatenate(seen)
+        number = np.concatenate([np.arange(p[0], p[0] + len(p[1])) for p in parts])
+        owner = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
+        order = np.lexsort((edge, context))
+        context, edge = context[order], edge[order]
+        new_context = np.concatenate([[True], context[1:] != context[:-1]])
+        new = new_context | np.concatenate([[True], edge[1:] != edge[:-1]])
+        gram, group = np.cumsum(new) - 1, np.cumsum(new_context) - 1
+        c = np.bincount(gram, seen[order])
+        n = np.bincount(group[new], c)[group]
+        d = np.bincount(group[new], c > 0)[group]
+        c = c[gram]
+        told = np.where(seen[order] > 0, n + d > 2, n > 0)
+        escapes = c == 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            log = np.log10(np.where(escapes, d, c) / (n + d)).astype(np.float32)
+        keep = np.flatnonzero(told)
+        by = keep[np.argsort(owner[order][keep], kind="stable")]
+        blocks, blobs = [], []
+        for part in np.split(by, np.flatnonzero(np.diff(owner[order][by])) + 1) if len(by) else []:
+            blocks.append(t.column("block")[int(owner[order][part[0]])].as_py())
+            blobs.append(pickle.dumps((number[order][part].astype(np.int32), log[part], escapes[part])))
+        return pa.table({"block": pa.array(blocks, pa.int64()), "answers": pa.array(blobs, pa.binary())})
+
+    return rows.groupBy("shard").applyInArrow(answer, "block long, answers binary")
+
+
+def along_edges(texts: DataFrame, answers: DataFrame) -> DataFrame:
+    """row, log10 of a text along its edges, and the rare bytes (gram, times) in edges that it spells; from the block's rows (row,
+    first, n_edges, or the block's own blob) and the answers to it."""
+
+    def walk(key: tuple, t: pa.Table, told: pa.Table) -> pa.Table:
+        own = np.array([x is not None for x in t.column("blob").to_pylist()])
+        number, trained, spelt, at, grams = pickle.loads(t.column("blob")[int(own.argmax())].as_py())
+        trained = np.unpackbits(trained, count=int(number.max(initial=-1)) + 1).astype(bool)
+        log, escapes = np.where(trained, np.float32(-math.log10(2)), np.float32(0)), ~trained
+        for blob in told.column("answers").to_pylist():
+            k, new, out = pickle.loads(blob)
+            log[k], escapes[k] = new, out
+        spells = np.full(len(number), True)
+        value = np.zeros(len(number))
+        inside = number >= 0
+        value[inside], spells[inside] = log[number[inside]], escapes[number[inside]]
+        value += np.where(spells, spelt, 0)
+        docs = t.select(["row", "first", "n_edges"]).filter(pa.array(~own)).sort_by("first")
+        first, n = docs.column("first").to_numpy(), docs.column("n_edges").to_numpy()
+        at, grams = at[spells[at]], grams[spells[at]]
+        lists = []
+        for a, z in zip(np.searchsorted(at, first).tolist(), np.searchsorted(at, first + n).tolist(), strict=True):
+            gram, times = np.unique(grams[a:z], return_counts=True)
+            lists.append([{"gram": g, "times": k} for g, k in zip(gram.tolist(), times.tolist(), strict=True)])
+        kind = pa.list_(pa.struct([("gram", pa.int64()), ("times", pa.int64())]))
+        return pa.table({"row": docs.column("row"), "score": pa.array(np.add.reduceat(value, first)), "rare": pa.array(lists, kind)})
+
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(walk, "row long, score double, rare array<struct<gram:long,times:long>>")
 
 
 # ---- words ---------------------------------------------------------------------------------------------------------------
@@ -274,57 +459,75 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
 
     Returns id_col, held_out, n_tokens, n_known, train_tokens (long), base_score, score, ppm_bits (double: code length of the
     text in bits). Tokens: words after A-Z to a-z, then one end. base_score: sum of log10((c+0.5)/(N+0.5*(V+1))). score:
-    log10 of the PPM model's probability of the text's bytes.
+    log10 of the PPM model's probability of the text, its end included.
 
     Each word is counted over all training rows. Counts of at most POPULAR frequent words go to the workers; every other
-    word of a row joins with its count; such words are rare, so no key is hot. The same holds for the PPM model's contexts
-    beyond NODES: bytes after them join with their probability. Null or empty text: one token (the end),
-    score 0. Repeated rows are learnt from and scored each; a null id is scored like any other. An empty table gives no rows. Other columns are ignored."""
+    word of a row joins with its count; such words are rare, so no key is hot. The same holds for the PPM model's short contexts
+    beyond NODES: bytes after them join with their probability. Edges are dealt by their context, a distinct one once a block.
+
+    Null or empty text: one token (the end). Repeated rows are learnt from and scored each; a null id is scored like any
+    other. An empty table gives no rows. Other columns are ignored."""
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    train = base.where("not held_out")
+    train, spark = base.where("not held_out"), docs.sparkSession
     counts = staged(count_words(train.select("text")))
     words, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    ends = train.count()
+    ends, size = base.agg(F.count_if(~F.col("held_out")), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n_all, n_types = words + ends, types + (ends > 0)
     below = math.log10(n_all + 0.5 * (n_types + 1))
-    top = counts.orderBy(F.desc("n"), "word").limit(POPULAR).toArrow()
+    top = counts.where(F.col("n") >= most_frequent(counts, "n", POPULAR)).toArrow()
     known = dict(zip(top.column("word").to_pylist(), [math.log10(n + 0.5) for n in top.column("n").to_pylist()], strict=True))
     gram_counts = staged(count_grams(train.select("text")))
-    ppm = ppm_of(gram_counts)
-    shared = base.sparkSession.sparkContext.broadcast((known, ppm))
+    with scratch(spark):
+        ppm = ppm_of(gram_counts)
+    shared = spark.sparkContext.broadcast((known, ppm.data()))
+    shards = max(8, size // SHARD)
+    kind = dict(base.dtypes)["id"]
+    names = ["id", "held_out", "row", "n_tokens", "n_frequent", "frequent", "rest", "block", "first", "n_edges", "shard", "blob"]
+    kinds = [None, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())])), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known, ppm = shared.value
-        scorer, n = PpmScorer(ppm), TaskContext.get().partitionId() << 33
+        known, data = shared.value
+        scorer, cutter, block, n = PpmScorer(Ppm.of(data)), Edges(), Block(), TaskContext.get().partitionId() << 33
+        name, id_kind = n, pa.null()
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for shard, blob in block.close(shards):
+                row = {"block": name, "shard": shard, "blob": blob}
+                yield pa.RecordBatch.from_arrays([pa.array([row.get(c)], t or id_kind) for c, t in zip(names, kinds, strict=True)], names=names)
+
         for b in batches:
+            id_kind = b.column("id").type
             for k in range(0, b.num_rows, 512):
-                part, rows, rare = b.slice(k, 512), [], []
-                for x in part.column("text"):
+                part, rows = b.slice(k, 512), []
+                for x, held in zip(part.column("text"), part.column("held_out").to_pylist(), strict=True):
                     data = lowered(x.as_py())
                     words = words_of(data)
                     logs = [v for v in map(known.get, words) if v is not None]
                     rest = Counter(w for w in words if w not in known) if len(logs) < len(words) else {}
-                    log, *grams = scorer.score(data)
-                    rows.append((n, len(words) + 1, len(logs), math.fsum(logs), log, list(rest.items())))
-                    rare.append(grams)
+                    data += END
+                    first, size = block.add(cutter.of(data), scorer.score(data), not held)
+                    rows.append((n, len(words) + 1, len(logs), math.fsum(logs), [{"word": w, "tf": t} for w, t in rest.items()], name, first, size, None, None))
                     n += 1
                 cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())]))]
-                cols[5] = [[{"word": w, "tf": t} for w, t in c] for c in cols[5]]
-                each = pa.StructArray.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*rare, strict=True)], names=["gram", "times"])
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(g) for g, _ in rare)]), pa.int32()), each)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), lists], names=["id", "held_out", "row", "n_tokens", "n_frequent", "frequent", "score", "rest", "rare"])
-
-    kind = dict(base.dtypes)["id"]
-    scored = staged(base.mapInArrow(score, f"id {kind}, held_out boolean, row long, n_tokens long, n_frequent long, frequent double, score double, rest array<struct<word:string,tf:long>>, rare array<struct<gram:long,times:long>>"))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), *(pa.array(c, t) for c, t in zip(cols, kinds[2:], strict=True))], names=names)
+                if block.size > BLOCK:
+                    yield from close()
+                    block, name = Block(), n
+        if block.n:
+            yield from close()
+
+    rows = staged(base.mapInArrow(score, f"id {kind}, held_out boolean, row long, n_tokens long, n_frequent long, frequent double, rest array<struct<word:string,tf:long>>, block long, first long, n_edges long, shard int, blob binary"))
+    scored = rows.where("shard is null")
+    answers = known_edges(rows.where("shard >= 0").select("shard", "block", "blob"))
+    walked = staged(along_edges(rows.where("shard is null or shard < 0").select("block", "row", "first", "n_edges", "blob"), answers))
     rest = scored.select("row", F.inline("rest")).join(counts, "word", "left")
     log = F.log10(F.coalesce("n", F.lit(0)) + 0.5) * F.col("tf")
     rest = rest.groupBy("row").agg(F.sum(log).alias("log"), F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("n_rest"))
-    out = scored.drop("rest", "rare").join(rest, "row", "left")
+    out = scored.select("id", "held_out", "row", "n_tokens", "n_frequent", "frequent").join(walked.select("row", "score"), "row").join(rest, "row", "left")
     if ppm.cut:
-        rare = scored.select("row", F.inline("rare"))
+        rare = walked.select("row", F.inline("rare"))
         rare = rare.join(staged(rare_logs(gram_counts, rare.select("gram").distinct(), shared)), "gram").groupBy("row").agg(F.sum(F.col("log") * F.col("times")).alias("rare_log"))
         out = out.join(rare, "row", "left").withColumn("score", F.col("score") + F.coalesce("rare_log", F.lit(0.0)))
     base_score = F.col("frequent") + F.coalesce("log", F.lit(0.0)) + F.lit(math.log10(ends + 0.5)) - F.col("n_tokens") * F.lit(below)

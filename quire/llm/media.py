@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: Stored pages have rows of 64 samples and at most so many rows.
 WIDTH, ROWS = 64, 256
-#: Largest number of samples that a page may claim, so that a damaged header can't ask for all memory.
-MOST_SAMPLES = 1 << 28
+#: How many bytes one stored byte can stand for at most, so that a damaged header can't ask for more memory than its strips fill.
+EXPANSION = {NONE: 1, PACKBITS: 64, LZW: 2_600, DEFLATE: 1_040, OLD_DEFLATE: 1_040}
 
 
 # ---- codecs --------------------------------------------------------------------------------------------------------------
@@ -128,9 +128,7 @@ def decoded(data: bytes, compression: int, most: int) -> bytes:
         return lzw_decode(data, most)
     if compression in (DEFLATE, OLD_DEFLATE):
         return zlib.decompressobj().decompress(data, most)
-    if compression == PACKBITS:
-        return packbits_decode(data, most)
-    raise ValueError(f"compression {compression} is not supported")
+    return packbits_decode(data, most)
 
 
 # ---- reader --------------------------------------------------------------------------------------------------------------
@@ -169,7 +167,11 @@ def page_of(data: bytes, tags: dict[int, list[int]]) -> dict:
     compression, predictor, tiled = one(259, 1), one(317, 1), 322 in tags
     if bits not in (8, 16) or len(set(tags.get(258, [8]))) > 1 or one(284, 1) != 1 or predictor not in (1, 2):
         raise ValueError("only chunky pages of 8 or 16 bits, with predictor 1 or 2")
-    if not 0 < width * height * samples <= MOST_SAMPLES:
+    if one(266, 1) != 1:
+        raise ValueError("bits in reverse order")
+    if compression not in EXPANSION:
+        raise ValueError(f"compression {compression} is not supported")
+    if not 0 < width * height * samples * (bits // 8) <= EXPANSION[compression] * min(sum(tags[325 if tiled else 279]), len(data)):
         raise ValueError("page size out of range")
     kind = np.dtype(np.uint8) if bits == 8 else np.dtype(">u2" if one(0, 0) else "<u2")
     if tiled:
@@ -191,6 +193,18 @@ def page_of(data: bytes, tags: dict[int, list[int]]) -> dict:
     return {"width": width, "height": height, "samples": samples, "bits": bits, "compression": compression, "predictor": predictor, "tiled": tiled, "pixels": image.tobytes()}
 
 
+def pages_of(data: bytes | None) -> Iterator[tuple[int, dict | None, str | None]]:
+    """(page, page_of() or None, error or None) of each page in turn; after an error there are no more."""
+    page = -1
+    try:
+        if data is None:
+            raise ValueError("no media")
+        for page, tags in enumerate(directories(data)):
+            yield page, page_of(data, tags), None
+    except (ValueError, KeyError, IndexError, struct.error, zlib.error, OverflowError, MemoryError) as e:
+        yield page + 1, None, str(e) or type(e).__name__
+
+
 PAGE_FIELDS = {"width": "int", "height": "int", "samples": "int", "bits": "int", "compression": "int", "predictor": "int", "tiled": "boolean", "pixels": "binary"}
 _ARROW = {"int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
 
@@ -208,16 +222,6 @@ def tiff_pages(files: DataFrame, media_col: str = "media", batch_bytes: int = 1
     head = ", ".join(f"`{c}` {t}" for c, t in files.dtypes if c in kept)
     schema = ", ".join([*([head] if kept else []), "page int", *(f"{k} {v}" for k, v in PAGE_FIELDS.items()), "error string"])
 
-    def walk(data: bytes | None) -> Iterator[tuple]:
-        page = -1
-        try:
-            if data is None:
-                raise ValueError("no media")
-            for page, tags in enumerate(directories(data)):
-                yield (page, *page_of(data, tags).values(), None)
-        except (ValueError, KeyError, IndexError, struct.error, zlib.error, OverflowError, MemoryError) as e:
-            yield (page + 1, *[None] * len(PAGE_FIELDS), str(e) or type(e).__name__)
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, rows, size = [], [], 0
@@ -231,10 +235,10 @@ def tiff_pages(files: DataFrame, media_col: str = "media", batch_bytes: int = 1
                 return got
 
             for i, data in enumerate(b.column(media_col)):
-                for row in walk(data.as_py()):
+                for page, image, error in pages_of(data.as_py()):
                     at.append(i)
-                    rows.append(row)
-                    size += len(row[-2] or b"")
+                    rows.append((page, *(image or dict.fromkeys(PAGE_FIELDS)).values(), error))
+                    size += len(rows[-1][-2] or b"")
                     if size >= batch_bytes:
                         yield out()
                         size = 0
@@ -327,33 +331,26 @@ def feature_of(samples: np.ndarray) -> str:
 FEATURES = "doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def features(pages: DataFrame) -> DataFrame:
-    """One row per file from the pages of tiff_pages(store(payloads(...))): digests of the samples read back, and features.
-    Pages of a file follow each other; page 0 starts the next file."""
+def features(files: DataFrame) -> DataFrame:
+    """One row per file of store(payloads(...)): the pages are read back from the stored bytes, one after the other; digests of
+    all their samples, and features. A file that can't be read fails the job, as it was stored here."""
 
-    def close(head: tuple, parts: list[bytes]) -> tuple:
+    def of(data: bytes) -> tuple:
+        parts = []
+        for _, image, error in pages_of(data):
+            if error is not None:
+                raise ValueError(f"stored media can't be read: {error}")
+            parts.append(image["pixels"])
         payload = b"".join(parts)
-        return (head[0], head[1], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), head[2], head[3], feature_of(np.frombuffer(payload, np.uint8)))
-
-    kinds = [None, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    names = [x.split()[0] for x in FEATURES.split(", ")]
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), feature_of(np.frombuffer(payload, np.uint8))
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, parts, kind = None, [], None
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, kind = [], b.column("doc_id").type
-            cols = [b.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media_bytes", "media_sha256", "page", "pixels", "error")]
-            for *own, page, pixels, error in zip(*cols, strict=True):
-                if error is not None:
-                    raise ValueError(f"stored media can't be read: {error}")
-                if page == 0:
-                    if parts:
-                        rows.append(close(head, parts))
-                    head, parts = tuple(own), []
-                parts.append(pixels)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k or kind) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([c], k or kind) for c, k in zip(close(head, parts), kinds, strict=True)], names=names)
+            for k in range(0, b.num_rows, 1024):
+                part = b.slice(k, 1024)
+                size, sha, crc, feature = zip(*(of(x.as_py()) for x in part.column("media")), strict=True)
+                made = {"payload_bytes": pa.array(size, pa.int64()), "payload_sha256": pa.array(sha), "tail_crc32": pa.array(crc, pa.int64()), "feature": pa.array(feature)}
+                yield pa.RecordBatch.from_arrays([made[c] if c in made else part.column(c) for c in names], names=names)
 
-    return pages.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "page", "pixels", "error").mapInArrow(fold, FEATURES.format(kind=dict(pages.dtypes)["doc_id"]))
+    names = [x.split()[0] for x in FEATURES.split(", ")]
+    return files.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "media").mapInArrow(read, FEATURES.format(kind=dict(files.dtypes)["doc_id"]))

@@ -27,8 +27,9 @@ from quire.llm.words import WordIds
 
 #: Minimum hashes of a set, and tokens sampled for a bucket that is split again.
 SKETCH, TOKENS = 128, 2
-#: Buckets of at most so many sets are compared whole; dense ones in blocks of this size.
-LIMIT = 1000
+#: Buckets of at most so many sets are compared whole. Dense ones are cut into blocks that are compared in pairs: DENSE_BLOCKS
+#: of them, if these are neither smaller nor larger than BLOCK allows. Each set is written once for every block of its bucket.
+LIMIT, DENSE_BLOCKS, BLOCK = 1000, 50, (400, 2000)
 #: A larger bucket is dense, and not split, if its mean similarity is at least this; splitting ends at this depth anyway.
 DENSE, DEPTH = 0.4, 12
 #: The part of 1 - recall that the filter on sketches may take.
@@ -213,6 +214,7 @@ def leaves_of(sets: DataFrame, runs: range) -> tuple[DataFrame, int]:
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         return rows.join(sizes, "bucket")
 
+    blocks = F.ceil(F.col("n") / F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), F.ceil(F.col("n") / DENSE_BLOCKS))))
     roots = F.array(*[bucket(F.lit(r), F.lit(r), F.get("sketch", F.lit(r))) for r in runs])
     rows = staged(kept(sets.select("key", F.explode(roots).alias("bucket"))))
     found = [rows.where(F.col("n") <= LIMIT).select(F.col("bucket").alias("leaf"), "key", F.lit(1).cast("long").alias("blocks"))]
@@ -231,11 +233,11 @@ def leaves_of(sets: DataFrame, runs: range) -> tuple[DataFrame, int]:
         dense = F.lit(depth == DEPTH - 1) | (F.col("s") >= DENSE * TOKENS * F.col("n_parent").cast("double") * F.col("n_parent"))
         parents = staged(mean.select("parent", dense.alias("dense")))
         if parents.where("not dense").isEmpty():
-            found.append(rows.select(F.col("bucket").alias("leaf"), "key", F.ceil(F.col("n") / LIMIT).alias("blocks")))
+            found.append(rows.select(F.col("bucket").alias("leaf"), "key", blocks.alias("blocks")))
             break
         splits = depth + 1
         whole = rows.join(parents.where("dense").withColumnRenamed("parent", "bucket"), "bucket")
-        found.append(whole.select(F.col("bucket").alias("leaf"), "key", F.ceil(F.col("n") / LIMIT).alias("blocks")))
+        found.append(whole.select(F.col("bucket").alias("leaf"), "key", blocks.alias("blocks")))
         below = staged(kept(split.join(parents.where("not dense"), "parent").select("key", "bucket").distinct()))
         found.append(below.where(F.col("n") <= LIMIT).select(F.col("bucket").alias("leaf"), "key", F.lit(1).cast("long").alias("blocks")))
         rows = below.where(F.col("n") > LIMIT)
@@ -339,8 +341,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, rec
 
     Rows without words (null, empty or blank text) are copies of each other and link to nothing. Repeated rows are copies;
     rows of different texts stay apart though they share an id. Null ids are never the smallest; a class without any id has
-    null. An empty table gives no rows. Other columns are ignored. Copies meet as sums; groups of at most 2 * LIMIT sets meet
-    in a task, whatever a bucket holds."""
+    null. An empty table gives no rows. Other columns are ignored. Copies meet as sums; a bucket is compared by groups of at
+    most LIMIT sets, or two blocks, whatever it holds."""
     carried = F.struct(F.lit(0).alias("none"), *[F.col(c) for c in carry])
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), carried.alias("carried"))
     with scratch(docs.sparkSession):

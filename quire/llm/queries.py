@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import shared_folder, table
+from quire.llm.common import new_path, table
 from quire.llm.language_id import language_id
 from quire.llm.line_dedup import line_dedup
 from quire.llm.lm_scoring import lm_scores
-from quire.llm.media import features, payloads, store, tiff_pages
+from quire.llm.media import features, payloads, store
 from quire.llm.mixing import mix_to_targets
 from quire.llm.near_duplicates import near_duplicates
 from quire.llm.packing import best_fit_packing
@@ -30,9 +28,9 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, ngram=5).drop("stays")
 
 
-#: Marginals to rake to: the shares of sources and learned topics, evened out by these powers; English by a share, the other
-#: languages in proportion.
-MIX = {"source": 0.5, "lang": {"en": 0.5, "*": 0.5}, "topic": 0.8}
+#: Marginals to rake to: half of English, the other languages in proportion; the shares of sources, and of the learned topics of
+#: each language, evened out by powers.
+MIX = {"source": 0.5, "lang": {"en": 0.5, "*": 0.5}, "topic": ("lang", 0.8)}
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +48,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two calls on one cache: the contents whose digests begin with 0 or 1 fill it, then all documents take their counts from
     it, which encodes the other contents alone."""
-    docs, cache, tokenizer = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/token-cache-{uuid.uuid4().hex}", public_tokenizers.path("piece_bpe_32k.model")
+    docs, cache, tokenizer = table(spark, sf_dir, "documents"), new_path(spark, "token-cache"), public_tokenizers.path("piece_bpe_32k.model")
     fill_cache(docs.where(F.sha2(F.coalesce("text", F.lit("")), 256) < "2"), tokenizer, cache)
     return token_counts(docs, tokenizer, cache)
 
@@ -73,19 +71,33 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(tiff_pages(store(payloads(table(spark, sf_dir, "documents")))))
+    return features(store(payloads(table(spark, sf_dir, "documents"))))
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_pii(table(spark, sf_dir, "documents"), key="a key that the caller keeps")
 
 
+# The parts of three operators' results that SQL can express, as queries of their own.
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_quality_rules(spark, sf_dir).drop("kept", "llr")
+
+
+def mix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_mix_sources(spark, sf_dir).select("doc_id", "source", "lang", "n_tokens")
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard_join, op3_mix_sources, op4_quality_rules, op5_token_counts, op6_best_fit_packing, op7_language_id, op8_lm_scoring, op9_media_tiff, op10_pii_surrogates)}
+    ten = (op1_line_dedup, op2_ngram_jaccard_join, op3_mix_sources, op4_quality_rules, op5_token_counts, op6_best_fit_packing, op7_language_id, op8_lm_scoring, op9_media_tiff, op10_pii_surrogates)
+    return {f.__name__: f for f in (*ten, quality_counts, mix_tokens, lm_base_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "quality_counts": QUALITY_SQL, "mix_tokens": MIX_SQL, "lm_base_scores": LM_SQL}
 
 
 OP1_SQL = r"""
@@ -98,3 +110,32 @@ SELECT k.doc_id, count(*)::BIGINT AS n_lines, count(f.key)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.doc_id
 """
+
+QUALITY_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w),
+dups AS (SELECT doc_id, sum(n - 1)::BIGINT AS n FROM (SELECT doc_id, line, count(*) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line) GROUP BY doc_id),
+win AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
+inside AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS p FROM twice) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(inside.n, 0)::BIGINT AS n_repeat_words,
+  len(ws) < 50 OR 100 * coalesce(inside.n, 0) > 50 * len(ws) AS base_failed
+FROM w LEFT JOIN dups ON w.doc_id = dups.doc_id LEFT JOIN inside ON w.doc_id = inside.doc_id
+"""
+MIX_SQL = r"""
+SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents
+"""
+LM_SQL = r"""
+WITH f AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t,
+  xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, x:
+    list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[], lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END, xor(c, x)), 4294967295::BIGINT), 4294967295::BIGINT) % 5 = 1 AS held_out FROM documents),
+w AS (SELECT doc_id, held_out, unnest(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS word FROM f),
+c AS (SELECT word, count(*) AS c FROM w WHERE NOT held_out GROUP BY word),
+ends AS (SELECT count(*) AS c FROM f WHERE NOT held_out),
+n AS (SELECT coalesce(sum(c.c), 0) + any_value(ends.c) AS n, count(c.word) + any_value((ends.c > 0)::INT) AS v, any_value(ends.c) AS ends FROM ends LEFT JOIN c ON true),
+s AS (SELECT doc_id, count(*) AS words, count(c.word) AS known, sum(log10(coalesce(c.c, 0) + 0.5)) AS logs FROM w LEFT JOIN c ON w.word = c.word GROUP BY doc_id)
+SELECT f.doc_id, f.held_out, coalesce(words, 0) + 1 AS n_tokens, coalesce(known, 0) + (ends > 0)::INT AS n_known, n::BIGINT AS train_tokens,
+  round(coalesce(logs, 0) + log10(ends + 0.5) - (coalesce(words, 0) + 1) * log10(n + 0.5 * (v + 1)), 4) AS base_score
+FROM f CROSS JOIN n LEFT JOIN s ON f.doc_id = s.doc_id
+"""

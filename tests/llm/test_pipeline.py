@@ -64,3 +64,25 @@ def test_odd_tables(spark, rows):
             assert sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "3", "None", "None"]
         docs = out
     assert corpus_pipeline.quality(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF).count() == 0
+
+
+def test_rows_decide_for_themselves(spark):
+    """Ids that are repeated over unrelated texts, or missing, lose no text and save none."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = [r["text"] for r in corpus_pipeline.quality(spark, docs, SF).limit(40).collect()]
+    junk = "zz %% " * 80
+    rows = [(5, good[0]), (5, good[1]), (5, junk), (None, good[2]), (None, good[3]), (None, junk), (None, good[2]), (6, good[4]), (6, good[4])]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.quality(spark, table, SF).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [x for x in rows if x[1] != junk]))
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each(spark, table.where(f"text != '{junk}'"), SF).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, set(rows) - {(5, junk), (None, junk)}))
+    mixed = corpus_pipeline.mixed(spark, table, SF)
+    assert mixed.columns == corpus_pipeline.COLUMNS and {(r["doc_id"], r["text"]) for r in mixed.collect()} <= set(rows)
+
+
+def test_run_is_its_stages(spark, steps):
+    """run() gives what the stages give one after the other, and deletes what they wrote between."""
+    place = lambda r: (r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert sorted(map(place, got)) == sorted(place(r) for _, r in steps[5].iterrows())
