@@ -68,12 +68,22 @@ def effective_status(files: DataFrame, registry: DataFrame) -> DataFrame:
     return files.join(known, "file_id", "left").withColumn("status", F.coalesce(status, F.lit("unknown"))).drop("registry_status")
 
 
-def dedupe_by_hash(incoming: DataFrame, registry: DataFrame) -> DataFrame:
+def own_id(table: DataFrame, column: str, *of: Column) -> Column:
+    """An id made of the given values, in the type of the table's id column; the same whenever it is worked out."""
+    return F.xxhash64(*of).bitwiseAND(F.lit((1 << 63) - 1)) if dict(table.dtypes)[column] == "bigint" else F.md5(F.concat_ws("/", *of))
+
+
+def dedupe_by_hash(incoming: DataFrame, registry: DataFrame, order: str = "document_id") -> DataFrame:
     """Incoming files (file_hash, document_id or null) with `document_id` and `known`: a known hash takes the id of its earliest
-    record, over the caller's; else the caller's id, or a new one."""
+    record, over the caller's. The first file (by `order`) with a new hash keeps the caller's id, or gets one made of the hash;
+    the files after it with that hash are known, and take its id."""
     first = registry.groupBy("file_hash").agg(F.min_by("document_id", F.struct("created_at", "document_id")).alias("known_id"))
-    out = incoming.join(first, "file_hash", "left")
-    return out.withColumn("known", F.col("known_id").isNotNull()).withColumn("document_id", F.coalesce(F.col("known_id"), F.col("document_id"), F.expr("uuid()"))).drop("known_id")
+    place = F.struct(F.col(order).isNull(), F.col(order), F.coalesce(F.col("document_id"), own_id(incoming, "document_id", F.col("file_hash"))))
+    rows = incoming.withColumn("place", place)
+    heads = rows.groupBy("file_hash").agg(F.min("place").alias("head")).join(first, "file_hash", "left")
+    out = rows.join(heads, "file_hash")
+    known = F.col("known_id").isNotNull() | (F.col("place") != F.col("head"))
+    return out.withColumn("known", known).withColumn("document_id", F.coalesce(F.col("known_id"), F.col("head.col3"))).drop("known_id", "place", "head")
 
 
 def workspace_stats(files: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,23 +86,19 @@ def attach_headers(blocks: DataFrame) -> DataFrame:
     return with_body.unionByName(alone)
 
 
-def split_one(text: str | None, size: int, overlap: int, lossless: bool) -> list[str]:
-    """Cut at the last blank line, newline or space of a window of `size`, and start the next chunk after a sentence end, or at
-    a word, among the last `overlap` signs. lossless: a newline or space counts only among those last signs, and no text is
-    skipped; otherwise every step is at least size - overlap, which can lose text."""
+_sentence, _word = re.compile(r"[.!?][ \n]*(?=[^ \n])"), re.compile(r"[^ \n]*[ \n]*")
+
+
+def split_one(text: str | None, size: int, overlap: int) -> list[str]:
+    """Cut at the last blank line, newline or space among the last `overlap` signs of a window of `size`, and start the next
+    chunk after a sentence end, or at a word, among the last `overlap` signs. No text is skipped."""
     text, out, start = (text or "").strip(), [], 0
     if len(text) <= size:
         return [text] if text else []
     while len(text) - start > size:
         window = text[start : start + size]
-        cut = window.rfind("\n\n")
-        if lossless and cut < size - overlap:
-            cut = -1
-        for mark in ("\n", " "):
-            if cut <= 0:
-                at = window.rfind(mark)
-                cut = at if at > 0 and (not lossless or at >= size - overlap) else -1
-        cut = cut if cut > 0 else size
+        at = next((x for x in map(window.rfind, ("\n\n", "\n", " ")) if x > 0 and x >= size - overlap), -1)
+        cut = at if at > 0 else size
         out.append(window[:cut].rstrip())
         follow = start + cut
         if len(text) - follow > size:
@@ -109,19 +107,40 @@ def split_one(text: str | None, size: int, overlap: int, lossless: bool) -> list
             ends = [i for i in (tail.find(m + " ") for m in CHUNK_MARKS) if i >= 0]
             word = tail.find(" ")
             follow = low + min(ends) + 2 if ends else low + word + 1 if word >= 0 else follow
-        if not lossless:
-            follow = max(follow, start + size - overlap)
         start = follow
     out.append(text[start:].strip())
     return [x for x in out if x]
 
 
+def split_with_steps(text: str | None, size: int, overlap: int) -> list[str]:
+    """The behaviour to match: cut after the last blank line, else newline, else space of a window, wherever it is; the next chunk
+    starts at the first sentence, else word, of the last `overlap` signs, but no sooner than size - overlap on. That step can
+    skip text after an early cut."""
+    text, out, start = (text or "").strip(), [], 0
+    while len(text) - start > size:
+        window = text[start : start + size]
+        cut = next((at + len(mark) for mark in ("\n\n", "\n", " ") if (at := window.rfind(mark)) > 0), size)
+        out.append(window[:cut].rstrip())
+        step = cut
+        if len(text) - start - cut > size:
+            low = max(0, cut - overlap)
+            tail = window[low:cut]
+            found = _sentence.search(tail) or _word.match(tail)
+            follow = low + found.end() if found.end() < len(tail) else low
+            step = follow if follow else cut
+        start += max(step, size - overlap, 1)
+    return [*out, text[start:]] if text[start:] else out
+
+
 def split_text(text: Column, size: int = SIZE, overlap: int = OVERLAP, lossless: bool = True) -> Column:
-    """array<string> of chunks; one text at a time in Arrow batches."""
+    """array<string> of chunks by split_one, or with lossless=False by split_with_steps. Row by row, in Arrow batches: where a chunk
+    starts depends on where the one before was cut, and slices of a Python text are cheap, while a fold over the text in
+    SQL copies the rest of it at each step."""
+    cut = split_one if lossless else split_with_steps
 
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_one(t, size, overlap, lossless))
+        return texts.map(lambda t: cut(t, size, overlap))
 
     return split(text)
 
@@ -145,11 +164,11 @@ def paragraphs(text: str | None) -> list[str]:
     if len(text) <= PARAGRAPH:
         return [text.strip()] if text.strip() else []
     out, now = [], ""
-    for part in text.split("\n\n"):
+    for part in filter(str.strip, text.split("\n\n")):
         if len(now) + len(part) + 2 <= PARAGRAPH:
-            now = f"{now}\n\n{part}" if now else part
+            now = f"{now}\n\n{part}".strip()
         elif now:
-            out.append(now)
+            out.append(now.strip())
             now = f"{now[-TAIL:].lstrip()}\n\n{part}"
         else:
             out += long_windows(part)
@@ -157,7 +176,19 @@ def paragraphs(text: str | None) -> list[str]:
     return [x for x in map(str.strip, out) if len(x) > SHORTEST]
 
 
+def split_long(text: Column) -> Column:
+    """array<string> of the windows of a paragraph."""
+
+    @F.pandas_udf("array<string>")
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: long_windows(t or ""))
+
+    return split(text)
+
+
 def chunk_paragraphs(text: Column) -> Column:
+    """array<string>: paragraphs joined up to PARAGRAPH signs, longer ones cut into windows. Row by row, as split_text is."""
+
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(paragraphs)

@@ -1,27 +1,61 @@
-"""Maintenance of tables: each operation gives the new table; replace_table() swaps it in."""
+"""Maintenance of tables: each operation gives the new table; replace_table() swaps it in for readers of read_table()."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.audit import vector_count_check
-from quire.operators.catalog import dedupe_by_hash
+from quire.operators.catalog import dedupe_by_hash, own_id
+from quire.sources.staging import file_system
 
 
-def replace_table(df: DataFrame, path: str) -> str:
-    """Write df as a new version below path; return the version's folder. Readers of older versions are not disturbed, and a
-    job that dies leaves no half-written version in use."""
-    version = f"{path}/v-{uuid.uuid4().hex}"
-    df.write.parquet(version)
-    return version
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The names of the manifest's entries, oldest first: a running number and the version's folder."""
+    fs, place = file_system(spark, f"{path}/manifest")
+    return sorted(x.getPath().getName() for x in fs.listStatus(place)) if fs.exists(place) else []
 
 
-def upsert(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of `new` replace those with the same key."""
-    return table.join(new.select(key), key, "left_anti").unionByName(new)
+def replace_table(df: DataFrame, path: str) -> str:
+    """Write df as a new version below path, then name it in the manifest; return the version's folder. Making the entry is the
+    swap: a job that dies before leaves the old version in use, readers of older versions are not disturbed, and of two
+    writers that swap at once, one fails, as entries are numbered and none is made twice."""
+    spark = df.sparkSession
+    number, version = len(versions(spark, path)), f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    fs, entry = file_system(spark, f"{path}/manifest/{number:09d}")
+    if not fs.mkdirs(entry.getParent()) or not fs.createNewFile(entry):
+        raise ValueError("another writer has replaced the table")
+    out = fs.create(entry, True)
+    out.write(version.encode())
+    out.close()
+    return f"{path}/{version}"
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The version that the manifest named last."""
+    names = versions(spark, path)
+    if not names:
+        raise ValueError(f"no version of {path}")
+    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/manifest/{names[-1]}').first()[0]}")
+
+
+def last_of(rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row per key, so that a key which is repeated has one result: the row with the greatest `order`, then with the greatest
+    other columns in turn."""
+    rest = [c for c in rows.columns if c != key]
+    if not rest:
+        return rows.distinct()
+    whole = F.struct(*rest)
+    best = F.max_by(whole, whole if order is None else F.struct(F.col(order), whole))
+    return rows.groupBy(key).agg(best.alias("row")).select(*[F.col(key) if c == key else F.col("row")[c].alias(c) for c in rows.columns])
+
+
+def upsert(table: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Rows of `new` replace those with the same key; of a key that `new` repeats, last_of() stays."""
+    return table.join(new.select(key), key, "left_anti").unionByName(last_of(new, key, order))
 
 
 def upsert_registry(registry: DataFrame, new: DataFrame, mode: str = "upsert") -> DataFrame:
@@ -31,7 +65,8 @@ def upsert_registry(registry: DataFrame, new: DataFrame, mode: str = "upsert") -
 
 
 def set_status(table: DataFrame, changes: DataFrame, key: str = "document_id", column: str = "status") -> tuple[DataFrame, DataFrame]:
-    """The table with new values of `column`, and the changes whose key it doesn't have."""
+    """The table with new values of `column`, and the changes whose key it doesn't have; of repeated keys the last_of() counts."""
+    changes = last_of(changes, key)
     c = changes.select(key, F.col(column).alias("new_value"))
     out = table.join(c, key, "left").withColumn(column, F.coalesce("new_value", F.col(column))).drop("new_value")
     return out, changes.join(table.select(key), key, "left_anti")
@@ -75,22 +110,24 @@ def reindex(vectors: DataFrame, stored: DataFrame, ids: DataFrame, dim: int) ->
 
 
 def upsert_layer(layers: DataFrame, new: DataFrame) -> DataFrame:
-    """By file_id; a layer that exists keeps its layer_id."""
+    """By file_id; a layer that exists keeps its layer_id, a new one without any gets one made of its file_id."""
     old = layers.select("file_id", F.col("layer_id").alias("old_id"))
-    named = new.join(old, "file_id", "left").withColumn("layer_id", F.coalesce("old_id", "layer_id", F.expr("uuid()"))).drop("old_id")
+    made = own_id(layers, "layer_id", F.lit("layer"), F.col("file_id"))
+    named = last_of(new, "file_id").join(old, "file_id", "left").withColumn("layer_id", F.coalesce("old_id", "layer_id", made)).drop("old_id")
     return upsert(layers, named.select(*layers.columns), "file_id")
 
 
 def upsert_file(files: DataFrame, new: DataFrame) -> DataFrame:
     """New files start completed and pending; files that exist only get their states reset."""
     states = {"status": F.lit("completed"), "processing_status": F.lit("pending")}
+    new = last_of(new, "file_id")
     again = files.join(new.select("file_id"), "file_id", "left_semi").withColumns(states)
     added = new.join(files.select("file_id"), "file_id", "left_anti").withColumns(states)
     return delete_rows(files, new, "file_id").unionByName(again).unionByName(added.select(*files.columns))
 
 
 def link_sensor(sensors: DataFrame, links: DataFrame) -> DataFrame:
-    new = links.select("sensor_id", F.col("linked_file_id").alias("new_link"))
+    new = last_of(links.select("sensor_id", "linked_file_id"), "sensor_id").select("sensor_id", F.col("linked_file_id").alias("new_link"))
     return sensors.join(new, "sensor_id", "left").withColumn("linked_file_id", F.coalesce("new_link", "linked_file_id")).drop("new_link")
 
 

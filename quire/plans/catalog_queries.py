@@ -88,7 +88,7 @@ def effective_status(v):
     return C.effective_status(v.files, v.registry).select("file_id", "status")
 
 
-@query("""SELECT row_id, coalesce(k.document_id, i.document_id) AS document_id, k.document_id IS NOT NULL AS known FROM incoming i
+@query("""SELECT row_id, coalesce(k.document_id, min(i.document_id) OVER (PARTITION BY i.file_hash)) AS document_id, k.document_id IS NOT NULL OR i.document_id > min(i.document_id) OVER (PARTITION BY i.file_hash) AS known FROM incoming i
   LEFT JOIN (SELECT file_hash, document_id, row_number() OVER (PARTITION BY file_hash ORDER BY created_at, document_id) AS n FROM registry) k ON i.file_hash = k.file_hash AND k.n = 1""")
 def dedupe_by_hash(v):
     return C.dedupe_by_hash(v.incoming, v.registry).select("row_id", "document_id", "known")

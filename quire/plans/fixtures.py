@@ -12,6 +12,19 @@ from pyspark.sql import functions as F
 
 DAY = "DATE '2024-01-01' + CAST({0} % 365 AS INT)"
 
+#: Hebrew letters, and those that a word can only end with.
+LETTERS, FINALS = "אבגדהוזחטיכלמנסעפצקרשת", "םןץףך"
+
+
+def _hebrew(k: int) -> str:
+    """SQL of the k-th word of a text made of part keys: Hebrew letters, of every third text turned round with a final letter in
+    front; some words Latin, some with digits; the space before it, now and then two."""
+    word = f"substring('{LETTERS * 2}', CAST((p_partkey * {k + 3} + {k * 5}) % 22 AS INT) + 1, CAST((p_partkey + {k}) % 4 AS INT) + 2)"
+    final = f"CASE WHEN p_partkey % 3 = 0 AND (p_partkey + {k}) % 4 <> 1 THEN substring('{FINALS}', CAST((p_partkey + {k}) % 5 AS INT) + 1, 1) ELSE '' END"
+    other = f"CASE WHEN p_partkey % 11 = {k} THEN 'abc' WHEN p_partkey % 13 = {k} THEN '1234' WHEN p_partkey % 17 < 4 THEN 'latin' ELSE concat({final}, {word}) END"
+    return (f"CASE WHEN (p_partkey + {k}) % 5 = 0 THEN '  ' ELSE ' ' END, " if k else "") + other
+
+
 #: Views that both engines read; {table} is one of the driver's.
 COMMON = {
     "files": f"""SELECT doc_id AS file_id, source AS workspace_id,
@@ -22,7 +35,7 @@ COMMON = {
         {DAY.format('doc_id')} AS created_at FROM {{documents}}""",
     "registry": f"""SELECT doc_id AS document_id, md5(text) AS file_hash, concat('Doc ', CAST(doc_id AS STRING)) AS file_name,
         CASE doc_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'chunked' WHEN 2 THEN 'indexed' ELSE 'error' END AS status,
-        {DAY.format('doc_id')} AS created_at FROM {{documents}} WHERE lang = 'en'""",
+        {DAY.format('doc_id')} AS created_at FROM {{documents}} WHERE doc_id % 7 <> 3""",  # the others are not registered yet, so that joins miss
     "incoming": "SELECT doc_id AS row_id, md5(text) AS file_hash, doc_id + 1000000000 AS document_id FROM {documents}",
     "sensors": f"""SELECT s_suppkey AS sensor_id, concat('src', CAST(s_suppkey % 25 AS STRING)) AS workspace_id, s_name AS name,
         CASE s_suppkey % 9 WHEN 0 THEN 'SMOKE' WHEN 1 THEN 'TEMPERATURE' WHEN 2 THEN 'MOTION' WHEN 3 THEN 'CAMERA' WHEN 4 THEN 'FLOOD' WHEN 5 THEN 'GAS' WHEN 6 THEN 'ACCESS_CONTROL' WHEN 7 THEN 'OTHER' ELSE 'unheard' END AS sensor_type,
@@ -36,6 +49,9 @@ COMMON = {
     "tables": "SELECT o_orderkey AS doc, 1 AS page, 0.0 AS x0, 5.0 AS top, 50.0 AS x1, 40.0 AS bottom FROM {orders} WHERE o_orderstatus = 'F'",
     "ocr_words": """SELECT l_orderkey AS doc, 1 AS page, CAST(l_suppkey % 3 AS INT) AS block_num, 1 AS par_num, l_linenumber AS line_num, (l_partkey * 10000000 + l_suppkey * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT) AS seq,
         CASE WHEN l_returnflag = 'A' THEN '  ' ELSE concat(l_returnflag, CAST(l_partkey AS STRING)) END AS text, l_quantity AS top, 10 + 100 * l_discount AS height FROM {lineitem}""",
+    "hebrew": f"""SELECT p_partkey AS id, CAST(floor(p_partkey / 10.0) AS BIGINT) AS doc, 1 AS page, p_partkey % 10 AS line, concat(CASE WHEN p_partkey % 7 = 0 THEN ' ' ELSE '' END, {', '.join(_hebrew(k) for k in range(7))}) AS text FROM {{part}}""",
+    "uploads": """SELECT p_partkey AS id, p_name AS file_name, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'PK' WHEN 2 THEN ' %PDF-1.4' ELSE concat('%PDF-1.', p_name) END AS content,
+        CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_size * 3000000 END AS length FROM {part}""",
     "layers": """SELECT c_custkey AS layer_id, c_custkey AS file_id, concat('{"type":"FeatureCollection","features":[{"type":"Feature","geometry":{"type":"Point","coordinates":[', CAST(c_custkey % 360 - 180 AS STRING), ',', CAST(c_custkey % 170 - 85 AS STRING),
         ',7]},"properties":{"fid":1,"name":"', c_name, '","segment":"', c_mktsegment, '"}},{"type":"Feature","geometry":{"type":"LineString","coordinates":[[', CAST(c_custkey % 90 AS STRING), ',1.5],[2,-', CAST(c_custkey % 45 AS STRING), ']]},"properties":{"label":"line","empty":""}}]}') AS geojson FROM {customer}""",
     "events_status": """SELECT event_id, user_id AS document_id, ts, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'ocr_completed' WHEN 'click' THEN 'chunked' WHEN 'purchase' THEN 'indexed' ELSE 'error' END AS status FROM {events}""",

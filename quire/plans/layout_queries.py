@@ -102,9 +102,46 @@ def table_markdown(v):
     return L.table_markdown(cells)
 
 
-@query(f"WITH {LINED} SELECT * FROM lns")  # the tables hold no Hebrew: nothing may change; test_rules has lines that must
+# Hebrew in SQL: letters of a text, a text without white space, the rules for texts, words and lines.
+def _letters(t: str, of: str = "[֐-׿]") -> str:
+    return f"(length({t}) - length(regexp_replace({t}, '{of}', '', 'g')))"
+
+
+_DENSE = r"regexp_replace({0}, '\s', '', 'g')"
+IS_HEBREW = "(length(trim({0})) >= 2 AND length(%s) > 0 AND %s >= 0.15 * length(%s))" % (_DENSE, _letters(_DENSE), _DENSE)
+_heb_words = "list_filter(string_split_regex(trim({0}), '\\s+'), lambda w: %s >= 2)" % _letters("w")
+LOOKS_REVERSED = "(len(%s) >= 5 AND len(list_filter(%s, lambda w: regexp_matches(regexp_extract(w, '[֐-׿]'), '[םןץףך]'))) > 0.15 * len(%s))" % (_heb_words, _heb_words, _heb_words)
+_parts = "regexp_extract_all({0}, '\\s+|\\S+')"
+FIX_WORDS = "array_to_string(list_transform(%s, lambda w: CASE WHEN NOT regexp_matches(w, '[A-Za-z]') AND %s >= 2 AND %s >= 0.5 * length(w) AND %s <= 0.4 * length(w) THEN reverse(w) ELSE w END), '')" % (_parts, _letters("w"), _letters("w"), _letters("w", "[0-9]"))
+_turned = "list_reverse(list_filter(%s, lambda p: NOT regexp_matches(p, '^\\s')))" % _parts
+FIX_ORDER = "array_to_string(list_transform(%s, lambda p, i: CASE WHEN regexp_matches(p, '^\\s') THEN p ELSE list_extract(%s, CAST(floor((i - 1 - CASE WHEN regexp_matches({0}, '^\\s') THEN 1 ELSE 0 END) / 2) AS BIGINT) + 1) END), '')" % (_parts, _turned)
+
+
+@query(f"SELECT id, {IS_HEBREW.format('text')} AS hebrew FROM hebrew")
+def is_hebrew_text(v):
+    return v.hebrew.select("id", T.is_hebrew_text(F.col("text")).alias("hebrew"))
+
+
+@query(f"SELECT id, {LOOKS_REVERSED.format('text')} AS turned FROM hebrew")
+def looks_reversed(v):
+    return v.hebrew.select("id", T.looks_reversed(F.col("text")).alias("turned"))
+
+
+@query(f"SELECT id, {FIX_WORDS.format('text')} AS text FROM hebrew")
+def fix_reversed_words(v):
+    return v.hebrew.select("id", T.fix_reversed_words(F.col("text")).alias("text"))
+
+
+@query(f"SELECT id, {FIX_ORDER.format('text')} AS text FROM hebrew")
+def fix_word_order(v):
+    return v.hebrew.select("id", T.fix_word_order(F.col("text")).alias("text"))
+
+
+@query(f"""WITH pg AS (SELECT doc, page, string_agg(text, ' ' ORDER BY line) AS whole FROM hebrew GROUP BY doc, page),
+marked AS (SELECT h.*, {IS_HEBREW.format('h.text')} AND ({IS_HEBREW.format('whole')} AND {LOOKS_REVERSED.format('whole')} OR {LOOKS_REVERSED.format('h.text')}) AS wrong, {FIX_WORDS.format('h.text')} AS fixed FROM hebrew h JOIN pg ON h.doc = pg.doc AND h.page = pg.page)
+SELECT id, doc, page, line, CASE WHEN wrong THEN {FIX_ORDER.format('fixed')} ELSE text END AS text FROM marked""")
 def repair_rtl_lines(v):
-    return L.repair_rtl_lines(L.lines_from_words(L.assign_lines(v.words)))
+    return L.repair_rtl_lines(v.hebrew).select("id", "doc", "page", "line", "text")
 
 
 @query(_merge(*V2, before=f"outside AS ({OUTSIDE}), ", lined=LINED.replace("FROM words", "FROM outside"), more=", CASE WHEN ratio_to_body >= 1.2 AND line_count <= 2 THEN 'header' ELSE 'text' END AS type"))
@@ -150,12 +187,57 @@ def attach_headers(v):
     return K.attach_headers(v.blocks.withColumnRenamed("block", "block_id")).select("doc", "page", "block_id", "text", "is_header")
 
 
-@query()
+# The last place (from 0) of a mark in a text, and the first one; -1 without any.
+def _last(t: str, mark: str) -> str:
+    turned = f"concat({', '.join(f'chr({ord(x)})' for x in reversed(mark))}, '')"
+    return f"(CASE WHEN strpos(reverse({t}), {turned}) > 0 THEN length({t}) - strpos(reverse({t}), {turned}) + 1 - {len(mark)} ELSE -1 END)"
+
+
+def _first(t: str, mark: str) -> str:
+    return f"(strpos({t}, '{mark}') - 1)"
+
+
+_W = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_ends = ", ".join(f"CASE WHEN {_first('tail', m + ' ')} >= 0 THEN {_first('tail', m + ' ')} END" for m in ".!?")
+
+
+@query(f"""WITH RECURSIVE src AS (SELECT doc_id, trim(coalesce(text, ''), {_W}) AS body FROM documents),
+cuts AS (SELECT doc_id, body, -1 AS n, '' AS chunk, 0 AS start, false AS done FROM src WHERE body <> ''
+  UNION ALL SELECT doc_id, body, n + 1, CASE WHEN final THEN trim(substr(body, start + 1), {_W}) ELSE rtrim(substr(w, 1, cut), {_W}) END,
+    CASE WHEN final OR length(body) - start - cut <= 1500 THEN start + cut WHEN ends IS NOT NULL THEN low + ends + 2 WHEN word >= 0 THEN low + word + 1 ELSE start + cut END, final
+  FROM (SELECT *, least({_ends}) AS ends, {_first('tail', ' ')} AS word FROM (SELECT *, greatest(start + cut - 150, start + 1) AS low, substr(body, greatest(start + cut - 150, start + 1) + 1, start + cut - greatest(start + cut - 150, start + 1)) AS tail FROM (
+    SELECT *, CASE WHEN {_last('w', chr(10) * 2)} >= 1350 THEN {_last('w', chr(10) * 2)} WHEN {_last('w', chr(10))} >= 1350 THEN {_last('w', chr(10))} WHEN {_last('w', ' ')} >= 1350 THEN {_last('w', ' ')} ELSE 1500 END AS cut
+    FROM (SELECT doc_id, body, n, start, length(body) - start <= 1500 AS final, substr(body, start + 1, 1500) AS w FROM cuts WHERE NOT done)))))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INT) AS idx, chunk FROM cuts WHERE n >= 0 AND chunk <> ''""")
 def split_text(v):
     return v.table("documents").select("doc_id", F.posexplode(K.split_text(F.col("text"))).alias("idx", "chunk"))
 
 
-@query()
+def _windows(src: str) -> str:
+    """Windows of long paragraphs: recursive members from src (doc_id, i, body)."""
+    return f"""wins AS (SELECT doc_id, i, body, -1 AS n, '' AS chunk, 0 AS start FROM {src}
+  UNION ALL SELECT doc_id, i, body, n + 1, trim(substr(body, start + 1, stop - start), {_W}), CASE WHEN stop - 150 > start THEN stop - 150 ELSE stop END
+  FROM (SELECT *, start + CASE WHEN start + 800 >= length(body) THEN 800 WHEN {_last('w', '. ')} > 0 THEN {_last('w', '. ')} + 1 WHEN {_last('w', chr(10))} > 0 THEN {_last('w', chr(10))} + 1 WHEN {_last('w', ' ')} > 0 THEN {_last('w', ' ')} + 1 ELSE 800 END AS stop
+    FROM (SELECT doc_id, i, body, n, start, substr(body, start + 1, 800) AS w FROM wins WHERE start < length(body))))"""
+
+
+@query(f"""WITH RECURSIVE src AS (SELECT doc_id, 0 AS i, coalesce(text, '') AS body FROM documents), {_windows('src')}
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INT) AS idx, chunk FROM wins WHERE n >= 0 AND chunk <> ''""")
+def split_long(v):
+    return v.table("documents").select("doc_id", F.posexplode(K.split_long(F.col("text"))).alias("idx", "chunk"))
+
+
+@query(f"""WITH RECURSIVE whole AS (SELECT doc_id, replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) AS t FROM documents),
+parts AS (SELECT doc_id, list_filter(string_split(t, chr(10) || chr(10)), lambda p: trim(p, {_W}) <> '') AS ps FROM whole WHERE length(t) > 800),
+src AS (SELECT doc_id, i, body FROM (SELECT doc_id, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS body FROM parts) WHERE length(body) > 798), {_windows('src')},
+longs AS (SELECT doc_id, i, list(chunk ORDER BY n) FILTER (WHERE n >= 0 AND chunk <> '') AS chunks FROM wins GROUP BY doc_id, i),
+fold AS (SELECT doc_id, ps, 0 AS i, '' AS now, CAST([] AS VARCHAR[]) AS out FROM parts
+  UNION ALL SELECT f.doc_id, f.ps, f.i + 1, CASE WHEN length(now) + length(p) + 2 <= 800 THEN trim(now || chr(10) || chr(10) || p, {_W}) WHEN now <> '' THEN ltrim(right(now, 150), {_W}) || chr(10) || chr(10) || p ELSE '' END,
+    CASE WHEN length(now) + length(p) + 2 <= 800 THEN out WHEN now <> '' THEN list_append(out, trim(now, {_W})) ELSE list_concat(out, coalesce(l.chunks, CAST([] AS VARCHAR[]))) END
+  FROM (SELECT *, list_extract(ps, i + 1) AS p FROM fold WHERE i < len(ps)) f LEFT JOIN longs l ON l.doc_id = f.doc_id AND l.i = f.i + 1),
+every AS (SELECT doc_id, list_filter(list_append(out, trim(now, {_W})), lambda c: length(c) > 20) AS chunks FROM fold WHERE i = len(ps)
+  UNION ALL SELECT doc_id, list_filter([trim(t, {_W})], lambda c: c <> '') FROM whole WHERE length(t) <= 800)
+SELECT doc_id, CAST(unnest(range(len(chunks))) AS INT) AS idx, unnest(chunks) AS chunk FROM every""")
 def chunk_paragraphs(v):
     return v.table("documents").select("doc_id", F.posexplode(K.chunk_paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("idx", "chunk"))
 
@@ -163,9 +245,3 @@ def chunk_paragraphs(v):
 @query()
 def chunk_documents(v):
     return K.chunk_documents(v.blocks)
-
-
-@query("SELECT doc_id, false AS hebrew, false AS reversed, text AS words FROM documents")
-def rtl_functions(v):
-    c = F.col("text")
-    return v.table("documents").select("doc_id", T.is_hebrew_text(c).alias("hebrew"), T.looks_reversed(c).alias("reversed"), T.fix_reversed_words(c).alias("words"))

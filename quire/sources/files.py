@@ -30,10 +30,12 @@ def validate_pdf(files: DataFrame, expected: DataFrame | None = None) -> DataFra
     return files.withColumn("reject_reason", reason)
 
 
-def scan_ocr_json(spark: SparkSession, glob: str) -> DataFrame:
-    """One row per block: doc (the file's name), page, block and the block's fields; a file that doesn't fit fails the job."""
-    docs = spark.read.schema(PAGES).option("multiLine", True).option("mode", "FAILFAST").json(glob)
-    docs = docs.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("doc"), F.explode("pages").alias("p"))
+def scan_ocr_json(spark: SparkSession, glob: str, lines: bool = False) -> DataFrame:
+    """One row per block: doc, page, block and the block's fields, of files that hold one document each (doc is the file's name) or
+    with `lines` one a line (doc is its file_name). A file that doesn't fit fails the job."""
+    docs = spark.read.schema(PAGES).option("multiLine", not lines).option("mode", "FAILFAST").json(glob)
+    doc = F.col("file_name") if lines else F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
+    docs = docs.select(doc.alias("doc"), F.explode("pages").alias("p"))
     return docs.select("doc", F.col("p.page_num").alias("page"), "p.stats", F.posexplode("p.blocks").alias("block", "b")).select("doc", "page", "block", "b.*", "stats")
 
 
@@ -42,16 +44,17 @@ def scan_chunks_json(spark: SparkSession, glob: str, lines: bool = False) -> Dat
     return spark.read.schema(CHUNKS).option("multiLine", not lines).option("mode", "FAILFAST").json(glob)
 
 
-def scan_registry_json(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True)
+def scan_registry_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per record of files that hold one map of records each, or with `lines` one map a line."""
+    whole = spark.read.text(path, wholetext=not lines)
     rows = whole.select(F.explode(F.from_json("value", f"map<string,{RECORD}>")).alias("key", "r"))
     return rows.select(F.coalesce("r.document_id", "key").alias("document_id"), "r.file_name", "r.status", F.try_to_timestamp("r.created_at").alias("created_at"), "r.file_hash")
 
 
-def scan_golden(spark: SparkSession, path: str) -> DataFrame:
-    """Both shapes of golden questions in one schema."""
+def scan_golden(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Both shapes of golden questions in one schema, of files that hold one array each or with `lines` one question a line."""
     schema = "id string, metric_focus string, question string, expected_pages array<int>, ground_truth string, query string, query_type string, expected_doc_id string, expected_page int"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    rows = spark.read.schema(schema).option("multiLine", not lines).json(path)
     pages = F.coalesce("expected_pages", F.when(F.col("expected_page").isNotNull(), F.array("expected_page")))
     return rows.select("id", F.coalesce("question", "query").alias("question"), "metric_focus", "query_type", pages.alias("expected_pages"), "expected_doc_id", "ground_truth")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -20,39 +21,58 @@ def arriving_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_name").alias("document_id"), F.col("_metadata.file_modification_time").alias("arrived"), F.col("value").alias("text"))
 
 
-def ingest_stream(docs: DataFrame, target: str, checkpoint: str, work: Callable[[DataFrame], DataFrame], delay: str = "1 hour") -> StreamingQuery:
-    """Documents of a stream (document_id, arrived, text) are made distinct by content, within the watermark in state and beyond
-    it against the target, worked on batch by batch and written to `target`/data as Parquet, with a state per document
-    in `target`/states. A batch whose work fails gets state error, and later batches go on; its documents may arrive again.
-    Batches write to folders of their number, so one that is repeated replaces itself. Ends when all present input is done."""
-    docs = docs.withColumn("file_hash", F.sha2("text", 256)).withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["file_hash"])
+def work_apart(docs: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, name: str = "a") -> list[tuple[DataFrame, str]]:
+    """Write work(docs) below `out`; if that fails, each half of the documents (by file_hash) for itself, and so on, so that a
+    document whose work fails takes no other with it. (documents, indexed or error) of each part: one that fails among n
+    costs about 2 log2(n) parts."""
+    try:
+        work(docs).write.mode("overwrite").parquet(f"{out}/{name}")
+        return [(docs, "indexed")]
+    except Exception:  # whatever the caller's work raises
+        if docs.count() < 2:
+            return [(docs, "error")]
+    half = F.shiftrightunsigned(F.xxhash64("file_hash", F.lit(len(name))), 63)
+    return [part for k in (0, 1) for part in work_apart(docs.where(half == k), work, out, f"{name}{k}")]
+
+
+def ingest_stream(docs: DataFrame, target: str, checkpoint: str, work: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Documents of a stream (document_id, arrived, text) are worked on batch by batch and written to `target`/data as Parquet, with
+    a state per document in `target`/states: indexed, or error for a document whose work fails (the others of its batch are
+    not touched by that). A content counts once: of copies in a batch the one with the smallest document_id is taken, and
+    contents that are indexed already are passed over. One in error is not among these, so that it is worked on when it
+    arrives again. The stream keeps no state of its own; what is known is read from the target. Batches write to folders of
+    their number, so one that is repeated replaces itself. Ends when all present input is done."""
+    docs = docs.withColumn("file_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
 
     def save(batch: DataFrame, number: int) -> None:
+        spark, rest = batch.sparkSession, [c for c in batch.columns if c != "file_hash"]
+        batch = batch.groupBy("file_hash").agg(F.min_by(F.struct(*rest), "document_id").alias("d")).select("file_hash", "d.*")
         try:
-            states = batch.sparkSession.read.schema("file_hash string, status string, batch long").parquet(f"{target}/states")
+            states = spark.read.schema("file_hash string, status string, batch long").parquet(f"{target}/states")
             known = states.where((F.col("status") == "indexed") & (F.col("batch") != number)).select("file_hash")
             batch = batch.join(known, "file_hash", "left_anti")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-        status = "indexed"
-        try:
-            work(batch).write.mode("overwrite").parquet(f"{target}/data/batch={number}")
-        except Exception:  # whatever the caller's work raises: the stream goes on
-            status = "error"
-        batch.select("document_id", "file_hash", F.lit(status).alias("status")).write.mode("overwrite").parquet(f"{target}/states/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{target}/arrived/batch={number}")
+        batch = spark.read.schema(batch.schema).parquet(f"{target}/arrived/batch={number}")
+        parts = work_apart(batch, work, f"{target}/data/batch={number}", f"part={number}-")
+        states = [d.select("document_id", "file_hash", F.lit(status).alias("status")) for d, status in parts]
+        reduce(DataFrame.unionByName, states).write.mode("overwrite").parquet(f"{target}/states/batch={number}")
 
     return docs.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def status_stream(events: DataFrame) -> DataFrame:
-    """Latest status of each document, for a stream in update or complete mode, or for a table."""
+    """Latest status of each document, by the time of its events, for a stream in update or complete mode, or for a table. One
+    small row of state a document, for as long as documents may change; late events count by their own time."""
     return events.groupBy("document_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
 
 
 def flag_transitions(events: DataFrame) -> DataFrame:
     """Each event with whether its step is allowed: to the next state in ORDER, or to error from any. The state of a document is
-    its last status; batches of a document are handled in order of time."""
+    its last status, one small row each, kept for as long as documents may change. Within a batch events go by their time; an
+    event that comes a batch late is judged after those that came before it."""
 
     def steps(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None

@@ -12,6 +12,7 @@ import __spark_entry__ as entry
 from quire.functions import text as T
 from quire.operators import catalog, chunking, layout, retrieval, tables
 from quire.sources import files as S
+from quire.sources import staging
 from quire.streaming import jobs
 
 B = "doc long, page int, block int, text string, type string, y_top double, y_bottom double, font_size double, ratio_to_body double, line_count int"
@@ -66,7 +67,7 @@ def test_chunk_documents(spark):
 @settings(deadline=None, max_examples=300)
 @given(st.text("ab .\n", max_size=900))
 def test_split_is_lossless(text):
-    parts = chunking.split_one(text, 120, 20, True)
+    parts = chunking.split_one(text, 120, 20)
     assert all(len(p) <= 120 for p in parts)
     at = 0  # every sign that isn't white space is in a chunk, in order
     body = text.strip()
@@ -77,9 +78,58 @@ def test_split_is_lossless(text):
     assert not body[at:].strip()
 
 
-def test_split_as_before():
-    assert [len(x) for x in chunking.split_one("x" * 250 + "\n" + "y" * 1600, 1500, 150, False)][0] == 250
-    assert "".join(chunking.split_one("x" * 250 + "\n" + "y" * 1600, 1500, 150, True)).count("y") >= 1600
+def as_before(text, size, overlap):
+    """What the behaviour to match does, sign by sign."""
+    text, out, start = text.strip(), [], 0
+    while text and start < len(text):
+        rest = text[start:]
+        if len(rest) <= size:
+            return [*out, rest]
+        cut = size
+        for mark in ("\n\n", "\n", " "):
+            if rest[:size].rfind(mark) > 0:
+                cut = rest[:size].rfind(mark) + len(mark)
+                break
+        out.append(rest[:cut].rstrip())
+        step = cut
+        if len(rest) - cut > size:
+            low = max(0, cut - overlap)
+            begins = None
+            for i in range(low, cut):
+                j = i + 1
+                while rest[i] in ".!?" and j < cut and rest[j] in " \n":
+                    j += 1
+                if rest[i] in ".!?" and j < cut:
+                    begins = j
+                    break
+            if begins is None:
+                j = low
+                while j < cut and rest[j] not in " \n":
+                    j += 1
+                while j < cut and rest[j] in " \n":
+                    j += 1
+                begins = j if j < cut else low
+            step = begins if begins > 0 else cut
+        start += max(step, size - overlap, 1)
+    return out
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.text("ab .!\n", max_size=900))
+def test_split_with_steps(text):
+    assert chunking.split_with_steps(text, 120, 20) == as_before(text, 120, 20)
+    assert chunking.split_with_steps(text, 30, 29) == as_before(text, 30, 29)
+
+
+def test_split_modes_differ():
+    text = "x" * 250 + "\n" + "y" * 1600
+    assert len(chunking.split_with_steps(text, 1500, 150)[0]) == 250 and "".join(chunking.split_with_steps(text, 1500, 150)).count("y") < 1600
+    assert "".join(chunking.split_one(text, 1500, 150)).count("y") >= 1600
+
+
+def test_blank_paragraphs_do_not_count():
+    part = "word " * 70
+    assert chunking.paragraphs(f"{part}\n\n \n\n{part}\n\n\n\n{part}") == chunking.paragraphs(f"{part}\n\n{part}\n\n{part}")
 
 
 @settings(deadline=None, max_examples=200)
@@ -88,7 +138,7 @@ def test_paragraphs_end(text):
     assert all(len(x) > 20 for x in chunking.paragraphs(text)) or len(text) <= 800
 
 
-def test_search(spark):
+def test_search(spark, monkeypatch):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(600, 16))
     rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(5)
@@ -99,6 +149,12 @@ def test_search(spark):
     near = {(r["query_id"], r["vec_id"]) for r in retrieval.knn_approx(asked, rows, 5, nlist=16, nprobe=12).collect()}
     assert len(near & exact) >= 0.9 * len(exact)
     assert retrieval.knn_exact(asked.limit(0), rows, 5).count() == 0
+    monkeypatch.setattr(retrieval, "CELL_PART", 7)
+    monkeypatch.setattr(retrieval, "AT_ONCE", 3)
+    every = retrieval.knn_approx(asked, rows, 5, nlist=4, nprobe=4).collect()
+    assert {(r["query_id"], r["vec_id"]) for r in every} == exact and len(every) == len(exact)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 8)
+    assert {(r["query_id"], r["vec_id"]) for r in retrieval.knn_exact(asked, rows, 5).collect()} == exact
 
 
 @pytest.mark.parametrize("sf", ["0.01", "0.1"])
@@ -124,6 +180,60 @@ def test_upserts_repeat(spark):
         tables.upsert_registry(old, new, mode="insert")
 
 
+def test_repeated_keys_have_one_result(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "document_id long, status string")
+    new = spark.createDataFrame([(2, "c"), (2, "d"), (3, "x"), (3, "x")], "document_id long, status string")
+    assert sorted(map(tuple, tables.upsert_registry(old, new).collect())) == [(1, "a"), (2, "d"), (3, "x")]
+    out, unknown = tables.set_status(old, new)
+    assert sorted(map(tuple, out.collect())) == [(1, "a"), (2, "d")] and [r["document_id"] for r in unknown.collect()] == [3]
+    timed = spark.createDataFrame([(2, "later", 2), (2, "sooner", 1)], "document_id long, status string, at int")
+    assert tables.last_of(timed, "document_id", "at").first()["status"] == "later"
+    sensors = spark.createDataFrame([(1, 5)], "sensor_id long, linked_file_id long")
+    assert [tuple(r) for r in tables.link_sensor(sensors, spark.createDataFrame([(1, 7), (1, 6)], sensors.schema)).collect()] == [(1, 7)]
+
+
+def test_replaced_table(spark, tmp_path):
+    """Readers see the version that was named last; a folder that no entry names is no version, and entries are not made twice."""
+    path = str(tmp_path / "t")
+    with pytest.raises(ValueError):
+        tables.read_table(spark, path)
+    tables.replace_table(spark.range(3), path)
+    before = tables.read_table(spark, path)
+    tables.replace_table(spark.range(5), path)
+    spark.range(9).write.parquet(f"{path}/v-dead")
+    assert tables.read_table(spark, path).count() == 5 and before.count() == 3
+    fs, entry = tables.file_system(spark, f"{path}/manifest/000000001")
+    assert not fs.createNewFile(entry) and len(tables.versions(spark, path)) == 2
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    class Far:
+        conf = spark.conf
+        sparkContext = type("C", (), {"applicationId": "x", "master": "spark://host:7077"})
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(ValueError):
+            staging.shared_folder(Far)
+
+
+def test_scratch_deletes(spark):
+    with staging.scratch(spark):
+        gone = staging.staged(spark.range(3))
+        kept = staging.staged(spark.range(4), keep=True)
+        place = gone.inputFiles()[0]
+        assert gone.count() == 3
+    assert kept.count() == 4 and not staging.file_system(spark, place)[0].exists(staging.file_system(spark, place)[1])
+
+
+def test_documents_with(spark):
+    docs = spark.createDataFrame([(1, "so it is one two three four five six, and more"), (2, "x one  two three four five six,"), (3, None), (4, "tail-one two"), (5, "one two three four five seven")], "doc_id long, text string")
+    passages = spark.createDataFrame([(10, "one two three four five six"), (11, "ne two th"), (12, "one two"), (13, "two"), (14, ""), (15, None)], "item_id long, text string")
+    got = {tuple(r) for r in retrieval.documents_with(docs, passages).collect()}
+    want = {(i, d) for i, p in [(r[0], r[1]) for r in passages.collect()] if p for d, t in [(r[0], r[1]) for r in docs.collect()] if t and p in t}
+    assert got == want and len(want) > 6
+    assert retrieval.documents_with(docs, passages.limit(0)).count() == 0
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1")
     (tmp_path / "b.pdf").write_bytes(b"")
@@ -152,21 +262,24 @@ def test_nested_geometry(spark):
 
 
 def test_ingest_stream(spark, tmp_path):
+    """A document that fails takes no other with it, and is worked on when it arrives again; copies count once."""
     place, out = tmp_path / "in", tmp_path / "out"
     place.mkdir()
-    (place / "a.txt").write_text("one")
-    (place / "b.txt").write_text("one")
+    for name, text in [("a", "one"), ("b", "one"), ("c", "two"), ("d", "three"), ("e", "four"), ("f", "five")]:
+        (place / f"{name}.txt").write_text(text)
 
-    def run(work):
-        jobs.ingest_stream(jobs.arriving_files(spark, str(place)), str(out), str(tmp_path / "check"), work).awaitTermination()
+    def run(bad):
+        text = F.when(F.col("text") == bad, F.raise_error(F.lit("unreadable"))).otherwise(F.col("text"))
+        jobs.ingest_stream(jobs.arriving_files(spark, str(place)), str(out), str(tmp_path / "check"), lambda df: df.select("document_id", text.alias("text"))).awaitTermination()
+        return sorted((r["document_id"], r["status"]) for r in spark.read.parquet(f"{out}/states").collect())
 
-    run(lambda df: df.select("document_id", "text"))
-    assert spark.read.parquet(f"{out}/data").count() == 1
-    (place / "c.txt").write_text("two")
-    run(lambda df: df.select("no_such_column"))
-    (place / "d.txt").write_text("three")
-    run(lambda df: df.select("document_id", "text"))
-    assert sorted(r["status"] for r in spark.read.parquet(f"{out}/states").collect()) == ["error", "indexed", "indexed"]
+    first = [("a.txt", "indexed"), ("c.txt", "error"), ("d.txt", "indexed"), ("e.txt", "indexed"), ("f.txt", "indexed")]
+    assert run("two") == first
+    assert sorted(r["text"] for r in spark.read.option("recursiveFileLookup", True).parquet(f"{out}/data").collect()) == ["five", "four", "one", "three"]
+    (place / "g.txt").write_text("two")
+    (place / "h.txt").write_text("three")  # indexed already
+    assert run("none") == sorted([*first, ("g.txt", "indexed")])
+    assert spark.read.option("recursiveFileLookup", True).parquet(f"{out}/data").where("text = 'two'").count() == 1
 
 
 def test_transitions(spark, tmp_path):
@@ -183,3 +296,8 @@ def test_dedupe_new_ids(spark):
     registry = spark.createDataFrame([("h1", "old", 1), ("h1", "older", 0)], "file_hash string, document_id string, created_at int")
     got = {r["file_hash"]: (r["document_id"], r["known"]) for r in catalog.dedupe_by_hash(incoming, registry).collect()}
     assert got["h1"] == ("older", True) and got["h2"] == ("mine", False) and got["h3"][0]
+    incoming = spark.createDataFrame([(1, "n", "first"), (2, "n", "second"), (3, "m", None), (4, "m", None)], "at int, file_hash string, document_id string")
+    got = {r["at"]: (r["document_id"], r["known"]) for r in catalog.dedupe_by_hash(incoming, registry, "at").collect()}
+    assert got[1] == ("first", False) and got[2] == ("first", True) and got[3][0] == got[4][0] and (got[3][1], got[4][1]) == (False, True)
+    again = {r["at"]: r["document_id"] for r in catalog.dedupe_by_hash(incoming, registry, "at").collect()}
+    assert again[3] == got[3][0]
