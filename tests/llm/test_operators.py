@@ -790,7 +790,7 @@ def brute_mentions(text):
     """(kind, whole, gap before) of each entity and the rest of the text, by another regular expression engine."""
     import regex
 
-    found = "|".join(f"(?P<{k}>{p})" for k, p in pii.PATTERNS.items()).replace(r"\d", "[0-9]")
+    found = "|".join(f"(?P<{k}>{p})" for k, p in pii.PATTERNS.items()).replace(r"[\d", "[0-9").replace(r"\d", "[0-9]")
     at, out = 0, []
     for m in regex.finditer(found, text):
         out.append((m.lastgroup, m[0], text[at : m.start()]))
