@@ -33,13 +33,15 @@ def assign_lines(words: DataFrame, gap: float = LINE_GAP) -> DataFrame:
 
 
 def lines_from_words(words: DataFrame) -> DataFrame:
-    """One row per line of assign_lines: text, font_size, y_top, y_bottom, ratio_to_body."""
-    lines = words.groupBy(*PAGE, "line").agg(
+    """One row per line of assign_lines: text, font_size, y_top, y_bottom, ratio_to_body. The page's median is worked out where the
+    words of a page are together already, so that they are not shuffled again."""
+    words = words.withColumn("median_font_size", F.round(F.median("size").over(Window.partitionBy(*PAGE)), 2))
+    lines = words.groupBy(*PAGE, "line", "median_font_size").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("text"),
         F.round(F.max("size"), 2).alias("font_size"), F.round(F.min("top"), 2).alias("y_top"), F.round(F.max("bottom"), 2).alias("y_bottom"),
     )
     ratio = F.when(F.col("median_font_size") > 0, F.round(F.col("font_size") / F.col("median_font_size"), 2)).otherwise(1.0)
-    return lines.join(page_font_stats(words), list(PAGE)).withColumn("ratio_to_body", ratio).drop("median_font_size", "max_font_size")
+    return lines.withColumn("ratio_to_body", ratio).drop("median_font_size")
 
 
 def lines_from_ocr_words(words: DataFrame) -> DataFrame:
@@ -67,7 +69,8 @@ def promote_header(blocks: DataFrame) -> DataFrame:
 
 
 def fold_rows(df: DataFrame, keys: tuple[str, ...], order: list[str], columns: list[str], start: Column, step, finish) -> DataFrame:
-    """The rows of a key, in order, folded by `step` into an array of structs, one row for each of its elements."""
+    """The rows of a key, in order, folded by `step` into an array of structs, one row for each of its elements. For keys of bounded
+    size, as a page is: the array is copied as it grows."""
     rows = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*columns).alias("row")))), lambda x: x["row"])
     out = df.groupBy(*keys).agg(rows.alias("rows"))
     return out.select(*keys, F.inline(F.aggregate("rows", start, step, finish)))
