@@ -201,14 +201,18 @@ _W = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _ends = ", ".join(f"CASE WHEN {_first('tail', m + ' ')} >= 0 THEN {_first('tail', m + ' ')} END" for m in ".!?")
 
 
-@query(f"""WITH RECURSIVE src AS (SELECT doc_id, trim(coalesce(text, ''), {_W}) AS body FROM documents),
-cuts AS (SELECT doc_id, body, -1 AS n, '' AS chunk, 0 AS start, false AS done FROM src WHERE body <> ''
-  UNION ALL SELECT doc_id, body, n + 1, CASE WHEN final THEN trim(substr(body, start + 1), {_W}) ELSE rtrim(substr(w, 1, cut), {_W}) END,
+def _cuts(src: str) -> str:
+    """Chunks of texts by split_text: recursive members from src (id, body)."""
+    return f"""cuts AS (SELECT id, body, -1 AS n, '' AS chunk, 0 AS start, false AS done FROM {src} WHERE body <> ''
+  UNION ALL SELECT id, body, n + 1, CASE WHEN final THEN trim(substr(body, start + 1), {_W}) ELSE rtrim(substr(w, 1, cut), {_W}) END,
     CASE WHEN final OR length(body) - start - cut <= 1500 THEN start + cut WHEN ends IS NOT NULL THEN low + ends + 2 WHEN word >= 0 THEN low + word + 1 ELSE start + cut END, final
   FROM (SELECT *, least({_ends}) AS ends, {_first('tail', ' ')} AS word FROM (SELECT *, greatest(start + cut - 150, start + 1) AS low, substr(body, greatest(start + cut - 150, start + 1) + 1, start + cut - greatest(start + cut - 150, start + 1)) AS tail FROM (
     SELECT *, CASE WHEN {_last('w', chr(10) * 2)} >= 1350 THEN {_last('w', chr(10) * 2)} WHEN {_last('w', chr(10))} >= 1350 THEN {_last('w', chr(10))} WHEN {_last('w', ' ')} >= 1350 THEN {_last('w', ' ')} ELSE 1500 END AS cut
-    FROM (SELECT doc_id, body, n, start, length(body) - start <= 1500 AS final, substr(body, start + 1, 1500) AS w FROM cuts WHERE NOT done)))))
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INT) AS idx, chunk FROM cuts WHERE n >= 0 AND chunk <> ''""")
+    FROM (SELECT id, body, n, start, length(body) - start <= 1500 AS final, substr(body, start + 1, 1500) AS w FROM cuts WHERE NOT done)))))"""
+
+
+@query(f"""WITH RECURSIVE src AS (SELECT doc_id AS id, trim(coalesce(text, ''), {_W}) AS body FROM documents), {_cuts('src')}
+SELECT id AS doc_id, CAST(row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS INT) AS idx, chunk FROM cuts WHERE n >= 0 AND chunk <> ''""")
 def split_text(v):
     return v.table("documents").select("doc_id", F.posexplode(K.split_text(F.col("text"))).alias("idx", "chunk"))
 
@@ -242,6 +246,30 @@ def chunk_paragraphs(v):
     return v.table("documents").select("doc_id", F.posexplode(K.chunk_paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("idx", "chunk"))
 
 
-@query()
+# repair over page ends, blocks joined up to 300 signs, headers put before what follows them, texts cut
+@query(f"""WITH RECURSIVE b AS (SELECT *, type = 'text' AND NOT {HEAD} AS body FROM blocks),
+p AS (SELECT doc, page, row_number() OVER (PARTITION BY doc ORDER BY page) AS i, count(*) FILTER (WHERE body) AS n, min(block) FILTER (WHERE body) AS first, max(block) FILTER (WHERE body) AS last,
+  coalesce(arg_max(coalesce(right(rtrim(text), 1) IN ('.', '!', '?'), false), block) FILTER (WHERE body), false) AS ended FROM b GROUP BY doc, page),
+s AS (SELECT doc, i, page, first, last, false AS moved, n > 0 AND NOT ended AS open, page AS page_into, last AS block_into FROM p WHERE i = 1
+  UNION ALL SELECT p.doc, p.i, p.page, p.first, p.last, s.open AND p.n > 0, p.n - CASE WHEN s.open AND p.n > 0 THEN 1 ELSE 0 END > 0 AND NOT p.ended, s.page, s.last FROM s JOIN p ON p.doc = s.doc AND p.i = s.i + 1),
+t AS (SELECT s.doc, s.page_into, s.block_into, b.text AS more, b.line_count AS more_lines FROM s JOIN b ON s.moved AND b.doc = s.doc AND b.page = s.page AND b.block = s.first),
+repaired AS (SELECT b.doc, b.page, row_number() OVER (PARTITION BY b.doc, b.page ORDER BY b.block) - 1 AS i, b.type, b.ratio_to_body, CASE WHEN more IS NULL THEN b.text ELSE concat(rtrim(b.text), ' ', ltrim(more)) END AS text, b.line_count + coalesce(more_lines, 0) AS line_count
+  FROM b LEFT JOIN t ON t.doc = b.doc AND t.page_into = b.page AND t.block_into = b.block WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.moved AND s.doc = b.doc AND s.page = b.page AND s.first = b.block)),
+src AS (SELECT *, {HEAD} OR type <> 'text' AS alone FROM repaired),
+m AS (SELECT doc, page, i, 0 AS block_id, text, type, ratio_to_body, CASE WHEN alone OR length(text) >= 300 THEN 1 ELSE 0 END AS shut, length(text) AS size, line_count FROM src WHERE i = 0
+  UNION ALL SELECT n.doc, n.page, n.i, CASE WHEN shut = 1 OR n.alone THEN block_id + 1 ELSE block_id END, CASE WHEN shut = 1 OR n.alone THEN n.text ELSE concat(m.text, chr(10), n.text) END, CASE WHEN shut = 1 OR n.alone THEN n.type ELSE m.type END,
+    CASE WHEN shut = 1 OR n.alone THEN n.ratio_to_body ELSE m.ratio_to_body END, CASE WHEN n.alone OR (CASE WHEN shut = 1 THEN 0 ELSE m.size END) + length(n.text) >= 300 THEN 1 ELSE 0 END,
+    CASE WHEN shut = 1 OR n.alone THEN length(n.text) ELSE m.size + length(n.text) END, CASE WHEN shut = 1 OR n.alone THEN n.line_count ELSE m.line_count + n.line_count END
+  FROM m JOIN src n ON m.doc = n.doc AND m.page = n.page AND n.i = m.i + 1),
+joined AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc, page, block_id ORDER BY i DESC) = 1),
+h AS (SELECT *, {HEAD} AS header, coalesce(sum(CASE WHEN {HEAD} THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY page, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp, max(page) OVER (PARTITION BY doc) AS last_page FROM joined),
+g AS (SELECT doc, grp, string_agg(text, chr(10) ORDER BY page, block_id) AS text, max(page) FILTER (WHERE NOT header) AS page, max(block_id) FILTER (WHERE NOT header) AS block_id, max(type) FILTER (WHERE NOT header) AS type,
+  coalesce(string_agg(CAST(block_id AS VARCHAR), ',' ORDER BY page, block_id) FILTER (WHERE header), '') AS heads, count(*) FILTER (WHERE NOT header) AS n FROM h GROUP BY doc, grp),
+parts AS (SELECT *, row_number() OVER (ORDER BY doc, page, block_id, is_header, text) AS id FROM (SELECT doc, page, block_id, type, text, false AS is_header, heads FROM g WHERE n = 1
+  UNION ALL SELECT h.doc, h.last_page, h.block_id, 'header', h.text, true, '' FROM h JOIN g ON h.doc = g.doc AND h.grp = g.grp WHERE g.n = 0)),
+bodies AS (SELECT id, trim(text, {_W}) AS body FROM parts WHERE type <> 'table' AND NOT is_header), {_cuts('bodies')},
+chunks_ AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS chunk_idx, chunk FROM cuts WHERE n >= 0 AND chunk <> '' UNION ALL SELECT id, 0, text FROM parts WHERE type = 'table' OR is_header),
+named AS (SELECT doc, page, block_id, chunk_idx, chunk AS text, is_header, type AS block_type, CASE WHEN chunk_idx = 0 THEN heads END AS header_ids, row_number() OVER (PARTITION BY doc, page, block_id, chunk_idx ORDER BY is_header, chunk) - 1 AS again FROM chunks_ JOIN parts ON chunks_.id = parts.id)
+SELECT doc, page, block_id, chunk_idx, concat_ws('_', doc, page, block_id, chunk_idx) || CASE WHEN again > 0 THEN '_h' || again ELSE '' END AS chunk_id, text, is_header, block_type, header_ids FROM named""")
 def chunk_documents(v):
-    return K.chunk_documents(v.blocks)
+    return K.chunk_documents(v.blocks).withColumn("header_ids", F.array_join("header_block_ids", ",")).drop("header_block_ids")
