@@ -42,9 +42,9 @@ START = b"\n" * ORDER
 #: Stands for the end of a text; no byte of UTF-8 is 255.
 END = b"\xff"
 #: One in so many words ends an edge, and the first one does (the first edge has no context, and is spelt); texts are taken in stretches of so many bytes, at whose ends an edge ends too.
-EDGE, STRETCH = 2, 1 << 20
+EDGE, STRETCH = 3, 1 << 18
 #: Bytes of text whose edges are dealt together, and bytes of text in all for which edges meet in one group.
-BLOCK, SHARD = 1 << 24, 1 << 24
+BLOCK, SHARD = 1 << 22, 1 << 24
 _DOWN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -283,6 +283,10 @@ class PpmScorer:
 # ---- edges: long contexts ------------------------------------------------------------------------------------------------
 
 
+#: Added to an answer's log if the edge is not among its context's followers.
+ESCAPED = 100
+
+
 class Edges:
     """Cuts texts into edges and hashes them and their contexts, by prefix sums over the bytes."""
 
@@ -322,6 +326,17 @@ class Edges:
         return np.concatenate([x + k * STRETCH for k, x in enumerate(begins)]), np.concatenate(hashes), np.concatenate(contexts)
 
 
+def _bytes_of(x: np.ndarray, n: int) -> bytes:
+    """The lowest n bytes of each 64-bit number."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
+
+
+def _numbers_of(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((len(data) // n, 8), np.uint8)
+    out[:, :n] = np.frombuffer(data, np.uint8).reshape(-1, n)
+    return out.view("<u8").ravel()
+
+
 class Block:
     """Edges of the texts that one worker scores in turn: what the shards need of them, and what the block keeps."""
 
@@ -339,18 +354,18 @@ class Block:
 
     def close(self, shards: int) -> Iterator[tuple[int, bytes]]:
         """(shard, contents). The block's distinct pairs of context and edge are numbered by shard, context and edge. To a shard go
-        its first number, contexts, edges, and how often training has each (a byte, and those of 255 or more again). The block
+        its first number, contexts (the lower six bytes, the shard has others of it), edges (three bytes), and how often training has each (a byte, and those of 255 or more again). The block
         keeps, as shard -1, the number of each of its edges (-1 without context), which numbers are from training, and of
         edges that aren't so the log when spelt and the rare bytes in them."""
         own, context, spelt, at, grams, train = map(np.concatenate, zip(*self.texts, strict=True))
         inside = np.flatnonzero(context)
-        shard = ((context[inside] >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
+        shard = ((context[inside] >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
         order = np.lexsort((own[inside], context[inside], shard))
         c, e, shard = context[inside[order]], own[inside[order]], shard[order]
         new = np.concatenate([[True], (c[1:] != c[:-1]) | (e[1:] != e[:-1])])[: len(order)]
         number = np.full(len(own), -1, np.int32)
         number[inside[order]] = np.cumsum(new) - 1
-        c, e, shard = c[new], (e[new] >> np.uint64(32)).astype(np.uint32), shard[new]
+        c, e, shard = c[new], e[new], shard[new]
         seen = np.bincount(number[inside], train[inside], len(c)).astype(np.int64)
         unsure = np.full(len(own), True)
         unsure[inside] = seen[number[inside]] == 0
@@ -359,7 +374,7 @@ class Block:
         for a, z in zip(edges, edges[1:]):
             if z > a:
                 many = np.flatnonzero(seen[a:z] >= 255)
-                yield int(shard[a]), pickle.dumps((a, c[a:z], e[a:z], np.minimum(seen[a:z], 255).astype(np.uint8), many, seen[a:z][many]))
+                yield int(shard[a]), pickle.dumps((a, _bytes_of(c[a:z], 6), _bytes_of(e[a:z], 3), np.minimum(seen[a:z], 255).astype(np.uint8), many, seen[a:z][many]))
 
 
 def known_edges(rows: DataFrame) -> DataFrame:
@@ -372,9 +387,9 @@ def known_edges(rows: DataFrame) -> DataFrame:
         seen = [p[3].astype(np.int64) for p in parts]
         for s, (*_, at, counts) in zip(seen, parts, strict=True):
             s[at] = counts
-        context, edge, seen = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]), np.concatenate(seen)
-        number = np.concatenate([np.arange(p[0], p[0] + len(p[1])) for p in parts])
-        owner = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
+        context, edge = _numbers_of(b"".join(p[1] for p in parts), 6), _numbers_of(b"".join(p[2] for p in parts), 3)
+        number = np.concatenate([np.arange(p[0], p[0] + len(x)) for p, x in zip(parts, seen, strict=True)])
+        owner, seen = np.repeat(np.arange(len(parts)), list(map(len, seen))), np.concatenate(seen)
         order = np.lexsort((edge, context))
         context, edge = context[order], edge[order]
         new_context = np.concatenate([[True], context[1:] != context[:-1]])
@@ -393,7 +408,7 @@ def known_edges(rows: DataFrame) -> DataFrame:
         blocks, blobs = [], []
         for part in np.split(by, np.flatnonzero(np.diff(owner[order][by])) + 1) if len(by) else []:
             blocks.append(t.column("block")[int(owner[order][part[0]])].as_py())
-            blobs.append(pickle.dumps((number[order][part].astype(np.int32), log[part], escapes[part])))
+            blobs.append(pickle.dumps((number[order][part].astype(np.int32), np.where(escapes[part], log[part] + np.float32(ESCAPED), log[part]))))
         return pa.table({"block": pa.array(blocks, pa.int64()), "answers": pa.array(blobs, pa.binary())})
 
     return rows.groupBy("shard").applyInArrow(answer, "block long, answers binary")
@@ -409,8 +424,9 @@ def along_edges(texts: DataFrame, answers: DataFrame) -> DataFrame:
         trained = np.unpackbits(trained, count=int(number.max(initial=-1)) + 1).astype(bool)
         log, escapes = np.where(trained, np.float32(-math.log10(2)), np.float32(0)), ~trained
         for blob in told.column("answers").to_pylist():
-            k, new, out = pickle.loads(blob)
-            log[k], escapes[k] = new, out
+            k, new = pickle.loads(blob)
+            escapes[k] = new > 1
+            log[k] = np.where(escapes[k], new - np.float32(ESCAPED), new)
         spells = np.full(len(number), True)
         value = np.zeros(len(number))
         inside = number >= 0
