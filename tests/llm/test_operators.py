@@ -513,6 +513,38 @@ def test_language_accuracy(spark):
     assert (held.lang == held.lang_pred).mean() > 0.97 and out.score.between(0, 1).all()
 
 
+def test_language_query(spark, documents):
+    """The registered query's labels and scores by plain loops over each text's sequences, with the same fitted field."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    train = [(r.lang, r.text) for r in documents.itertuples() if not held(r.doc_id)]
+    crf = language_id.fit(language_id.sample(spark.createDataFrame(train, "lang string, text string")))
+    n, text = len(crf.languages), dict(zip(documents.doc_id, documents.text, strict=True))
+    add = lambda xs: max(xs) + math.log(sum(math.exp(x - max(xs)) for x in xs))
+    rows = queries.op7_language_id(spark, SF).collect()
+    assert len(rows) == len(documents)
+    for r in rows:
+        assert r["held_out"] == held(r["doc_id"])
+        words = [w for w in language_id.LETTERS((text[r["doc_id"]] or "").lower())]
+        if not words:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        words, sums = words[:2000], [0.0] * n
+        emit = crf.scores(crf.features(words), len(words)).tolist()
+        for at in range(0, len(words), language_id.SEQUENCE):
+            e, move = emit[at : at + language_id.SEQUENCE], crf.transitions.tolist()
+            ahead, back = [e[0]], [[0.0] * n]
+            for x in e[1:]:
+                ahead.append([x[j] + add([ahead[-1][i] + move[i][j] for i in range(n)]) for j in range(n)])
+            for x in e[:0:-1]:
+                back.append([add([move[i][j] + x[j] + back[-1][j] for j in range(n)]) for i in range(n)])
+            for a, b in zip(ahead, back[::-1], strict=True):
+                total = add([a[j] + b[j] for j in range(n)])
+                for j in range(n):
+                    sums[j] += math.exp(a[j] + b[j] - total)
+        if r["n_words"] == len(words):
+            assert r["lang_pred"] == crf.languages[max(range(n), key=lambda j: sums[j])] and r["score"] == pytest.approx(max(sums) / len(words), abs=1e-4)
+
+
 def test_language_sample_is_whole(spark):
     """Copies take one place each, long texts give a passage, and every label is learned."""
     texts = [f"text number {chr(97 + k)} of many" for k in range(26)]
@@ -686,6 +718,23 @@ def test_media(odd, none):
     assert media.features(media.store(media.payloads(none))).count() == 0
 
 
+def test_media_query(spark, documents):
+    """Every column of the registered query, from the file that the writer makes of a payload."""
+    text = dict(zip(documents.doc_id, documents.text, strict=True))
+    rows = queries.op9_media_tiff(spark, SF).collect()
+    assert len(rows) == len(documents)
+    for r in rows:
+        raw = (text[r["doc_id"]] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        file = media.tiff_of(payload)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest())
+        means = [sum(payload[k::64]) / (len(payload) // 64) for k in range(64)]
+        mean = sum(means) / 64
+        bits = "".join("1" if m > mean + 1e-9 else "0" for m in means)
+        assert r["feature"] == f"{int(bits, 2):016x}-{mean:.4f}" or min(abs(m - mean) for m in means) < 1e-6
+
+
 def test_codecs():
     rng = random.Random(1)
     for n in [*range(0, 1500, 11), 70_000]:
@@ -775,6 +824,7 @@ def test_pii_collisions(spark, monkeypatch):
 
 def test_pii_surrogates_grow(spark, monkeypatch):
     """More entities than surrogates of their format: the query ends, and no two share one, nor is one an entity."""
+    monkeypatch.setattr(pii, "MOST_TRIES", 1)
     monkeypatch.setattr(pii, "SYLLABLES", {"latin": ["ba", "do"], "cyrillic": ["ба", "до"]})
     monkeypatch.setattr(pii, "LETTERS", {**pii.LETTERS, "[0-9]": "01"})
     made = [("".join(x)).capitalize() for x in itertools.product(["ba", "do"], repeat=4)]
