@@ -210,8 +210,8 @@ def leaves_of(sets: DataFrame, runs: range) -> tuple[DataFrame, int]:
         return F.shiftleft(run.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*of), 8))
 
     def kept(rows: DataFrame) -> DataFrame:
-        """With the bucket's size; sets alone in a bucket go."""
-        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        """With the bucket's size; sets alone in a bucket go. Sizes are written first, so that a large bucket can be split."""
+        sizes = staged(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
         return rows.join(sizes, "bucket")
 
     blocks = F.ceil(F.col("n") / F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), F.ceil(F.col("n") / DENSE_BLOCKS))))
@@ -316,7 +316,8 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
 
 def connected(edges: DataFrame) -> DataFrame:
     """key, label (smallest key of its component) from edges (key, root): minimum labels pass along the edges and labels of
-    labels are taken, until nothing changes."""
+    labels are taken, until nothing changes. Joins are of tables that are written down, so that adaptive execution splits a
+    label, or a root, with very many members."""
     both = staged(edges.where("key != root").distinct())
     both = staged(both.select(F.col("key").alias("a"), F.col("root").alias("b")).union(both.select("root", "key")).distinct())
     labels = staged(both.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("key"), F.least("a", "label").alias("label")))
