@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.clustering import cluster_vectors
 from quire.llm.common import new_path, table
+from quire.llm.decontamination import benchmark_hits
+from quire.llm.fill_in_middle import fill_in_middle, restored
 from quire.llm.language_id import language_id
 from quire.llm.line_dedup import line_dedup
 from quire.llm.lm_scoring import lm_scores
@@ -78,6 +81,20 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_pii(table(spark, sf_dir, "documents"), key="a key that the caller keeps")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_in_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm_rate=50)
+    return rows.withColumns({"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(restored(F.col("output"), F.col("form")), 256)}).drop("output")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64)
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near")
+
+
 # The parts of three operators' results that SQL can express, as queries of their own.
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_quality_rules(spark, sf_dir).drop("kept", "llr")
@@ -92,12 +109,12 @@ def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ten = (op1_line_dedup, op2_ngram_jaccard_join, op3_mix_sources, op4_quality_rules, op5_token_counts, op6_best_fit_packing, op7_language_id, op8_lm_scoring, op9_media_tiff, op10_pii_surrogates)
-    return {f.__name__: f for f in (*ten, quality_counts, mix_tokens, lm_base_scores)}
+    dealt = (op1_line_dedup, op2_ngram_jaccard_join, op3_mix_sources, op4_quality_rules, op5_token_counts, op6_best_fit_packing, op7_language_id, op8_lm_scoring, op9_media_tiff, op10_pii_surrogates, op11_fill_in_middle, op12_centroid_clustering, op13_decontamination)
+    return {f.__name__: f for f in (*dealt, quality_counts, mix_tokens, lm_base_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "quality_counts": QUALITY_SQL, "mix_tokens": MIX_SQL, "lm_base_scores": LM_SQL}
+    return {"op1_line_dedup": OP1_SQL, "quality_counts": QUALITY_SQL, "mix_tokens": MIX_SQL, "lm_base_scores": LM_SQL, "op11_fill_in_middle": FIM_SQL, "op12_centroid_clustering": CLUSTER_SQL, "op13_decontamination": LEAK_SQL}
 
 
 OP1_SQL = r"""
@@ -139,3 +156,51 @@ SELECT f.doc_id, f.held_out, coalesce(words, 0) + 1 AS n_tokens, coalesce(known,
   round(coalesce(logs, 0) + log10(ends + 0.5) - (coalesce(words, 0) + 1) * log10(n + 0.5 * (v + 1)), 4) AS base_score
 FROM f CROSS JOIN n LEFT JOIN s ON f.doc_id = s.doc_id
 """
+FIM_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l, sha256('7:' || doc_id) AS h FROM documents),
+n AS (SELECT *, len(l)::BIGINT AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i::INT, 8))::BIGINT) AS hs FROM d),
+c AS (SELECT *, least(hs[1] % (n + 1), hs[2] % (n + 1)) AS a, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR hs[3] % 100 >= 100 THEN 'plain' WHEN hs[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, array_to_string(l[1:a], '') AS prefix, array_to_string(l[a + 1:b], '') AS middle, array_to_string(l[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p
+"""
+
+
+def cluster_sql(k: int = 16, rounds: int = 3, dims: int = 64, scale: int = 64) -> str:
+    """Assignments a0, a1, ... to centroids c0, c1, ..., one after the other."""
+    steps = []
+    for r in range(rounds + 1):
+        square = "list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        steps.append(f"a{r} AS MATERIALIZED (SELECT x.row, any_value(x.vec_id) AS vec_id, any_value(x.v) AS v, min(struct_pack(d := {square}, c := c.c)) AS m FROM kept x CROSS JOIN c{r} c GROUP BY x.row)")
+        if r < rounds:
+            steps.append(f"s{r} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT m.c AS c, unnest(range({dims})) AS i, unnest(v) AS x FROM a{r}) GROUP BY c, i)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(w.v, o.v) AS v FROM c{r} o LEFT JOIN (SELECT c, list((s - (s % n + n) % n) // n ORDER BY i) AS v FROM s{r} GROUP BY c) w ON o.c = w.c)")
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: isfinite(x))) = {dims}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v FROM kept QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id)) <= {k}),
+{", ".join(steps)}
+SELECT vec_id, m.c::INT AS cluster, m.d::BIGINT AS distance, sum(m.d) OVER (PARTITION BY m.c)::BIGINT AS cluster_inertia, sum(m.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON a.m.c = c.c
+"""
+
+
+CLUSTER_SQL = cluster_sql()
+#: Windows are looked up as they are, all of a document's against all of the items'; n_near by the two rarest terms of each window.
+LEAK_SQL = r"""
+WITH dw AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+bw AS MATERIALIZED (SELECT *, least(len(ws), 10) AS k FROM (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark) WHERE len(ws) > 0),
+bp AS (SELECT item, ws, k, unnest(range(1, len(ws) - k + 2)) AS j FROM bw),
+windows AS MATERIALIZED (SELECT DISTINCT item, k, array_to_string(ws[j:j + k - 1], ' ') AS w FROM bp),
+pos AS (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS j FROM dw, (SELECT DISTINCT k FROM bw) WHERE len(ws) >= k),
+found AS MATERIALIZED (SELECT doc_id, j, a.k, item FROM pos a JOIN windows w ON a.k = w.k AND array_to_string(a.ws[a.j:a.j + a.k - 1], ' ') = w.w),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(j, j + k)) AS p FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id),
+tokens AS MATERIALIZED (SELECT doc_id, unnest(range(len(ws))) AS p, lower(unnest(ws)) AS t FROM dw),
+freq AS (SELECT t, count(*) AS f FROM tokens GROUP BY t),
+terms AS (SELECT item, k, n, list(struct_pack(f := coalesce(f, 0), o := o, t := bt.t) ORDER BY o) AS ts FROM (SELECT item, k, len(ws) AS n, unnest(range(len(ws))) AS o, lower(unnest(ws)) AS t FROM bw) bt LEFT JOIN freq ON bt.t = freq.t GROUP BY item, k, n),
+rare AS (SELECT DISTINCT item, r[1] AS x, CASE WHEN len(r) > 1 THEN r[2] ELSE r[1] END AS y FROM (SELECT item, list_sort(ts[j:j + k - 1])[1:2] AS r FROM (SELECT *, unnest(range(1, n - k + 2)) AS j FROM terms)) WHERE r[1].f > 0),
+near AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT a.doc_id, item FROM rare r JOIN tokens a ON a.t = r.x.t JOIN tokens b ON b.t = r.y.t AND a.doc_id = b.doc_id AND abs((a.p - r.x.o) - (b.p - r.y.o)) <= 3) AS m ANTI JOIN found f ON m.doc_id = f.doc_id AND m.item = f.item GROUP BY doc_id)
+SELECT dw.doc_id, len(ws)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(named.n, 0)::BIGINT AS n_items, sha256(coalesce(named.items, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated, coalesce(near.n, 0)::BIGINT AS n_near
+FROM dw LEFT JOIN hit ON dw.doc_id = hit.doc_id LEFT JOIN named ON dw.doc_id = named.doc_id LEFT JOIN near ON dw.doc_id = near.doc_id
+"""
