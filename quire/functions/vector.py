@@ -35,8 +35,9 @@ def squared_l2(a: Column, b: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    """Unit length; a zero vector stays."""
-    return F.when(norm(v) == 0, doubles(v)).otherwise(F.transform(doubles(v), lambda x: x / norm(v)))
+    """Unit length; a zero vector stays. The norm is worked out once: a fold over one pair of it and the vector."""
+    both = F.array(F.struct(norm(v).alias("n"), doubles(v).alias("v")))
+    return F.get(F.transform(both, lambda b: F.when(b["n"] == 0, b["v"]).otherwise(F.transform(b["v"], lambda x: x / b["n"]))), F.lit(0))
 
 
 def parse_embedding(c: Column) -> Column:

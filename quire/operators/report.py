@@ -6,15 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.catalog import file_facets, index_state_counts
-
-
-def keyword_coverage(chunks: DataFrame, keywords: dict[str, list[str]]) -> DataFrame:
-    """workspace_id, sensor_type, covered for every workspace of `chunks` (workspace_id, content) and every type: whether a
-    keyword of the type is inside a lower-cased chunk. Flags are summed in each task; texts are not moved."""
-    low = F.lower("content")
-    flags = [F.coalesce(F.bool_or(F.lit(False) if not words else F.rlike(low, F.lit("|".join(rf"\Q{w}\E" for w in words)))), F.lit(False)).alias(t) for t, words in keywords.items()]
-    wide = chunks.groupBy("workspace_id").agg(*flags)
-    return wide.select("workspace_id", F.inline(F.array(*[F.struct(F.lit(t).alias("sensor_type"), F.col(t).alias("covered")) for t in keywords])))
+from quire.operators.keywords import keyword_coverage
 
 
 def readiness_items(files: DataFrame, sensors: DataFrame, chunks: DataFrame, keywords: dict[str, list[str]]) -> DataFrame:

@@ -2,203 +2,20 @@
 
 from __future__ import annotations
 
-import math
-import zlib
-from collections.abc import Callable, Iterator
-from functools import reduce
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from quire.functions.vector import cosine
 from quire.operators.catalog import chunks_with_files, rank_hits
-from quire.sources.staging import staged
+from quire.operators.embedding import embed_batches, embed_cached, hashing_embed  # noqa: F401
+from quire.operators.keywords import keyword_hits  # noqa: F401
+from quire.operators.text_index import TextIndex, bm25_scores, texts_with
+from quire.operators.vector_search import VectorIndex, knn_approx, knn_exact, search_vectors  # noqa: F401
 
 # Candidates of the first stage, limits of top_k, page offset of the golden questions.
 CANDIDATES, DEFAULT_K, MOST_K, PAGE_OFFSET = 20, 5, 50, 31
-#: Queries (rows of vectors) that go to the workers at once; more are taken block by block.
-QUERY_BLOCK = 10_000
-#: Rows that the approximate index is fitted on; vectors of a cell that meet in one task; queries that are compared at once.
-INDEX_SAMPLE, CELL_PART, AT_ONCE = 10_000, 50_000, 2_000
-#: Passages whose word windows may be broadcast.
-BROADCAST_PASSAGES = 200_000
-#: Queries whose exact neighbours say how many cells the approximate search probes.
-MEASURED = 256
-
-
-def hashing_embed(texts: list[str], dim: int = 64) -> np.ndarray:
-    """Deterministic stand-in for a model: words hashed into signed buckets."""
-    out = np.zeros((len(texts), dim))
-    for i, t in enumerate(texts):
-        for w in t.lower().split():
-            h = zlib.crc32(w.encode())
-            out[i, h % dim] += 1 if h >> 31 else -1
-    return out
-
-
-def embed_batches(df: DataFrame, column: str, fn: Callable[[list[str]], np.ndarray] = hashing_embed, prefix: str = "passage: ", batch: int = 100, out: str = "embedding") -> DataFrame:
-    """Unit vectors of the texts, `batch` at a time; a zero vector stays zero. An empty table gives no rows."""
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
-
-    def embed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for k in range(0, len(f), batch):
-                part = f.iloc[k : k + batch]
-                v = np.asarray(fn([prefix + (t or "") for t in part[column]]), float)
-                size = np.linalg.norm(v, axis=1, keepdims=True)
-                yield part.assign(**{out: list(np.divide(v, size, out=np.zeros_like(v), where=size > 0))})
-
-    return df.mapInPandas(embed, schema)
-
-
-def _matrix(b: pa.RecordBatch, column: str) -> np.ndarray:
-    return np.array(b.column(column).to_pylist(), float).reshape(b.num_rows, -1)
-
-
-def _joined(best: tuple | None, rows: np.ndarray, names: np.ndarray, s: np.ndarray, k: int) -> tuple:
-    """The k best (query number, name, score) of each query, of what was best and what is new; ties by name."""
-    now = (rows, names, s) if best is None else tuple(map(np.concatenate, zip(best, (rows, names, s), strict=True)))
-    order = np.lexsort((now[1], -now[2], now[0]))
-    rows = now[0][order]
-    return tuple(x[order[np.arange(len(rows)) - np.searchsorted(rows, rows) < k]] for x in now)
-
-
-def _above(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of scores that are among the k best of their row, ties included."""
-    at = max(0, s.shape[1] - k)
-    return np.nonzero(s >= np.partition(s, at, axis=1)[:, [at]])
-
-
-def _best(frame: DataFrame, ids: list, q: np.ndarray, k: int, score: Callable, vector_id: str, vector: str) -> DataFrame:
-    kind = dict(frame.dtypes)[vector_id]
-    arrow = to_arrow_type(frame.schema[vector_id].dataType)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = None  # at most k for each query, over all batches of the task
-        for b in batches:
-            if b.num_rows:
-                s = score(q, _matrix(b, vector))
-                rows, cols = _above(s, k)
-                best = _joined(best, rows, np.array(b.column(vector_id).to_pylist())[cols], s[rows, cols], k)
-        if best is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in best[0]], pa.int64()), pa.array(best[1].tolist(), arrow), pa.array(best[2], pa.float64())], names=["query_id", vector_id, "similarity"])
-
-    return frame.mapInArrow(search, f"query_id long, {vector_id} {kind}, similarity double")
-
-
-def _cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
-    return np.divide(q @ v.T, size, out=np.zeros((len(q), len(v))), where=size > 0)
-
-
-def _distances(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return -((q**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * q @ v.T)
-
-
-METRICS = {"cosine": _cosines, "l2": _distances}
-
-
-class query_blocks:
-    """The stated queries, at most about QUERY_BLOCK at a time: lists of ids and matrices, of n blocks."""
-
-    def __init__(self, queries: DataFrame, query_id: str, vector: str):
-        self.rows, self.query_id, self.n = queries.select(query_id, vector), query_id, -(-queries.count() // QUERY_BLOCK)
-
-    def __iter__(self) -> Iterator[tuple[list, np.ndarray]]:
-        for k in range(self.n):
-            part = self.rows if self.n == 1 else self.rows.where(F.pmod(F.xxhash64(self.query_id), F.lit(self.n)) == k)
-            rows = part.collect()
-            if rows:
-                yield [r[0] for r in rows], np.array([r[1] for r in rows], float)
-
-
-def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", query_id: str = "query_id", vector_id: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
-    """query_id, vector_id, similarity (for l2: minus the squared distance), rank. Queries are matrices in the workers, each
-    task keeps its k best vectors of each, and only those are ranked. `where` filters vectors before."""
-    rows = (vectors if where is None else vectors.where(where)).select(vector_id, vector)
-    found, blocks = None, query_blocks(queries, query_id, vector)
-    for ids, q in blocks:
-        hits = _best(rows, ids, q, k, METRICS[metric], vector_id, vector)
-        if blocks.n > 1:  # a block's hits are written before the next one is taken to the driver
-            hits = staged(hits)
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = _best(rows.limit(0), [], np.zeros((0, 1)), k, METRICS[metric], vector_id, vector)
-    return rank_hits(found, "query_id", "similarity", k, vector_id)
-
-
-def knn_approx(queries: DataFrame, vectors: DataFrame, k: int, nlist: int | None = None, nprobe: int | None = None, metric: str = "cosine", query_id: str = "query_id", vector_id: str = "vec_id", vector: str = "embedding", recall: float = 0.95) -> DataFrame:
-    """As knn_exact over the nprobe nearest of nlist cells (as many as the root of the number of vectors, at most 4096). Cells are
-    fitted on INDEX_SAMPLE vectors; every vector has a cell. For cosine, cells are those of unit vectors. Without nprobe, as
-    few cells are probed as give MEASURED of the queries (all, if they are no more) the stated recall against knn_exact.
-
-    A query meets the vectors of the cells it probes and no others: queries, once for each, and vectors are joined by cell. A
-    cell's vectors are dealt to as many tasks as CELL_PART asks for, so that no task holds a large cell; each gives its k best
-    of a query. Neither side passes the driver."""
-
-    def placeable(v: np.ndarray) -> np.ndarray:
-        size = np.linalg.norm(v, axis=1, keepdims=True)
-        return np.divide(v, size, out=np.zeros_like(v), where=size > 0) if metric == "cosine" else v
-
-    sample = placeable(np.array([r[0] for r in vectors.orderBy(F.xxhash64(vector_id)).limit(INDEX_SAMPLE).select(vector).collect()], float))
-    if not len(sample) or queries.isEmpty():
-        return knn_exact(queries, vectors, k, metric, query_id, vector_id, vector)
-    cells = nlist or max(8, min(4096, math.isqrt(vectors.count())))
-    centres = sample[: min(cells, len(sample))]
-    for _ in range(15):
-        near = _distances(sample, centres).argmax(1)
-        centres = np.array([sample[near == c].mean(0) if (near == c).any() else centres[c] for c in range(len(centres))])
-
-    def nearest(v: np.ndarray, n: int) -> np.ndarray:
-        return np.argsort(-_distances(placeable(v), centres), 1, kind="stable")[:, :n]
-
-    if nprobe is None:
-        some = queries.orderBy(F.xxhash64(query_id), query_id).limit(MEASURED)
-        exact = knn_exact(some, vectors, k, metric, query_id, vector_id, vector)
-        asked = some.select(F.col(query_id).alias("query_id"), F.col(vector).alias("asked"))
-        pairs = exact.select("query_id", vector_id).join(vectors.select(vector_id, vector), vector_id).join(asked, "query_id").select("asked", vector).collect()
-        order = nearest(np.array([r[0] for r in pairs], float), len(centres))
-        needed = np.sort((order == nearest(np.array([r[1] for r in pairs], float), 1)).argmax(1) + 1)
-        nprobe = int(needed[int(np.ceil(recall * len(needed))) - 1])
-
-    def placed(rows: DataFrame, n: int) -> DataFrame:
-        """rows with the n nearest cells of their vector, one row for each."""
-
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    at = nearest(_matrix(b, vector), n).astype(np.int64)
-                    yield b.append_column("cells", pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, at.shape[1]), pa.int32()), pa.array(at.ravel())))
-
-        out = rows.mapInArrow(place, T.StructType([*rows.schema.fields, T.StructField("cells", T.ArrayType(T.LongType()))]))
-        return out.select(*rows.columns, F.explode("cells").alias("cell"))
-
-    rows = staged(placed(vectors.select(vector_id, vector), 1))
-    parts = rows.groupBy("cell").agg(F.ceil(F.count("*") / CELL_PART).alias("parts"))  # at most nlist rows
-    rows = rows.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64(vector_id), F.col("parts"))).select("cell", "part", vector_id, vector)
-    asked = placed(queries.select(F.col(query_id).cast("long").alias("query_id"), vector), nprobe).join(F.broadcast(parts), "cell")
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("cell", "part", "query_id", F.col(vector).alias("asked"))
-    score, kind, arrow = METRICS[metric], dict(vectors.dtypes)[vector_id], to_arrow_type(vectors.schema[vector_id].dataType)
-
-    def search(key: tuple, v: pa.Table, q: pa.Table) -> pa.Table:
-        out = [], [], []
-        if v.num_rows and q.num_rows:
-            names, matrix, ids = np.array(v.column(vector_id).to_pylist()), _matrix(v, vector), q.column("query_id").to_numpy()
-            for at in range(0, q.num_rows, AT_ONCE):
-                s = score(_matrix(q.slice(at, AT_ONCE), "asked"), matrix)
-                rows, cols = _above(s, k)
-                for column, x in zip(out, _joined(None, rows, names[cols], s[rows, cols], k), strict=True):
-                    column.append(x if column is not out[0] else ids[at + x])
-        flat = [np.concatenate(x) if x else np.zeros(0) for x in out]
-        return pa.table([pa.array(flat[0], pa.int64()), pa.array(flat[1].tolist(), arrow), pa.array(flat[2], pa.float64())], names=["query_id", vector_id, "similarity"])
-
-    found = rows.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInArrow(search, f"query_id long, {vector_id} {kind}, similarity double")
-    return rank_hits(found, "query_id", "similarity", k, vector_id)
 
 
 def semantic_search(chunks: DataFrame, files: DataFrame, workspace: str, query: list[float], k: int = DEFAULT_K, least: float = 0.1) -> DataFrame:
@@ -216,30 +33,8 @@ def keyword_search(chunks: DataFrame, files: DataFrame, workspace: str, query: s
 
 
 def documents_with(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", passage_id: str = "item_id", text: str = "text") -> DataFrame:
-    """passage_id, doc_id of every document that holds a passage, sign by sign. Passages are found by a window of the words that
-    lie inside them (up to four, between their first and last word, so that they are whole words of the document too), by hash;
-    documents that have the window are then searched for the passage. Passages of one or two words have no word inside: they
-    are looked up in each document, and may be no more than BROADCAST_PASSAGES. Empty passages are in no document."""
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    window = lambda w, i, n: F.xxhash64(F.array_join(F.slice(w, i, n), " "))
-    p = passages.where(F.col(text) != "").select(passage_id, F.col(text).alias("passage"), words(F.col(text)).alias("w"))
-    p = staged(p.withColumn("n", F.least(F.size("w") - 2, F.lit(4))).withColumn("h", F.when(F.col("n") > 0, window(F.col("w"), F.lit(2), F.col("n")))).drop("w"))
-    sizes = [r["n"] for r in p.where("n > 0").select("n").distinct().collect()]  # at most four
-    small = p.count() <= BROADCAST_PASSAGES
-    near = F.broadcast if small else (lambda x: x)
-    found = []
-    for n in sizes:
-        rows = docs.select(doc_id, words(F.col(text)).alias("w")).where(F.size("w") >= n)
-        places = rows.select(doc_id, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: window(F.col("w"), i, F.lit(n))))).alias("h"))
-        hits = places.join(near(p.where(F.col("n") == n).select("h", passage_id, "passage")), "h").select(doc_id, passage_id, "passage")
-        found.append(hits.join(docs.select(doc_id, F.col(text).alias("text")), doc_id).where(F.contains("text", F.col("passage"))).select(passage_id, doc_id))
-    short = p.where("n <= 0")
-    if not short.isEmpty():
-        if not small:
-            raise ValueError("too many passages of one or two words")
-        found.append(docs.select(doc_id, F.col(text).alias("text")).join(F.broadcast(short), F.contains("text", F.col("passage"))).select(passage_id, doc_id))
-    out = reduce(DataFrame.unionByName, found) if found else docs.select(F.lit(None).cast(dict(passages.dtypes)[passage_id]).alias(passage_id), doc_id).limit(0)
-    return out.distinct()
+    """passage_id, doc_id of every document that holds a passage, sign by sign. Empty passages are in no document."""
+    return texts_with(docs, passages, doc_id, text, passage_id, text)
 
 
 def token_overlap(query: Column, text: Column) -> Column:
@@ -257,10 +52,21 @@ def rerank(candidates: DataFrame, k: int, scorer: Column | None = None, query_ke
     return rows.withColumn("score", F.coalesce("new", "score")).drop("new", "by")
 
 
-def two_stage_search(queries: DataFrame, vectors: DataFrame, k: int = DEFAULT_K, scorer: Callable[[Column, Column], Column] = token_overlap, where: Column | None = None) -> DataFrame:
+def rerank_bm25(candidates: DataFrame, queries: DataFrame, index: TextIndex, k: int, query_key: str = "query_id", item: str = "chunk_id", text: str = "query") -> DataFrame:
+    """The k best candidates of each query by BM25 over an index of all texts. Candidates that share no word with their query come
+    last, in their old order."""
+    rows = bm25_scores(candidates, queries, index, item, query_key, text)
+    return rerank(rows, k, F.when(F.col("bm25") > 0, F.col("bm25")), query_key, item).drop("bm25")
+
+
+def two_stage_search(queries: DataFrame, vectors: DataFrame, k: int = DEFAULT_K, scorer: Callable[[Column, Column], Column] = token_overlap, where: Column | None = None, index: TextIndex | None = None, cells: VectorIndex | None = None) -> DataFrame:
     """queries (query_id, query, embedding) against vectors (chunk_id, text, embedding, ...): CANDIDATES by vector, or k if that
-    is more, then the k best by the scorer."""
-    near = knn_exact(queries, vectors, max(CANDIDATES, k), vector_id="chunk_id", where=where).withColumnRenamed("similarity", "score")
+    is more, then the k best by the scorer, or with `index` by BM25. With `cells` the first stage is the approximate search."""
+    n = max(CANDIDATES, k)
+    near = search_vectors(queries, cells, n) if cells else knn_exact(queries, vectors, n, vector_id="chunk_id", where=where)
+    near = near.withColumnRenamed("vec_id", "chunk_id").withColumnRenamed("similarity", "score")
+    if index:
+        return rerank_bm25(near, queries, index, k).join(vectors.drop("embedding"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
     rows = near.join(vectors.drop("embedding"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
     return rerank(rows, k, scorer(F.col("query"), F.col("text")))
 

@@ -12,6 +12,8 @@ from quire.operators import chunking as K
 from quire.operators import report as P
 from quire.operators import retrieval as R
 from quire.operators import tables as D
+from quire.operators import text_index as TI
+from quire.operators import vector_search as X
 from quire.plans.fixtures import query
 from quire.sources import files as S
 from quire.sources.staging import new_path, staged
@@ -53,7 +55,9 @@ def knn_approx(v):
 
 
 def near(v):
-    return R.knn_approx(stated(v), v.vectors, 5, vector_id="chunk_id")
+    """An index is built, and then searched."""
+    index = X.build_vector_index(v.vectors, place(v, "vector-index"), vector_id="chunk_id")
+    return X.search_vectors(stated(v), index, 5).withColumnRenamed("vec_id", "chunk_id")
 
 
 @query(f"WITH {HITS} SELECT count(*) AS neighbours, true AS enough FROM hits")
@@ -121,16 +125,75 @@ def embed_batches(v):
     return rows.select("item_id", F.posexplode("embedding").alias("place", "x")).select("item_id", F.col("place").cast("long").alias("place"), F.round("x", 9).alias("x"))
 
 
-def searched(v):
-    """Every benchmark passage against every line of the documents, by hashed words and then by shared words."""
-    lines = v.chunks.select(F.concat_ws("_", "file_id", "chunk_index").alias("chunk_id"), F.col("file_id").alias("document_id"), F.lit(1).alias("page"), F.col("content").alias("text"))
-    queries = R.embed_batches(v.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query", prefix="")
-    return R.two_stage_search(queries, staged(R.embed_batches(lines, "text", prefix="")), 5)  # embedded once
+def fails_for_some(texts):
+    """The same model, which refuses a batch that holds a certain text."""
+    if any(t.endswith(("a.", "s.")) for t in texts):
+        raise ValueError("unreadable")
+    return vowels(texts)
 
 
-@query()
+@query("""SELECT how, count(*) AS n, count(DISTINCT text) AS contents FROM (SELECT text, CASE WHEN text LIKE '%a.' OR text LIKE '%s.' THEN 'failed' WHEN text IN (SELECT coalesce(text, '') FROM documents WHERE doc_id % 3 = 0) THEN 'reused' ELSE 'new' END AS how
+  FROM (SELECT coalesce(text, '') AS text FROM documents)) GROUP BY how""")
+def embed_cached(v):
+    """A third of the documents fill the cache, then all take their vectors from it; the model fails for some."""
+    docs, cache = v.table("documents").withColumn("text", F.coalesce("text", F.lit(""))), place(v, "embeddings")
+    R.embed_cached(docs.where("doc_id % 3 = 0"), "text", cache, 5, fails_for_some)
+    return R.embed_cached(docs, "text", cache, 5, fails_for_some).groupBy("how").agg(F.count("*").alias("n"), F.countDistinct("text").alias("contents"))
+
+
+def lines_of(v):
+    return v.chunks.select(F.concat_ws("_", "file_id", "chunk_index").alias("chunk_id"), F.col("file_id").alias("document_id"), F.lit(1).alias("page"), F.col("content").alias("text"))
+
+
+def passages_asked(v):
+    return v.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def searched(v):
+    """Every benchmark passage against every line of the documents, by hashed words and then by BM25 over all lines."""
+    queries = R.embed_batches(passages_asked(v), "query", prefix="")
+    vectors = staged(R.embed_batches(lines_of(v), "text", prefix=""))  # embedded once
+    return R.two_stage_search(queries, vectors, 5, index=TI.add_to_index(vectors, place(v, "text-index")))
+
+
+LINES = "lines AS MATERIALIZED (SELECT CAST(file_id AS VARCHAR) || '_' || CAST(chunk_index AS VARCHAR) AS chunk_id, file_id AS document_id, content FROM chunks)"
+BM25 = f"""{LINES}, tokens AS MATERIALIZED (SELECT chunk_id, w, count(*) AS tf FROM (SELECT chunk_id, unnest(string_split_regex(lower(content), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM lines) WHERE w <> '' GROUP BY chunk_id, w),
+  sizes AS (SELECT l.chunk_id, coalesce(sum(tf), 0) AS length FROM lines l LEFT JOIN tokens t ON l.chunk_id = t.chunk_id GROUP BY l.chunk_id), stats AS (SELECT count(*) AS n, avg(length) AS mean FROM sizes),
+  asked AS (SELECT DISTINCT item_id AS query_id, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM benchmark), idf AS (SELECT w, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tokens, stats WHERE w IN (SELECT w FROM asked) GROUP BY w),
+  scored AS MATERIALIZED (SELECT query_id, t.chunk_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score FROM asked a JOIN idf ON a.w = idf.w JOIN tokens t ON a.w = t.w JOIN sizes z ON t.chunk_id = z.chunk_id, stats GROUP BY query_id, t.chunk_id)"""
+_crc = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(w)), lambda i: ('0x' || hex(encode(w))[2 * i + 1:2 * i + 2])::BIGINT)), lambda c, x:
+  list_reduce([0, 1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[], lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END, xor(c, x))), 4294967295::BIGINT)"""
+# list_reduce() begins with the first element of its list: the state before the first byte, and the state itself in the inner one.
+_crc = _crc.replace("list_reduce([0, 1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[], lambda a, k:", "list_reduce(list_prepend(xor(c, x), [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]), lambda a, k:").replace(" END, xor(c, x)))", " END))")
+STAGES = f"""{BM25}, said AS MATERIALIZED (SELECT 'l' || chunk_id AS id, unnest(regexp_extract_all(lower(content), '\\S+')) AS w FROM lines UNION ALL SELECT 'q' || CAST(item_id AS VARCHAR), unnest(regexp_extract_all(lower(text), '\\S+')) FROM benchmark),
+  crcs AS MATERIALIZED (SELECT w, {_crc} AS h FROM (SELECT DISTINCT w FROM said)), sums AS MATERIALIZED (SELECT id, h % 64 AS place, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS x FROM said JOIN crcs USING (w) GROUP BY id, h % 64),
+  norms AS MATERIALIZED (SELECT id, sqrt(sum(x * x)) AS norm FROM sums GROUP BY id HAVING sum(x * x) > 0), cosines AS (SELECT a.id AS q, b.id AS l, sum(a.x * b.x) AS dot FROM sums a JOIN sums b ON a.place = b.place WHERE a.id LIKE 'q%' AND b.id LIKE 'l%' GROUP BY a.id, b.id),
+  near AS (SELECT CAST(substr(q, 2) AS BIGINT) AS query_id, substr(l, 2) AS chunk_id, round(dot / (a.norm * b.norm), 10) AS similarity FROM cosines JOIN norms a ON q = a.id JOIN norms b ON l = b.id),
+  twenty AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS first FROM near QUALIFY first <= 20),
+  five AS (SELECT t.query_id, t.chunk_id, document_id, coalesce(s.score, similarity) AS score, CAST(row_number() OVER (PARTITION BY t.query_id ORDER BY coalesce(s.score, -first) DESC, t.chunk_id) AS INT) AS rank FROM twenty t JOIN lines USING (chunk_id) LEFT JOIN scored s ON t.query_id = s.query_id AND t.chunk_id = s.chunk_id QUALIFY rank <= 5)"""
+
+
+@query(f"WITH {BM25} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM scored QUALIFY rank <= 10")
+def bm25_search(v):
+    """Every benchmark passage against all lines that share a word with it."""
+    index = TI.add_to_index(lines_of(v), place(v, "text-index"))
+    return TI.bm25_search(passages_asked(v), index, 10).select("query_id", F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {BM25}, listed AS (SELECT item_id AS query_id, chunk_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY chunk_id) AS INT) AS place FROM benchmark, lines WHERE CAST(document_id AS BIGINT) % 40 = item_id % 40)"
+    " SELECT l.query_id, l.chunk_id, round(coalesce(score, -place), 6) AS score, CAST(row_number() OVER (PARTITION BY l.query_id ORDER BY coalesce(score, -place) DESC, l.chunk_id) AS INT) AS rank FROM listed l LEFT JOIN scored s ON l.query_id = s.query_id AND l.chunk_id = s.chunk_id QUALIFY rank <= 3")
+def rerank_bm25(v):
+    """Of the lines of some documents for each passage, in the order of their ids, the three best by BM25 over all lines."""
+    lines = lines_of(v)
+    index = TI.add_to_index(lines, place(v, "text-index"))
+    listed = passages_asked(v).join(lines, F.col("document_id") % 40 == F.col("query_id") % 40).select("query_id", "chunk_id")
+    listed = R.rank_hits(listed, "query_id", "chunk_id", 1 << 30, "chunk_id", descending=False).withColumn("score", -F.col("rank").cast("double"))
+    return R.rerank_bm25(listed, passages_asked(v), index, 3).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {STAGES} SELECT query_id, chunk_id, document_id, round(score, 6) AS score, rank FROM five")
 def two_stage_search(v):
-    return searched(v).select("query_id", "chunk_id", "document_id", "score", "rank")
+    return searched(v).select("query_id", "chunk_id", "document_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {HITS} SELECT query_id, document_id, 1 AS page, min(rank) AS first, CAST(row_number() OVER (PARTITION BY query_id ORDER BY min(rank), document_id) AS INT) AS place FROM hits h JOIN vectors x ON h.chunk_id = x.chunk_id GROUP BY query_id, document_id")
@@ -202,7 +265,18 @@ def documents_with(v):
     return R.documents_with(v.table("documents"), v.table("benchmark"))
 
 
-@query()
+WORDS_ASKED = "keywords AS (SELECT DISTINCT keyword FROM (SELECT unnest(string_split_regex(text, '[^\\p{L}]+')) AS keyword FROM benchmark) WHERE length(keyword) > 3)"
+
+
+@query(f"WITH {WORDS_ASKED}, {LINES} SELECT keyword, count(*) AS n, min(chunk_id) AS first FROM keywords JOIN lines ON contains(lower(content), lower(keyword)) GROUP BY keyword")
+def keyword_hits(v):
+    """Every word of the benchmark, of four letters or more, in all lines, inside longer words too."""
+    words = v.table("benchmark").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("keyword")).where(F.length("keyword") > 3).distinct()
+    return R.keyword_hits(lines_of(v), words, content="text").groupBy("keyword").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first"))
+
+
+@query(f"""WITH {STAGES}, holding AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), met AS (SELECT DISTINCT item_id FROM holding JOIN five ON item_id = query_id AND doc_id = document_id)
+  SELECT count(DISTINCT h.item_id) AS questions, count(DISTINCT m.item_id) AS hits FROM holding h LEFT JOIN met m ON h.item_id = m.item_id""")
 def recall_of_passages(v):
     """Flagship: the share of benchmark passages whose document is among the first five lines found."""
     hits = searched(v).withColumnRenamed("query_id", "question_id")
@@ -276,6 +350,17 @@ def keyword_coverage(v):
     return P.keyword_coverage(v.chunks, KEYWORDS)
 
 
+@query(f"WITH {WORDS_ASKED}, kw AS (SELECT CAST(length(keyword) AS VARCHAR) AS sensor_type, lower(keyword) AS word FROM keywords), texts AS (SELECT workspace_id, lower(content) AS low FROM chunks), kinds AS (SELECT DISTINCT sensor_type FROM kw), spaces AS (SELECT DISTINCT workspace_id FROM chunks),"
+    " yes AS (SELECT DISTINCT workspace_id, sensor_type FROM texts JOIN kw ON contains(low, word)) SELECT s.workspace_id, k.sensor_type, y.sensor_type IS NOT NULL AS covered FROM spaces s CROSS JOIN kinds k LEFT JOIN yes y ON s.workspace_id = y.workspace_id AND k.sensor_type = y.sensor_type")
+def keyword_coverage_many(v):
+    """The benchmark's words by their lengths, some hundreds to thousands of keywords, in the texts of every workspace."""
+    words = v.table("benchmark").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("w")).where(F.length("w") > 3).select(F.length("w").alias("n"), F.lower("w").alias("w")).distinct()
+    keywords = {}
+    for r in words.collect():
+        keywords.setdefault(str(r["n"]), []).append(r["w"])
+    return P.keyword_coverage(v.chunks, keywords)
+
+
 @query(f"WITH {ITEMS} SELECT workspace_id, CAST(place AS INT) AS place, kind, item FROM items")
 def readiness_items(v):
     return P.readiness_items(v.files, v.sensors, v.chunks, KEYWORDS)

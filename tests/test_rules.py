@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quire.functions import text as T
-from quire.operators import catalog, chunking, layout, retrieval, tables
+from quire.operators import catalog, chunking, layout, retrieval, tables, vector_search
 from quire.sources import files as S
 from quire.sources import staging
 from quire.streaming import jobs
@@ -149,11 +149,11 @@ def test_search(spark, monkeypatch):
     near = {(r["query_id"], r["vec_id"]) for r in retrieval.knn_approx(asked, rows, 5, nlist=16, nprobe=12).collect()}
     assert len(near & exact) >= 0.9 * len(exact)
     assert retrieval.knn_exact(asked.limit(0), rows, 5).count() == 0
-    monkeypatch.setattr(retrieval, "CELL_PART", 7)
-    monkeypatch.setattr(retrieval, "AT_ONCE", 3)
+    monkeypatch.setattr(vector_search, "CELL_PART", 7)
+    monkeypatch.setattr(vector_search, "AT_ONCE", 3)
     every = retrieval.knn_approx(asked, rows, 5, nlist=4, nprobe=4).collect()
     assert {(r["query_id"], r["vec_id"]) for r in every} == exact and len(every) == len(exact)
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(vector_search, "QUERY_BLOCK", 8)
     assert {(r["query_id"], r["vec_id"]) for r in retrieval.knn_exact(asked, rows, 5).collect()} == exact
 
 
