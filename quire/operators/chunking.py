@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import CHUNK_MARKS, ends_sentence, is_header, rstrip
-from quire.operators.layout import PAGE, fold_rows
+from quire.operators.folds import folded
+from quire.operators.layout import PAGE
 
 # Sizes of the two chunkers.
 MIN_BLOCK, SIZE, OVERLAP = 300, 1500, 150
@@ -21,25 +23,32 @@ FIELDS = ["text", "type", "y_top", "y_bottom", "font_size", "ratio_to_body", "li
 
 def aggregate_blocks(blocks: DataFrame, min_chars: int = MIN_BLOCK) -> DataFrame:
     """Consecutive text blocks that aren't headers are joined by newlines until they have min_chars; headers and tables stand
-    alone and end what came before. block_id counts from 0 on each page."""
-    start = F.from_json(F.lit('{"done":[]}'), f"struct<done:array<{BLOCK}>,now:{BLOCK},size:int>")
-
-    def closed(a: Column) -> Column:
-        return F.when(a["now"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["now"])))
-
-    def step(a: Column, x: Column) -> Column:
-        now, none, no_size = a["now"], F.lit(None).cast(BLOCK), F.lit(0)
-        alone = (x["type"] != "text") | is_header(x["type"], x["ratio_to_body"], x["line_count"])
-        joined = F.when(now.isNull(), x).otherwise(F.struct(
-            F.concat_ws("\n", now["text"], x["text"]).alias("text"), now["type"].alias("type"), now["y_top"].alias("y_top"), x["y_bottom"].alias("y_bottom"),
-            now["font_size"].alias("font_size"), now["ratio_to_body"].alias("ratio_to_body"), (now["line_count"] + x["line_count"]).alias("line_count")))
-        size = F.when(now.isNull(), 0).otherwise(a["size"]) + F.char_length(x["text"])
-        state = lambda done, current, n: F.struct(done.alias("done"), current.alias("now"), n.alias("size"))
-        return F.when(alone, state(F.concat(closed(a), F.array(x)), none, no_size)).when(size >= min_chars, state(F.concat(a["done"], F.array(joined)), none, no_size)).otherwise(state(a["done"], joined, size))
-
-    rows = blocks.select(*PAGE, "block", "text", "type", *[F.col(c).cast("double").alias(c) for c in FIELDS[2:6]], F.col("line_count").cast("int").alias("line_count"))
-    rows = rows.groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("block", F.struct(*FIELDS).cast(BLOCK).alias("row")))), lambda x: x["row"]).alias("rows"))
-    return rows.select(*PAGE, F.posexplode(F.aggregate("rows", start, step, closed)).alias("block_id", "b")).select(*PAGE, "block_id", "b.*")
+    alone and end what came before. block_id counts from 0 on each page. State is the block that is open."""
+
+    def fold(rows: Iterable[tuple]) -> Iterator[tuple]:
+        open_, size, number = None, 0, 0
+        for _, *row, alone, n in rows:
+            if alone or open_ is None:
+                if open_:
+                    yield number, "\n".join(open_[0]), *open_[1:]
+                    number, open_ = number + 1, None
+                if alone:
+                    yield number, *row
+                    number += 1
+                    continue
+                open_, size = [[row[0]] if row[0] is not None else [], *row[1:]], n
+            else:
+                open_[0] += [row[0]] if row[0] is not None else []
+                open_[3], open_[6], size = row[3], open_[6] + row[6], size + n
+            if size >= min_chars:
+                yield number, "\n".join(open_[0]), *open_[1:]
+                number, open_ = number + 1, None
+        if open_:
+            yield number, "\n".join(open_[0]), *open_[1:]
+
+    alone = F.coalesce((F.col("type") != "text") | is_header(F.col("type"), F.col("ratio_to_body"), F.col("line_count")), F.lit(False))
+    rows = blocks.select(*PAGE, "block", "text", "type", *[F.col(c).cast("double").alias(c) for c in FIELDS[2:6]], F.col("line_count").cast("int").alias("line_count"), alone.alias("alone"), F.coalesce(F.char_length("text"), F.lit(0)).alias("n"))
+    return folded(rows, PAGE, ["block"], [*FIELDS, "alone", "n"], fold, "block_id int, " + BLOCK.removeprefix("struct<").removesuffix(">").replace(":", " "))
 
 
 def repair_cross_page(blocks: DataFrame) -> DataFrame:
@@ -50,17 +59,16 @@ def repair_cross_page(blocks: DataFrame) -> DataFrame:
     pages = tagged.groupBy(*PAGE).agg(
         F.count_if("body").alias("n"), F.min(F.when(F.col("body"), F.col("block"))).alias("first"), F.max(F.when(F.col("body"), F.col("block"))).alias("last"),
         F.max_by(ends_sentence(F.col("text"), CHUNK_MARKS), F.when(F.col("body"), F.col("block"))).alias("ended"))
-    kind = "array<struct<page:bigint,first:int,page_into:bigint,block_into:int>>"
-    start = F.from_json(F.lit('{"moves":[]}'), f"struct<moves:{kind},page:bigint,last:int,open:boolean>")
 
-    def step(a: Column, x: Column) -> Column:
-        moved = F.coalesce(a["open"], F.lit(False)) & (x["n"] > 0)
-        move = F.struct(x["page"].cast("bigint").alias("page"), x["first"].cast("int").alias("first"), a["page"].alias("page_into"), a["last"].alias("block_into"))
-        left = x["n"] - F.when(moved, 1).otherwise(0)
-        return F.struct(F.when(moved, F.concat(a["moves"], F.array(move))).otherwise(a["moves"]).alias("moves"), x["page"].cast("bigint").alias("page"), x["last"].cast("int").alias("last"), ((left > 0) & ~F.coalesce(x["ended"], F.lit(False))).alias("open"))
+    def fold(rows: Iterable[tuple]) -> Iterator[tuple]:
+        before, last, open_ = None, None, False
+        for page, n, first, at, ended in rows:
+            moved = open_ and n > 0
+            if moved:
+                yield page, first, before, last
+            before, last, open_ = page, at, n - moved > 0 and not ended
 
-    rows = pages.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", "n", "first", "last", "ended"))).alias("p"))
-    moves = rows.select("doc", F.inline(F.aggregate("p", start, step, lambda a: a["moves"])))
+    moves = folded(pages, ("doc",), ["page"], ["n", "first", "last", "ended"], fold, "page long, first int, page_into long, block_into int")
     taken = tagged.join(moves.select("doc", "page", F.col("first").alias("block"), "page_into", "block_into"), ["doc", "page", "block"])
     taken = taken.select("doc", F.col("page_into").alias("page"), F.col("block_into").alias("block"), F.col("text").alias("more"), F.col("line_count").alias("more_lines"))
     rest = tagged.join(moves.select("doc", "page", F.col("first").alias("block")), ["doc", "page", "block"], "left_anti").join(taken, ["doc", "page", "block"], "left")

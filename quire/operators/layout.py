@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable, Iterator
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import HEADER_RATIO, LAYOUT_MARKS, ends_sentence, fix_reversed_words, fix_word_order, is_hebrew_text, looks_reversed, promoted
+from quire.functions.text import HEADER_RATIO, LAYOUT_MARKS, ends_sentence, fix_reversed_words, fix_word_order, is_hebrew_text, looks_reversed, promoted, rstrip
+from quire.operators.folds import folded
 
 # Gap between lines; how far fonts may differ; how many font sizes a gap may be, inside and after a sentence.
 LINE_GAP = 3.0
@@ -68,39 +71,32 @@ def promote_header(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("type", promoted(F.col("type"), F.col("ratio_to_body"), F.col("line_count")))
 
 
-def fold_rows(df: DataFrame, keys: tuple[str, ...], order: list[str], columns: list[str], start: Column, step, finish) -> DataFrame:
-    """The rows of a key, in order, folded by `step` into an array of structs, one row for each of its elements. For keys of bounded
-    size, as a page is: the array is copied as it grows."""
-    rows = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*columns).alias("row")))), lambda x: x["row"])
-    out = df.groupBy(*keys).agg(rows.alias("rows"))
-    return out.select(*keys, F.inline(F.aggregate("rows", start, step, finish)))
-
-
 def merge_lines(lines: DataFrame, variant: str = "v2") -> DataFrame:
     """Lines into blocks: doc, page, block (from 0), text, type, y_top, y_bottom, font_size, ratio_to_body, line_count. A line
     joins the block if its font is close to the block's first line and it starts close below the last one; headers stand
-    alone (v2). State is one page's blocks."""
+    alone (v2). State is the block that is open."""
     p = MERGE[variant]
-    kind = "struct<text:string,y_top:double,y_bottom:double,font_size:double,ratio_to_body:double,line_count:int>"
-    start = F.from_json(F.lit('{"done":[]}'), f"struct<done:array<{kind}>,now:{kind}>")
-    row = lambda x: F.struct(x["text"].alias("text"), x["y_top"].alias("y_top"), x["y_bottom"].alias("y_bottom"), x["font_size"].alias("font_size"), x["ratio_to_body"].alias("ratio_to_body"), F.lit(1).alias("line_count"))
-
-    def step(a: Column, x: Column) -> Column:
-        now = a["now"]
-        reach = F.when(ends_sentence(now["text"], LAYOUT_MARKS) | (now["text"] == ""), p["closed"]).otherwise(p["open"])
-        joins = now.isNotNull() & (F.abs(x["font_size"] - now["font_size"]) <= p["font"]) & (x["y_top"] - now["y_bottom"] < now["font_size"] * reach)
-        if variant == "v1":
-            joins = now.isNotNull() & (F.abs(x["font_size"] - now["font_size"]) < p["font"]) & (x["y_top"] - now["y_bottom"] < now["font_size"] * p["open"])
-        if p["headers"]:
-            joins &= (x["ratio_to_body"] < HEADER_RATIO) & (now["ratio_to_body"] < HEADER_RATIO)
-        longer = F.struct(F.concat_ws(" ", now["text"], x["text"]).alias("text"), now["y_top"].alias("y_top"), x["y_bottom"].alias("y_bottom"), now["font_size"].alias("font_size"), now["ratio_to_body"].alias("ratio_to_body"), (now["line_count"] + 1).alias("line_count"))
-        return F.when(joins, F.struct(a["done"].alias("done"), longer.alias("now"))).otherwise(
-            F.struct(F.when(now.isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(now))).alias("done"), row(x).alias("now")))
-
-    def finish(a: Column) -> Column:
-        return F.when(a["now"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["now"])))
-
-    blocks = fold_rows(lines, PAGE, ["line"], ["text", *[F.col(c).cast("double").alias(c) for c in ("y_top", "y_bottom", "font_size", "ratio_to_body")]], start, step, finish)
+
+    def fold(rows: Iterable[tuple]) -> Iterator[tuple]:
+        texts: list[str] = []
+        top = bottom = font = ratio = 0.0
+        ended = n = 0
+        for _, text, y_top, y_bottom, size, r, ends, blank in rows:
+            reach = p["closed"] if variant != "v1" and (ended or (n == 1 and texts == [""])) else p["open"]
+            near = abs(size - font) < p["font"] if variant == "v1" else abs(size - font) <= p["font"]
+            joins = n and near and y_top - bottom < font * reach and not (p["headers"] and (r >= HEADER_RATIO or ratio >= HEADER_RATIO))
+            if n and not joins:
+                yield " ".join(texts), top, bottom, font, ratio, n
+            if not joins:
+                texts, top, font, ratio, n, ended = [], y_top, size, r, 0, False
+            texts += [text] if text is not None else []
+            bottom, n, ended = y_bottom, n + 1, ended if blank else ends
+        if n:
+            yield " ".join(texts), top, bottom, font, ratio, n
+
+    c = F.col("text")
+    rows = lines.select(*PAGE, "line", "text", *[F.col(c).cast("double").alias(c) for c in ("y_top", "y_bottom", "font_size", "ratio_to_body")], ends_sentence(c, LAYOUT_MARKS).alias("ends"), F.coalesce(rstrip(c) == "", F.lit(True)).alias("blank"))
+    blocks = folded(rows, PAGE, ["line"], ["text", "y_top", "y_bottom", "font_size", "ratio_to_body", "ends", "blank"], fold, "text string, y_top double, y_bottom double, font_size double, ratio_to_body double, line_count int")
     blocks = blocks.withColumn("type", F.lit("text"))
     blocks = promote_header(blocks) if variant == "v2" else blocks
     return sort_blocks_by_position(blocks)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,35 +12,59 @@ from quire.operators.audit import vector_count_check
 from quire.operators.catalog import dedupe_by_hash, own_id
 from quire.sources.staging import file_system
 
-
-def versions(spark: SparkSession, path: str) -> list[str]:
-    """The names of the manifest's entries, oldest first: a running number and the version's folder."""
-    fs, place = file_system(spark, f"{path}/manifest")
-    return sorted(x.getPath().getName() for x in fs.listStatus(place)) if fs.exists(place) else []
+#: Ends an entry of a manifest.
+END = "\nend\n"
+
+
+def published(spark: SparkSession, manifest: str, most: int = 1) -> tuple[list[tuple[int, str]], int]:
+    """The manifest's last entries, at most so many, oldest first: number and text; and the number of the next one. What isn't a
+    whole entry is passed over."""
+    fs, place = file_system(spark, manifest)
+    numbers = sorted(int(n) for n in ([x.getPath().getName() for x in fs.listStatus(place)] if fs.exists(place) else []) if n.isdigit())
+    entries: list[tuple[int, str]] = []
+    for number in reversed(numbers):
+        lines = [r[0] for r in spark.read.text(f"{manifest}/{number:09d}", wholetext=True).collect()] if len(entries) < most else []
+        if lines and lines[0].endswith(END):
+            entries.insert(0, (number, lines[0].removesuffix(END)))
+    return entries, numbers[-1] + 1 if numbers else 0
+
+
+def publish(spark: SparkSession, manifest: str, number: int, text: str) -> None:
+    """Make an entry: it is written under another name and renamed, so that it is there as a whole or not at all, and never in
+    the place of another writer's."""
+    fs, entry = file_system(spark, f"{manifest}/{number:09d}")
+    _, draft = file_system(spark, f"{manifest}/.draft-{uuid.uuid4().hex}")
+    fs.mkdirs(entry.getParent())
+    out = fs.create(draft, False)
+    out.write((text + END).encode())
+    out.close()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(entry).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        files.rename(draft, entry, gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Py4JJavaError as e:
+        fs.delete(draft, False)
+        if fs.exists(entry):
+            raise ValueError("another writer has replaced the table") from e
+        raise
 
 
 def replace_table(df: DataFrame, path: str) -> str:
-    """Write df as a new version below path, then name it in the manifest; return the version's folder. Making the entry is the
-    swap: a job that dies before leaves the old version in use, readers of older versions are not disturbed, and of two
-    writers that swap at once, one fails, as entries are numbered and none is made twice."""
-    spark = df.sparkSession
-    number, version = len(versions(spark, path)), f"v-{uuid.uuid4().hex}"
+    """Write df as a new version below path, then name it in the manifest; return the version's folder. A job that dies at any step
+    leaves the old version in use, readers of older versions are not disturbed, and of two writers that swap at once, one
+    fails."""
+    spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{version}")
-    fs, entry = file_system(spark, f"{path}/manifest/{number:09d}")
-    if not fs.mkdirs(entry.getParent()) or not fs.createNewFile(entry):
-        raise ValueError("another writer has replaced the table")
-    out = fs.create(entry, True)
-    out.write(version.encode())
-    out.close()
+    publish(spark, f"{path}/manifest", published(spark, f"{path}/manifest")[1], version)
     return f"{path}/{version}"
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """The version that the manifest named last."""
-    names = versions(spark, path)
-    if not names:
+    entries, _ = published(spark, f"{path}/manifest")
+    if not entries:
         raise ValueError(f"no version of {path}")
-    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/manifest/{names[-1]}').first()[0]}")
+    return spark.read.parquet(f"{path}/{entries[-1][1]}")
 
 
 def last_of(rows: DataFrame, key: str, order: str | None = None) -> DataFrame:

@@ -38,9 +38,9 @@ def files_filter(v):
     return C.files_filter(v.files, "Doc 1", ["pdf", "docx"]).select("file_id", "filename", "file_type")
 
 
-@query("SELECT workspace_id, name FROM workspaces WHERE contains(lower(name), 'an') OR coalesce(contains(lower(description), 'an'), false)")
+@query("SELECT workspace_id, name FROM workspaces WHERE contains(lower(name), '1') OR coalesce(contains(lower(description), '1'), false)")
 def workspaces_filter(v):
-    return C.workspaces_filter(v.workspaces, "AN").select("workspace_id", "name")
+    return C.workspaces_filter(v.workspaces, "1").select("workspace_id", "name")
 
 
 @query("SELECT score, CASE WHEN score >= 80 THEN 'success' WHEN score >= 50 THEN 'warning' ELSE 'destructive' END AS band FROM (SELECT p_size * 2 AS score FROM part)")

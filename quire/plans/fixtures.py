@@ -44,12 +44,12 @@ COMMON = {
         CASE WHEN n_regionkey = 0 THEN NULL ELSE concat('region ', CAST(n_regionkey AS STRING)) END AS description, {DAY.format('n_nationkey')} AS created_at FROM {{nation}}""",
     "tags": f"""SELECT c_custkey AS tag_id, concat('src', CAST(c_nationkey AS STRING)) AS workspace_id, c_name AS label, {DAY.format('c_custkey')} AS created_at FROM {{customer}}""",
     "vectors": "SELECT vec_id AS chunk_id, label AS document_id, concat(' text ', CAST(vec_id AS STRING), ' ') AS text, embedding FROM {embeddings}",
-    "words": """SELECT l_orderkey AS doc, 1 AS page, (l_partkey * 10000000 + l_suppkey * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT) AS seq, concat(l_returnflag, CAST(l_partkey AS STRING)) AS text,
+    "words": """SELECT l_orderkey AS doc, CASE WHEN l_linenumber > 3 THEN 2 ELSE 1 END AS page, (l_partkey * 10000000 + l_suppkey * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT) AS seq, concat(l_returnflag, CAST(l_partkey AS STRING)) AS text,
         10 + 100 * l_discount AS size, l_quantity AS top, l_quantity + 10 + 100 * l_discount AS bottom, 1000 * l_tax AS x0, 1000 * l_tax + 20 AS x1 FROM {lineitem}""",
-    "tables": "SELECT o_orderkey AS doc, 1 AS page, 0.0 AS x0, 5.0 AS top, 50.0 AS x1, 40.0 AS bottom FROM {orders} WHERE o_orderstatus = 'F'",
-    "ocr_words": """SELECT l_orderkey AS doc, 1 AS page, CAST(l_suppkey % 3 AS INT) AS block_num, 1 AS par_num, l_linenumber AS line_num, (l_partkey * 10000000 + l_suppkey * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT) AS seq,
+    "tables": "SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS page, 0.0 AS x0, 5.0 AS top, 50.0 AS x1, 40.0 AS bottom FROM {orders} WHERE o_orderstatus = 'F'",
+    "ocr_words": """SELECT l_orderkey AS doc, CASE WHEN l_linenumber > 3 THEN 2 ELSE 1 END AS page, CAST(l_suppkey % 3 AS INT) AS block_num, 1 AS par_num, l_linenumber AS line_num, (l_partkey * 10000000 + l_suppkey * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT) AS seq,
         CASE WHEN l_returnflag = 'A' THEN '  ' ELSE concat(l_returnflag, CAST(l_partkey AS STRING)) END AS text, l_quantity AS top, 10 + 100 * l_discount AS height FROM {lineitem}""",
-    "hebrew": f"""SELECT p_partkey AS id, CAST(floor(p_partkey / 10.0) AS BIGINT) AS doc, 1 AS page, p_partkey % 10 AS line, concat(CASE WHEN p_partkey % 7 = 0 THEN ' ' ELSE '' END, {', '.join(_hebrew(k) for k in range(7))}) AS text FROM {{part}}""",
+    "hebrew": f"""SELECT p_partkey AS id, CAST(floor(p_partkey / 10.0) AS BIGINT) AS doc, CASE WHEN p_partkey % 10 > 6 THEN 2 ELSE 1 END AS page, p_partkey % 10 AS line, concat(CASE WHEN p_partkey % 7 = 0 THEN ' ' ELSE '' END, {', '.join(_hebrew(k) for k in range(7))}) AS text FROM {{part}}""",
     "uploads": """SELECT p_partkey AS id, p_name AS file_name, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'PK' WHEN 2 THEN ' %PDF-1.4' ELSE concat('%PDF-1.', p_name) END AS content,
         CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_size * 3000000 END AS length FROM {part}""",
     "layers": """SELECT c_custkey AS layer_id, c_custkey AS file_id, concat('{"type":"FeatureCollection","features":[{"type":"Feature","geometry":{"type":"Point","coordinates":[', CAST(c_custkey % 360 - 180 AS STRING), ',', CAST(c_custkey % 170 - 85 AS STRING),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import geo as G
@@ -11,12 +14,13 @@ from quire.operators import audit as A
 from quire.operators import chunking as K
 from quire.operators import report as P
 from quire.operators import retrieval as R
+from quire.operators import store as ST
 from quire.operators import tables as D
 from quire.operators import text_index as TI
 from quire.operators import vector_search as X
 from quire.plans.fixtures import query
 from quire.sources import files as S
-from quire.sources.staging import new_path, staged
+from quire.sources.staging import file_system, new_path, staged
 from quire.streaming import jobs as J
 
 #: Keywords of each sensor type, here in the invented languages of the test documents.
@@ -304,6 +308,17 @@ def extract_positions(v):
     return rows.select("layer_id", "feature_idx", "place", F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"))
 
 
+@query("""SELECT c_custkey AS layer_id, place, x::DOUBLE AS lon, y::DOUBLE AS lat FROM customer, LATERAL (VALUES (0, c_custkey % 360 - 180, 1), (1, 3, c_custkey % 80), (2, 4, 5), (3, 9, 1), (4, 8, 2), (5, -7, 6.5), (6, c_nationkey, -6), (7, 1, 1)) t(place, x, y)""")
+def nested_positions(v):
+    """Collections in collections, with bounding boxes and foreign members, a polygon with a hole, and three dimensions."""
+    text = F.format_string(
+        '{"type":"GeometryCollection","bbox":[90,90,91,91],"geometries":[{"bbox":[10,20,30,40],"type":"Point","coordinates":[%d,1,7]},{"type":"Polygon","note":[[1,2],[3,4]],"coordinates":[[[3,%d],[4,5]],[[9,1],[8,2,3]]],"bbox":[5,5,6,6]},'
+        '{"type":"GeometryCollection","geometries":[{"type":"MultiLineString","coordinates":[[[-7,6.5]],[[%d,-6e0]]]},{"type":"Circle","coordinates":[50,50]},{"type":"MultiPolygon","coordinates":[[[[1,1]]]]}]}]}',
+        F.col("c_custkey") % 360 - 180, F.col("c_custkey") % 80, F.col("c_nationkey"))
+    rows = v.table("customer").select(F.col("c_custkey").alias("layer_id"), F.posexplode(G.extract_positions(text)).alias("place", "p"))
+    return rows.select("layer_id", "place", F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"))
+
+
 @query(BOUNDS)
 def layer_bounds(v):
     return P.layer_bounds(S.scan_geojson(v.layers)).withColumn("feature_count", F.col("feature_count").cast("int"))
@@ -459,11 +474,17 @@ def ingest_batch(v):
     return D.ingest_batch(raw, v.registry).select("document_id", "status")
 
 
-@query("SELECT chunk_id, document_id FROM vectors UNION ALL SELECT chunk_id + 1000000, document_id FROM vectors WHERE document_id = 2")
+@query("""SELECT chunk_id, document_id, 64 AS dim, NULL AS status FROM vectors UNION ALL SELECT chunk_id + 1000000, document_id, 64, NULL FROM vectors WHERE document_id = 2
+  UNION ALL SELECT chunk_id, document_id, 32, NULL FROM vectors WHERE document_id = 2 UNION ALL SELECT DISTINCT NULL, document_id, n, 'indexed' FROM vectors, (VALUES (64), (32)) t(n) WHERE document_id = 2""")
 def upsert_vectors(v):
+    """Vectors of a document come again with as many new ones, and its status; then vectors of half the length, with which the
+    table starts anew."""
     two = v.vectors.where("document_id = 2")
     new = two.unionByName(two.withColumn("chunk_id", F.col("chunk_id") + 1000000))
-    return D.upsert_vectors(v.vectors, new, 64)[0].select("chunk_id", "document_id")
+    made = [D.upsert_vectors(v.vectors, new, 64), D.upsert_vectors(v.vectors, two.withColumn("embedding", F.slice("embedding", 1, 32)), 32)]
+    rows = [x.select("chunk_id", "document_id", F.size("embedding").alias("dim"), F.lit(None).cast("string").alias("status")) for x, _ in made]
+    states = [x.select(F.lit(None).cast("long"), "document_id", F.lit(n), "status") for n, (_, x) in zip((64, 32), made, strict=True)]
+    return rows[0].union(rows[1]).union(states[0]).union(states[1])
 
 
 @query("SELECT file_id, chunk_index FROM chunks WHERE workspace_id <> 'src3' UNION ALL SELECT DISTINCT file_id, 0 FROM chunks WHERE workspace_id = 'src3'")
@@ -472,11 +493,35 @@ def replace_file_chunks(v):
     return D.replace_file_chunks(v.chunks, new).select("file_id", "chunk_index")
 
 
-@query("SELECT 'files' AS name, file_id AS id FROM files WHERE workspace_id <> 'src5' UNION ALL SELECT 'registry', document_id FROM registry WHERE document_id NOT IN (SELECT file_id FROM files WHERE workspace_id = 'src5')")
+GONE = "gone AS (SELECT file_id AS id FROM files WHERE workspace_id = 'src5' UNION ALL SELECT 5000000000)"
+
+
+@query(f"""WITH {GONE} SELECT 'files' AS name, count(*) AS n, CAST(sum(file_id) AS BIGINT) AS ids FROM files WHERE file_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'registry', count(*), CAST(sum(document_id) AS BIGINT) FROM registry WHERE document_id NOT IN (SELECT id FROM gone)
+  UNION ALL SELECT 'vectors', count(*), CAST(sum(document_id) AS BIGINT) FROM vectors WHERE document_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'pages', count(*), CAST(sum(doc) AS BIGINT) FROM blocks WHERE doc NOT IN (SELECT id FROM gone)
+  UNION ALL SELECT 'chunks', count(*), CAST(sum(file_id) AS BIGINT) FROM chunks WHERE file_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'layers', count(*), CAST(sum(file_id) AS BIGINT) FROM layers WHERE file_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'unknown', 1, 5000000000""")
 def delete_cascade(v):
-    gone = v.files.where("workspace_id = 'src5'").select(F.col("file_id").alias("id"))
-    left, _ = D.delete_cascade({"files": v.files, "registry": v.registry}, {"files": "file_id", "registry": "document_id"}, gone, "files")
-    return left["files"].select(F.lit("files").alias("name"), F.col("file_id").alias("id")).union(left["registry"].select(F.lit("registry"), "document_id"))
+    """Documents leave six tables at once, by one entry; one that no file has is reported."""
+    store = ST.Store(v.spark, place(v, "store"))
+    tables = {"files": (v.files, "file_id"), "registry": (v.registry, "document_id"), "vectors": (v.vectors, "document_id"), "pages": (v.blocks, "doc"), "chunks": (v.chunks, "file_id"), "layers": (v.layers, "file_id")}
+    for name, (rows, by) in tables.items():
+        store.create(name, rows, by, buckets=16)
+    gone = v.files.where("workspace_id = 'src5'").select(F.col("file_id").alias("id")).union(v.spark.createDataFrame([(5_000_000_000,)], "id long"))
+    unknown = store.delete_owned(gone, "files")
+    counts = [store.read(name).agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum(by).alias("ids")) for name, (_, by) in tables.items()]
+    return reduce(DataFrame.union, [*counts, unknown.agg(F.lit("unknown"), F.count("*"), F.sum("id"))])
+
+
+@query("""SELECT document_id, CASE WHEN document_id % 100 = 1 THEN 'indexed' ELSE status END AS status, document_id % 100 = 1 AS changed, true AS kept FROM registry""")
+def upsert_buckets(v):
+    """One document in a hundred changes its status in a table of 4096 buckets: files of the others stay as they are."""
+    store = ST.Store(v.spark, place(v, "store"))
+    store.create("registry", v.registry.select("document_id", "status"), "document_id", buckets=4096)
+    before = store.state()[1]["registry"]["files"]
+    new = v.registry.where("document_id % 100 = 1").select("document_id", F.lit("indexed").alias("status"))
+    done = store.upsert("registry", new, "document_id")
+    after = store.state()[1]["registry"]["files"]
+    stays = all(after[b] == fs for b, fs in before.items() if int(b) not in done) and len(done) <= new.count()
+    return store.read("registry").select("document_id", "status", (F.col("document_id") % 100 == 1).alias("changed"), F.lit(stays).alias("kept"))
 
 
 @query("""SELECT chunk_id, document_id, false AS without FROM vectors WHERE document_id NOT IN (1, 2, 5) UNION ALL SELECT chunk_id + 1000000, document_id, false FROM vectors WHERE document_id IN (1, 2)
@@ -531,21 +576,29 @@ def place(v, name: str) -> str:
 
 @query("SELECT document_id, CASE WHEN document_id % 2 = 0 THEN 'indexed' ELSE status END AS status FROM registry")
 def replace_table(v):
-    """A registry is stored, then replaced; a third version is written by a job that dies before it is named."""
+    """A registry is stored, then replaced; further versions are written by jobs that die before the entry, with the entry half
+    written, and before it has its name."""
     out, registry = place(v, "registry"), v.registry.select("document_id", "status")
     D.replace_table(registry, out)
     D.replace_table(D.set_status(registry, registry.where("document_id % 2 = 0").withColumn("status", F.lit("indexed")))[0], out)
     registry.limit(0).write.parquet(f"{out}/v-half-written")
+    for name, text in ((".draft-1", "v-half-written"), ("000000002", ""), ("000000003", "v-half-wri")):
+        fs, entry = file_system(v.spark, f"{out}/manifest/{name}")
+        stream = fs.create(entry, True)
+        stream.write(text.encode())
+        stream.close()
     return D.read_table(v.spark, out)
 
 
-@query("SELECT doc_id AS document_id, lang, source, n_chars FROM documents")
+@query("SELECT doc_id AS document_id, lang, source, n_chars, doc_id % 500 = 3 AS looked_up FROM documents UNION ALL SELECT doc_id, lang, source, n_chars, NULL FROM documents WHERE doc_id % 500 = 3")
 def write_partitioned_json(v):
-    """Documents written as JSON by language and read back."""
+    """Documents written as JSON into buckets and read back; some of them looked up, from their buckets alone."""
     out = place(v, "json")
     rows = v.table("documents").select(F.col("doc_id").alias("document_id"), "lang", "source", "n_chars")
-    S.write_json(rows, out, "lang")
-    return v.spark.read.schema(rows.schema).json(out)
+    S.write_json(rows, out)
+    every = S.read_json(v.spark, out, rows.schema)
+    some = S.read_json(v.spark, out, rows.schema, [r[0] for r in rows.where("document_id % 500 = 3").select("document_id").collect()])
+    return every.withColumn("looked_up", F.col("document_id") % 500 == 3).unionByName(some.withColumn("looked_up", F.lit(None).cast("boolean")))
 
 
 @query("SELECT c_custkey, c_name, '[' || CAST(c_nationkey AS VARCHAR) || ',1]' AS pages FROM customer")
@@ -628,32 +681,43 @@ def states_of(events):
     return events.select("event_id", F.col("user_id").alias("document_id"), "ts", status.alias("status"))
 
 
+def in_parts(v, events, n: int = 3):
+    """The events as a stream of n batches, dealt by a hash, then one that is far in the future."""
+    out, parts = place(v, "events"), [events.where(F.pmod(F.xxhash64("event_id"), F.lit(n)) == k) for k in range(n)]
+    last = events.agg(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("document_id"), (F.max("ts") + F.expr("INTERVAL 9000 DAYS")).alias("ts"), F.lit("error").alias("status"))
+    for k, part in enumerate([*parts, last]):
+        part.select("event_id", "document_id", "ts", "status").coalesce(1).write.parquet(f"{out}/{k}")
+    return v.spark.readStream.schema(events.select("event_id", "document_id", "ts", "status").schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/*")
+
+
 @query("SELECT document_id, status FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ts DESC, event_id DESC) AS n FROM events_status) WHERE n = 1")
 def status_stream(v):
-    """The events as a stream, folded to the latest status, into a table that each batch replaces."""
-    out = place(v, "status")
-    latest = J.status_stream(states_of(stream_of(v, "events")))
-    save = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/{number}")
-    run = latest.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return v.spark.read.parquet(f"{out}/{run.lastProgress['batchId']}")
+    """The events as a stream that comes out of order, folded to the latest status in a table of buckets."""
+    store = ST.Store(v.spark, place(v, "store"))
+    J.status_stream(in_parts(v, states_of(v.table("events"))), store, "status", place(v, "checkpoint")).awaitTermination()
+    return store.read("status").where("document_id >= 0").select("document_id", "status")
 
 
 @query("""SELECT document_id, event_id, status, status = 'error' OR (CASE status WHEN 'pending' THEN 0 WHEN 'ocr_completed' THEN 1 WHEN 'chunked' THEN 2 WHEN 'indexed' THEN 3 END) =
   1 + (CASE lag(status) OVER (PARTITION BY document_id ORDER BY ts, event_id) WHEN 'pending' THEN 0 WHEN 'ocr_completed' THEN 1 WHEN 'chunked' THEN 2 WHEN 'indexed' THEN 3 ELSE -1 END) AS legal FROM events_status""")
 def flag_transitions(v):
+    """Events that come out of order, in three batches, are judged in the order of their times."""
     out = place(v, "steps")
-    steps = J.flag_transitions(states_of(stream_of(v, "events")).withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp"))))
+    steps = J.flag_transitions(in_parts(v, states_of(v.table("events")).withColumn("ts", F.col("ts").cast("timestamp"))), "4000 days")
     steps.writeStream.format("parquet").outputMode("append").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return v.spark.read.schema("document_id long, event_id long, status string, legal boolean").parquet(f"{out}/data")
+    return v.spark.read.schema("document_id long, event_id long, status string, legal boolean").parquet(f"{out}/data").where("document_id >= 0")
+
+
+def paragraphs_of(doc: dict) -> list[tuple]:
+    if doc["file_hash"] < "1":
+        raise ValueError("unreadable")
+    return [(doc["document_id"], k, p) for k, p in enumerate(K.paragraphs(doc["text"] or ""))]
 
 
-@query("SELECT sha256(coalesce(text, '')) AS file_hash, CASE WHEN min(doc_id) = 7 THEN 'error' ELSE 'indexed' END AS status FROM documents GROUP BY 1")
+@query("SELECT sha256(coalesce(text, '')) AS file_hash, CASE WHEN sha256(coalesce(text, '')) < '1' THEN 'error' ELSE 'indexed' END AS status, CASE WHEN sha256(coalesce(text, '')) < '1' THEN 'ValueError: unreadable' END AS error FROM documents GROUP BY 1")
 def ingest_stream(v):
-    """Documents as a stream, distinct by content, cut into paragraphs and stored; the work fails for one document. The states of all."""
+    """Documents as a stream, distinct by content, cut into paragraphs and stored; the work fails for one in sixteen. The states of all."""
     out = place(v, "ingest")
     docs = stream_of(v, "documents").select(F.col("doc_id").alias("document_id"), F.current_timestamp().alias("arrived"), "text")
-    text = F.when(F.col("document_id") == 7, F.raise_error(F.lit("unreadable"))).otherwise(F.col("text"))
-    work = lambda batch: batch.select("document_id", F.posexplode(K.chunk_paragraphs(text)).alias("idx", "chunk"))
-    J.ingest_stream(docs, out, f"{out}/checkpoint", work).awaitTermination()
-    return v.spark.read.schema("file_hash string, status string").parquet(f"{out}/states").select("file_hash", "status")
+    J.ingest_stream(docs, out, f"{out}/checkpoint", J.each_document(paragraphs_of, "document_id long, idx int, chunk string")).awaitTermination()
+    return v.spark.read.schema(J.STATES.format(kind="long")).parquet(f"{out}/states").select("file_hash", "status", "error").distinct()

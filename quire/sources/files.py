@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions.geo import extract_positions
 
@@ -74,8 +75,29 @@ def scan_geojson(files: DataFrame, column: str = "geojson") -> DataFrame:
     return rows.withColumn("positions", extract_positions(F.col("geometry"))).withColumn("crs", F.lit("EPSG:4326"))
 
 
-def write_json(df: DataFrame, path: str, by: str = "document_id") -> None:
-    df.write.partitionBy(by).mode("overwrite").json(path)
+#: Buckets of a JSON table, which a reader has to know.
+BUCKETS = 256
+
+
+def bucket_of(column: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
+
+
+def write_json(df: DataFrame, path: str, by: str = "document_id", buckets: int = BUCKETS) -> None:
+    """Rows as JSON in at most `buckets` folders, by the hash of their document, which lies together and in order; a bucket with many
+    rows is written by several tasks."""
+    rows = df.withColumn("bucket", bucket_of(F.col(by), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", by)
+    rows.write.partitionBy("bucket").mode("overwrite").json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: T.StructType, ids: list | None = None, by: str = "document_id", buckets: int = BUCKETS) -> DataFrame:
+    """What write_json() wrote; with ids, the rows of these documents, from their buckets alone."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).json(path)
+    if ids is not None:
+        kind = schema[by].dataType
+        places = spark.createDataFrame([(x,) for x in ids], T.StructType([T.StructField("id", kind)])).select(bucket_of(F.col("id"), buckets))
+        rows = rows.where(F.col("bucket").isin([r[0] for r in places.distinct().collect()]) & F.col(by).isin(ids))
+    return rows.select(*schema.fieldNames())
 
 
 def write_eval_csv(df: DataFrame, path: str) -> None:

@@ -1,6 +1,7 @@
 """Hand-written cases and properties of the operators that SQL does not cover."""
 
 import json
+import time
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from quire.functions import geo as G
 from quire.functions import text as T
 from quire.operators import catalog, chunking, layout, retrieval, tables, vector_search
 from quire.sources import files as S
@@ -202,8 +204,19 @@ def test_replaced_table(spark, tmp_path):
     tables.replace_table(spark.range(5), path)
     spark.range(9).write.parquet(f"{path}/v-dead")
     assert tables.read_table(spark, path).count() == 5 and before.count() == 3
-    fs, entry = tables.file_system(spark, f"{path}/manifest/000000001")
-    assert not fs.createNewFile(entry) and len(tables.versions(spark, path)) == 2
+    entries, number = tables.published(spark, f"{path}/manifest", 9)
+    assert [n for n, _ in entries] == [0, 1] and number == 2
+    with pytest.raises(ValueError):
+        tables.publish(spark, f"{path}/manifest", 1, "v-other")
+    for torn in ("", "v-torn"):  # a writer that made its entry in two steps died between them
+        fs, entry = tables.file_system(spark, f"{path}/manifest/{number:09d}")
+        out = fs.create(entry, False)
+        out.write(torn.encode())
+        out.close()
+        number += 1
+        assert tables.read_table(spark, path).count() == 5
+    tables.replace_table(spark.range(7), path)
+    assert tables.read_table(spark, path).count() == 7
 
 
 def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
@@ -255,40 +268,111 @@ def test_files(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").first()["pages"] == "[1,2]"
 
 
+def test_geometry_too_deep(spark):
+    def nested(n):
+        return '{"type":"Point","coordinates":[1,2]}' if not n else f'{{"type":"GeometryCollection","geometries":[{nested(n - 1)}]}}'
+
+    rows = spark.createDataFrame([(nested(8),)], "g string")
+    assert rows.select(G.extract_positions(F.col("g")).alias("p")).first()["p"] == [[1.0, 2.0]]
+    with pytest.raises(Exception, match="too deep"):
+        spark.createDataFrame([(nested(9),)], "g string").select(G.extract_positions(F.col("g"))).collect()
+    odd = ['{"type":"Point","bbox":[10,20,30,40],"coordinates":[1,2]}', '{"type":"Point","coordinates":[]}', '{"type":"Point"}', '{"type":"LineString","coordinates":[[1],[2,3],[null,4]]}', '{"type":"LineString","coordinates":[["a",4],[1,2]]}', "not JSON", None, '{"type":"Polygon","coordinates":[1,2]}']
+    got = [r["p"] for r in spark.createDataFrame([(i, g) for i, g in enumerate(odd)], "i int, g string").select("i", G.extract_positions(F.col("g")).alias("p")).orderBy("i").collect()]
+    assert got == [[[1.0, 2.0]], [], [], [[2.0, 3.0]], [], [], [], []]
+
+
+def test_one_page_of_many_lines(spark):
+    """Time in proportion to the lines of a page."""
+    n = 100_000
+    lines = spark.range(n).select(F.lit(1).alias("doc"), F.lit(1).alias("page"), F.col("id").cast("int").alias("line"), F.lit("word").alias("text"), (F.col("id") * 12.0).alias("y_top"), (F.col("id") * 12.0 + 10).alias("y_bottom"), F.lit(10.0).alias("font_size"), F.lit(1.0).alias("ratio_to_body"))
+    began = time.time()
+    got = layout.merge_lines(lines.withColumn("y_top", F.col("y_top") + F.floor(F.col("line") / 4) * 100).withColumn("y_bottom", F.col("y_top") + 10)).collect()
+    assert len(got) == n // 4 and {r["line_count"] for r in got} == {4} and time.time() - began < 30
+    blocks = lines.select("doc", "page", F.col("line").alias("block"), "text", F.lit("text").alias("type"), "y_top", "y_bottom", "font_size", "ratio_to_body", F.lit(3).alias("line_count"))
+    assert chunking.aggregate_blocks(blocks, 40).count() == n // 10
+
+
 def test_nested_geometry(spark):
     g = '{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[1,2]},{"type":"GeometryCollection","geometries":[{"type":"Polygon","coordinates":[[[3,4,9],[5.5,-6]]]}]}]}'
     rows = spark.createDataFrame([(g,), ('{"type":"Odd","coordinates":[1,2]}',), (json.dumps({"type": "Feature", "geometry": {"type": "Point", "coordinates": [7, 8]}, "properties": {"name": "n"}}),)], "geojson string")
     assert sorted(map(str, [r["positions"] for r in S.scan_geojson(rows).collect()])) == sorted(["[[1.0, 2.0], [3.0, 4.0], [5.5, -6.0]]", "[]", "[[7.0, 8.0]]"])
 
 
+def worked(spark, out):
+    return spark.read.parquet(f"{out}/data").where("not failed")
+
+
 def test_ingest_stream(spark, tmp_path):
-    """A document that fails takes no other with it, and is worked on when it arrives again; copies count once."""
+    """A document that fails takes no other with it, and is worked on again with the next batch; copies count once."""
     place, out = tmp_path / "in", tmp_path / "out"
     place.mkdir()
     for name, text in [("a", "one"), ("b", "one"), ("c", "two"), ("d", "three"), ("e", "four"), ("f", "five")]:
         (place / f"{name}.txt").write_text(text)
 
-    def run(bad):
-        text = F.when(F.col("text") == bad, F.raise_error(F.lit("unreadable"))).otherwise(F.col("text"))
-        jobs.ingest_stream(jobs.arriving_files(spark, str(place)), str(out), str(tmp_path / "check"), lambda df: df.select("document_id", text.alias("text"))).awaitTermination()
-        return sorted((r["document_id"], r["status"]) for r in spark.read.parquet(f"{out}/states").collect())
+    def run(bad, retries=1):
+        def work(doc):
+            yield doc["document_id"], doc["text"][:1]
+            if doc["text"] == bad:
+                raise OSError("unreadable")
+            yield doc["document_id"], doc["text"]
 
-    first = [("a.txt", "indexed"), ("c.txt", "error"), ("d.txt", "indexed"), ("e.txt", "indexed"), ("f.txt", "indexed")]
-    assert run("two") == first
-    assert sorted(r["text"] for r in spark.read.option("recursiveFileLookup", True).parquet(f"{out}/data").collect()) == ["five", "four", "one", "three"]
-    (place / "g.txt").write_text("two")
+        jobs.ingest_stream(jobs.arriving_files(spark, str(place)), str(out), str(tmp_path / "check"), jobs.each_document(work, "document_id string, part string"), retries).awaitTermination()
+        states = spark.read.schema(jobs.STATES.format(kind="string")).parquet(f"{out}/states").collect()
+        return sorted((spark_text[r["file_hash"]], r["status"], r["error"]) for r in states)
+
+    import hashlib
+
+    spark_text = {hashlib.sha256(t.encode()).hexdigest(): t for t in ("one", "two", "three", "four", "five")}
+    fine = [(t, "indexed", None) for t in ("five", "four", "one", "three")]
+    assert run("two") == sorted([*fine, ("two", "error", "OSError: unreadable")])
+    assert sorted(r["part"] for r in worked(spark, out).collect() if len(r["part"]) > 1) == ["five", "four", "one", "three"]
     (place / "h.txt").write_text("three")  # indexed already
-    assert run("none") == sorted([*first, ("g.txt", "indexed")])
-    assert spark.read.option("recursiveFileLookup", True).parquet(f"{out}/data").where("text = 'two'").count() == 1
+    assert run("none", 2) == sorted([*fine, ("two", "error", "OSError: unreadable"), ("two", "indexed", None)])
+    assert worked(spark, out).where("part = 'two'").count() == 1 and worked(spark, out).where("part = 'three'").count() == 1
+
+
+def test_ingest_stream_marks_nobody_when_the_work_itself_fails(spark, tmp_path):
+    rows = spark.range(20).select(F.col("id").alias("document_id"), F.current_timestamp().alias("arrived"), F.col("id").cast("string").alias("text"))
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    broken = lambda docs: docs.select("file_hash", F.raise_error(F.lit("the storage is down")).cast("string").alias("error"))
+    with pytest.raises(Exception, match="the storage is down"):
+        jobs.ingest_stream(stream(), f"{tmp_path}/out", f"{tmp_path}/check", broken).awaitTermination()
+    assert not (tmp_path / "out" / "states").exists()
+    jobs.ingest_stream(stream(), f"{tmp_path}/out", f"{tmp_path}/check", jobs.each_document(lambda d: [(d["document_id"],)], "document_id long")).awaitTermination()
+    assert worked(spark, f"{tmp_path}/out").count() == 20 and spark.read.parquet(f"{tmp_path}/out/states").where("status = 'indexed'").count() == 20
+
+
+def test_ingest_stream_many_failures(spark, tmp_path):
+    """A thousand of ten thousand fail, in one pass over them."""
+    rows = spark.range(10_000).select(F.col("id").alias("document_id"), F.current_timestamp().alias("arrived"), F.col("id").cast("string").alias("text"))
+    rows.write.parquet(f"{tmp_path}/in")
+
+    def work(doc):
+        with open(f"{tmp_path}/calls", "a") as f:
+            f.write("x")
+        return [(1 // (doc["document_id"] % 10),)]
+
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    jobs.ingest_stream(stream, f"{tmp_path}/out", f"{tmp_path}/check", jobs.each_document(work, "x int"), retries=1).awaitTermination()
+    states = spark.read.parquet(f"{tmp_path}/out/states").groupBy("status").count().collect()
+    assert {r["status"]: r["count"] for r in states} == {"error": 1000, "indexed": 9000} and (tmp_path / "calls").stat().st_size == 10_000
 
 
 def test_transitions(spark, tmp_path):
-    rows = spark.createDataFrame([(1, 1, 1, "pending"), (1, 2, 2, "ocr_completed"), (1, 3, 3, "indexed"), (1, 4, 4, "error")], "document_id long, event_id long, ts long, status string")
-    rows.write.parquet(f"{tmp_path}/e")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/e")
-    run = jobs.flag_transitions(stream).writeStream.format("memory").queryName("steps").outputMode("append").option("checkpointLocation", f"{tmp_path}/k").trigger(availableNow=True).start()
+    """Events out of order, over three batches; what is later than the watermark waits."""
+    import datetime
+
+    at = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=n)
+    rows = [(1, 1, at(1), "pending"), (1, 2, at(2), "ocr_completed"), (1, 3, at(3), "indexed"), (1, 4, at(4), "error"), (2, 5, at(1), "chunked"), (2, 6, at(9), "indexed")]
+    kind = "document_id long, event_id long, ts timestamp, status string"
+    for k, part in enumerate([[rows[3], rows[1], rows[5]], [rows[2], rows[4]], [rows[0]], [(3, 7, at(600), "pending")]]):
+        spark.createDataFrame(part, kind).coalesce(1).write.parquet(f"{tmp_path}/e/{k}")
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/e/*")
+    run = jobs.flag_transitions(stream, "2 hours").writeStream.format("parquet").option("path", f"{tmp_path}/out").outputMode("append").option("checkpointLocation", f"{tmp_path}/k").trigger(availableNow=True).start()
     run.awaitTermination()
-    assert [r["legal"] for r in spark.table("steps").orderBy("event_id").collect()] == [True, True, False, True]
+    got = {r["event_id"]: r["legal"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {1: True, 2: True, 3: False, 4: True, 5: False, 6: True}
 
 
 def test_dedupe_new_ids(spark):
