@@ -37,14 +37,19 @@ ORDER = len(NODES) - 1
 #: rarer words get their counts by a join.
 POPULAR = 200_000
 #: Word counts that a worker gathers before it hands them on.
-GATHERED = 1_000_000
+GATHERED = 300_000
 START = b"\n" * ORDER
 #: Stands for the end of a text; no byte of UTF-8 is 255.
 END = b"\xff"
-#: One in so many words ends an edge, and the first one does (the first edge has no context, and is spelt); texts are taken in stretches of so many bytes, at whose ends an edge ends too.
+#: One in so many words ends an edge, and the first one does (the first edge has no context, and is spelt); so many bytes of a text are hashed at a time.
 EDGE, STRETCH = 3, 1 << 18
 #: Bytes of text whose edges are dealt together, and bytes of text in all for which edges meet in one group.
-BLOCK, SHARD = 1 << 22, 1 << 24
+BLOCK, SHARD = 1 << 22, 1 << 23
+#: Contexts with so many distinct edges in a block of texts, and so many in all such blocks together, have their edges dealt to all
+#: groups; at most so many contexts, the most frequent ones.
+HOT_BLOCK, HOT, MOST_HOT = 32, 50_000, 100_000
+#: Bytes of a hash that tell contexts apart, and edges of a context.
+KEPT = 6
 _DOWN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -72,32 +77,78 @@ def _grams(b: np.ndarray) -> np.ndarray:
     return out
 
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """gram, n: how often each byte follows each ORDER bytes, over texts(text). Summed in each task first."""
+class GramCounts:
+    """Sums of grams (as numbers) that a worker has met."""
+
+    def __init__(self):
+        self.keys, self.sums, self.waiting, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), [], 0
+
+    def add(self, data: bytes) -> None:
+        self.waiting.append(grams(data))
+        self.size += len(self.waiting[-1])
+        if self.size > 1 << 22:
+            self.fold()
+
+    def fold(self) -> None:
+        new, n = np.unique(np.concatenate([self.keys[:0], *self.waiting]), return_counts=True)
+        self.waiting, self.size = [], 0
+        self.keys, inverse = np.unique(np.concatenate([self.keys, new]), return_inverse=True)
+        self.sums = np.bincount(inverse, np.concatenate([self.sums, n]), len(self.keys)).astype(np.int64)
+
+
+def busy_contexts(context: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts with HOT_BLOCK distinct edges or more among these, and how many."""
+    inside = context != 0
+    c, e = context[inside] & LOW, own[inside] & LOW
+    order = np.lexsort((e, c))
+    c, e = c[order], e[order]
+    new = np.concatenate([[True], (c[1:] != c[:-1]) | (e[1:] != e[:-1])])[: len(c)]
+    found, n = np.unique(c[new], return_counts=True)
+    return found[n >= HOT_BLOCK], n[n >= HOT_BLOCK]
+
+
+def count_all(texts: DataFrame) -> DataFrame:
+    """kind, word, number, n over texts(text), in one pass. Kind 0: word, without ends, after A-Z to a-z; 1: how often each byte follows each ORDER bytes (number: the gram);
+    2: busy_contexts() of each BLOCK of bytes. Summed in each task first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        waiting, size = [], 0
+        words: Counter = Counter()
+        grams, cutter, edges, size = GramCounts(), Edges(), [], 0
+
+        def out(kind: int, word: list | None, number: np.ndarray | None, n: list | np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(n), 50_000):
+                m = len(n[k : k + 50_000])
+                columns = [pa.array([kind] * m, pa.int32()), pa.nulls(m, pa.string()) if word is None else pa.array(word[k : k + m], pa.string()), pa.nulls(m, pa.int64()) if number is None else pa.array(number[k : k + m].astype(np.int64)), pa.array(n[k : k + m], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["kind", "word", "number", "n"])
 
-        def add(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            new, n = np.unique(np.concatenate(waiting), return_counts=True)
-            waiting.clear()
-            both, inverse = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            return both, np.bincount(inverse, np.concatenate([sums, n]), len(both)).astype(np.int64)
+        def words_out() -> Iterator[pa.RecordBatch]:
+            yield from out(0, list(words.keys()), None, list(words.values()))
+            words.clear()
+
+        def edges_out() -> Iterator[pa.RecordBatch]:
+            if edges:
+                yield from out(2, None, *busy_contexts(*map(np.concatenate, zip(*edges, strict=True))))
+            edges.clear()
 
         for b in batches:
             for x in b.column("text"):
-                waiting.append(grams(lowered(x.as_py()) + END))
-                size += len(waiting[-1])
-                if size > 1 << 22:
-                    keys, sums = add(keys, sums)
+                data = lowered(x.as_py())
+                words.update(words_of(data))
+                grams.add(data + END)
+                _, own, context = cutter.of(data + END)
+                edges.append((context, own))
+                size += len(data)
+                if len(words) > GATHERED:
+                    yield from words_out()
+                if size > BLOCK:
+                    yield from edges_out()
                     size = 0
-        if waiting:
-            keys, sums = add(keys, sums)
-        for k in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000].astype(np.int64)), pa.array(sums[k : k + 100_000])], names=["gram", "n"])
+        grams.fold()
+        yield from words_out()
+        yield from edges_out()
+        yield from out(1, None, grams.keys, grams.sums)
 
-    return texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "kind int, word string, number long, n long").groupBy("kind", "word", "number").agg(F.sum("n").alias("n"))
 
 
 class Ppm:
@@ -298,32 +349,44 @@ class Edges:
         self.space = np.zeros(256, bool)
         self.space[[9, 10, 11, 12, 13, 32, END[0]]] = True
 
-    def _hash(self, sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Of the bytes from begin up to, not with, end."""
-        h = (sums[end] - sums[begin]) * self.down[begin]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xC2B2AE3D27D4EB4F)
+    @staticmethod
+    def _mixed(h: np.ndarray) -> np.ndarray:
+        h = h ^ (h >> np.uint64(31))
+        h = h * np.uint64(0xC2B2AE3D27D4EB4F)
         return h ^ (h >> np.uint64(29))
 
-    def stretch(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where the edges of a stretch begin, their hashes, and their contexts' (0: the first one, which has none)."""
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.signs[b] * self.up[: len(b)])])
-        space = self.space[b]
-        ends = np.flatnonzero(space[1:] & ~space[:-1]) + 2  # past the sign that ends a word
-        begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))[: len(ends)]
-        pair = self._hash(sums, np.concatenate([begins[:1], begins[:-1]]), ends)
-        cut = ends[((pair % np.uint64(EDGE) == 0) | (np.arange(len(ends)) == 0)) & (ends < len(b))]
-        begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(b)]])
-        context = self._hash(sums, np.concatenate([begin[:1], begin[:1], begin])[: len(begin)], begin)
+    def of(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the edges of a text (with END) begin, their hashes, and their contexts' (0: the first one, which has none).
+
+        A range's hash comes from the sums before its begin and its end and a power for its begin; so only these numbers are kept
+        of a stretch, for each of its words, and ranges may lie across stretches."""
+        words, total, scale, unscale, apart = [], 0, 1, 1, True
+        for base in range(0, len(data), STRETCH):
+            b = np.frombuffer(data, np.uint8, min(STRETCH, len(data) - base), base)
+            local = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.signs[b] * self.up[: len(b)])])
+            space = self.space[b]
+            before = np.concatenate([[apart], space[:-1]])
+            first, past = np.flatnonzero(~space & before), np.flatnonzero(space & ~before) + 1  # past the sign that ends a word
+            sums, down = local * np.uint64(scale) + np.uint64(total), self.down[: len(b) + 1] * np.uint64(unscale)
+            words.append((sums[first], down[first], past + base, sums[past], down[past]))
+            total, apart = int(sums[-1]), bool(space[-1])
+            scale, unscale = scale * int(self.up[len(b) - 1]) % (1 << 64), unscale * int(self.down[len(b) - 1]) % (1 << 64)
+        sum_b, down_b, end, sum_e, down_e = (np.concatenate(x) for x in zip(*words, strict=True))
+        back = lambda x, n: np.concatenate([np.repeat(x[:1], n), x])[: len(x)]
+        pair = self._mixed((sum_e - back(sum_b, 1)) * back(down_b, 1))
+        cut = np.flatnonzero(((pair % np.uint64(EDGE) == 0) | (np.arange(len(end)) == 0)) & (end < len(data)))
+        begin = np.concatenate([[0], end[cut]])
+        sums, down = np.concatenate([np.zeros(1, np.uint64), sum_e[cut]]), np.concatenate([self.down[:1], down_e[cut]])
+        own = self._mixed((np.append(sums[1:], np.uint64(total)) - sums) * down)
+        context = self._mixed((sums - back(sums, 2)) * back(down, 2))
         context[1:2] ^= np.uint64(0x5851F42D4C957F2D)  # an edge alone is not two edges
         context |= np.uint64(1)
         context[0] = 0
-        return begin, self._hash(sums, begin, end), context
+        return begin, own, context
 
-    def of(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        parts = [self.stretch(np.frombuffer(data[k : k + STRETCH], np.uint8)) for k in range(0, len(data), STRETCH)]
-        begins, hashes, contexts = zip(*parts, strict=True)
-        return np.concatenate([x + k * STRETCH for k, x in enumerate(begins)]), np.concatenate(hashes), np.concatenate(contexts)
+
+#: Mask of the bytes that are kept of a hash.
+LOW = np.uint64((1 << 8 * KEPT) - 1)
 
 
 def _bytes_of(x: np.ndarray, n: int) -> bytes:
@@ -337,6 +400,30 @@ def _numbers_of(data: bytes, n: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def pair_blob(first: int, context: np.ndarray, edge: np.ndarray, seen: np.ndarray) -> bytes:
+    """Pairs of context (ascending) and edge, numbered from `first`, and how often training has each: contexts as steps of as many bytes
+    as the longest needs, edges by KEPT bytes, counts as a bit and the exceptions."""
+    step = np.diff(context, prepend=context[:1])
+    width = max(1, (int(step.max()).bit_length() + 7) // 8)
+    many = np.flatnonzero(seen > 1).astype(np.int32)
+    head = np.array([first, len(context), width, len(many)], np.int32).tobytes() + context[:1].tobytes()
+    return head + _bytes_of(step, width) + _bytes_of(edge, KEPT) + np.packbits(seen > 0).tobytes() + many.tobytes() + seen[many].astype(np.int64).tobytes()
+
+
+def pairs_of(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, contexts, edges and counts of a pair_blob()."""
+    first, n, width, n_many = np.frombuffer(blob, np.int32, 4).tolist()
+    at = 24
+    parts = []
+    for size in (n * width, n * KEPT, -(-n // 8), 4 * n_many, 8 * n_many):
+        parts.append(blob[at : at + size])
+        at += size
+    context = np.cumsum(_numbers_of(parts[0], width)) + np.frombuffer(blob, np.uint64, 1, 16)
+    seen = np.unpackbits(np.frombuffer(parts[2], np.uint8), count=n).astype(np.int64)
+    seen[np.frombuffer(parts[3], np.int32)] = np.frombuffer(parts[4], np.int64)
+    return np.arange(first, first + n), context, _numbers_of(parts[1], KEPT), seen
+
+
 class Block:
     """Edges of the texts that one worker scores in turn: what the shards need of them, and what the block keeps."""
 
@@ -352,16 +439,21 @@ class Block:
         self.n += len(own)
         return self.n - len(own), len(own)
 
-    def close(self, shards: int) -> Iterator[tuple[int, bytes]]:
-        """(shard, contents). The block's distinct pairs of context and edge are numbered by shard, context and edge. To a shard go
-        its first number, contexts (the lower six bytes, the shard has others of it), edges (three bytes), and how often training has each (a byte, and those of 255 or more again). The block
-        keeps, as shard -1, the number of each of its edges (-1 without context), which numbers are from training, and of
-        edges that aren't so the log when spelt and the rare bytes in them."""
+    def close(self, shards: int, hot: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(shard, contents). The block's distinct pairs of context and edge are numbered by shard, context and edge, and go to
+        their shards as pair_blob()s: to that of the context, or for a hot context (`hot`, ascending) to that of the pair,
+        which are numbered from `shards`. The block keeps, as shard -1, the number of each of its edges (-1 without
+        context), which numbers are from training, and of edges that aren't so the log when spelt and the rare bytes in them."""
         own, context, spelt, at, grams, train = map(np.concatenate, zip(*self.texts, strict=True))
         inside = np.flatnonzero(context)
-        shard = ((context[inside] >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
-        order = np.lexsort((own[inside], context[inside], shard))
-        c, e, shard = context[inside[order]], own[inside[order]], shard[order]
+        c, e = context[inside] & LOW, own[inside] & LOW
+        mix = c ^ (c >> np.uint64(23))
+        shard = (mix % np.uint64(shards)).astype(np.int32)
+        if len(hot):
+            pair = Edges._mixed(c + e * np.uint64(0x9E3779B97F4A7C15))
+            shard = np.where(hot[np.minimum(np.searchsorted(hot, c), len(hot) - 1)] == c, (shards + (pair % np.uint64(shards))).astype(np.int32), shard)
+        order = np.lexsort((e, c, shard))
+        c, e, shard = c[order], e[order], shard[order]
         new = np.concatenate([[True], (c[1:] != c[:-1]) | (e[1:] != e[:-1])])[: len(order)]
         number = np.full(len(own), -1, np.int32)
         number[inside[order]] = np.cumsum(new) - 1
@@ -373,42 +465,62 @@ class Block:
         edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
         for a, z in zip(edges, edges[1:]):
             if z > a:
-                many = np.flatnonzero(seen[a:z] >= 255)
-                yield int(shard[a]), pickle.dumps((a, _bytes_of(c[a:z], 6), _bytes_of(e[a:z], 3), np.minimum(seen[a:z], 255).astype(np.uint8), many, seen[a:z][many]))
+                yield int(shard[a]), pair_blob(a, c[a:z], e[a:z], seen[a:z])
 
 
-def known_edges(rows: DataFrame) -> DataFrame:
+def merged_pairs(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of the pairs of several blobs, by context and edge: blob, number, context, edge's count, whether the blob's own training has it, and
+    for each pair which distinct pair and which context it is."""
+    parts = [pairs_of(x) for x in blobs]
+    owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    number, context, edge, seen = map(np.concatenate, zip(*parts, strict=True))
+    del parts
+    order = np.lexsort((edge, context))
+    context, edge = context[order], edge[order]
+    new_context = np.concatenate([[True], context[1:] != context[:-1]])
+    new = new_context | np.concatenate([[True], edge[1:] != edge[:-1]])
+    pair = np.cumsum(new) - 1
+    return owner[order], number[order], context, np.bincount(pair, seen[order]), seen[order] > 0, pair, new, np.cumsum(new_context) - 1
+
+
+def hot_sums(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hot contexts (ascending), how many edges training has after each, and how many distinct ones; from (shard, blob) of their
+    pairs. A row for each, MOST_HOT at most, comes to the driver."""
+
+    def sums(key: tuple, t: pa.Table) -> pa.Table:
+        _, _, context, c, _, _, new, group = merged_pairs(t.column("blob").to_pylist())
+        first = np.concatenate([[True], group[1:] != group[:-1]])
+        return pa.table({"context": context[first].astype(np.int64), "n": np.bincount(group[new], c).astype(np.int64), "d": np.bincount(group[new], c > 0).astype(np.int64)})
+
+    found = rows.groupBy("shard").applyInArrow(sums, "context long, n long, d long").groupBy("context").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).toPandas().sort_values("context")
+    return found["context"].to_numpy(np.uint64), found["n"].to_numpy(), found["d"].to_numpy()
+
+
+def known_edges(rows: DataFrame, hot: Broadcast | None = None) -> DataFrame:
     """block, answers: what training says of the blocks' edges, from (shard, block, blob). Each shard has all edges of its contexts,
-    each of them at most once a block. An answer is (edge's number, log10, whether it escapes); left out are edges for which
+    each of them at most once a block; or with `hot`, which has the hot_sums(), all of an edge of a hot context. An answer is (edge's number, log10, whether it escapes); left out are edges for which
     what the block assumes holds: in a context seen once, by the block's own training text, or in one never seen."""
 
     def answer(key: tuple, t: pa.Table) -> pa.Table:
-        parts = [pickle.loads(x) for x in t.column("blob").to_pylist()]
-        seen = [p[3].astype(np.int64) for p in parts]
-        for s, (*_, at, counts) in zip(seen, parts, strict=True):
-            s[at] = counts
-        context, edge = _numbers_of(b"".join(p[1] for p in parts), 6), _numbers_of(b"".join(p[2] for p in parts), 3)
-        number = np.concatenate([np.arange(p[0], p[0] + len(x)) for p, x in zip(parts, seen, strict=True)])
-        owner, seen = np.repeat(np.arange(len(parts)), list(map(len, seen))), np.concatenate(seen)
-        order = np.lexsort((edge, context))
-        context, edge = context[order], edge[order]
-        new_context = np.concatenate([[True], context[1:] != context[:-1]])
-        new = new_context | np.concatenate([[True], edge[1:] != edge[:-1]])
-        gram, group = np.cumsum(new) - 1, np.cumsum(new_context) - 1
-        c = np.bincount(gram, seen[order])
-        n = np.bincount(group[new], c)[group]
-        d = np.bincount(group[new], c > 0)[group]
-        c = c[gram]
-        told = np.where(seen[order] > 0, n + d > 2, n > 0)
+        owner, number, context, c, own, pair, new, group = merged_pairs(t.column("blob").to_pylist())
+        if hot is None:
+            n = np.bincount(group[new], c)[group]
+            d = np.bincount(group[new], c > 0)[group]
+        else:
+            keys, n, d = hot.value
+            at = np.searchsorted(keys, context)
+            n, d = n[at], d[at]
+        c = c[pair]
+        told = np.where(own, n + d > 2, n > 0)
         escapes = c == 0
         with np.errstate(divide="ignore", invalid="ignore"):
             log = np.log10(np.where(escapes, d, c) / (n + d)).astype(np.float32)
         keep = np.flatnonzero(told)
-        by = keep[np.argsort(owner[order][keep], kind="stable")]
+        by = keep[np.argsort(owner[keep], kind="stable")]
         blocks, blobs = [], []
-        for part in np.split(by, np.flatnonzero(np.diff(owner[order][by])) + 1) if len(by) else []:
-            blocks.append(t.column("block")[int(owner[order][part[0]])].as_py())
-            blobs.append(pickle.dumps((number[order][part].astype(np.int32), np.where(escapes[part], log[part] + np.float32(ESCAPED), log[part]))))
+        for part in np.split(by, np.flatnonzero(np.diff(owner[by])) + 1) if len(by) else []:
+            blocks.append(t.column("block")[int(owner[part[0]])].as_py())
+            blobs.append(pickle.dumps((number[part].astype(np.int32), np.where(escapes[part], log[part] + np.float32(ESCAPED), log[part]))))
         return pa.table({"block": pa.array(blocks, pa.int64()), "answers": pa.array(blobs, pa.binary())})
 
     return rows.groupBy("shard").applyInArrow(answer, "block long, answers binary")
@@ -445,31 +557,6 @@ def along_edges(texts: DataFrame, answers: DataFrame) -> DataFrame:
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(walk, "row long, score double, rare array<struct<gram:long,times:long>>")
 
 
-# ---- words ---------------------------------------------------------------------------------------------------------------
-
-
-def count_words(texts: DataFrame) -> DataFrame:
-    """word, n over texts(text): words after A-Z to a-z, without ends. Summed in each task first."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            words, n = list(seen.keys()), list(seen.values())
-            for k in range(0, len(words), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(words[k : k + 50_000], pa.string()), pa.array(n[k : k + 50_000], pa.int64())], names=["word", "n"])
-            seen.clear()
-
-        for b in batches:
-            for x in b.column("text"):
-                seen.update(words_of(lowered(x.as_py())))
-                if len(seen) > GATHERED:
-                    yield from out()
-        yield from out()
-
-    return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
 def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every row; learn from the rows where held_out (an expression over the columns of docs) is not true.
 
@@ -479,23 +566,26 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
 
     Each word is counted over all training rows. Counts of at most POPULAR frequent words go to the workers; every other
     word of a row joins with its count; such words are rare, so no key is hot. The same holds for the PPM model's short contexts
-    beyond NODES: bytes after them join with their probability. Edges are dealt by their context, a distinct one once a block.
+    beyond NODES: bytes after them join with their probability. Edges are dealt by their context, a distinct one once a block;
+    those of a hot context by themselves, and what training has of it in all is summed first, so that no task holds it whole.
 
     Null or empty text: one token (the end). Repeated rows are learnt from and scored each; a null id is scored like any
     other. An empty table gives no rows. Other columns are ignored."""
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     train, spark = base.where("not held_out"), docs.sparkSession
-    counts = staged(count_words(train.select("text")))
+    found = staged(count_all(train.select("text")))
+    counts, gram_counts = found.where("kind = 0").select("word", "n"), found.where("kind = 1").select(F.col("number").alias("gram"), "n")
+    busy = found.where("kind = 2").where(F.col("n") >= HOT).orderBy(F.desc("n"), "number").limit(MOST_HOT).toArrow()
+    hot = np.sort(busy.column("number").to_numpy().astype(np.uint64))
     words, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends, size = base.agg(F.count_if(~F.col("held_out")), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n_all, n_types = words + ends, types + (ends > 0)
     below = math.log10(n_all + 0.5 * (n_types + 1))
     top = counts.where(F.col("n") >= most_frequent(counts, "n", POPULAR)).toArrow()
     known = dict(zip(top.column("word").to_pylist(), [math.log10(n + 0.5) for n in top.column("n").to_pylist()], strict=True))
-    gram_counts = staged(count_grams(train.select("text")))
     with scratch(spark):
         ppm = ppm_of(gram_counts)
-    shared = spark.sparkContext.broadcast((known, ppm.data()))
+    shared = spark.sparkContext.broadcast((known, ppm.data(), hot))
     shards = max(8, size // SHARD)
     kind = dict(base.dtypes)["id"]
     names = ["id", "held_out", "row", "n_tokens", "n_frequent", "frequent", "rest", "block", "first", "n_edges", "shard", "blob"]
@@ -504,12 +594,12 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known, data = shared.value
+        known, data, hot = shared.value
         scorer, cutter, block, n = PpmScorer(Ppm.of(data)), Edges(), Block(), TaskContext.get().partitionId() << 33
         name, id_kind = n, pa.null()
 
         def close() -> Iterator[pa.RecordBatch]:
-            for shard, blob in block.close(shards):
+            for shard, blob in block.close(shards, hot):
                 row = {"block": name, "shard": shard, "blob": blob}
                 yield pa.RecordBatch.from_arrays([pa.array([row.get(c)], t or id_kind) for c, t in zip(names, kinds, strict=True)], names=names)
 
@@ -536,7 +626,10 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
 
     rows = staged(base.mapInArrow(score, f"id {kind}, held_out boolean, row long, n_tokens long, n_frequent long, frequent double, rest array<struct<word:string,tf:long>>, block long, first long, n_edges long, shard int, blob binary"))
     scored = rows.where("shard is null")
-    answers = known_edges(rows.where("shard >= 0").select("shard", "block", "blob"))
+    answers = known_edges(rows.where((F.col("shard") >= 0) & (F.col("shard") < shards)).select("shard", "block", "blob"))
+    if len(hot):
+        of_hot = rows.where(F.col("shard") >= shards).select("shard", "block", "blob")
+        answers = answers.unionByName(known_edges(of_hot, spark.sparkContext.broadcast(hot_sums(of_hot))))
     walked = staged(along_edges(rows.where("shard is null or shard < 0").select("block", "row", "first", "n_edges", "blob"), answers))
     rest = scored.select("row", F.inline("rest")).join(counts, "word", "left")
     log = F.log10(F.coalesce("n", F.lit(0)) + 0.5) * F.col("tf")

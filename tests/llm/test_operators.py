@@ -603,10 +603,10 @@ class Trie:
     def edges(self, text):
         data = low(text).encode() + b"\xff"
         begin = lm_scoring.Edges().of(data)[0].tolist()
-        assert all(x % lm_scoring.STRETCH == 0 or data[x - 1 : x].isspace() for x in begin)
+        assert all(x == 0 or data[x - 1 : x].isspace() for x in begin)
         out = [(data[a:z], a) for a, z in zip(begin, [*begin[1:], len(data)], strict=True)]
         for k, (edge, at) in enumerate(out):
-            yield (tuple(x for x, _ in out[max(0, k - 2) : k]) if at % lm_scoring.STRETCH else None), edge, at
+            yield (tuple(x for x, _ in out[max(0, k - 2) : k]) if k else None), edge, at
 
     def spelt(self, b, begin, end):
         total = 0.0
@@ -679,13 +679,49 @@ def test_lm_scores_of_table(spark, documents):
 
 
 def test_lm_edges_meet_in_shards(odd, monkeypatch):
-    """Blocks of few texts, and contexts that start again within a long text, give the trie's scores too."""
-    monkeypatch.setattr(lm_scoring, "BLOCK", 200)
-    monkeypatch.setattr(lm_scoring, "STRETCH", 700)
+    """Blocks of few texts, long texts hashed in stretches, and edges of frequent contexts dealt to all groups give the trie's
+    scores too."""
+    for name, value in (("BLOCK", 200), ("STRETCH", 70), ("HOT_BLOCK", 1), ("HOT", 2)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    assert lm_scoring.count_all(odd.select(F.coalesce("text", F.lit("")).alias("text"))).where("kind = 2 and n >= 2").count() > 3
     rows = [(r[0], r[1]) for r in odd_rows()]
     check_scores(rows, lm_scoring.lm_scores(odd, F.col("doc_id") % 3 == 1).collect(), lambda i: i is not None and i % 3 == 1)
 
 
+@pytest.mark.parametrize("stretch", [5, 64, 1 << 18])
+def test_lm_edges_do_not_depend_on_stretches(monkeypatch, stretch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab  \nxyz") for _ in range(n)).encode() + lm_scoring.END for n in (0, 1, 2, 63, 64, 65, 2000)] + [b"   " + lm_scoring.END, b"word" * 900 + b" x y" + lm_scoring.END]
+    want = [[x.tolist() for x in lm_scoring.Edges().of(t)] for t in texts]
+    monkeypatch.setattr(lm_scoring, "STRETCH", stretch)
+    assert [[x.tolist() for x in lm_scoring.Edges().of(t)] for t in texts] == want
+
+
+def test_lm_pair_blobs():
+    rng = np.random.default_rng(2)
+    for n in (1, 7, 500):
+        context, edge, seen = np.sort(rng.integers(0, 1 << 48, n).astype(np.uint64)), rng.integers(0, 1 << 48, n).astype(np.uint64), rng.choice([0, 1, 1, 2, 300_000], n)
+        got = lm_scoring.pairs_of(lm_scoring.pair_blob(9, context, edge, seen))
+        assert [x.tolist() for x in got] == [list(range(9, 9 + n)), context.tolist(), edge.tolist(), seen.tolist()]
+
+
+def test_lm_tells_edges_apart_that_share_24_bits(spark):
+    """Training texts hold an edge; a held-out one ends in another whose hash has the same lowest 24 bits."""
+    cutter, seen, twins = lm_scoring.Edges(), {}, None
+    for k in range(40_000):
+        begin, own, context = cutter.of(f"alpha beta gamma mu w{k} omega".encode() + lm_scoring.END)
+        key = (tuple(begin.tolist()), tuple(context.tolist()), int(own[-1]) & 0xFFFFFF)
+        if key in seen and own[-1] != seen[key][1] and begin[-1] <= len("alpha beta gamma mu "):
+            twins = seen[key][0], k
+            break
+        seen[key] = k, own[-1]
+    assert twins
+    other = next(k for k in range(50_000, 60_000) if tuple(cutter.of(f"alpha beta gamma mu w{k} omega".encode() + lm_scoring.END)[0].tolist()) == tuple(cutter.of(f"alpha beta gamma mu w{twins[0]} omega".encode() + lm_scoring.END)[0].tolist()))
+    rows = [(i, f"alpha beta gamma mu w{twins[0]} omega") for i in range(3)] + [(7, f"alpha beta gamma mu w{twins[1]} omega"), (8, f"alpha beta gamma mu w{other} omega")]
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") > 5).collect()}
+    assert got[7] < got[0] - 3 and abs(got[7] - got[8]) < 6
+
+
 def test_lm_tells_repeated_texts_apart(spark):
     """Texts that training holds twice score above those that it holds once, token by token."""
     rng = random.Random(6)
