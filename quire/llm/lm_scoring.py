@@ -367,11 +367,16 @@ class Edges:
             space = self.space[b]
             before = np.concatenate([[apart], space[:-1]])
             first, past = np.flatnonzero(~space & before), np.flatnonzero(space & ~before) + 1  # past the sign that ends a word
-            sums, down = local * np.uint64(scale) + np.uint64(total), self.down[: len(b) + 1] * np.uint64(unscale)
-            words.append((sums[first], down[first], past + base, sums[past], down[past]))
-            total, apart = int(sums[-1]), bool(space[-1])
+            part = [local[first], self.down[first], past + base, local[past], self.down[past]]
+            upto = int(local[-1])
+            if base:  # sums and powers go on from the stretches before
+                for k, factor, add in ((0, scale, total), (1, unscale, 0), (3, scale, total), (4, unscale, 0)):
+                    part[k] = part[k] * np.uint64(factor) + np.uint64(add)
+                upto = (upto * scale + total) % (1 << 64)
+            words.append(part)
+            total, apart = upto, bool(space[-1])
             scale, unscale = scale * int(self.up[len(b) - 1]) % (1 << 64), unscale * int(self.down[len(b) - 1]) % (1 << 64)
-        sum_b, down_b, end, sum_e, down_e = (np.concatenate(x) for x in zip(*words, strict=True))
+        sum_b, down_b, end, sum_e, down_e = words[0] if len(words) == 1 else (np.concatenate(x) for x in zip(*words, strict=True))
         back = lambda x, n: np.concatenate([np.repeat(x[:1], n), x])[: len(x)]
         pair = self._mixed((sum_e - back(sum_b, 1)) * back(down_b, 1))
         cut = np.flatnonzero(((pair % np.uint64(EDGE) == 0) | (np.arange(len(end)) == 0)) & (end < len(data)))
