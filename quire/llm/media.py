@@ -10,12 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: Stored pages have rows of 64 samples and at most so many rows.
 WIDTH, ROWS = 64, 256
+#: Bytes of texts or files that a worker takes from a batch at once.
+TOGETHER = 1 << 23
 #: How many bytes one stored byte can stand for at most, so that a damaged header can't ask for more memory than its strips fill.
 EXPANSION = {NONE: 1, PACKBITS: 64, LZW: 2_600, DEFLATE: 1_040, OLD_DEFLATE: 1_040}
 
@@ -297,6 +300,17 @@ def tiff_of(payload: bytes) -> bytes:
     return bytes(out)
 
 
+def by_bytes(b: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about TOGETHER bytes of a column, or of one row that has more."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < b.num_rows:
+        before = size[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(size, before + TOGETHER, side="right")))
+        yield b.slice(first, last - first)
+        first = last
+
+
 def payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_bytes, payload: each whole text (null: empty) as UTF-8, with bytes 0 up to a positive multiple of WIDTH."""
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
@@ -313,8 +327,7 @@ def store(rows: DataFrame, payload_col: str = "payload") -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 1024):
-                part = b.slice(k, 1024)
+            for part in by_bytes(b, payload_col):
                 media = [None if x is None else tiff_of(x) for x in part.column(payload_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(media, pa.binary())], names=[*kept, "media"])
 
@@ -346,8 +359,7 @@ def features(files: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 1024):
-                part = b.slice(k, 1024)
+            for part in by_bytes(b, "media"):
                 size, sha, crc, feature = zip(*(of(x.as_py()) for x in part.column("media")), strict=True)
                 made = {"payload_bytes": pa.array(size, pa.int64()), "payload_sha256": pa.array(sha), "tail_crc32": pa.array(crc, pa.int64()), "feature": pa.array(feature)}
                 yield pa.RecordBatch.from_arrays([made[c] if c in made else part.column(c) for c in names], names=names)

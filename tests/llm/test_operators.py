@@ -754,6 +754,13 @@ def test_media(odd, none):
     assert media.features(media.store(media.payloads(none))).count() == 0
 
 
+def test_media_in_parts(odd, monkeypatch):
+    """A batch is taken by bytes; a text longer than that is a part of its own."""
+    whole = pairs(media.features(media.store(media.payloads(odd))))
+    monkeypatch.setattr(media, "TOGETHER", 100)
+    assert pairs(media.features(media.store(media.payloads(odd)))) == whole
+
+
 def test_media_query(spark, documents):
     """Every column of the registered query, from the file that the writer makes of a payload."""
     text = dict(zip(documents.doc_id, documents.text, strict=True))
