@@ -118,7 +118,7 @@ def count_all(texts: DataFrame) -> DataFrame:
         def out(kind: int, word: list | None, number: np.ndarray | None, n: list | np.ndarray) -> Iterator[pa.RecordBatch]:
             for k in range(0, len(n), 50_000):
                 m = len(n[k : k + 50_000])
-                columns = [pa.array([kind] * m, pa.int32()), pa.nulls(m, pa.string()) if word is None else pa.array(word[k : k + m], pa.string()), pa.nulls(m, pa.int64()) if number is None else pa.array(number[k : k + m].astype(np.int64)), pa.array(n[k : k + m], pa.int64())]
+                columns = [pa.array([kind] * m, pa.int32()), pa.nulls(m, pa.string()) if word is None else pa.array(word[k : k + m], pa.binary()).cast(pa.string()), pa.nulls(m, pa.int64()) if number is None else pa.array(number[k : k + m].astype(np.int64)), pa.array(n[k : k + m], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["kind", "word", "number", "n"])
 
         def words_out() -> Iterator[pa.RecordBatch]:
@@ -133,7 +133,7 @@ def count_all(texts: DataFrame) -> DataFrame:
         for b in batches:
             for x in b.column("text"):
                 data = lowered(x.as_py())
-                words.update(words_of(data))
+                words.update(data.split())  # ASCII white space parts bytes as it parts words
                 grams.add(data + END)
                 _, own, context = cutter.of(data + END)
                 edges.append((context, own))
@@ -587,7 +587,7 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     n_all, n_types = words + ends, types + (ends > 0)
     below = math.log10(n_all + 0.5 * (n_types + 1))
     top = counts.where(F.col("n") >= most_frequent(counts, "n", POPULAR)).toArrow()
-    known = dict(zip(top.column("word").to_pylist(), [math.log10(n + 0.5) for n in top.column("n").to_pylist()], strict=True))
+    known = dict(zip(map(str.encode, top.column("word").to_pylist()), [math.log10(n + 0.5) for n in top.column("n").to_pylist()], strict=True))
     with scratch(spark):
         ppm = ppm_of(gram_counts)
     shared = spark.sparkContext.broadcast((known, ppm.data(), hot))
@@ -614,12 +614,14 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
                 part, rows = b.slice(k, 512), []
                 for x, held in zip(part.column("text"), part.column("held_out").to_pylist(), strict=True):
                     data = lowered(x.as_py())
-                    words = words_of(data)
-                    logs = [v for v in map(known.get, words) if v is not None]
-                    rest = Counter(w for w in words if w not in known) if len(logs) < len(words) else {}
+                    words = data.split()
+                    logs, rest = list(map(known.get, words)), {}
+                    if None in logs:
+                        rest = Counter(w for w, log in zip(words, logs, strict=True) if log is None)
+                        logs = [log for log in logs if log is not None]
                     data += END
                     first, size = block.add(cutter.of(data), scorer.score(data), not held)
-                    rows.append((n, len(words) + 1, len(logs), math.fsum(logs), [{"word": w, "tf": t} for w, t in rest.items()], name, first, size, None, None))
+                    rows.append((n, len(words) + 1, len(logs), math.fsum(logs), [{"word": w.decode(), "tf": t} for w, t in rest.items()], name, first, size, None, None))
                     n += 1
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), *(pa.array(c, t) for c, t in zip(cols, kinds[2:], strict=True))], names=names)
