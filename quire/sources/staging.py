@@ -11,6 +11,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting for shuffles that go when their query ends.
+DELETE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_folder: dict[str, str] = {}
 _scopes = threading.local()
 
@@ -65,7 +67,13 @@ def new_path(spark: SparkSession, name: str = "quire", keep: bool = False) -> st
 
 def staged(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back. Cuts the lineage: a lost executor costs no recomputation
-    of what came before, and a column that is used twice is computed once."""
-    path = new_path(df.sparkSession, keep=keep)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    of what came before, and a column that is used twice is computed once. The shuffles of the write are deleted at its end
+    (Spark otherwise keeps them until the driver collects its garbage)."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, keep=keep)
+    before = spark.conf.get(DELETE_SHUFFLES, "false")
+    spark.conf.set(DELETE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DELETE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
