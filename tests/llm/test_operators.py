@@ -996,4 +996,4 @@ for name in sorted(entry.queries()):
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     ran = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900, check=False)
-    assert ran.stdout.count("done") == 11, ran.stderr[-3000:]
+    assert ran.stdout.count("done") == 14, ran.stderr[-3000:]
