@@ -56,9 +56,9 @@ _small = "von|van|der|den|zu|de|del|della|di|da|dos|du|la|le|bin|ibn|al|el"
 _name_word = rf"(?:(?:{_small}) )*(?:[dl]{_apostrophe})?\p{{Lu}}(?:\.(?= \p{{Lu}})|{_letters}*+(?:(?:-|{_apostrophe}(?!s(?!{_letters}))){_letters}++)*+)"
 #: Scripts without case don't show where a name ends: two to four signs of Han, one or two words of the others.
 _caseless = r"\p{IsHan}{2,4}|(?!\p{IsHan})\p{Lo}[\p{Lo}\p{M}]++(?: (?!\p{IsHan})\p{Lo}[\p{Lo}\p{M}]++)?"
-#: Words of a person's name as parts_of takes them: what a prefix like "O'" is, or a word with the space or hyphen after it.
+#: Parts of a person's name: a prefix like "O'", or a word with words like "von" before it and the space or hyphen after it.
 _prefix = rf"(?:[dl]|\p{{Lu}}){_apostrophe}"
-_name_part = rf"{_prefix}(?={_letters})|[^ -]+[ -]?"
+_name_part = rf"{_prefix}(?={_letters})|(?:(?:{_small}) )*+[^ -]+[ -]?"
 #: A word that may be a name without a title, with what joins it to the next one.
 NAME = rf"(?<![\p{{L}}\p{{M}}\p{{N}}_])\p{{Lu}}{_letters}++(?: (?:(?:{_small}) )*+(?=\p{{Lu}}{_letters})|-(?=\p{{Lu}}{_letters}))?"
 #: "is" stands before secrets that hold a digit, as in "the password is hunter2".
@@ -113,15 +113,14 @@ def canonical(kind: Column, body: Column) -> Column:
 
 def parts_of(kind: Column, body: Column) -> Column:
     """Array of (part, kind, body, sep): each word of a person's name is an entity of its own (given, family, initial), so that
-    "Anna Smith", "Smith" and "Smith-Jones" share a name; words like "von" and prefixes like "O'" are kept. sep joins a part
-    to the next one. Any other mention is one part."""
+    "Anna Smith", "Smith" and "Smith-Jones" share a name; words like "von" belong to the one after them, prefixes like "O'"
+    are kept. sep joins a part to the next one. Any other mention is one part."""
     words = F.regexp_extract_all(body, F.lit(_name_part), F.lit(0))
-    small = lambda w: w.rlike(rf"^(?:{_small})[ -]?$")
-    last_given = F.coalesce(F.array_max(F.transform(words, lambda w, i: F.when(w.endswith(" ") & ~small(w), i))), F.lit(-1))
+    last_given = F.coalesce(F.array_max(F.transform(words, lambda w, i: F.when(w.endswith(" "), i))), F.lit(-1))
 
     def one(w: Column, i: Column) -> Column:
         word = F.regexp_replace(w, "[ -]$", "")
-        what = F.when(small(w) | w.rlike(f"^{_prefix}$"), "kept").when(word.rlike(r"^\p{Lu}\.?$"), "initial").when(i <= last_given, "given").otherwise("family")
+        what = F.when(w.rlike(f"^{_prefix}$"), "kept").when(word.rlike(r"^\p{Lu}\.?$"), "initial").when(i <= last_given, "given").otherwise("family")
         return F.struct(i.alias("part"), what.alias("kind"), word.alias("body"), F.substring(w, F.length(word) + 1, F.lit(1)).alias("sep"))
 
     whole = F.array(F.struct(F.lit(0).alias("part"), kind.alias("kind"), body.alias("body"), F.lit("").alias("sep")))
@@ -248,7 +247,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 def rendered(kind: Column, body: Column, surrogate: Column) -> Column:
     """The surrogate in the format of the mention's body: its digits and letters take the places of the body's; what is left
     of a longer one follows. Names in capitals get capitals, an initial keeps its full stop."""
-    capitals = kind.isin("given", "family") & (F.upper(body) == body) & (F.lower(body) != body) & (F.char_length(body) > 1)
+    last = F.substring_index(body, " ", -1)
+    capitals = kind.isin("given", "family") & (F.upper(last) == last) & (F.lower(last) != last) & (F.char_length(last) > 1)
     name = F.when(capitals, F.upper(surrogate)).when((kind == "initial") & body.endswith("."), F.concat(surrogate, F.lit("."))).otherwise(surrogate)
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
 
@@ -278,35 +278,37 @@ def collision_tries(entities: DataFrame, key: str) -> DataFrame:
 
 def untitled(base: DataFrame, words: DataFrame) -> DataFrame | None:
     """Names of known persons that stand without a title, outside of other entities: row, pos (entities before them), at
-    (number among the capitalised words there), kind, body, sep, begins. A word is one if its text names a person by it, after
-    a title or in two words that follow each other in a titled person's name of any text. Rows with such words have
-    all their capitalised words, the others of kind `kept`. None if no person is known.
+    (number among the capitalised words there), kind, canon, body, sep, begins. A word is one if its text names a person by it,
+    after a title or in two words that follow each other in a titled person's name of any text. Rows with such words
+    have all their capitalised words, the others of kind `kept`. None if no person is known.
 
     words: given and family names after titles, with row, pos, part, kind, canon."""
-    pairs = words.withColumn("next", F.lead(F.struct("canon", "kind")).over(Window.partitionBy("row", "pos").orderBy("part"))).where("next is not null")
-    pairs = staged(pairs.groupBy("canon", F.col("next.canon").alias("after")).agg(F.min("kind").alias("kind"), F.min("next.kind").alias("after_kind")))
-    known = staged(words.groupBy("row", "canon").agg(F.min("kind").alias("kind")))
+    words = words.select("row", "pos", "part", F.substring_index("canon", " ", -1).alias("word"), F.struct("kind", "canon").alias("name"))
+    pairs = words.withColumn("next", F.lead(F.struct("word", "name")).over(Window.partitionBy("row", "pos").orderBy("part"))).where("next is not null")
+    pairs = staged(pairs.groupBy("word", F.col("next.word").alias("after")).agg(F.min("name").alias("name"), F.min("next.name").alias("after_name")))
+    known = staged(words.groupBy("row", "word").agg(F.min("name").alias("name")))
     if known.isEmpty():
         return None
-    text, low = F.col("text"), lambda x: F.lower(F.regexp_extract(x, rf"^{_letters}+", 0))
+    text, letters = F.col("text"), rf"^{_letters}+"
+    low = lambda x: F.lower(F.regexp_extract(x, letters, 0))
     gaps = F.when(F.size("found") == 0, F.array(text)).otherwise(F.split(text, ANY, -1))
     seen = base.where(text.rlike(NAME)).select("row", F.posexplode(gaps).alias("pos", "gap"))
     seen = staged(seen.select("row", "pos", F.regexp_extract_all("gap", F.lit(NAME), F.lit(0)).alias("words")).where(F.size("words") > 0))
-    joined = F.transform("words", lambda x, i: F.when(x.rlike("[ -]$"), F.struct(i.alias("at"), low(x).alias("canon"), low(F.get("words", i + 1)).alias("after"))))
+    joined = F.transform("words", lambda x, i: F.when(x.rlike("[ -]$"), F.struct(i.alias("at"), low(x).alias("word"), low(F.get("words", i + 1)).alias("after"))))
     by_pair = seen.select("row", "pos", F.inline(F.filter(joined, lambda x: x.isNotNull())))
-    by_pair = by_pair.join(broadcast_if_small(pairs, pairs.count(), BROADCAST_ROWS), ["canon", "after"])
-    after = F.struct((F.col("at") + 1).alias("at"), F.col("after").alias("canon"), F.col("after_kind").alias("kind"))
-    by_pair = staged(by_pair.select("row", "pos", F.inline(F.array(F.struct("at", "canon", "kind"), after))))
-    known = known.unionByName(by_pair.select("row", "canon", "kind")).groupBy("row", "canon").agg(F.min("kind").alias("kind"))
-    here = seen.join(known.select("row").distinct(), "row", "left_semi").select("row", "pos", F.posexplode("words").alias("at", "word"))
-    here = here.withColumn("canon", low(F.col("word"))).join(known, ["row", "canon"])
-    hits = staged(by_pair.unionByName(here.select(by_pair.columns)).groupBy("row", "pos", "at").agg(F.min("kind").alias("kind")))
-    out = seen.join(hits.select("row").distinct(), "row", "left_semi").select("row", "pos", F.posexplode("words").alias("at", "word")).join(hits, ["row", "pos", "at"], "left")
-    body = F.regexp_extract("word", rf"^{_letters}+", 0)
-    out = out.select("row", "pos", "at", F.coalesce("kind", F.lit("kept")).alias("kind"), body.alias("body"), F.expr("substring(word, length(regexp_extract(word, '^[\\\\p{L}\\\\p{M}]+', 0)) + 1)").alias("sep"))
-    before = F.lag(F.struct("kind", "sep")).over(Window.partitionBy("row", "pos").orderBy("at"))
-    follows = F.coalesce((before["kind"] != "kept") & (before["sep"] != ""), F.lit(False))
-    return out.withColumn("begins", (F.col("kind") != "kept") & ~follows)
+    by_pair = by_pair.join(broadcast_if_small(pairs, pairs.count(), BROADCAST_ROWS), ["word", "after"])
+    after = F.struct((F.col("at") + 1).alias("at"), F.col("after").alias("word"), F.col("after_name").alias("name"))
+    by_pair = staged(by_pair.select("row", "pos", F.inline(F.array(F.struct("at", "word", "name"), after))))
+    known = known.unionByName(by_pair.select("row", "word", "name")).groupBy("row", "word").agg(F.min("name").alias("name"))
+    each = seen.select("row", "pos", F.posexplode("words").alias("at", "x"))
+    here = each.join(known.select("row").distinct(), "row", "left_semi").withColumn("word", low(F.col("x"))).join(known, ["row", "word"])
+    hits = staged(by_pair.unionByName(here.select(by_pair.columns)).groupBy("row", "pos", "at").agg(F.min("name").alias("name")))
+    out = each.join(hits.select("row").distinct(), "row", "left_semi").join(hits, ["row", "pos", "at"], "left")
+    out = out.select("row", "pos", "at", F.col("name").isNotNull().alias("hit"), "name", F.regexp_extract("x", letters, 0).alias("body"), F.regexp_replace("x", letters, "").alias("sep"))
+    along = Window.partitionBy("row", "pos").orderBy("at")
+    follows = F.coalesce(F.lag(F.col("hit") & (F.col("sep") != "")).over(along), F.lit(False))
+    sep = F.when(F.col("hit") & F.lead("hit").over(along) & F.col("sep").startswith(" "), " ").otherwise(F.col("sep"))
+    return out.select("row", "pos", "at", F.coalesce("name.kind", F.lit("kept")).alias("kind"), F.coalesce("name.canon", "body").alias("canon"), "body", sep.alias("sep"), (F.col("hit") & ~follows).alias("begins"))
 
 
 def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,7 +322,7 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     Persons are found after a title; their names are then replaced without one as well: in all texts two words that follow
     each other in a name ("Anna Smith"), and in a text that has a person by either way each word of the name. That takes capitals: names in scripts without case
     are only found after a title. Each word of a name is an entity of its own, parts of a hyphenated one too; words like
-    "von" and prefixes like "O'" stay. A mention's title gives the gender of its given names, a neutral title, or none, the
+    "von" go with the one after them, prefixes like "O'" stay. A mention's title gives the gender of its given names, a neutral title, or none, the
     gender that the name has elsewhere. Names keep script, capitals, hyphens and initials; an initial is changed by itself
     and needn't be that of the name's surrogate. A common word that is also a name in its text is replaced with it.
 
@@ -345,7 +347,6 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
         parts = staged(parts.withColumns({"at": F.lit(2**31 - 1), "begins": F.lit(True)}).select(columns), keep=True)
         names = untitled(base, parts.where("kind IN ('given', 'family')"))
         if names is not None:
-            names = names.withColumn("canon", canonical(F.col("kind"), F.col("body")))
             names = staged(names.withColumns({"whole": F.when(F.col("kind") != "kept", "person"), "head": F.lit(""), "gender": F.lit(""), "part": F.lit(0)}).select(columns), keep=True)
             parts = parts.unionByName(names)
             late = staged(names.select("row").distinct(), keep=True)
