@@ -963,6 +963,84 @@ def test_pii_against_brute_force(spark, documents):
     assert not {(part, c) for part, c in made} & {(part, canon) for part, canon, _ in known}
 
 
+def test_pii_keeps_script_case_and_initials(spark):
+    """What is written, and the form of what stands in its place; other words stay."""
+    cases = [
+        ("Dr Γεωργίου came", r"Dr [\u0391-\u03a9][\u03b1-\u03c9]{7} came"), ("Mr SMITH and Mr Smith", r"Mr ([A-Z]{4,}) and Mr (?=(?i:\1)$)[A-Z][a-z]+"), ("Mrs J. K. Rowling", r"Mrs [A-IL-Z]\. [A-JL-Z]\. [A-Z][a-z]+"),
+        ("Mr Smith-Jones met Dr Jones", r"Mr [A-Z][a-z]+-([A-Z][a-z]+) met Dr \1"), ("Dr 王小明。", "Dr [\u4e00-\u9fa5]{3}。"), ("Dr שלום כהן", "Dr [\u05d0-\u05ea]+ [\u05d0-\u05ea]{3}"), ("Dr Ünal", "Dr [A-Z][a-z]+"),
+        ("Prof O'Brien-MacLeod", "Prof O'[A-Z][a-z]+-[A-Z][a-z]+"), ("0171 1234567 and 030/1234567", r"0(?!171)\d{3} \d{7} and 0\d\d/\d{7}"), ("the password is hunter2secret now", r"the password is [a-z]{6}\d[a-z]{6} now"),
+        ("the password is required here", "the password is required here"), ("on 2024-01-02, 01/02/2003, 0.1712345678", "on 2024-01-02, 01/02/2003, 0.1712345678"), ("Dr Δ. Ω. Γεωργίου", r"Dr [\u0391-\u03a9]\. [\u0391-\u03a9]\. [\u0391-\u03a9][\u03b1-\u03c9]{7}"),
+    ]
+    out = {r["doc_id"]: r["text"] for r in pii.replace_pii(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string"), "k").collect()}
+    for k, (text, form) in enumerate(cases):
+        assert re.fullmatch(form, out[k]), (text, out[k])
+        if text != form:
+            assert not set(re.findall(r"\w{4,}", text)) & set(re.findall(r"\w{4,}", out[k])) - {"came", "password", "Prof"}
+    letters = [(k, f"Dr {c}. {d}. Smith") for k, (c, d) in enumerate(zip("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩ", strict=True))]
+    got = [re.fullmatch(r"Dr (.)\. (.)\. \w+", r["text"]).groups() for r in pii.replace_pii(spark.createDataFrame(letters, "doc_id long, text string"), "k").collect()]
+    assert len({c for c, _ in got}) == len({d for _, d in got}) == 26
+
+
+def brute_untitled(rows):
+    """The names in each text by a plain scan: titled ones, then words by what was seen. Texts hold words, single spaces and
+    commas, titles Dr only, capitalised words of two letters or more, and no other entities."""
+    titled, pairs = collections.defaultdict(set), set()
+    cut = [[(w.strip(","), w.endswith(",")) for w in (t or "").split(" ")] for _, t in rows]
+    capital, owner = lambda w: w[:1].isupper(), []
+    for k, words in enumerate(cut):
+        own, at = {}, 0
+        while at < len(words):
+            if words[at][0] == "Dr" and not words[at][1] and at + 1 < len(words) and capital(words[at + 1][0]):
+                end = at + 1
+                while not words[end][1] and end + 1 < len(words) and capital(words[end + 1][0]):
+                    end += 1
+                name = [words[i][0].lower() for i in range(at + 1, end + 1)]
+                titled[k] |= set(name)
+                pairs |= set(itertools.pairwise(name))
+                own |= dict.fromkeys(range(at + 1, end + 1), True) | {at: None}
+                at = end
+            at += 1
+        owner.append(own)
+    for k, words in enumerate(cut):
+        free = lambda i, k=k, words=words: i not in owner[k] and capital(words[i][0])
+        hits = {(i, j) for i, j in itertools.pairwise(range(len(words))) if free(i) and free(j) and not words[i][1] and (words[i][0].lower(), words[j][0].lower()) in pairs}
+        here = titled[k] | {words[i][0].lower() for h in hits for i in h}
+        yield owner[k], {i for h in hits for i in h} | {i for i in range(len(words)) if free(i) and words[i][0].lower() in here}, words
+
+
+@pytest.mark.parametrize("limit", [None, -1])
+def test_pii_names_without_a_title(spark, monkeypatch, limit):
+    """Known persons are replaced where no title stands, by the same surrogates; other words stay. Both with broadcasts and without."""
+    if limit is not None:
+        monkeypatch.setattr(pii, "BROADCAST_ROWS", limit)
+    rng = random.Random(6)
+    given, family, other = ["Anna", "Maria", "Ivo", "Tom"], ["Smith", "Keller", "Novak", "Brown", "Okafor"], ["the", "went", "Yesterday", "Berlin", "to", "and,", "London,"]
+    rows = [(0, None), (1, ""), (2, "Dr")]
+    for k in range(3, 120):
+        words = []
+        for _ in range(rng.randrange(1, 30)):
+            name = rng.sample(given, rng.randrange(3)) + [rng.choice(family)]
+            words += rng.choice([[rng.choice(other)]] * 4 + [["said", *name]] + [["Dr", *name, "said"]] * (k % 3 == 0))
+        rows.append((None if k % 10 == 0 else k, " ".join(words)))
+    rows += [(7, "Anna Smith " * 3000), (7, rows[9][1]), (9, rows[9][1])]
+    # Given and family words are different here, so that a word has one surrogate.
+    alone = [f"Dr {g} Smith" for g in given] + [f"Dr {f}" for f in family]
+    every = rows + [(10**6 + k, t) for k, t in enumerate(alone)]
+    out = pii.replace_pii(spark.createDataFrame(every, "doc_id long, text string").repartition(6), "names").collect()
+    new = {}
+    for r in out:
+        if (r["doc_id"] or 0) >= 10**6:
+            new[alone[r["doc_id"] - 10**6].split(" ")[1]] = r["text"].split(" ")[1]
+    assert len(set(new.values())) == 9 and not set(new.values()) & set(new)
+    want = collections.Counter()
+    for (i, t), (own, hits, words) in zip(rows, list(brute_untitled(every))[: len(rows)], strict=True):
+        text = " ".join((new.get(w, w) if own.get(k) or k in hits else w) + "," * comma for k, (w, comma) in enumerate(words))
+        runs = sum(k in hits and not (k - 1 in hits and not words[k - 1][1]) for k in hits)
+        n = sum(v is None for v in own.values()) + runs
+        want[i, None if t is None else text, n, ("person",) if n else ()] += 1
+    assert collections.Counter((r["doc_id"], r["text"], r["n_entities"], tuple(r["kinds"])) for r in out if (r["doc_id"] or 0) < 10**6) == want
+
+
 def test_pii_of_table(spark, documents):
     out = queries.op10_pii_surrogates(spark, SF).toPandas().merge(documents, on="doc_id", suffixes=("", "_old"))
     planted = re.compile(r"[\w.]+@mail\d\.example\.com|AKIA[0-9A-Z]{16}|(?<=password=)\w+|(?<=token = \")\w+|\+1 \(\d{3}\) 555-\d{4}|\b\d{16}\b")
