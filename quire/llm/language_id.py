@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.common import scratch, staged
 from quire.llm.words import REMEMBERED
 
 #: Runs of letters; numbers that \w takes in (superscripts, fractions, numerals) are left out.
@@ -22,6 +23,8 @@ LETTERS = re.compile(r"[^\W\d_²³¹¼-¾\u2150-\u2182\u2185-\u218b\u2460-\u249b
 #: The sample to fit on: per language so many distinct texts, those with the smallest hashes; of longer ones a passage of so
 #: many code points.
 SAMPLE_DOCS, SAMPLE_CHARS = 150, 20_000
+#: Languages that are learned at most, and the groups in which the hashes of one are ranked first.
+MOST_LABELS, SPREAD = 256, 64
 #: Buckets of hashed n-grams, words in the lexicon, words in a sequence.
 BUCKETS, LEXICON, SEQUENCE = 1 << 16, 20_000, 64
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint64)
@@ -165,25 +168,31 @@ def fit(texts: list[tuple[str, str]], passes: int = 3, seed: int = 7) -> Crf:
     return crf
 
 
-def sample(labelled: DataFrame, per_language: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
+def sample(labelled: DataFrame, per_language: int = SAMPLE_DOCS, most_labels: int = MOST_LABELS) -> list[tuple[str, str]]:
     """(language, text) of at most per_language distinct texts of every language, from labelled (lang, text). Of a text beyond
-    SAMPLE_CHARS it is a passage that starts at a place its hash gives, less words that are cut. Only distinct hashes are
-    ranked, each task's candidates first; passages of the chosen alone reach the driver."""
+    SAMPLE_CHARS it is a passage that starts at a place its hash gives, less words that are cut. Of more than most_labels
+    languages, those with the most distinct texts are learned (of equals, those that sort first): the field and what is
+    broadcast stay bounded if the column holds anything. Only distinct hashes are ranked, in SPREAD groups a language and then
+    the best of these; passages of the chosen alone reach the driver."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
-    ranked = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    chosen = ranked.where(F.col("k") <= per_language).select("lang", "h")
-    begin = F.pmod("h", F.greatest(F.char_length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
-    part = F.regexp_replace(F.substring("text", begin, F.lit(SAMPLE_CHARS)), r"^\S{0,100}\s|\s\S{0,100}$", "")
-    passage = F.when(F.char_length("text") <= SAMPLE_CHARS, F.col("text")).otherwise(part)
-    found = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min(passage).alias("text"))
-    return sorted((r["lang"], r["text"]) for r in found.select("lang", "text").collect())
+    with scratch(labelled.sparkSession):
+        hashes = staged(rows.select("lang", "h").distinct())
+        labels = hashes.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_labels).select("lang")
+        best = hashes.join(F.broadcast(labels), "lang")
+        for group in (["lang", F.pmod("h", F.lit(SPREAD))], ["lang"]):
+            best = best.withColumn("k", F.row_number().over(Window.partitionBy(*group).orderBy("h"))).where(F.col("k") <= per_language).drop("k")
+        begin = F.pmod("h", F.greatest(F.char_length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+        part = F.regexp_replace(F.substring("text", begin, F.lit(SAMPLE_CHARS)), r"^\S{0,100}\s|\s\S{0,100}$", "")
+        passage = F.when(F.char_length("text") <= SAMPLE_CHARS, F.col("text")).otherwise(part)
+        found = rows.join(F.broadcast(best), ["lang", "h"]).groupBy("lang", "h").agg(F.min(passage).alias("text"))
+        return sorted((r["lang"], r["text"]) for r in found.select("lang", "text").collect())
 
 
 def language_id(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Predict every row's language: id_col, held_out, lang_pred, score (mean probability of lang_pred over the words), n_words,
     n_switches (places where the most likely language changes inside a sequence).
 
-    The field is fitted on a bounded sample (SAMPLE_DOCS texts of every language) of rows where held_out is not true and lang_col is not
+    The field is fitted on a bounded sample (SAMPLE_DOCS texts of every language, of MOST_LABELS languages at most) of rows where held_out is not true and lang_col is not
     null; predictions see the text alone. Whole texts are labelled, in sequences of SEQUENCE words.
 
     A null text, or one without a letter, gives `und` with score 0; so does every text if nothing could be learned. Equal
