@@ -559,6 +559,17 @@ def test_language_sample_is_whole(spark):
     assert len(long) == 3 and all(19_900 < len(t) <= 20_000 and len(set(t.split())) == 1 for t in long)
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """The smallest hashes of each label, whatever the groups they are ranked in; labels with the most distinct texts."""
+    rows = [(f"l{k}", f"text {k} {i} of it") for k in range(30) for i in range(40 + k)] * 2 + [("l3", None), (None, "no label")]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(7)
+    h = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    want = sorted((f"l{k}", t) for k in range(25, 30) for t in sorted({t for x, t in rows if x == f"l{k}"}, key=h.get)[:20])
+    assert language_id.sample(df, 20, 5) == want
+    monkeypatch.setattr(language_id, "SPREAD", 1)
+    assert language_id.sample(df, 20, 5) == want
+
+
 def test_language_odd_rows(odd, none):
     out = language_id.language_id(odd, F.lit(False)).collect()
     assert len(out) == len(odd_rows())
