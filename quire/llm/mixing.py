@@ -1,10 +1,12 @@
 """Mixing sources to target weights: iterative proportional fitting (raking) of token weights to marginals of several columns,
 then sampling of documents by the calibrated probabilities. Topics, where a table has none, are those of a multinomial mixture
-over hashed words, learned on a bounded sample and assigned to every row."""
+over hashed words, learned from all rows and assigned to every row."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -13,16 +15,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import broadcast_if_small, scratch, staged
-from quire.llm.words import WORDS, WordIds
 
 #: Cells (combinations of the columns' values that occur) that are raked on the driver; more are raked by Spark, the same way.
 DRIVER_CELLS = 200_000
 #: Most rounds of raking; it ends before when no marginal is off by more than CLOSE, or has come no closer in PATIENCE rounds, as
 #: happens when the cells that exist can't meet all marginals.
 ROUNDS, PATIENCE, CLOSE = 1_000, 20, 1e-9
-#: Topics, buckets of hashed words, and the sample they are learned on: so many distinct texts, of each a passage of so many
-#: code points.
-TOPICS, TOPIC_BUCKETS, TOPIC_SAMPLE, PASSAGE = 8, 1 << 13, 2_000, 5_000
+#: Topics, and buckets of hashed words.
+TOPICS, TOPIC_BUCKETS = 8, 1 << 13
+#: Bits that a bucket's count has in a bag, and the most they hold; entries of bags that a worker takes at a time.
+COUNT_BITS = 19
+MOST_COUNTED, OPENED = (1 << COUNT_BITS) - 1, 1 << 15
+#: Shares of topics are rounded to 1 / WHOLE, logs to multiples of GRAIN; topics have converged when a round moves so few words.
+WHOLE, GRAIN, MOVED = 1 << 16, 2.0**-20, 1e-4
+#: Texts that one pass proposes as starts, and how far apart starts are at least (1 less the cosine).
+POOL, APART = 64, 1e-9
 #: In a target given by shares, the share of all values that it does not name, which they have in proportion to their tokens.
 OTHERS = "*"
 
@@ -30,65 +37,181 @@ OTHERS = "*"
 # ---- topics ---------------------------------------------------------------------------------------------------------------
 
 
-def fit_topics(counts: np.ndarray, topics: int = TOPICS, rounds: int = 30) -> np.ndarray:
+def bags_of(batch: list[list[bytes]]) -> list[bytes]:
+    """Of each list of words its buckets, ascending, with how often each occurs: 32 bits of bucket and count (one that exceeds
+    its bits is written in parts)."""
+    sizes = np.fromiter(map(len, batch), np.int64, len(batch))
+    at = np.fromiter(map(zlib.crc32, chain.from_iterable(batch)), np.uint32, sizes.sum()) % np.uint32(TOPIC_BUCKETS)
+    found, n = np.unique(np.repeat(np.arange(len(batch)) * TOPIC_BUCKETS, sizes) + at, return_counts=True)
+    if n.max(initial=0) > MOST_COUNTED:
+        parts = -(-n // MOST_COUNTED)
+        last = np.cumsum(parts) - 1
+        rest = n - (parts - 1) * MOST_COUNTED
+        found, n = np.repeat(found, parts), np.full(last[-1] + 1, MOST_COUNTED)
+        n[last] = rest
+    entries = ((found % TOPIC_BUCKETS).astype("<u4") << np.uint32(COUNT_BITS)) | n.astype("<u4")
+    ends = np.searchsorted(found, np.arange(1, len(batch) + 1) * TOPIC_BUCKETS).tolist()
+    data = entries.tobytes()
+    return [data[4 * a : 4 * z] for a, z in zip([0, *ends], ends)]
+
+
+def opened(bags: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Buckets and counts of many bags in a row, and where each bag begins and the last one ends; some OPENED entries at a time."""
+    first, size = 0, 0
+    for k, bag in enumerate(bags, 1):
+        size += len(bag) // 4
+        if size > OPENED or k == len(bags):
+            part = bags[first:k]
+            entries = np.frombuffer(b"".join(part), "<u4")
+            yield entries >> np.uint32(COUNT_BITS), (entries & np.uint32(MOST_COUNTED)).astype(np.float64), np.cumsum([0, *(len(x) // 4 for x in part)])
+            first, size = k, 0
+
+
+def summed(table: np.ndarray, bucket: np.ndarray, weight: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each bag, the sum of its buckets' rows of table by weight."""
+    rows, at = table.take(bucket, axis=0), at.tolist()
+    return np.array([weight[a:z] @ rows[a:z] for a, z in zip(at, at[1:])]).reshape(len(at) - 1, table.shape[1])
+
+
+def likeness(starts: np.ndarray, bucket: np.ndarray, count: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Cosines (bags x starts) of the roots of counts."""
+    return summed(starts, bucket, np.sqrt(count), at) / np.sqrt(np.add.reduceat(count, at[:-1]))[:, None]
+
+
+def shares(logs: np.ndarray, bucket: np.ndarray, count: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What each topic has of each bag. logs are multiples of GRAIN, so that their sums are exact in any order."""
+    score = summed(logs[:-1], bucket, count, at) + logs[-1]
+    share = np.exp(score - score.max(axis=1, keepdims=True))
+    return share / share.sum(axis=1, keepdims=True)
+
+
+def keys_of(clock: np.ndarray, starts: np.ndarray, bucket: np.ndarray, count: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each bag's clock over the square of 1 less the cosine to the nearest start; infinite for one that is like a start."""
+    far = 1 - likeness(starts, bucket, count, at).max(axis=1) if starts.shape[1] else np.ones(len(clock))
+    return np.divide(clock, far**2, out=np.full(len(clock), np.inf), where=far > APART)
+
+
+def least_keys(bags: DataFrame, starts: np.ndarray) -> list[tuple[float, bytes]]:
+    """(clock, bag) of the POOL least keys of all bags, ascending. Clocks are exponential draws by the bag's hash, so that copies have
+    one and partitions don't matter."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple[float, float, bytes]] = []
+        for b in batches:
+            column, hashes, first = b.column("bag").to_pylist(), b.column("h").to_numpy().view(np.uint64), 0
+            for part in opened(column):
+                last = first + len(part[2]) - 1
+                clock = -np.log(((hashes[first:last] >> np.uint64(11)) + 0.5) / (1 << 53))
+                key = keys_of(clock, starts, *part)
+                some = np.flatnonzero(key < (best[-1][0] if len(best) == POOL else np.inf))
+                best = sorted({*best, *((float(key[k]), float(clock[k]), column[first + k]) for k in some.tolist())})[:POOL]
+                first = last
+        for key, clock, bag in best:
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([clock]), pa.array([bag])], names=["key", "clock", "bag"])
+
+    found = bags.select("bag", F.xxhash64("bag").alias("h")).mapInArrow(keys, "key double, clock double, bag binary")
+    return [(r["clock"], bytes(r["bag"])) for r in found.distinct().orderBy("key", "bag").limit(POOL).collect()]
+
+
+def starts_of(bags: DataFrame, topics: int) -> np.ndarray:
+    """Starts (buckets x topics, or fewer if there are fewer different texts): in turn, of all texts, that with the least key. A
+    start only raises keys; so while the least key of a pool is no more than its greatest was when it was taken, no text
+    outside is before it, and a new pass over all bags is only made beyond that."""
+    starts, pool, bound = np.zeros((TOPIC_BUCKETS, 0)), [], 0.0
+    while starts.shape[1] < topics:
+        keys = [float(keys_of(np.array([clock]), starts, *next(opened([bag])))[0]) for clock, bag in pool]
+        if not pool or min(keys) > bound:
+            pool = least_keys(bags, starts)
+            keys = [float(keys_of(np.array([clock]), starts, *next(opened([bag])))[0]) for clock, bag in pool]
+            bound = max(keys) if len(pool) == POOL else np.inf
+        if not pool or min(keys) == np.inf:
+            break
+        bucket, count, _ = next(opened([pool[int(np.argmin(keys))][1]]))
+        starts = np.column_stack([starts, np.sqrt(np.bincount(bucket, count, TOPIC_BUCKETS) / count.sum())])
+    return starts
+
+
+def share_sums(bags: DataFrame, table: np.ndarray, of: Callable) -> np.ndarray:
+    """Words by bucket and topic, and in the last row texts by topic, where of(table, ...) gives each bag's shares. Shares are rounded
+    to 1 / WHOLE and summed as whole numbers: exact, whatever the partitions. Only sums reach the driver."""
+    topics = table.shape[1]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, texts = np.zeros(topics * TOPIC_BUCKETS), np.zeros(topics)
+        for b in batches:
+            for bucket, count, at in opened(b.column("bag").to_pylist()):
+                share = np.rint(of(table, bucket, count, at) * WHOLE)
+                texts += share.sum(axis=0)
+                each, sizes, main = np.arange(len(share)), np.diff(at), share.argmax(axis=1)
+                sums += np.bincount(np.repeat(main * TOPIC_BUCKETS, sizes) + bucket, count * np.repeat(share[each, main], sizes), len(sums))
+                share[each, main] = 0
+                bag, topic = np.nonzero(share)  # few bags have more than one topic
+                sizes = sizes[bag]
+                place = np.repeat(at[bag] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                sums += np.bincount(np.repeat(topic * TOPIC_BUCKETS, sizes) + bucket[place], count[place] * np.repeat(share[bag, topic], sizes), len(sums))
+        found = np.concatenate([sums.reshape(topics, -1), texts[:, None]], axis=1).astype(np.int64)
+        rows = np.flatnonzero(found.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(rows), *(pa.array(x[rows]) for x in found)], names=["bucket", *names])
+
+    names = [f"t{k}" for k in range(topics)]
+    got = bags.select("bag").mapInArrow(add, ", ".join(f"{c} long" for c in ["bucket", *names])).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    out = np.zeros((TOPIC_BUCKETS + 1, topics), np.int64)
+    out[got.column("bucket").to_numpy()] = np.stack([got.column(c).to_numpy() for c in names], axis=1)
+    return out
+
+
+def fit_topics(bags: DataFrame, topics: int = TOPICS, rounds: int = 30) -> np.ndarray | None:
     """Log probabilities (buckets x topics, the last row: of the topics themselves) of a multinomial mixture, by expectation
-    and maximisation, from counts (texts x buckets). The larger topic comes first."""
-    rng = np.random.default_rng(7)
-    unit = np.sqrt(counts)
-    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)
-    first, far = [0], 1 - unit @ unit[0]
-    for _ in range(min(topics, len(counts)) - 1):  # starts that are far apart
-        odds = np.maximum(far, 0) ** 2
-        first.append(int(rng.choice(len(counts), p=odds / odds.sum())) if odds.sum() > 0 else len(first) % len(counts))
-        far = np.minimum(far, 1 - unit @ unit[first[-1]])
-    share = np.eye(len(first))[(unit @ unit[first].T).argmax(axis=1)]
+    and maximisation over all bags, each round one pass; it ends before when a round moves no more than MOVED of all words
+    to another topic. The larger topic comes first. None without bags."""
+    starts = starts_of(bags, topics)
+    if not starts.shape[1]:
+        return None
+    sums, before = share_sums(bags, starts, lambda *x: np.eye(starts.shape[1])[likeness(*x).argmax(axis=1)]), None
     for _ in range(rounds):
-        words = share.T @ counts + 0.05
-        logs = np.concatenate([np.log(words / words.sum(axis=1, keepdims=True)).T, np.log((share.sum(axis=0) + 1) / (len(share) + len(first)))[None, :]])
-        score = counts @ logs[:-1] + logs[-1]
-        share = np.exp(score - score.max(axis=1, keepdims=True))
-        share /= share.sum(axis=1, keepdims=True)
-    return logs[:, np.argsort(-share.sum(axis=0), kind="stable")].astype(np.float32)
-
-
-def topic_sample(docs: DataFrame) -> np.ndarray:
-    """Counts of hashed words in passages of the TOPIC_SAMPLE distinct texts with the smallest hashes, from docs (text)."""
-    rows = docs.where("text is not null").select("text", F.xxhash64("text").alias("h"))
-    chosen = rows.select("h").distinct().orderBy("h").limit(TOPIC_SAMPLE)
-    begin = F.pmod("h", F.greatest(F.char_length("text") - PASSAGE, F.lit(0)) + 1).cast("int") + 1
-    got = rows.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min(F.substring("text", begin, F.lit(PASSAGE))).alias("text"))
-    texts = [t for _, t in sorted((r["h"], r["text"]) for r in got.collect())]
-    ids, out = WordIds(), np.zeros((len(texts), TOPIC_BUCKETS), np.float32)
-    for k, text in enumerate(texts):
-        if words := WORDS(text):
-            out[k] = np.bincount((ids.hashes_of(ids.of(words)) & np.uint64(TOPIC_BUCKETS - 1)).astype(np.int64), minlength=TOPIC_BUCKETS)
-    return out[out.sum(axis=1) > 0]
+        words, texts = sums[:-1] / WHOLE + 0.05, sums[-1] / WHOLE
+        logs = np.concatenate([np.log(words / words.sum(axis=0)), np.log((texts + 1) / (texts.sum() + len(texts)))[None, :]])
+        logs = np.rint(logs / GRAIN) * GRAIN
+        if before is not None and np.abs(sums - before)[:-1].sum() <= 2 * MOVED * sums[:-1].sum():
+            break
+        before, sums = sums, share_sums(bags, logs, shares)
+    return logs[:, np.argsort(-sums[-1], kind="stable")]
 
 
 def measured(docs: DataFrame, learn: bool) -> DataFrame:
-    """docs (text, ...) with n_tokens (words) and topic in place of text; topics are learned, or null. A text without words has
-    topic "none"."""
-    counts = topic_sample(docs) if learn else np.zeros((0, TOPIC_BUCKETS))
-    logs = fit_topics(counts) if len(counts) else None
+    """docs (text, ...) with n_tokens (words) and topic in place of text; topics are learned from all texts, or null. A text without
+    words has topic "none". Texts are read once, and their bags staged."""
     kept = [c for c in docs.columns if c != "text"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds()
         for b in batches:
-            sizes, topics = [], []
-            for x in b.column("text"):
-                words = WORDS(x.as_py() or "")
+            sizes, bags, some, held = [], [], [], 0
+            for text in b.column("text").cast(pa.binary()).to_pylist():
+                words = (text or b"").split()  # ASCII white space parts bytes as it parts words
                 sizes.append(len(words))
-                if logs is None or not words:
-                    topics.append("none" if learn else None)
-                    continue
-                ids.fresh()
-                at = (ids.hashes_of(ids.of(words)) & np.uint64(TOPIC_BUCKETS - 1)).astype(np.int64)
-                topics.append(f"t{int((logs[at].sum(axis=0, dtype=np.float64) + logs[-1]).argmax())}")
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(sizes, pa.int64()), pa.array(topics, pa.string())], names=[*kept, "n_tokens", "topic"])
+                if learn:
+                    some.append(words)
+                    held += len(words)
+                    if held > OPENED:
+                        bags += bags_of(some)
+                        some, held = [], 0
+            bags += bags_of(some) if some else []
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(sizes, pa.int64()), pa.array(bags, pa.binary()) if learn else pa.nulls(len(sizes), pa.binary())], names=[*kept, "n_tokens", "bag"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
-    return docs.mapInArrow(measure, f"{schema}, n_tokens long, topic string")
+    rows = staged(docs.mapInArrow(measure, f"{schema}, n_tokens long, bag binary"))
+    logs = fit_topics(rows.where("n_tokens > 0")) if learn else None
+
+    @F.arrow_udf("string")
+    def topic_of(bag: pa.Array) -> pa.Array:
+        out = []
+        for bucket, count, at in opened(bag.to_pylist()):
+            best = (summed(logs[:-1], bucket, count, at) + logs[-1]).argmax(axis=1).tolist()
+            out += [f"t{k}" if n else "none" for k, n in zip(best, np.diff(at).tolist(), strict=True)]
+        return pa.array(out, pa.string())
+
+    none = F.lit("none" if learn else None).cast("string")
+    return rows.select(*kept, "n_tokens", (none if logs is None else topic_of("bag")).alias("topic"))
 
 
 # ---- targets and raking ---------------------------------------------------------------------------------------------------
@@ -191,15 +314,15 @@ def mix_to_targets(docs: DataFrame, targets: dict[str, Target], fraction: float,
 
     A null value is the value ""; a value without a target gets weight 0; a target without documents is left out. Null or
     blank text: 0 tokens. Repeated rows are kept or not together; null ids share one draw. An empty table gives no rows.
-    If a raked cell needs more than all its documents it gives all. Texts are read once, and once more for the sample of the
-    topics. Cells go to the driver up to DRIVER_CELLS and are raked by Spark beyond; they are broadcast to the rows up to the
+    If a raked cell needs more than all its documents it gives all. Texts are read once; topics are learned from their bags of
+    hashed words, all of them, which are staged. Cells go to the driver up to DRIVER_CELLS and are raked by Spark beyond; they are broadcast to the rows up to the
     same number and joined by shuffle beyond."""
     dims, spark = list(targets), docs.sparkSession
     learn = "topic" in dims and "topic" not in docs.columns
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"dim_{k}") for k, c in enumerate(dims) if c in docs.columns]
     carried = F.struct(F.lit(0).alias("none"), *[F.col(c) for c in carry]).alias("carried")
     rows = measured(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), carried, *named), learn)
-    rows = staged(rows.select("id", "carried", "n_tokens", *[F.col(f"dim_{k}" if c in docs.columns else "topic").alias(f"dim_{k}") for k, c in enumerate(dims)]))
+    rows = rows.select("id", "carried", "n_tokens", *[F.col(f"dim_{k}" if c in docs.columns else "topic").alias(f"dim_{k}") for k, c in enumerate(dims)])
     keys = [f"dim_{k}" for k in range(len(dims))]
     with scratch(spark):
         cells = staged(rows.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")))

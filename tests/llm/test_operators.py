@@ -266,6 +266,43 @@ def test_topics(spark):
         assert len({i % 3 for i in range(600) if got[0][i] == t}) == 1
 
 
+def test_topics_are_learned_from_all_texts(spark):
+    """Two vocabularies that only texts with great hashes have, each a hundredth of the texts, get topics of their own; copies don't
+    matter for the starts, and nothing depends on partitions."""
+    import xxhash
+
+    rng = random.Random(4)
+    texts = [" ".join(f"a{rng.randrange(12)}" for _ in range(90)) for _ in range(3000)]
+    for v in "bc":
+        some = (" ".join(f"{v}{rng.randrange(12)}" for _ in range(90)) for _ in range(100_000))
+        texts += [x for x, _ in zip((x for x in some if 1 << 62 < xxhash.xxh64_intdigest(x.encode(), 42) < 1 << 63), range(30))]
+    df = spark.createDataFrame(list(enumerate(texts + texts[:50])), "doc_id long, text string")
+    got = [{r["doc_id"]: r["topic"] for r in mixing.measured(x, True).collect()} for x in (df.repartition(5), df.coalesce(1))]
+    assert got[0] == got[1] and len(got[0]) == 3110
+    topics = [{got[0][i] for i, x in enumerate(texts) if x[0] == v} for v in "abc"]
+    assert not topics[0] & topics[1] and not topics[0] & topics[2] and not topics[1] & topics[2]
+
+
+def test_topic_bags():
+    """Bags have each word's count, even one beyond its bits; starts from one pool are those that a pass for each would give."""
+    batch = [[b"w"] * 1_300_000 + [b"v"], [], [b"x", b"y", b"x"]]
+    (bucket, count, at), = mixing.opened(mixing.bags_of(batch))
+    for k, words in enumerate(batch):
+        want = collections.Counter(zlib.crc32(w) % mixing.TOPIC_BUCKETS for w in words)
+        have = collections.Counter()
+        for b, n in zip(bucket[at[k] : at[k + 1]].tolist(), count[at[k] : at[k + 1]].tolist(), strict=True):
+            have[b] += int(n)
+        assert have == want
+
+
+def test_topic_starts_of_a_pool(spark, documents, monkeypatch):
+    bags = [x for x in mixing.bags_of([(t or "").encode().split() for t in documents.text[:400]]) if x]
+    df = spark.createDataFrame([(bytearray(x),) for x in bags], "bag binary")
+    one = mixing.starts_of(df, 6)
+    monkeypatch.setattr(mixing, "POOL", 1)
+    assert one.shape == (mixing.TOPIC_BUCKETS, 6) and (mixing.starts_of(df, 6) == one).all()
+
+
 def test_mix_query(spark, documents):
     """The registered query against raking, level and draws by hand, from its own topics."""
     import xxhash
