@@ -186,8 +186,8 @@ def measured(docs: DataFrame, learn: bool) -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, bags, some, held = [], [], [], 0
-            for text in b.column("text").cast(pa.binary()).to_pylist():
-                words = (text or b"").split()  # ASCII white space parts bytes as it parts words
+            for x in b.column("text").cast(pa.binary()):
+                words = (x.as_py() or b"").split()  # ASCII white space parts bytes as it parts words
                 sizes.append(len(words))
                 if learn:
                     some.append(words)

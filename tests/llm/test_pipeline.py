@@ -66,6 +66,17 @@ def test_odd_tables(spark, rows):
     assert corpus_pipeline.quality(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF).count() == 0
 
 
+def test_mixing_learns_from_all_rows(spark, monkeypatch):
+    """The topics of the mixing stage are fitted to every row with words, copies and repeated ids included."""
+    from quire.llm import mixing
+
+    seen, fit = [], mixing.fit_topics
+    monkeypatch.setattr(mixing, "fit_topics", lambda bags, *a: seen.append(bags.count() if hasattr(bags, "dtypes") else len(bags)) or fit(bags, *a))
+    rows = [(i % 2000, f"w{i} v{i % 7} copy" if i % 50 else "one text", "en", "s", 9) for i in range(2300)] + ODD
+    corpus_pipeline.mixed(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF)
+    assert seen == [2304]
+
+
 def test_rows_decide_for_themselves(spark):
     """Ids that are repeated over unrelated texts, or missing, lose no text and save none."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
