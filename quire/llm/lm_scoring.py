@@ -18,6 +18,7 @@ import math
 import pickle
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -299,7 +300,7 @@ class PpmScorer:
     MOST = 1 << 21
 
     def __init__(self, ppm: Ppm):
-        self.ppm = ppm
+        self.ppm, self.table = ppm, ppm.table.ravel()
         used = np.unique(np.concatenate([k >> (8 * i) & 255 for n, k in enumerate(ppm.keys) for i in range(n)] or [np.zeros(0, np.int64)])).astype(np.int64)
         self.a = len(used) + 1  # the last rank: any other byte
         self.rows = None
@@ -317,11 +318,14 @@ class PpmScorer:
         logs, places, grams = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         for k in range(0, len(data), 1 << 20):
             b = np.frombuffer((data[k - ORDER : k] if k else START) + data[k : k + (1 << 20)], np.uint8)
-            r = (self.rank[b] if self.rows is not None else b).astype(np.int64)
+            r = self.rank.take(b) if self.rows is not None else b.astype(np.int64)
             base = self.a if self.rows is not None else 256
-            at = sum(r[ORDER - 1 - j : len(r) - 1 - j] * base**j for j in range(ORDER))
-            row = self.rows[at] if self.rows is not None else self.ppm.rows_of(at)
-            log = self.ppm.table[row, b[ORDER:]]
+            at = r[:-ORDER].copy()
+            for j in range(1, ORDER):
+                at *= base
+                at += r[j : j - ORDER]
+            row = self.rows.take(at) if self.rows is not None else self.ppm.rows_of(at)
+            log = self.table.take(row.astype(np.int64) * 256 + b[ORDER:])
             if self.ppm.cut:
                 rare = np.flatnonzero(row < self.ppm.first[ORDER])
                 log[rare] = 0
@@ -562,6 +566,14 @@ def along_edges(texts: DataFrame, answers: DataFrame) -> DataFrame:
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(walk, "row long, score double, rare array<struct<gram:long,times:long>>")
 
 
+def word_lists(rests: list[dict[bytes, int]]) -> pa.Array:
+    """Each row's words and how often it has them, as lists of (word, tf)."""
+    ends = np.cumsum([0, *map(len, rests)]).astype(np.int32)
+    words = pa.array(chain.from_iterable(rests), pa.binary()).cast(pa.string())
+    tf = pa.array(chain.from_iterable(r.values() for r in rests), pa.int64())
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([words, tf], names=["word", "tf"]))
+
+
 def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every row; learn from the rows where held_out (an expression over the columns of docs) is not true.
 
@@ -621,10 +633,10 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
                         logs = [log for log in logs if log is not None]
                     data += END
                     first, size = block.add(cutter.of(data), scorer.score(data), not held)
-                    rows.append((n, len(words) + 1, len(logs), math.fsum(logs), [{"word": w.decode(), "tf": t} for w, t in rest.items()], name, first, size, None, None))
+                    rows.append((n, len(words) + 1, len(logs), math.fsum(logs), rest, name, first, size, None, None))
                     n += 1
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), *(pa.array(c, t) for c, t in zip(cols, kinds[2:], strict=True))], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), *(word_lists(c) if pa.types.is_list(t or id_kind) else pa.array(c, t) for c, t in zip(cols, kinds[2:], strict=True))], names=names)
                 if block.size > BLOCK:
                     yield from close()
                     block, name = Block(), n

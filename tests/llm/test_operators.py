@@ -748,6 +748,15 @@ def test_lm_edges_do_not_depend_on_stretches(monkeypatch, stretch):
     assert [[x.tolist() for x in lm_scoring.Edges().of(t)] for t in texts] == want
 
 
+def test_lm_word_lists():
+    """Lists built from flat arrays are those of dictionaries; rows without words and words outside ASCII included."""
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())]))
+    for rests in ([], [{}, {}], [{"wört".encode(): 2, b"a": 1}, {}, {b"a": 3}]):
+        assert lm_scoring.word_lists(rests).equals(pa.array([[{"word": w.decode(), "tf": n} for w, n in r.items()] for r in rests], kind))
+
+
 def test_lm_pair_blobs():
     rng = np.random.default_rng(2)
     for n in (1, 7, 500):
