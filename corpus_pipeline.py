@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import scratch, staged, table
+from quire.llm.common import scratch, short_batches, staged, table
 from quire.llm.line_dedup import line_dedup
 from quire.llm.mixing import mix_to_targets
 from quire.llm.near_duplicates import near_duplicates
@@ -21,6 +21,7 @@ MIXED = 0.9
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; every row by its own verdict, whatever its doc_id."""
+    short_batches(spark)
     return quality_rules(docs, trusted_ids(spark, sf_dir), carry=tuple(COLUMNS[1:])).where("kept").select(*COLUMNS)
 
 
@@ -34,17 +35,20 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates, one with the smallest doc_id. Rows that share a doc_id, or have none, are
     documents of their own."""
+    short_batches(spark)
     return near_duplicates(docs, threshold=0.8, ngram=5, carry=tuple(COLUMNS[1:])).where("stays").select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled by probabilities that are calibrated to the target shares of sources, languages and topics."""
-    out = mix_to_targets(docs.withColumn("row", F.struct(*COLUMNS)), MIX, fraction=MIXED, carry=("row",))
-    return out.where("kept").select("row.*")
+    short_batches(spark)
+    out = mix_to_targets(docs.withColumn("row", F.struct(*[c for c in COLUMNS if c != "text"])), MIX, fraction=MIXED, carry=("row", "text"))
+    return out.where("kept").select(*["text" if c == "text" else f"row.{c}" for c in COLUMNS])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes, in sequences of at most 4096 tokens."""
+    short_batches(spark)
     return best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"), 4096, end_id=1)
 
 

@@ -178,10 +178,10 @@ def fit_topics(bags: DataFrame, topics: int = TOPICS, rounds: int = 30) -> np.nd
     return logs[:, np.argsort(-sums[-1], kind="stable")]
 
 
-def measured(docs: DataFrame, learn: bool) -> DataFrame:
-    """docs (text, ...) with n_tokens (words) and topic in place of text; topics are learned from all texts, or null. A text without
-    words has topic "none". Texts are read once, and their bags staged."""
-    kept = [c for c in docs.columns if c != "text"]
+def measured(docs: DataFrame, learn: bool, with_text: bool = False) -> DataFrame:
+    """docs (text, ...) with n_tokens (words) and topic, in place of text unless that is asked for; topics are learned from all
+    texts, or null. A text without words has topic "none". Texts are read once, and their bags staged."""
+    kept = [c for c in docs.columns if c != "text" or with_text]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,7 +198,7 @@ def measured(docs: DataFrame, learn: bool) -> DataFrame:
             bags += bags_of(some) if some else []
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(sizes, pa.int64()), pa.array(bags, pa.binary()) if learn else pa.nulls(len(sizes), pa.binary())], names=[*kept, "n_tokens", "bag"])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in kept)
     rows = staged(docs.mapInArrow(measure, f"{schema}, n_tokens long, bag binary"))
     logs = fit_topics(rows.where("n_tokens > 0")) if learn else None
 
@@ -320,9 +320,9 @@ def mix_to_targets(docs: DataFrame, targets: dict[str, Target], fraction: float,
     dims, spark = list(targets), docs.sparkSession
     learn = "topic" in dims and "topic" not in docs.columns
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"dim_{k}") for k, c in enumerate(dims) if c in docs.columns]
-    carried = F.struct(F.lit(0).alias("none"), *[F.col(c) for c in carry]).alias("carried")
-    rows = measured(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), carried, *named), learn)
-    rows = rows.select("id", "carried", "n_tokens", *[F.col(f"dim_{k}" if c in docs.columns else "topic").alias(f"dim_{k}") for k, c in enumerate(dims)])
+    carried = F.struct(F.lit(0).alias("none"), *[F.col(c) for c in carry if c != text_col]).alias("carried")  # a text goes to the workers once
+    rows = measured(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), carried, *named), learn, text_col in carry)
+    rows = rows.select("id", "carried", *(["text"] if text_col in carry else []), "n_tokens", *[F.col(f"dim_{k}" if c in docs.columns else "topic").alias(f"dim_{k}") for k, c in enumerate(dims)])
     keys = [f"dim_{k}" for k in range(len(dims))]
     with scratch(spark):
         cells = staged(rows.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")))
@@ -352,4 +352,4 @@ def mix_to_targets(docs: DataFrame, targets: dict[str, Target], fraction: float,
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id")), 11) / F.lit(float(1 << 53))
     return out.select(
         F.col("id").alias(id_col), *[F.col(k).alias(c) for k, c in zip(keys, dims, strict=True)], "n_tokens", "weight", probability.alias("probability"), F.lit(gap).alias("gap"),
-        (draw < probability).alias("kept"), *[F.col("carried")[c].alias(c) for c in carry])
+        (draw < probability).alias("kept"), *[(F.col("text") if c == text_col else F.col("carried")[c]).alias(c) for c in carry])

@@ -182,8 +182,9 @@ def components(links: np.ndarray) -> np.ndarray:
 # ---- the Spark job ---------------------------------------------------------------------------------------------------
 
 
-def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """id, carried, key (digest of the set), sketch of each row."""
+def sketches(docs: DataFrame, n: int, with_text: bool = False) -> DataFrame:
+    """id, carried, text if asked for, key (digest of the set), sketch of each row."""
+    back = ["id", "carried", *(["text"] if with_text else [])]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(n)
@@ -196,10 +197,10 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                     keys.append(digest(own))
                     rows[i] = s.sketch(own)
                 sketch = pa.FixedSizeListArray.from_arrays(pa.array(rows.view(np.int32).ravel()), SKETCH).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("carried"), pa.array(keys, pa.binary()), sketch], names=["id", "carried", "key", "sketch"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in back), pa.array(keys, pa.binary()), sketch], names=[*back, "key", "sketch"])
 
     kinds = dict(docs.dtypes)
-    return docs.mapInArrow(make, f"id {kinds['id']}, carried {kinds['carried']}, key binary, sketch array<int>")
+    return docs.mapInArrow(make, f"{', '.join(f'{c} {kinds[c]}' for c in back)}, key binary, sketch array<int>")
 
 
 def leaves_of(sets: DataFrame, runs: range) -> tuple[DataFrame, int]:
@@ -344,10 +345,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, rec
     rows of different texts stay apart though they share an id. Null ids are never the smallest; a class without any id has
     null. An empty table gives no rows. Other columns are ignored. Copies meet as sums; a bucket is compared by groups of at
     most LIMIT sets, or two blocks, whatever it holds."""
-    carried = F.struct(F.lit(0).alias("none"), *[F.col(c) for c in carry])
+    carried = F.struct(F.lit(0).alias("none"), *[F.col(c) for c in carry if c != text_col])  # a text goes to the workers once
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), carried.alias("carried"))
     with scratch(docs.sparkSession):
-        rows = staged(sketches(base, ngram).withColumn("row", F.monotonically_increasing_id()), keep=True)
+        rows = staged(sketches(base, ngram, text_col in carry).withColumn("row", F.monotonically_increasing_id()), keep=True)
         first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
         copies = staged(rows.groupBy("key").agg(first, F.count("*").alias("n"), F.first("sketch").alias("sketch")))
         sets = copies.where(F.col("key") != F.lit(digest(np.zeros(0, np.uint64)))).select("key", "sketch")
@@ -373,7 +374,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, rec
         classes = staged(classes)
         least = classes.where("label != key or links is not null").groupBy("label").agg(F.min("first").alias("class_first"))
         classes = staged(classes.join(least, "label", "left").withColumn("class_first", F.coalesce("class_first", "first")).drop("label"), keep=True)
-    out = rows.select("id", "row", "carried", "key").join(classes, "key")
+    out = rows.drop("sketch").join(classes, "key")
     return out.select(
         F.col("id").alias(id_col), F.col("class_first.id").alias("class_id"), F.col("first.id").alias("copy_id"), (F.col("n") - 1).alias("n_copies"), F.coalesce("links", F.lit(0)).alias("n_links"),
-        (F.col("row") == F.col("class_first.row")).alias("stays"), *[F.col("carried")[c].alias(c) for c in carry])
+        (F.col("row") == F.col("class_first.row")).alias("stays"), *[(F.col("text") if c == text_col else F.col("carried")[c]).alias(c) for c in carry])

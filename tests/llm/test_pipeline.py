@@ -77,6 +77,34 @@ def test_mixing_learns_from_all_rows(spark, monkeypatch):
     assert seen == [2304]
 
 
+def test_workers_get_each_text_once_and_few_at_a_time(spark, monkeypatch, tmp_path):
+    """No stage sends a text to a Python worker, or gets it back, more than once in a pass, nor more than some MiB of texts in a batch."""
+    rows = [(i, " ".join(f"w{i * 7 + k}" for k in range(900)), "en", "s", 0) for i in range(1500)]
+    docs = corpus_pipeline.staged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1))
+    texts = sum(len(r[1]) for r in rows)
+    plain = type(docs).mapInArrow
+
+    def watched(df, f, schema, *more):
+        note, asked = str(tmp_path / f"{len(list(tmp_path.iterdir()))}"), "text" in df.columns
+        open(note, "w").close()
+
+        def noted(batches, way):
+            for b in batches:
+                if asked:
+                    with open(note, "a") as out:
+                        out.write(f"{way} {b.nbytes}\n")
+                yield b
+
+        return plain(df, lambda batches: noted(f(noted(batches, "to")), "from"), schema, *more)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", watched)
+    for _, stage in corpus_pipeline.STAGES:
+        corpus_pipeline.staged(stage(spark, docs, SF))
+    passes = [[line.split() for line in x.read_text().splitlines()] for x in tmp_path.iterdir()]
+    moved = [[int(n) for way, n in x if way == one] for x in passes for one in ("to", "from") if x]
+    assert len(moved) >= 10 and max(map(max, moved)) < 8 << 20 and all(sum(x) < 1.8 * texts for x in moved)
+
+
 def test_rows_decide_for_themselves(spark):
     """Ids that are repeated over unrelated texts, or missing, lose no text and save none."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
