@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import staged
-from quire.llm.words import REMEMBERED
+from quire.llm.words import NUMBERED
 
 #: Lengths above capacity / LARGE count as large; they are rounded up within so many groups of equal cardinality. More groups
 #: are tried until the number of sequences meets its lower bound; the plan with the fewest sequences stands.
@@ -239,7 +239,7 @@ class Encoder:
             self.known[w] = array("I", [t.id for t in self.model.model.tokenize(signs)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > NUMBERED:
             self.known.clear()
         small = [x.lower() for x in texts]
         plain = [self.by_words and not self.OTHER(s) and not any(t in x for t in self.special) for x, s in zip(texts, small, strict=True)]

@@ -11,6 +11,8 @@ import numpy as np
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 #: Distinct words that one worker remembers before it starts anew.
 REMEMBERED = 400_000
+#: The same for functions that run one after the other in a worker, which keeps most of the memory that it once took.
+NUMBERED = 100_000
 
 
 def crc(word: str) -> int:
@@ -33,7 +35,7 @@ class WordIds(dict):
         return n
 
     def fresh(self) -> None:
-        if len(self) > REMEMBERED:
+        if len(self) > NUMBERED:
             self.clear()
 
     def of(self, words: list[str]) -> np.ndarray:

@@ -105,6 +105,24 @@ def test_workers_get_each_text_once_and_few_at_a_time(spark, monkeypatch, tmp_pa
     assert len(moved) >= 10 and max(map(max, moved)) < 8 << 20 and all(sum(x) < 1.8 * texts for x in moved)
 
 
+def test_workers_remember_few_words():
+    """What a worker remembers of its words is dropped at 100,000 of them, and then gives the same."""
+    import public_tokenizers
+
+    from quire.llm.packing import Encoder
+    from quire.llm.words import WordIds
+
+    words, ids, encoder = [f"w{k}" for k in range(120_000)], WordIds(), Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    first = ids.hashes_of(ids.of(words[:9])).tolist()
+    ids.of(words)
+    ids.fresh()
+    assert not ids and ids.hashes_of(ids.of(words[:9])).tolist() == first
+    letters = ["".join(chr(97 + k // 26**j % 26) for j in range(4)) for k in range(120_000)]
+    first = encoder.encode([" ".join(letters[:9])])
+    encoder.encode([" ".join(letters)])
+    assert encoder.encode([" ".join(letters[:9])]) == first and len(encoder.known) == 9
+
+
 def test_rows_decide_for_themselves(spark):
     """Ids that are repeated over unrelated texts, or missing, lose no text and save none."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
