@@ -11,7 +11,7 @@ import re
 import zlib
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -203,16 +203,58 @@ CUTTING = [
 ]
 
 
+#: Latin letters and digits after lower-casing, and what the tokenizer takes for white space among such texts.
+ALPHA, DIGIT, SPACE = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾", r" \t\n\x0b\x0c\r\x85\xa0"
+#: Signs of other texts, and the four that str.split() takes for white space and the tokenizer does not.
+OTHER = re.compile(r"[^\x00-\x1b\x20-\u024f]").search
+WORDS = re.compile(rf"[{ALPHA}]+|'s|'t|'re|'ve|'m|'ll|'d|[{DIGIT}]|[^{SPACE}{ALPHA}{DIGIT}]+").findall
+#: Whether a full stop or comma has another mark beside it.
+MARK = f"[^{SPACE}{ALPHA}{DIGIT}]"
+MARKS = re.compile(f"{MARK}(?:(?<=[.,]){MARK}|[.,])").search
+#: Stretches of more signs are not remembered.
+LONGEST = 64
+
+
+def stretches(text: str) -> list[str]:
+    """A lower-cased Latin text's parts between white space, with every full stop and comma by itself; its words, if one of
+    these belongs to a word of several marks."""
+    return WORDS(text) if MARKS(text) else text.replace(".", " . ").replace(",", " , ").split()
+
+
+class Remembered(dict):
+    """Stretch of a text without white space -> its ids. What it lacks it takes from the one before, or else has its words
+    encoded, which it remembers too. It refers to nothing that refers to it, so that it goes with its task."""
+
+    def __init__(self, tokenize: Callable, signs: dict[int, str], before: dict[str, bytes]):
+        self.tokenize, self.signs, self.before = tokenize, signs, before
+
+    def __missing__(self, stretch: str) -> bytes:
+        ids = self.before.get(stretch)
+        if ids is None:
+            words = [stretch] if stretch.isalpha() else WORDS(stretch)
+            if len(words) > 1:
+                ids = b"".join(map(self.__getitem__, words))
+            else:
+                signs = stretch if stretch.isascii() and stretch.isprintable() else stretch.translate(self.signs)
+                ids = array("I", [t.id for t in self.tokenize(signs)]).tobytes()
+        if len(stretch) <= LONGEST:
+            self[stretch] = ids
+        return ids
+
+    def next(self) -> Remembered:
+        """An empty one that takes from this one; what this one could take from is let go."""
+        self.before = {}
+        return Remembered(self.tokenize, self.signs, self)
+
+
 class Encoder:
     """Ids of whole texts by a tokenizers file, as 32-bit numbers in the machine's (little-endian) order. If the file says that
     texts are lower-cased, white space is dropped and words are encoded each for itself (NORMALIZER, CUTTING), texts of Latin
-    letters are cut into words here and each worker remembers the ids of recent words; any other text, and one with a special
-    string, goes whole to the library, as do all texts for any other tokenizer."""
+    letters are cut at white space here and each worker remembers the ids of recent stretches and their words; any other text,
+    and one with a special string, goes whole to the library, as do all texts for any other tokenizer.
 
-    #: Latin letters and digits after lower-casing, and what the tokenizer takes for white space among such texts.
-    ALPHA, DIGIT, SPACE = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾", r" \t\n\x0b\x0c\r\x85\xa0"
-    OTHER = re.compile(r"[^\x00-\u024f]").search
-    WORDS = re.compile(rf"[{ALPHA}]+|'s|'t|'re|'ve|'m|'ll|'d|[{DIGIT}]|[^{SPACE}{ALPHA}{DIGIT}]+").findall
+    Beyond NUMBERED stretches a new memory is begun, and the full one is kept until that is full too: what is in use stays,
+    and there are two memories at most."""
 
     def __init__(self, path: str):
         import os
@@ -224,29 +266,22 @@ class Encoder:
         self.model.no_truncation()
         self.model.no_padding()
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        with open(path, encoding="utf-8") as f:
-            file = json.load(f)
-        parts = (file.get("normalizer") or {}).get("normalizers"), (file.get("pre_tokenizer") or {}).get("pretokenizers")
-        self.by_words = parts == (NORMALIZER, CUTTING) and not file.get("post_processor") and not file["model"].get("dropout")
+        # What the file says of a part is the part's pickled state; the file itself, which is large, is not read again.
+        normalizer, cutting = (json.loads(x.__getstate__()) if x else {} for x in (self.model.normalizer, self.model.pre_tokenizer))
+        parts = normalizer.get("normalizers"), cutting.get("pretokenizers")
+        self.by_words = parts == (NORMALIZER, CUTTING) and not self.model.post_processor and not self.model.model.dropout
         # Byte-level vocabularies write each byte as a printable sign: its own, or one from 256 on for the others.
         own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b and b != 173]
-        self.signs = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
-
-    def learn(self, words: list[str]) -> None:
-        for w in words:
-            signs = w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.signs)
-            self.known[w] = array("I", [t.id for t in self.model.model.tokenize(signs)]).tobytes()
+        signs = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
+        self.known = Remembered(self.model.model.tokenize, {c: "".join(signs[b] for b in chr(c).encode()) for c in range(0x250)}, {})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > NUMBERED:
-            self.known.clear()
+            self.known = self.known.next()
         small = [x.lower() for x in texts]
-        plain = [self.by_words and not self.OTHER(s) and not any(t in x for t in self.special) for x, s in zip(texts, small, strict=True)]
-        words = [self.WORDS(s) if p else [] for s, p in zip(small, plain, strict=True)]
-        self.learn(list(set().union(*words) - self.known.keys()))
+        plain = [self.by_words and not OTHER(s) and not any(t in x for t in self.special) for x, s in zip(texts, small, strict=True)]
         rest = iter(self.model.encode_batch_fast([x for x, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        return [b"".join(map(self.known.__getitem__, w)) if p else array("I", next(rest).ids).tobytes() for w, p in zip(words, plain, strict=True)]
+        return [b"".join(map(self.known.__getitem__, stretches(s))) if p else array("I", next(rest).ids).tobytes() for s, p in zip(small, plain, strict=True)]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:

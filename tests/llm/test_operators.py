@@ -1,11 +1,13 @@
 """The ten operators against brute force on small tables, with odd rows: nulls, empty and long texts, ties, repeats, clashing names."""
 
 import collections
+import gc
 import hashlib
 import itertools
 import math
 import random
 import re
+import weakref
 import zlib
 
 import duckdb
@@ -521,6 +523,41 @@ def test_encoder_of_another_tokenizer():
     assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [e.model.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_in_use_stay_remembered():
+    """A word that comes again and again is encoded once, however many others come between; few others are kept, no long ones,
+    and nothing outlives the encoder."""
+    e = packing.Encoder(P.path("word_bpe_49k.json"))
+    assert e.by_words
+    e.encode(["the " + "ab" * 200 + " x" + "-y" * 200])
+    first = e.known["the"]
+    long = max(map(len, e.known))
+    words = ["".join(chr(97 + k // 26**j % 26) for j in range(4)) for k in range(360_000)]
+    for k in range(0, len(words), 40_000):
+        e.encode(["the, " + " ".join(words[k : k + 40_000])])
+        assert e.known["the"] is first
+    assert 0 < len(e.known.before) and len(e.known) + len(e.known.before) < 2 * (packing.NUMBERED + 40_010)
+    assert long <= packing.LONGEST
+    memory = weakref.ref(e.known)
+    gc.disable()
+    try:
+        del e
+        assert memory() is None
+    finally:
+        gc.enable()
+
+
+def test_stretches_have_the_words():
+    """Cutting at white space, stops and commas first gives the same words, and so the library's ids."""
+    e, rng = packing.Encoder(P.path("word_bpe_49k.json")), random.Random(4)
+    pool = [*map(chr, range(0x250)), *[".", ",", "'", "'s", "'ll", "it's", "e.g.", ", ", ". ", "\x1c", "a", "é", "3.14", " "] * 30]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(30))) for _ in range(5000)]
+    low = [t.lower() for t in texts]
+    plain = [t for t in low if not packing.OTHER(t)]
+    assert sum(not packing.MARKS(t) for t in plain) > 500 and any(packing.MARKS(t) for t in plain)
+    assert [[w for s in packing.stretches(t) for w in packing.WORDS(s)] for t in plain] == [packing.WORDS(t) for t in plain]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [x.ids for x in e.model.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_plans_are_whole():
     rng = np.random.default_rng(2)
     for _ in range(200):
