@@ -253,8 +253,8 @@ class Encoder:
     letters are cut at white space here and each worker remembers the ids of recent stretches and their words; any other text,
     and one with a special string, goes whole to the library, as do all texts for any other tokenizer.
 
-    Beyond NUMBERED stretches a new memory is begun, and the full one is kept until that is full too: what is in use stays,
-    and there are two memories at most."""
+    Beyond NUMBERED / 2 stretches a new memory is begun, and the full one is kept until that is full too: what is in use stays,
+    and two memories hold NUMBERED, and a batch's, at most."""
 
     def __init__(self, path: str):
         import os
@@ -276,7 +276,7 @@ class Encoder:
         self.known = Remembered(self.model.model.tokenize, {c: "".join(signs[b] for b in chr(c).encode()) for c in range(0x250)}, {})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > NUMBERED:
+        if len(self.known) > NUMBERED // 2:
             self.known = self.known.next()
         small = [x.lower() for x in texts]
         plain = [self.by_words and not OTHER(s) and not any(t in x for t in self.special) for x, s in zip(texts, small, strict=True)]

@@ -535,7 +535,7 @@ def test_words_in_use_stay_remembered():
     for k in range(0, len(words), 40_000):
         e.encode(["the, " + " ".join(words[k : k + 40_000])])
         assert e.known["the"] is first
-    assert 0 < len(e.known.before) and len(e.known) + len(e.known.before) < 2 * (packing.NUMBERED + 40_010)
+    assert 0 < len(e.known.before) and len(e.known) + len(e.known.before) < packing.NUMBERED + 2 * 40_010
     assert long <= packing.LONGEST
     memory = weakref.ref(e.known)
     gc.disable()
