@@ -31,3 +31,9 @@ def test_expected_files_listed_twice(spark):
     files = spark.createDataFrame([("a", 5, b"%PDF-"), ("b", 2, b"PK")], "file_name string, length long, content binary")
     expected = spark.createDataFrame([("a",), ("a",), ("c",), ("c",)], "file_name string")
     assert sorted(map(tuple, S.validate_pdf(files, expected).select("file_name", "reject_reason").collect())) == [("a", None), ("b", "not a PDF"), ("c", "empty or missing")]
+
+
+def test_upsert_layer_with_large_keys(spark, tmp_path):
+    """Layers whose ids lie 100,000 apart: each new file is one of its own."""
+    customers = "SELECT i + 100000 * j AS c_custkey, 'name' AS c_name, 'kind' AS c_mktsegment FROM range(10) a(i), range(3) b(j)"
+    assert len(same_rows(spark, tmp_path, "upsert_layer", customer=customers)) == 45
