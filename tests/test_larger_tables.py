@@ -37,3 +37,19 @@ def test_upsert_layer_with_large_keys(spark, tmp_path):
     """Layers whose ids lie 100,000 apart: each new file is one of its own."""
     customers = "SELECT i + 100000 * j AS c_custkey, 'name' AS c_name, 'kind' AS c_mktsegment FROM range(10) a(i), range(3) b(j)"
     assert len(same_rows(spark, tmp_path, "upsert_layer", customer=customers)) == 45
+
+
+def test_scan_raw_files_of_many_texts_in_one_partition(spark, tmp_path):
+    """110 MB in one row group, so that one task writes them: no file is too large. Of 40 bytes each and of 100,000, and null ones."""
+    documents = "SELECT i AS doc_id, CASE WHEN i % 100 = 1 THEN NULL WHEN i < 100000 THEN repeat('abcd', 10) ELSE repeat('x', 100000) END AS text FROM range(101060) t(i)"
+    assert same_rows(spark, tmp_path, "scan_raw_files", documents=documents) == [("not a PDF", str(40 * 99000 + 1049 * 100000 + 101060))]
+
+
+def test_texts_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "LONG", 10)
+    monkeypatch.setattr(S, "FILE_BYTES", 100)
+    S.write_texts(spark.createDataFrame([("é" * (k % 5),) for k in range(50)] + [("y" * 40,), ("z" * 300,), (None,)], "t string").coalesce(1), f"{tmp_path}/texts")
+    rows = spark.read.text(f"{tmp_path}/texts")
+    assert sorted(r[0] for r in rows.collect()) == sorted(["é" * (k % 5) for k in range(50)] + ["y" * 40, "z" * 300, ""])
+    sizes = [r["length"] for r in S.scan_raw_files(spark, f"{tmp_path}/texts/part-*").select("length").collect()]
+    assert max(sizes) == 301 and sorted(sizes)[-2] <= 100 and len(sizes) == 7
