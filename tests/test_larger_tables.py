@@ -1,7 +1,10 @@
 """Queries on tables with larger keys, longer texts or more rows than the driver's smallest ones."""
 
 import duckdb
+import numpy as np
+import pytest
 
+from quire.operators import vector_search
 from quire.plans import QUERIES, SQL
 from quire.sources import files as S
 from tests.test_oracle import plain
@@ -53,3 +56,32 @@ def test_texts_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
     assert sorted(r[0] for r in rows.collect()) == sorted(["é" * (k % 5) for k in range(50)] + ["y" * 40, "z" * 300, ""])
     sizes = [r["length"] for r in S.scan_raw_files(spark, f"{tmp_path}/texts/part-*").select("length").collect()]
     assert max(sizes) == 301 and sorted(sizes)[-2] <= 100 and len(sizes) == 7
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_exact_search_holds_tiles_only(spark, metric, monkeypatch):
+    """No array of scores is larger than a tile, of 700 queries and as many vectors with many copies; results are those of one large product."""
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(size=(300, 8)), np.repeat(rng.normal(size=(4, 8)), 90, 0), np.zeros((40, 8))])
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(vector_search, "TILE", 64, raising=False)
+    monkeypatch.setattr(vector_search, "ROWS", 50, raising=False)
+
+    def small(f):
+        def held(q, x, *more):
+            assert len(q) <= 64 and len(x) <= 50, f"{len(q)} x {len(x)} scores"
+            return f(q, x, *more)
+
+        return held
+
+    monkeypatch.setattr(vector_search, "METRICS", {k: small(f) for k, f in vector_search.METRICS.items()})
+    if hasattr(vector_search, "rough_scores"):
+        monkeypatch.setattr(vector_search, "rough_scores", small(vector_search.rough_scores))
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["similarity"]) for r in vector_search.knn_exact(rows.withColumnRenamed("vec_id", "query_id"), rows, 5, metric).collect()}
+    size = np.linalg.norm(v, axis=1)
+    s = np.divide(v @ v.T, np.outer(size, size), out=np.zeros((700, 700)), where=np.outer(size, size) > 0) if metric == "cosine" else -((v[:, None] - v[None]) ** 2).sum(2)
+    for i, row in enumerate(np.round(s, 9)):
+        best = np.lexsort((np.arange(700), -row))[:5]
+        assert [got[i, n + 1][0] for n in range(5)] == best.tolist()
+        assert np.allclose([got[i, n + 1][1] for n in range(5)], row[best], atol=1e-8)
+    assert len(got) == 3500
