@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.operators.catalog import rank_hits
-from quire.sources.staging import file_system, staged
+from quire.sources.staging import brief_shuffles, file_system, staged
 
 # Saturation of a term's count, share of a text's length.
 K1, B = 1.2, 0.75
@@ -23,6 +23,8 @@ TRIED = 5
 #: Share of the bound that a query's frequent words may reach together, if texts are not to be brought up by them: less than one, so
 #: that a text needs a good part of the bound from its other words, and few do.
 HALF = 0.5
+#: Slices of the texts in which many candidates are scored, one after the other: what is shuffled at once is that part of the postings.
+SLICES = 4
 META = "buckets int, kind string"
 #: Bytes of text whose grams are gathered at once; grams of a pattern that are looked up.
 GRAM_BYTES, RAREST = 1 << 22, 3
@@ -33,6 +35,14 @@ def terms_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def counted(terms: Column) -> Column:
+    """term, tf of each distinct word of a list. Lists are bound by one-element arrays, so that they are worked out once."""
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+    places = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    runs = lambda s, at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("tf")))
+    return F.when(F.size(terms) > 0, once(F.sort_array(terms), lambda s: once(places(s), lambda at: runs(s, at))))
+
+
 class TextIndex:
     """An inverted index of words below a folder: `postings` (term, id, tf, length; a folder for each bucket of terms) and `texts`
     (id, length)."""
@@ -59,7 +69,8 @@ def bucket_of(column: str, n: int) -> Column:
 def add_to_index(texts: DataFrame, path: str, id_col: str = "chunk_id", text_col: str = "text", buckets: int = 64) -> TextIndex:
     """Index texts below `path`, beside those that it has already (which keeps its number of buckets). Ids should be new ones; rows
     that share an id are one text as to its words, as long as the longest of them. Rows without an id are left out. A null
-    text has no words. A bucket with many postings is written by several tasks."""
+    text has no words. Where no rows share an id nothing but ids is shuffled: each task counts its own texts' words and writes its
+    part of every bucket. A bucket with many postings is written by several tasks."""
     spark = texts.sparkSession
     fs, meta = file_system(spark, f"{path}/meta")
     if fs.exists(meta):
@@ -67,11 +78,17 @@ def add_to_index(texts: DataFrame, path: str, id_col: str = "chunk_id", text_col
     else:
         spark.createDataFrame([(buckets, dict(texts.dtypes)[id_col])], META).coalesce(1).write.json(f"{path}/meta")
     rows = texts.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), terms_of(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
-    tokens = rows.select("id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    postings = tokens.groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"), F.max("length").alias("length"))
-    postings = postings.withColumn("bucket", bucket_of("term", buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
-    postings.write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
-    rows.groupBy("id").agg(F.max(F.size("terms")).alias("length")).write.mode("append").parquet(f"{path}/texts")
+    sizes = staged(rows.groupBy("id").agg(F.max(F.size("terms")).alias("length"), F.count("*").alias("rows")))
+    sizes.select("id", "length").write.mode("append").parquet(f"{path}/texts")
+    if sizes.where("rows > 1").isEmpty():
+        postings = rows.select("id", F.size("terms").alias("length"), F.explode(counted(F.col("terms"))).alias("t")).select("t.term", "id", "t.tf", "length", bucket_of("t.term", buckets))
+    else:
+        tokens = rows.select("id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+        postings = tokens.groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"), F.max("length").alias("length"))
+        postings = postings.withColumn("bucket", bucket_of("term", buckets)).hint("rebalance", "bucket")
+    with brief_shuffles(spark):  # sorted ids differ in their ends, of which the second version of Parquet's pages keeps little more
+        files = postings.sortWithinPartitions("bucket", "term", "id").write.mode("append").partitionBy("bucket")
+        files.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").parquet(f"{path}/postings")
     return TextIndex(spark, path)
 
 
@@ -141,13 +158,30 @@ def bm25_search(queries: DataFrame, index: TextIndex, k: int, query_id: str = "q
 
 
 def bm25_scores(candidates: DataFrame, queries: DataFrame, index: TextIndex, item: str = "chunk_id", query_id: str = "query_id", text: str = "query") -> DataFrame:
-    """candidates(query_id, item, ...) with `bm25`: the score of each pair, 0 without a shared word. Only the postings of the
-    candidates' own words are summed."""
-    bm25 = Bm25(queries, index, query_id, text)
-    pairs = candidates.select(F.col(query_id).alias("query_id"), F.col(item).alias("id")).distinct()
-    asked = staged(pairs.join(bm25.words.select("query_id", "term", "idf"), "query_id"))
-    scores = bm25.sums(asked, ["term", "id"]).select(F.col("query_id").alias(query_id), F.col("id").alias(item), rounded().alias("bm25"))
-    return candidates.join(scores, [query_id, item], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    """candidates(query_id, item, ...) with `bm25`: the score of each row's pair, 0 without a shared word. Of few candidates the
+    postings of their own words are summed. Of many, the postings of all words asked are dealt by text and meet the candidates there,
+    slice by slice; pairs and words are never multiplied out on disk."""
+    bm25, candidates = Bm25(queries, index, query_id, text), staged(candidates)
+    pairs = candidates.select(F.col(query_id).alias("query_id"), F.col(item).alias("id"))
+    words = bm25.words.select("query_id", "term", "idf")
+    asked = pairs.groupBy("query_id").count().join(words.groupBy("query_id").agg(F.count("*").alias("words")), "query_id").agg(F.sum(F.col("count") * F.col("words"))).first()[0]
+    if (asked or 0) <= BROADCAST_ROWS:
+        scores = bm25.sums(pairs.distinct().join(words, "query_id"), ["term", "id"])
+        scores = scores.select(F.col("query_id").alias(query_id), F.col("id").alias(item), rounded().alias("bm25"))
+        return candidates.join(scores, [query_id, item], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    few = F.broadcast if words.count() <= BROADCAST_ROWS else lambda df: df
+    gains = bm25.postings.join(few(words.select("term").distinct()), "term", "left_semi").select("id", "term", "tf", "length")
+    rows = candidates.select(F.struct("*").alias("row"), F.col(query_id).alias("query_id"), F.col(item).alias("id"), F.monotonically_increasing_id().alias("place"))
+    # A row that goes along as a part of the key is summed by hash, by first() its copies would be sorted; a map can't be a key.
+    keys, kept = (["id", "place"], [F.first("row").alias("row")]) if "map<" in str(dict(rows.dtypes)["row"]) else (["id", "place", "row"], [])
+    out = None
+    for k in range(SLICES):
+        own = F.pmod(F.xxhash64("id"), F.lit(SLICES)) == k
+        met = rows.where(F.coalesce(own, F.lit(k == 0))).join(gains.where(own), "id", "left").join(few(words), ["query_id", "term"], "left")
+        scores = met.groupBy(*keys).agg(*kept, F.coalesce(F.sum(F.col("idf") * bm25.share()), F.lit(0.0)).alias("score"))
+        scores = staged(scores.select("row.*", rounded().alias("bm25")))
+        out = scores if out is None else out.unionByName(scores)
+    return out
 
 
 # ---- substrings ----------------------------------------------------------------------------------------------------------

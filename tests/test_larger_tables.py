@@ -1,10 +1,12 @@
 """Queries on tables with larger keys, longer texts or more rows than the driver's smallest ones."""
 
+import math
+
 import duckdb
 import numpy as np
 import pytest
 
-from quire.operators import vector_search
+from quire.operators import text_index, vector_search
 from quire.plans import QUERIES, SQL
 from quire.sources import files as S
 from tests.test_oracle import plain
@@ -85,3 +87,41 @@ def test_exact_search_holds_tiles_only(spark, metric, monkeypatch):
         assert [got[i, n + 1][0] for n in range(5)] == best.tolist()
         assert np.allclose([got[i, n + 1][1] for n in range(5)], row[best], atol=1e-8)
     assert len(got) == 3500
+
+
+def test_many_candidates_are_not_multiplied_by_words(spark, tmp_path, monkeypatch):
+    """BM25 of more candidates than are broadcast: no table that is written has a row for each pair and word; a pair that is listed
+    twice, texts without words and ones that the index lacks are scored as they are."""
+    texts = {f"t{i}": " ".join(f"w{(i * j) % 17}" for j in range(i % 12)) for i in range(60)}
+    asked = {q: [f"w{(q + j) % 20}" for j in range(9)] for q in range(3)}
+    index = text_index.add_to_index(spark.createDataFrame(list(texts.items()), "chunk_id string, text string"), f"{tmp_path}/ix", buckets=4)
+    pairs = [(q, t) for q in asked for t in texts] + [(0, "t5"), (1, "missing")]
+    written, stage = [], text_index.staged
+
+    def counting(df, *more):
+        written.append((out := stage(df, *more)).count())
+        return out
+
+    monkeypatch.setattr(text_index, "staged", counting)
+    monkeypatch.setattr(text_index, "BROADCAST_ROWS", 100)
+    candidates = spark.createDataFrame([(q, t, {"n": n}, n) for n, (q, t) in enumerate(pairs)], "query_id long, chunk_id string, m map<string,int>, rank int")
+    queries = spark.createDataFrame([(q, " ".join(ws)) for q, ws in asked.items()], "query_id long, query string")
+    words = {t: x.split() for t, x in texts.items()}
+    mean = sum(map(len, words.values())) / 60
+
+    def score(q, t):
+        ws, total = words.get(t, []), 0.0
+        for w in set(asked[q]):
+            df, tf = sum(w in x for x in words.values()), ws.count(w)
+            total += math.log(1 + (60 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / mean)) if tf else 0
+        return round(total, 6)
+
+    for rows in (candidates, candidates.drop("m")):
+        got = text_index.bm25_scores(rows, queries, index).collect()
+        assert sorted((r["query_id"], r["chunk_id"], r["rank"], round(r["bm25"], 6)) for r in got) == sorted((q, t, n, score(q, t)) for n, (q, t) in enumerate(pairs))
+        assert max(written) <= len(pairs)
+
+
+def test_words_of_a_text_are_counted_in_its_row(spark):
+    rows = spark.createDataFrame([(["b", "a", "b", "b"],), ([],), (["x"],), (None,)], "t array<string>").select(text_index.counted(text_index.F.col("t")).alias("c")).collect()
+    assert [None if r[0] is None else [tuple(x) for x in r[0]] for r in rows] == [[("a", 1), ("b", 3)], None, [("x", 1)], None]
