@@ -6,10 +6,11 @@ import duckdb
 import numpy as np
 import pytest
 
-from quire.operators import text_index, vector_search
-from quire.plans import QUERIES, SQL
+from quire.operators import retrieval, text_index, vector_search
+from quire.plans import QUERIES, SQL, retrieval_queries
 from quire.sources import files as S
-from tests.test_oracle import plain
+from quire.sources import staging
+from tests.test_oracle import DATA, plain
 
 
 def same_rows(spark, folder, name, **tables):
@@ -125,3 +126,12 @@ def test_many_candidates_are_not_multiplied_by_words(spark, tmp_path, monkeypatc
 def test_words_of_a_text_are_counted_in_its_row(spark):
     rows = spark.createDataFrame([(["b", "a", "b", "b"],), ([],), (["x"],), (None,)], "t array<string>").select(text_index.counted(text_index.F.col("t")).alias("c")).collect()
     assert [None if r[0] is None else [tuple(x) for x in r[0]] for r in rows] == [[("a", 1), ("b", 3)], None, [("x", 1)], None]
+
+
+@pytest.mark.parametrize("name", ["recall_of_passages", "two_stage_search"])
+def test_vectors_of_lines_are_not_stored(spark, name, monkeypatch):
+    """Lines are embedded on their way to the queries: no table that is written has a vector for each."""
+    kinds, stage = [], staging.staged
+    for module in (retrieval, text_index, retrieval_queries, vector_search):
+        monkeypatch.setattr(module, "staged", lambda df, *more: kinds.extend(t for _, t in df.dtypes) or stage(df, *more), raising=False)
+    assert QUERIES[name](spark, DATA).count() and kinds and "array<double>" not in kinds
